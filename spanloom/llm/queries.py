@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import quality_rules
+from spanloom.llm import language_id, quality_classifier, quality_rules
 
 QUERIES = {
+    "op4_quality_classifier": quality_classifier.op4,
+    "op6_language_id": language_id.op6,
     "op10_quality_rules": quality_rules.op10,
 }
 ORACLES: dict[str, str] = {}
