@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, language_id, media_columns, quality_classifier, quality_rules, url_filters
+from spanloom.llm import byte_bpe, language_id, media_columns, quality_classifier, quality_rules, secret_scans, url_filters
 
 QUERIES = {
     "op3_url_filters": url_filters.op3,
     "op4_quality_classifier": quality_classifier.op4,
     "op6_language_id": language_id.op6,
+    "op7_secret_scans": secret_scans.op7,
     "op8_media_columns": media_columns.op8,
     "op9_byte_bpe": byte_bpe.op9,
     "op10_quality_rules": quality_rules.op10,
