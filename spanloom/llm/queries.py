@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, language_id, media_columns, packing, quality_classifier, quality_rules, secret_scans, url_filters
+from spanloom.llm import byte_bpe, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op3_url_filters": url_filters.op3,
     "op4_quality_classifier": quality_classifier.op4,
     "op6_language_id": language_id.op6,
+    "op5_near_dedup": near_dedup.op5,
     "op7_secret_scans": secret_scans.op7,
     "op8_media_columns": media_columns.op8,
     "op9_byte_bpe": byte_bpe.op9,
