@@ -7,6 +7,7 @@ of whole Arrow batches, so no Python string is made on the hot path. Batches are
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -132,6 +133,28 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def groups_of(batches, keys: list[str]):
+    """Whole groups of a stream of batches that is sorted by keys: (batch, group starts)."""
+    rest = None
+    for b in batches:
+        table = pa.Table.from_batches([b] if rest is None else [*rest, b]).combine_chunks()
+        if not table.num_rows:
+            continue
+        cols = [table.column(k).to_numpy() for k in keys]
+        change = np.zeros(table.num_rows, bool)
+        change[0] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        last = int(starts[-1])
+        if last:
+            yield table.slice(0, last).combine_chunks(), starts
+        rest = table.slice(last).to_batches()
+    if rest is not None:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        yield table, np.array([0, table.num_rows])
+
+
 class Scratch:
     """Tables written to the shared folder that the session names in spark.checkpoint.dir.
 
@@ -150,6 +173,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Ask for the shuffle files of steps that nothing refers to any more; they count as disk until then."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """For a table that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

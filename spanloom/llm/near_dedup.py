@@ -143,28 +143,6 @@ def features(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def groups_of(batches, keys: list[str]):
-    """Whole groups of a stream of batches that is sorted by keys: (batch, group starts)."""
-    rest = None
-    for b in batches:
-        table = pa.Table.from_batches([b] if rest is None else [*rest, b]).combine_chunks()
-        if not table.num_rows:
-            continue
-        cols = [table.column(k).to_numpy() for k in keys]
-        change = np.zeros(table.num_rows, bool)
-        change[0] = True
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        last = int(starts[-1])
-        if last:
-            yield table.slice(0, last).combine_chunks(), starts
-        rest = table.slice(last).to_batches()
-    if rest is not None:
-        table = pa.Table.from_batches(rest).combine_chunks()
-        yield table, np.array([0, table.num_rows])
-
-
 def in_blocks(members: DataFrame, key: str, node: str, block: int) -> DataFrame:
     """members of (key, node, n_members), each row once for every pair of blocks (p <= q) of its group that it takes part in."""
     blocks = F.ceil(F.col("n_members") / block).cast("int")
@@ -182,7 +160,7 @@ def sketch_forests(members: DataFrame, threshold: float) -> DataFrame:
     samples = bands_for(threshold) * ROWS
 
     def run(batches):
-        for table, starts in groups_of(batches, ["bucket", "p", "q"]):
+        for table, starts in C.groups_of(batches, ["bucket", "p", "q"]):
             reps = table.column("rep").to_numpy()
             sizes = table.column("n_shingles").to_numpy()
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(reps), -1)
@@ -242,7 +220,7 @@ def exact_forests(members: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (u, v), a spanning forest for each pair of blocks; members: cluster, node, text, n_members."""
 
     def run(batches):
-        for table, starts in groups_of(batches, ["cluster", "p", "q"]):
+        for table, starts in C.groups_of(batches, ["cluster", "p", "q"]):
             nodes = table.column("node").to_numpy()
             u, v = [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, url_filters
+from spanloom.llm import byte_bpe, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op2_substring_dedup": substring_dedup.op2,
     "op3_url_filters": url_filters.op3,
     "op4_quality_classifier": quality_classifier.op4,
     "op6_language_id": language_id.op6,
