@@ -1,8 +1,8 @@
 """Every registered query of the library proper."""
 
-from spanloom.plans import spans
+from spanloom.plans import spans, text
 
 QUERIES, ORACLES = {}, {}
-for _module in (spans,):
+for _module in (spans, text):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
