@@ -1,8 +1,8 @@
 """Every registered query of the library proper."""
 
-from spanloom.plans import spans, text
+from spanloom.plans import evaluation, selection, spans, text
 
 QUERIES, ORACLES = {}, {}
-for _module in (spans, text):
+for _module in (spans, text, selection, evaluation):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
