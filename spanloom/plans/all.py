@@ -1,8 +1,8 @@
 """Every registered query of the library proper."""
 
-from spanloom.plans import evaluation, selection, spans, text
+from spanloom.plans import evaluation, selection, spans, text, timeline
 
 QUERIES, ORACLES = {}, {}
-for _module in (spans, text, selection, evaluation):
+for _module in (spans, text, selection, evaluation, timeline):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
