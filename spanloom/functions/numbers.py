@@ -22,7 +22,8 @@ def wilson(p, n, z: float = Z95) -> Column:
     base = 1 + z * z / n
     middle = (p + z * z / (2 * n)) / base
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / base
-    return F.struct(F.greatest(middle - half, F.lit(0.0)).alias("low"), F.least(middle + half, F.lit(1.0)).alias("high"))
+    low, high = F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
+    return F.struct(F.when(n.isNotNull(), low).alias("low"), F.when(n.isNotNull(), high).alias("high"))
 
 
 def margin(p, n) -> Column:
