@@ -82,3 +82,24 @@ def test_pack(spark):
     for window in (64, 1000):
         check(P.pack(table, P.vocabulary(), window).collect(), docs, window)
     assert P.pack(table.limit(0), P.vocabulary()).count() == 0
+
+
+def test_plain_words_keep_the_ids():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from spanloom.llm import common as C
+
+    t = Tokenizer.from_file(P.vocabulary())
+    t.encode_special_tokens = True
+    rng = random.Random(5)
+    parts = ["a", "Z", "'s", "'", ".", ",", "#", "##", "&", "1", " ", "\n", "É", "é", "e\u0301", "H\u0331", "İ", "ß", "日", "😀", "<|endoftext|>", "-", "_", "Σ", "\u00a0", "\x00"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)] + ["ΟΔΟΣ. T\u0308x", "don't.stop"]
+    ids = P.WordIds(P.vocabulary())
+    for limit in (300, 1 << 20):
+        got = []
+        for _, _, data, at in C.chunks(pa.array(rows), limit):
+            raw, edges = P.plain_words(data, at)
+            got += [np.frombuffer(ids.packed(raw[s:e]), "<u4").tolist() for s, e in zip(edges, edges[1:])]
+        for text, own in zip(rows, got):
+            assert own == t.encode(text, add_special_tokens=False).ids + [P.END_ID], repr(text)
