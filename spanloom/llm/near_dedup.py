@@ -258,7 +258,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     clusters = scratch.save(maybe.select("node", F.col("component").alias("cluster")), "nodes")
 
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n_members")), "cluster")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(sized, "node")
+    # One join strategy at every size: how much moves then follows the input.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(sized.hint("merge"), "node")
     links = components(scratch.save(exact_forests(texts, size, percent), "links"), scratch, "components")
     links = scratch.save(links, "found")
 
