@@ -8,14 +8,17 @@ No automaton of a whole corpus fits a task, so each document is sent only to the
    asked for the smallest id, whether all its snippets are equal, and how many there are. These are
    pre-aggregated sums and minima; the join back is by key, and large keys may be split by Spark.
 2. Where all snippets of a key are equal, all but those of the smallest id go, and nothing else is to decide.
-3. The other keys are the reference shards. The distinct snippets of a shard make up a suffix automaton over
-   words, whose states know the smallest id that they occur in; the shard's snippets are streamed through it,
-   and windows whose matching statistic reaches WINDOW in a smaller id make up the maximal spans to remove.
-4. A shard with more than SHARD_SNIPPETS snippets (a very common phrase in many contexts) is cut by window:
-   its windows are grouped by their words, pre-aggregated to the smallest id, and joined back.
-
-Windows are judged on the input, not on what is left. Hashes only route; texts decide, but for step 2, which
-rests on two independent 64-bit hashes (of the anchor and of the snippet).
+3. The other keys are the reference shards: of each the distinct snippets, with the smallest id that has them
+   (pre-aggregated, so thousands of copies are one row). They make up a suffix automaton over words, whose
+   states know the smallest id that they occur in; each distinct snippet is streamed through it, and where the
+   matching statistic reaches WINDOW, the window's smallest id is kept.
+4. A shard with more than SHARD_SNIPPETS distinct snippets (a very common phrase in many contexts) is cut by
+   window: its windows are grouped by their words, pre-aggregated to the smallest id, and joined back.
+5. What was found for a snippet goes back to the documents that have it; windows whose smallest id is smaller
+   than the document's own make up the spans to remove.
+
+Windows are judged on the input, not on what is left. Texts decide inside the shards; a
+snippet is known by two independent 64-bit hashes (of its anchor and of all its words).
 
 Defined cases: null and empty texts have no words and stay as they are; a row with a null id comes after all
 others and is never a reference; rows with equal ids do not remove each other's words.
@@ -42,10 +45,17 @@ _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
 
 
+_inverse = np.ones(1, np.uint64)
+
+
 def _inverse_powers(n: int) -> np.ndarray:
-    steps = np.full(n, np.uint64(_R_INVERSE))
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
+    """At least n powers of the inverse of the hash base, kept between calls."""
+    global _inverse
+    if len(_inverse) < n:
+        steps = np.full(max(n, 4096), np.uint64(_R_INVERSE))
+        steps[0] = 1
+        _inverse = np.multiply.accumulate(steps)
+    return _inverse
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,12 +67,13 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return empty, empty, empty, empty, empty
     hashes = C.span_hashes(data, starts, C.WORD_KEYS)
     gram = C.grams(hashes, ANCHOR)
-    best, place = gram[where], where.copy()
+    n = len(gram) - (WINDOW - ANCHOR)
+    best, off = gram[:n].copy(), np.zeros(n, np.int8)
     for k in range(1, WINDOW - ANCHOR + 1):
-        value = gram[where + k]
-        less = value < best
-        best = np.where(less, value, best)
-        place = np.where(less, where + k, place)
+        less = gram[k : k + n] < best
+        np.copyto(best, gram[k : k + n], where=less)
+        np.copyto(off, k, where=less)
+    place = where + off[where]
     fresh = np.ones(len(where), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (where[1:] != where[:-1] + 1)
     first = np.flatnonzero(fresh)
@@ -80,62 +91,61 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """k, g, doc of each snippet."""
+    """k, g, doc of each snippet, once for each document."""
 
     def run(batches):
         for b in batches:
             ids = b.column("doc").to_numpy()
             for lo, hi, data, at in C.chunks(b.column("text")):
                 row, key, snippet, _, _ = anchors(data, at)
+                own = C.mix(key.view(np.uint64) + row.astype(np.uint64) * C.GRAM_KEYS[52]) + snippet.view(np.uint64)
+                _, once = np.unique(own, return_index=True)
+                row, key, snippet = row[once], key[once], snippet[once]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(snippet), pa.array(ids[lo:hi][row])], names=["k", "g", "doc"])
 
     return with_key(docs).mapInArrow(run, "k long, g long, doc long")
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
-    """For each document that shares a key: doc, `same` (its keys whose snippets all equal an earlier one), `check` and `common` (keys of small and of large shards)."""
+    """For each document that shares a key: doc, `same` (its keys whose snippets all equal an earlier one) and `check` (the other shared keys)."""
     keys = occurrences(docs).groupBy("k").agg(F.min("doc").alias("least"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n")).where("n > 1")
-    kind = F.when(F.col("g0") == F.col("g1"), F.lit(0)).when(F.col("n") <= SHARD_SNIPPETS, F.lit(1)).otherwise(F.lit(2))
-    keys = keys.select("k", "least", kind.alias("kind"))
-    hits = occurrences(docs).select("k", "doc").join(keys, "k").where("kind > 0 or doc > least")
-    take = lambda n: F.collect_set(F.when(F.col("kind") == n, F.col("k")))
-    return hits.groupBy("doc").agg(take(0).alias("same"), take(1).alias("check"), take(2).alias("common"))
+    keys = keys.select("k", "least", (F.col("g0") == F.col("g1")).alias("equal"))
+    hits = occurrences(docs).select("k", "doc").join(keys, "k").where("not equal or doc > least")
+    take = lambda which: F.collect_set(F.when(which, F.col("k")))
+    return hits.groupBy("doc").agg(take(F.col("equal")).alias("same"), take(~F.col("equal")).alias("check"))
 
 
-SNIPPETS = "k long, doc long, t long, start long, snippet string, common boolean"
+SNIPPETS = "k long, g long, doc long, t long, starts array<long>, snippet string"
 
 
 def snippets(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The words of the snippets whose keys have to be checked; t is a hash of the text, which tells rows of one id apart."""
+    """The snippets whose keys have to be checked, with their words and the places where the document has them; t
+    is a hash of the text, which tells rows of one id apart."""
 
     def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
         for b in batches:
-            ids, hashes = b.column("doc").to_pylist(), b.column("t").to_pylist()
-            checks, commons = b.column("check"), b.column("common")
+            ids, hashes, checks = b.column("doc").to_pylist(), b.column("t").to_pylist(), b.column("check")
             for lo, hi, data, at in C.chunks(b.column("text")):
-                row, key, _, start, size = anchors(data, at)
+                row, key, snippet, start, size = anchors(data, at)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
                 raw, cols = data.tobytes(), [[] for _ in range(6)]
                 for i in range(hi - lo):
                     a, z = edge[i], edge[i + 1]
-                    if a == z:
-                        continue
-                    check = np.isin(key[a:z], checks[lo + i].values.to_numpy())
-                    common = np.isin(key[a:z], commons[lo + i].values.to_numpy())
-                    wanted = np.flatnonzero(check | common)
+                    wanted = a + np.flatnonzero(np.isin(key[a:z], checks[lo + i].values.to_numpy()))
                     if not len(wanted):
                         continue
-                    words = raw[at[i] : at[i + 1]].split()
-                    for j in wanted.tolist():
-                        s = int(start[a + j])
-                        for col, x in zip(cols, (int(key[a + j]), ids[lo + i], hashes[lo + i], s, b" ".join(words[s : s + int(size[a + j])]).decode(), bool(common[j]))):
+                    words, places = raw[at[i] : at[i + 1]].split(), {}
+                    for k, g, s, n in zip(key[wanted].tolist(), snippet[wanted].tolist(), start[wanted].tolist(), size[wanted].tolist()):
+                        places.setdefault((k, g, n), []).append(s)
+                    for (k, g, n), where in places.items():
+                        text = b" ".join(words[where[0] : where[0] + n]).decode()
+                        for col, x in zip(cols, (k, g, ids[lo + i], hashes[lo + i], where, text)):
                             col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SNIPPETS.split(", ")])
 
-    wanted = shared.where("size(check) > 0 or size(common) > 0").select("doc", "check", "common")
-    rows = with_key(docs).withColumn("t", F.xxhash64("text")).join(wanted, "doc")
-    return rows.select("doc", "t", "text", "check", "common").mapInArrow(run, SNIPPETS)
+    rows = with_key(docs).withColumn("t", F.xxhash64("text")).join(shared.where("size(check) > 0").select("doc", "check").hint("merge"), "doc")
+    return rows.select("doc", "t", "text", "check").mapInArrow(run, SNIPPETS)
 
 
 class SuffixAutomaton:
@@ -203,51 +213,50 @@ class SuffixAutomaton:
         return out
 
 
-def shard_spans(rows: DataFrame) -> DataFrame:
-    """Spans (doc, t, start, stop) to remove, from the snippets of small shards."""
+FOUND = "k long, g long, at array<int>, least array<long>"
+
+
+def shard_windows(distinct: DataFrame) -> DataFrame:
+    """For the distinct snippets (k, g, doc, snippet) of small shards: where windows begin in them, and their smallest ids."""
 
     def run(batches):
-        for table, starts in C.groups_of(batches, ["k"]):
-            docs, hashes = table.column("doc").to_pylist(), table.column("t").to_pylist()
-            firsts, texts = table.column("start").to_pylist(), table.column("snippet").to_pylist()
-            out = [[], [], [], []]
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                owner: dict[str, int] = {}
-                for text, doc in zip(texts[s:e], docs[s:e]):
-                    owner[text] = min(doc, owner.get(text, LAST_ID))
-                automaton, split = SuffixAutomaton(), {text: text.split(" ") for text in owner}
-                for text, doc in owner.items():
-                    automaton.add(split[text], doc)
+        for table, edges in C.groups_of(batches, ["k"]):
+            keys, hashes, docs, texts = (table.column(c).to_pylist() for c in ("k", "g", "doc", "snippet"))
+            at, least = [], []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                automaton, words = SuffixAutomaton(), [text.split(" ") for text in texts[s:e]]
+                for w, doc in zip(words, docs[s:e]):
+                    automaton.add(w, doc)
                 automaton.settle()
-                found = {text: automaton.matches(words, WINDOW) for text, words in split.items()}
-                for i in range(s, e):
-                    span = None
-                    for at, least in found[texts[i]]:
-                        if least >= docs[i]:
-                            continue
-                        if span and at <= span[1]:
-                            span[1] = at + WINDOW
-                            continue
-                        if span:
-                            for col, x in zip(out, (docs[i], hashes[i], firsts[i] + span[0], firsts[i] + span[1])):
-                                col.append(x)
-                        span = [at, at + WINDOW]
-                    if span:
-                        for col, x in zip(out, (docs[i], hashes[i], firsts[i] + span[0], firsts[i] + span[1])):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "t", "start", "stop"])
+                for w in words:
+                    found = automaton.matches(w, WINDOW)
+                    at.append([x for x, _ in found])
+                    least.append([x for _, x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], names=["k", "g", "at", "least"])
+
+    return distinct.repartition("k").sortWithinPartitions("k").mapInArrow(run, FOUND)
+
 
-    placed = rows.repartition("k").sortWithinPartitions("k", "doc")
-    return placed.mapInArrow(run, "doc long, t long, start long, stop long")
+def common_windows(distinct: DataFrame) -> DataFrame:
+    """The same for large shards: windows are grouped by their words."""
+    rows = distinct.select("k", "g", "doc", F.split("snippet", " ").alias("w"))
+    rows = rows.select("k", "g", "doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("at"))
+    rows = rows.select("k", "g", "doc", "at", F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").alias("window"))
+    least = rows.groupBy("window").agg(F.min("doc").alias("least"))
+    got = rows.select("k", "g", "at", "window").join(least, "window").groupBy("k", "g").agg(F.collect_list(F.struct("at", "least")).alias("f"))
+    return got.select("k", "g", F.col("f.at").alias("at"), F.col("f.least").alias("least"))
 
 
-def window_spans(rows: DataFrame) -> DataFrame:
-    """The same from the snippets of large shards, window by window."""
-    words = F.split("snippet", " ")
-    windows = rows.select("doc", "t", "start", words.alias("w")).select("doc", "t", "start", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("i"))
-    windows = windows.select("doc", "t", (F.col("start") + F.col("i")).alias("start"), F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("window"))
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    return windows.join(least, "window").where("doc > least").select("doc", "t", "start", (F.col("start") + WINDOW).alias("stop"))
+def spans_of(rows: DataFrame) -> DataFrame:
+    """doc and its spans (t, places of a snippet, window starts in it that go) from the snippets of all documents."""
+    distinct = rows.groupBy("k", "g").agg(F.min("doc").alias("doc"), F.first("snippet").alias("snippet"))
+    distinct = C.Scratch(rows.sparkSession, "substring_dedup").save(distinct, "distinct")
+    large = distinct.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SNIPPETS).select("k")
+    found = shard_windows(distinct.join(large, "k", "left_anti")).unionByName(common_windows(distinct.join(large, "k", "left_semi")))
+    back = rows.select("k", "g", "doc", "t", "starts").join(found, ["k", "g"])
+    gone = F.filter(F.arrays_zip("at", "least"), lambda x: x["least"] < F.col("doc"))
+    back = back.select("doc", "t", "starts", F.transform(gone, lambda x: x["at"].cast("long")).alias("gone")).where("size(gone) > 0")
+    return back.groupBy("doc").agg(F.collect_list(F.struct("t", "starts", "gone")).alias("spans"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -257,8 +266,7 @@ def removals(docs: DataFrame) -> DataFrame:
     scratch.release()
     rows = scratch.save(snippets(docs, shared), "snippets")
     scratch.release()
-    spans = shard_spans(rows.where("not common")).unionByName(window_spans(rows.where("common")))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("t", "start", "stop")).alias("spans"))
+    spans = spans_of(rows)
     same = shared.where("size(same) > 0").select("doc", "same")
     plan = scratch.save(same.join(spans, "doc", "full_outer"), "plan")
     scratch.drop("snippets")
@@ -268,35 +276,40 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def removed_words(b: pa.RecordBatch, text: str):
-    """(row, bytes of the text, mask of removed words or None, word starts) of each row of a batch with _t, _same, _spans."""
-    same, spans, hashes = b.column("_same"), b.column("_spans"), b.column("_t").to_pylist()
-    for lo, hi, data, at in C.chunks(b.column(text)):
+    """(bytes of the text, its words, mask of removed words or None) of each row of a batch with _t, _same, _spans."""
+    column, same, spans, hashes = b.column(text), b.column("_same"), b.column("_spans"), b.column("_t").to_pylist()
+    with_same = np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))
+    covered: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for lo, hi, data, at in C.chunks(column.take(pa.array(with_same))):
         row, key, _, start, size = anchors(data, at)
         edge = np.searchsorted(row, np.arange(hi - lo + 1))
-        begin, _, bounds = C.words(data, at)
-        raw = data.tobytes()
         for i in range(hi - lo):
-            n, a, z = int(bounds[i + 1] - bounds[i]), edge[i], edge[i + 1]
-            mask = None
-            if same[lo + i].is_valid or spans[lo + i].is_valid:
-                cover = np.zeros(n + 1, np.int64)
-                if same[lo + i].is_valid:
-                    gone = np.isin(key[a:z], same[lo + i].values.to_numpy())
-                    np.add.at(cover, start[a:z][gone], 1)
-                    np.add.at(cover, (start + size)[a:z][gone], -1)
-                for s in spans[lo + i].as_py() or []:
-                    if s["t"] == hashes[lo + i]:
-                        cover[s["start"]] += 1
-                        cover[s["stop"]] -= 1
+            j, a, z = int(with_same[lo + i]), edge[i], edge[i + 1]
+            gone = np.isin(key[a:z], same[j].values.to_numpy())
+            covered[j] = (start[a:z][gone], (start + size)[a:z][gone])
+    for lo, hi, data, at in C.chunks(column):
+        raw = data.tobytes()
+        for j, s, e in zip(range(lo, hi), at[:-1].tolist(), at[1:].tolist()):
+            words, mask = raw[s:e].split(), None
+            if j in covered or spans[j].is_valid:
+                cover = np.zeros(len(words) + 1, np.int64)
+                if j in covered:
+                    np.add.at(cover, covered[j][0], 1)
+                    np.add.at(cover, covered[j][1], -1)
+                for x in spans[j].as_py() or []:
+                    if x["t"] == hashes[j]:
+                        begin = np.add.outer(x["starts"], x["gone"]).reshape(-1)
+                        np.add.at(cover, begin, 1)
+                        np.add.at(cover, begin + WINDOW, -1)
                 mask = np.cumsum(cover[:-1]) > 0
                 mask = mask if mask.any() else None
-            yield lo + i, raw[at[i] : at[i + 1]], mask, begin[bounds[i] : bounds[i + 1]] - at[i]
+            yield raw[s:e], words, mask
 
 
 def joined(docs: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.select(F.col("doc").alias("_doc"), F.col("same").alias("_same"), F.col("spans").alias("_spans"))
     keyed = docs.withColumn("_t", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    return keyed.join(plan, F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
+    return keyed.join(plan.hint("merge"), F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -305,13 +318,10 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             counts, gone, shas = [], [], []
-            for _, text, mask, starts in removed_words(b, "text"):
-                words = text.split()
-                if mask is not None:
-                    words = compress(words, ~mask)
-                counts.append(len(starts))
+            for _, words, mask in removed_words(b, "text"):
+                counts.append(len(words))
                 gone.append(0 if mask is None else int(mask.sum()))
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                shas.append(hashlib.sha256(b" ".join(words if mask is None else compress(words, ~mask))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), removals(docs))
@@ -325,8 +335,9 @@ def remove(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = []
-            for _, text, mask, starts in removed_words(b, "text"):
+            for text, _, mask in removed_words(b, "text"):
                 if mask is not None:
+                    starts, _, _ = C.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
                     edges = np.append(starts, len(text))
                     keep = np.concatenate(([True], ~mask))
                     pieces = np.concatenate(([0], edges))
