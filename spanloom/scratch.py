@@ -18,3 +18,8 @@ class Scratch:
         self.n += 1
         df.write.parquet(f"{self.root}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+    def drop(self, n: int) -> None:
+        """Remove the n-th table, which nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
