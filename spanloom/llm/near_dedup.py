@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
-from spanloom.llm.graph import components
+from spanloom.operators.graph import components
 
 ROWS, MISS = 5, 1e-5
 SKETCH_BITS, SLACK = 512, 0.2
@@ -254,14 +254,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     counts = banded.groupBy("bucket").agg(F.count("*").alias("n_members")).where("n_members > 1")
     shared = banded.join(counts, "bucket")
     members = shared.join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    maybe = components(scratch.save(sketch_forests(members, threshold), "maybe"), scratch, "clusters")
+    maybe = components(sketch_forests(members, threshold))
     clusters = scratch.save(maybe.select("node", F.col("component").alias("cluster")), "nodes")
 
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n_members")), "cluster")
     # One join strategy at every size: how much moves then follows the input.
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(sized.hint("merge"), "node")
-    links = components(scratch.save(exact_forests(texts, size, percent), "links"), scratch, "components")
-    links = scratch.save(links, "found")
+    links = scratch.save(components(exact_forests(texts, size, percent)), "links")
 
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("_component"))
@@ -275,7 +274,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without all but the smallest id of each group; of rows with that id all stay."""
     gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def redact(docs: DataFrame, repo: str = "source", owner: str = "source", mark: s
     """The documents with every found span replaced by the mark; n_chars, where there is one, follows the text."""
     spans = judge(docs, repo, owner).where(F.size("all") > 0).groupBy("row_key").agg(F.first("all").alias("_all"))
     key = F.substring(F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256)), 1, 16)
-    joined = docs.withColumn("_key", key).join(spans.withColumnRenamed("row_key", "_key"), "_key", "left")
+    joined = docs.withColumn("_key", key).join(spans.withColumnRenamed("row_key", "_key").hint("merge"), "_key", "left")
     # Spans in order: the text between them is kept; of spans that overlap, what is beyond the last end.
     start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at"))
 
