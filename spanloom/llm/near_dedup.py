@@ -279,3 +279,28 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return groups(C.read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos
+  FROM (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
+runs AS (
+  SELECT doc_id, CASE WHEN n >= 3 THEN word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w
+    WHEN pos = 0 THEN concat_ws(' ', word, lead(word, 1) OVER w) END AS shingle
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+sets AS (SELECT DISTINCT doc_id, shingle FROM runs WHERE shingle IS NOT NULL),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM met JOIN sizes a ON u = a.doc_id JOIN sizes b ON v = b.doc_id WHERE 100 * met.n >= 85 * (a.n + b.n - met.n)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM sizes
+  UNION
+  SELECT reach.u, b.v FROM reach JOIN both_ways b ON reach.v = b.u),
+classes AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (doc_id)
+"""

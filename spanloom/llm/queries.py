@@ -17,5 +17,8 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10,
 }
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op3_url_filters": url_filters.ORACLE,
+    "op5_near_dedup": near_dedup.ORACLE,
+    "op7_secret_scans": secret_scans.ORACLE,
 }

@@ -154,3 +154,37 @@ def redact(docs: DataFrame, repo: str = "source", owner: str = "source", mark: s
 def op7(spark, sf_dir: str) -> DataFrame:
     out = judge(C.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("all").alias("spans"))
+
+
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+patterns(kind, place, pattern, least) AS (
+  VALUES ('assign', 0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0),
+         ('access', 1, 'AKIA[A-Z0-9]+', 20), ('hex', 2, '[0-9a-f]+', 24), ('owned', 3, '[A-Za-z0-9+/_=-]+', 20)),
+cut AS (
+  SELECT doc_id, source, kind, place, least, pattern, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS between
+  FROM texts, patterns),
+matches AS (
+  SELECT doc_id, source, kind, place, least, pattern, unnest(found) AS value, unnest(between[:len(found)]) AS before, unnest(range(len(found))) AS i FROM cut),
+placed AS (
+  SELECT *, CAST(sum(length(before) + length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM matches),
+spans AS (
+  SELECT doc_id, source, kind, place, value, stop - length(value) AS start, stop FROM placed
+  WHERE length(value) >= least AND (kind <> 'assign' OR length(regexp_extract(value, pattern, 2)) >= 6)),
+base AS (SELECT * FROM spans WHERE kind <> 'owned'),
+random AS (
+  SELECT * FROM spans s WHERE kind = 'owned' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)),
+letters AS (
+  SELECT value, letter, count(*) AS n FROM (SELECT value, unnest(string_split(value, '')) AS letter FROM (SELECT DISTINCT value FROM random)) GROUP BY ALL),
+mixed AS (SELECT value FROM letters GROUP BY value HAVING -sum(n / length(value) * log2(n / length(value))) >= 3.5),
+live AS (SELECT value FROM random JOIN mixed USING (value) GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) = 1),
+every AS (SELECT doc_id, kind, place, start, stop FROM base UNION ALL SELECT doc_id, kind, place, start, stop FROM random JOIN live USING (value)),
+lines AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) FILTER (WHERE kind <> 'owned') AS base,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) AS spans
+  FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN lines USING (doc_id)
+"""

@@ -357,3 +357,22 @@ def remove(docs: DataFrame) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return digests(C.read(spark, sf_dir, "documents"))
+
+
+_REST = " || ' ' || ".join(f"lead(word, {k}) OVER w" for k in range(1, WINDOW))
+ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos
+  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
+windows AS (
+  SELECT doc_id, pos, word || ' ' || {rest} AS run FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+firsts AS (SELECT run, min(doc_id) AS least FROM windows WHERE run IS NOT NULL GROUP BY run),
+gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos
+  FROM (SELECT doc_id, pos, unnest(range(13)) AS k FROM windows JOIN firsts USING (run) WHERE least < doc_id)),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(g.at) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE g.at IS NULL) AS kept
+  FROM words LEFT JOIN (SELECT doc_id, pos, pos AS at FROM gone) AS g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+""".replace("{rest}", _REST)
