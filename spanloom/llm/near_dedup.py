@@ -4,10 +4,11 @@
    odd sketch (a bitmap of parities) and combines them into band keys.
 2. Texts with equal shingle sets are one class from here on, so exact copies never meet each other.
 3. Classes that share a band key are compared by sketch: the population count of the XOR of two sketches
-   estimates their similarity closely where it is high. Buckets are cut into blocks, and block meets block;
-   what leaves a task is a spanning forest of the pairs that may link, never all pairs.
-4. The components of those forests are candidate clusters. Each member's text comes once to its cluster (cut
-   into blocks in the same way) and similarities are computed on full shingle sets. Again only a spanning
+   estimates their similarity closely where it is high. Buckets are cut into blocks; a block is compared within
+   itself and with a few rows that all blocks get, and what is then still outside the largest component of its
+   bucket is compared with the whole bucket. What leaves a task is a spanning forest, never all pairs.
+4. The components of those forests are candidate clusters. The members' texts come to their cluster (compared
+   in blocks in the same way) and similarities are computed on full shingle sets. Again only a spanning
    forest of confirmed links leaves a task; its components are the result.
 
 A pair at the threshold shares no band with probability `MISS` at most, and sketches are given 0.2 of slack,
@@ -143,12 +144,53 @@ def features(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def in_blocks(members: DataFrame, key: str, node: str, block: int) -> DataFrame:
-    """members of (key, node, n_members), each row once for every pair of blocks (p <= q) of its group that it takes part in."""
+def first_cells(members: DataFrame, key: str, node: str, block: int) -> DataFrame:
+    """members of (key, node, n_members) with `cells`: every row lies in one block of its group, and about block / 8 rows of a large group lie in all."""
     blocks = F.ceil(F.col("n_members") / block).cast("int")
     own = F.pmod(F.xxhash64(node, key), blocks).cast("int")
-    met = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return met.withColumn("p", F.least("_own", "_other")).withColumn("q", F.greatest("_own", "_other")).drop("_own", "_other", "n_members")
+    everywhere = F.pmod(F.xxhash64(key, node, F.lit("everywhere")), F.col("n_members")) < block // 8
+    parts = F.when(everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    return members.withColumn("cells", F.transform(parts, lambda p: F.struct(p.alias("p"), F.lit(0).alias("q"))))
+
+
+def other_cells(members: DataFrame, found: DataFrame, key: str, node: str, block: int) -> DataFrame:
+    """The rows of large groups that are still to be compared, with `cells`: rows outside the largest component of
+    their group (found: node, component) meet all rows of it. What is inside that component is linked already."""
+    large = members.where(F.col("n_members") > block)
+    large = large.join(found.withColumnRenamed("node", node), node, "left").withColumn("_c", F.coalesce("component", node)).drop("component")
+    top = large.groupBy(key, "_c").agg(F.count("*").alias("_n")).groupBy(key).agg(F.max(F.struct("_n", "_c")).alias("_top"))
+    open_rows = large.join(top, key).withColumn("_others", F.col("n_members") - F.col("_top._n")).where("_others > 0")
+    rows, cols = (F.ceil(F.col(n) / block).cast("int") for n in ("_others", "n_members"))
+    row, col = F.pmod(F.xxhash64(node, key), rows).cast("int"), F.pmod(F.xxhash64(key, node), cols).cast("int")
+
+    def cell(p, q):
+        return F.struct(p.alias("p"), q.alias("q"))
+
+    # A row on both sides comes once to the cell where it would meet itself.
+    along = F.transform(F.sequence(F.lit(0), cols - 1), lambda q: cell(row, q))
+    across = F.transform(F.sequence(F.lit(0), rows - 1), lambda p: cell(p, col))
+    outside = F.col("_c") != F.col("_top._c")
+    cells = F.when(outside, F.concat(along, F.filter(across, lambda c: c["p"] != row))).otherwise(across)
+    return open_rows.select(*members.columns, cells.alias("cells"))
+
+
+def in_cells(rows: DataFrame, key: str, node: str) -> DataFrame:
+    """Each row in all its cells, cells whole and sorted in one task."""
+    spread = rows.withColumn("_c", F.explode("cells")).select(*[c for c in rows.columns if c not in ("cells", "n_members")], "_c.p", "_c.q")
+    return spread.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", node)
+
+
+def linked_components(members: DataFrame, key: str, node: str, block: int, links, scratch: C.Scratch, name: str) -> DataFrame:
+    """node and component over the links inside groups; members: key, node, n_members; links: a function from rows with cells to edges.
+
+    Blocks of a group are compared within themselves and with a few rows that all blocks get; what this leaves
+    apart is compared with the whole group. A group of N copies of one text is linked by the first step, so it
+    costs about N rows, not N * N / block; no pair of different components is left out.
+    """
+    once = components(links(first_cells(members, key, node, block)))
+    once = scratch.save(once, f"{name}_once")
+    rest = links(other_cells(members, once, key, node, block))
+    return components(once.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
 
 
 def _edges(u, v) -> pa.RecordBatch:
@@ -156,7 +198,7 @@ def _edges(u, v) -> pa.RecordBatch:
 
 
 def sketch_forests(members: DataFrame, threshold: float) -> DataFrame:
-    """Edges (u, v) between classes of one bucket that may link; members: bucket, rep, n_shingles, sketch, n_members."""
+    """Edges (u, v) between classes of one cell that may link; members: bucket, rep, n_shingles, sketch, cells."""
     samples = bands_for(threshold) * ROWS
 
     def run(batches):
@@ -190,8 +232,7 @@ def sketch_forests(members: DataFrame, threshold: float) -> DataFrame:
                     tree = np.array(forest(matrix), np.int64).reshape(-1, 2) + f
                     yield _edges(reps[tree[:, 0]], reps[tree[:, 1]])
 
-    placed = in_blocks(members, "bucket", "rep", SKETCH_BLOCK).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "rep")
-    return placed.mapInArrow(run, "u long, v long").distinct()
+    return in_cells(members, "bucket", "rep").mapInArrow(run, "u long, v long").distinct()
 
 
 def exact_links(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
@@ -217,7 +258,7 @@ def exact_links(values: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndar
 
 
 def exact_forests(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (u, v), a spanning forest for each pair of blocks; members: cluster, node, text, n_members."""
+    """Confirmed links (u, v), a spanning forest for each cell; members: cluster, node, text, cells."""
 
     def run(batches):
         for table, starts in C.groups_of(batches, ["cluster", "p", "q"]):
@@ -237,8 +278,7 @@ def exact_forests(members: DataFrame, size: int, percent: int) -> DataFrame:
                 v += [nodes[s + b] for _, b in tree]
             yield _edges(u, v)
 
-    placed = in_blocks(members, "cluster", "node", TEXT_BLOCK).repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node")
-    return placed.mapInArrow(run, "u long, v long").distinct()
+    return in_cells(members, "cluster", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -252,15 +292,16 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
     counts = banded.groupBy("bucket").agg(F.count("*").alias("n_members")).where("n_members > 1")
-    shared = banded.join(counts, "bucket")
-    members = shared.join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    maybe = components(sketch_forests(members, threshold))
+    members = scratch.save(banded.join(counts, "bucket"), "members")
+    sketches = classes.select("rep", "n_shingles", "sketch")
+    maybe = linked_components(members, "bucket", "rep", SKETCH_BLOCK, lambda rows: sketch_forests(rows.join(sketches, "rep"), threshold), scratch, "maybe")
     clusters = scratch.save(maybe.select("node", F.col("component").alias("cluster")), "nodes")
 
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n_members")), "cluster")
     # One join strategy at every size: how much moves then follows the input.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(sized.hint("merge"), "node")
-    links = scratch.save(components(exact_forests(texts, size, percent)), "links")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    links = linked_components(sized, "cluster", "node", TEXT_BLOCK, lambda rows: exact_forests(texts.join(rows.hint("merge"), "node"), size, percent), scratch, "links")
+    links = scratch.save(links, "links")
 
     by_class = classes.select("d1", "d2", "n_shingles", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("_component"))

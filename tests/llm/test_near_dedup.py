@@ -80,3 +80,24 @@ def test_forest_joins_what_is_linked():
     tree = N.forest(linked)
     assert len(tree) == 3 and {frozenset(e) for e in tree} <= {frozenset(e) for e in ((0, 1), (1, 2), (0, 2), (4, 5))}
 
+
+
+def test_cells_meet_what_is_apart_and_no_more(spark):
+    n, block = 200, 16
+    members = spark.createDataFrame([(1, i, n) for i in range(n)], "k long, node long, n_members long")
+
+    def cells(df):
+        out = {}
+        for r in df.select("node", "cells").collect():
+            assert len(set(r.cells)) == len(r.cells)
+            for c in r.cells:
+                out.setdefault((c.p, c.q), set()).add(r.node)
+        return out
+
+    first = cells(N.first_cells(members, "k", "node", block))
+    assert set().union(*first.values()) == set(range(n)) and sum(map(len, first.values())) < n * 3
+    linked = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    assert cells(N.other_cells(members, linked, "k", "node", block)) == {}
+    rest = cells(N.other_cells(members, linked.where("node < 150"), "k", "node", block))
+    met = {frozenset(x) for c in rest.values() for x in combinations(c, 2)}
+    assert all(frozenset((a, b)) in met for a in range(150, n) for b in range(n) if a != b)
