@@ -95,49 +95,58 @@ def vote(runs: DataFrame, least_iou: float = 0.6, least_votes: int = 2) -> DataF
     return spans.select("media_id", "leader_id", "in_ms", "out_ms", "votes", "mean_score", rank.alias("rank"))
 
 
-def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_similar: float = 0.5) -> DataFrame:
+def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_similar: float = 0.5, deal: int = 16) -> DataFrame:
     """rows (media_id, candidate_id, in_ms, out_ms, score, words array) with selected and reason.
 
     In order of (-score, candidate_id) a row is taken unless the quota is full (checked first), it overlaps a
     taken one, lies closer than separation_ms to one, or shares more than most_similar of its words with one.
+
+    Round n takes the first open row of every key and closes what conflicts with it, so whole word sets are
+    compared at most `quota` times a row, never row by row. A key is dealt over `deal` tasks; its words are
+    shuffled once and held between the rounds, which write ids and the taken rows only.
     """
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "diverse")
     place = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("score"), "candidate_id"))
-    placed = Scratch(rows.sparkSession, "diverse").save(rows.withColumn("place", place))
-    over = I.overlaps("x_in_ms", "x_out_ms", "y_in_ms", "y_out_ms")
-    gap = F.greatest(F.col("y_in_ms") - F.col("x_out_ms"), F.col("x_in_ms") - F.col("y_out_ms"))
-    small = placed.select("media_id", "candidate_id", "in_ms", "out_ms", "place")
-    near = ordered_conflicts(small, "media_id", "candidate_id", "place", over | (gap < separation_ms), reach_ms=separation_ms)
-    kind_of = ordered_conflicts(small, "media_id", "candidate_id", "place", over).withColumn("kind", F.lit(1)).unionByName(near.withColumn("kind", F.lit(2)))
-    alike = similar_pairs(placed, most_similar).withColumn("kind", F.lit(3))
-    edges = Scratch(rows.sparkSession, "diverse").save(kind_of.unionByName(alike).groupBy("lo", "hi").agg(F.min("kind").alias("kind")))
-    lost = rejected_by_order(edges).withColumnRenamed("hi", "candidate_id")
-    taken = placed.join(lost, "candidate_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("place"))
-    taken = taken.withColumn("nth", nth).select("candidate_id", "media_id", "place", "nth")
-    full = taken.where(F.col("nth") == quota).select("media_id", F.col("place").alias("full_at"))
-    cause = edges.join(taken.where(F.col("nth") <= quota).select(F.col("candidate_id").alias("lo"), F.col("place").alias("lo_place")), "lo").groupBy("hi").agg(F.min("kind").alias("kind")).withColumnRenamed("hi", "candidate_id")
-    out = placed.join(full, "media_id", "left").join(cause, "candidate_id", "left").join(taken.select("candidate_id", "nth"), "candidate_id", "left")
+    placed = scratch.save(rows.drop("words").withColumn("place", place))
+    salt = F.pmod(F.xxhash64("candidate_id"), F.lit(deal)).alias("salt")
+    salted = rows.select("media_id", "candidate_id", "in_ms", "out_ms", F.array_distinct("words").alias("words"), salt)
+    held = salted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id", "salt").persist()
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("salt")
+    over = I.overlaps("x_in_ms", "x_out_ms", "in_ms", "out_ms")
+    gap = F.greatest(F.col("in_ms") - F.col("x_out_ms"), F.col("x_in_ms") - F.col("out_ms"))
+    conflict = over | (gap < separation_ms) | F.coalesce(similarity("x_words", "words") > most_similar, F.lit(False))
+    still, taken = placed.select("media_id", "candidate_id", "place"), None
+    for nth in range(1, quota + 1):
+        first = still.groupBy("media_id").agg(F.min(F.struct("place", "candidate_id")).alias("x")).select("media_id", F.col("x.place").alias("x_place"), F.col("x.candidate_id").alias("candidate_id"))
+        first = first.select("media_id", "x_place", F.col("candidate_id").alias("lo"), salt)
+        # An equality would become a key of the join, for which all words were shuffled again.
+        found = held.join(first, ["media_id", "salt"]).where(F.array_contains(F.array("lo"), F.col("candidate_id")))
+        picks = scratch.save(found.select("media_id", "lo", F.col("in_ms").alias("x_in_ms"), F.col("out_ms").alias("x_out_ms"), "x_place", F.col("words").alias("x_words"), F.lit(nth).alias("nth")))
+        taken = picks.drop("x_words") if taken is None else taken.unionByName(picks.drop("x_words"))
+        if nth == quota or picks.isEmpty():
+            break
+        apart = held.join(picks.select("*", every), ["media_id", "salt"]).where(~conflict).select("candidate_id", "x_place")
+        still = scratch.save(still.join(apart, "candidate_id").where("place > x_place").select("media_id", "candidate_id", "place"))
+    held.unpersist()
+    if taken is None:
+        return placed.withColumn("reason", F.lit("quota")).withColumn("selected", F.lit(False))
+    full = taken.where(F.col("nth") == quota).select("media_id", F.col("x_place").alias("full_at"))
+    reach = taken.select("media_id", "x_in_ms", "x_out_ms", "x_place", (F.col("x_in_ms") - separation_ms).alias("_x0"), (F.col("x_out_ms") + separation_ms).alias("_x1"))
+    near = overlap_join(reach, placed.select("media_id", "candidate_id", "in_ms", "out_ms", "place"), "media_id", ("_x0", "_x1"), ("in_ms", "out_ms")).where("x_place < place").where(over | (gap < separation_ms))
+    cause = near.groupBy("candidate_id").agg(F.min(F.when(over, 1).otherwise(2)).alias("kind"))
+    out = placed.join(full, "media_id", "left").join(cause, "candidate_id", "left").join(taken.select(F.col("lo").alias("candidate_id"), "nth"), "candidate_id", "left")
     beyond = F.coalesce(F.col("place") > F.col("full_at"), F.lit(False))
-    reason = F.when(beyond, "quota").when(F.col("nth").isNotNull(), F.lit(None)).when(F.col("kind") == 1, "overlap").when(F.col("kind") == 2, "separation").otherwise("similar")
-    return out.withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("full_at", "kind", "nth", "words")
+    # A row without media_id is in no recording and conflicts with none; a row left out for no other cause is similar.
+    free = F.col("nth").isNotNull() | F.col("media_id").isNull()
+    reason = F.when(beyond, "quota").when(free, F.lit(None)).when(F.col("kind") == 1, "overlap").when(F.col("kind") == 2, "separation").otherwise("similar")
+    return out.withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("full_at", "kind", "nth")
 
 
-def similar_pairs(rows: DataFrame, most: float) -> DataFrame:
-    """(lo, hi) of rows of one key whose word sets have a Jaccard similarity over `most`; candidates share a prefix word.
-
-    Words of a set are sorted by rarity. Two sets that are that similar must share one of each other's first
-    n - ceil(most * n) + 1 words, so only those are joined on.
-    """
-    w = rows.select("media_id", "candidate_id", "place", F.explode(F.array_distinct("words")).alias("w"))
-    freq = w.groupBy("media_id", "w").agg(F.count("*").alias("f"))
-    sets = w.join(freq, ["media_id", "w"]).groupBy("media_id", "candidate_id", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("ws"))
-    n = F.size("ws")
-    prefix = sets.withColumn("p", F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * most) + 1).cast("int"))))
-    x = prefix.select("media_id", "p", F.col("candidate_id").alias("lo"), F.col("place").alias("x_place"), F.col("ws").alias("x_ws"))
-    y = prefix.select("media_id", "p", F.col("candidate_id").alias("hi"), F.col("place").alias("y_place"), F.col("ws").alias("y_ws"))
-    both = F.size(F.array_intersect("x_ws", "y_ws"))
-    alike = both / (F.size("x_ws") + F.size("y_ws") - both) > most
-    return x.join(y, ["media_id", "p"]).where("x_place < y_place").where(alike).select("lo", "hi").distinct()
+def similarity(a: str, b: str):
+    """Jaccard similarity of two arrays of distinct words; null if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
 
 
 def lowest_quarter(rows: DataFrame, key: list[str], score: str, position: str) -> DataFrame:

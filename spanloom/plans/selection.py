@@ -59,8 +59,8 @@ def vote(spark, d):
 
 
 def _with_words(spark, d):
-    """Every span with the words of the document whose id is its own."""
-    ws = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), 1, 60)
+    """Every span with all the words of the document whose id is its own."""
+    ws = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
     docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), ws.alias("words"))
     own = T.spans(spark, d).select(F.col("event_id").alias("candidate_id"), "media_id", "in_ms", "out_ms", F.col("value").alias("score"))
     return own.join(docs, "candidate_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
