@@ -2,7 +2,10 @@
 
 import datetime
 
-from spanloom.plans.all import QUERIES
+import duckdb
+import pytest
+
+from spanloom.plans.all import ORACLES, QUERIES
 
 
 def test_similar_texts_are_judged_by_all_their_words(spark, tmp_path):
@@ -19,3 +22,34 @@ def test_similar_texts_are_judged_by_all_their_words(spark, tmp_path):
     got = {r.candidate_id: r.reason for r in QUERIES["q6_19_plan_episode"](spark, str(tmp_path)).collect()}
     assert got == {0: None, 1: None, 2: "similar"}
     assert {r.candidate_id for r in QUERIES["q6_20_select_episode"](spark, str(tmp_path)).collect()} == {0, 1}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+RATES = {
+    "q8_5_edit_distance": lambda a, b: edits(a, b),
+    "q8_7_cer": lambda a, b: round(edits(a, b) / len(a), 9),
+    "q8_8_normalized_cer": lambda a, b: round(edits(a.strip(), b.strip()) / len(a.strip()), 9),
+    "q8_9_spacing_free_cer": lambda a, b: round(edits("".join(a.split()), "".join(b.split())) / len("".join(a.split())), 9),
+    "q8_18_materially_disagree": lambda a, b: edits(a, b) / len(a) >= 0.15,
+}
+
+
+@pytest.mark.parametrize("name", RATES)
+def test_error_rates_cover_rows_beyond_ascii(spark, tmp_path, name):
+    texts = ["the month on loan", " thé móvil con théâtre ", "on on ünon", "straße thon 😀 on", "on دەنگ th", "plain"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {k: RATES[name](t, t.replace("th", "t").replace("on", "om")) for k, t in rows}
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    plain = dict(con.execute(ORACLES[name]).fetchall())
+    assert plain == {k: got[k] for k, t in rows if t.isascii()}
