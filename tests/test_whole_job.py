@@ -1,6 +1,9 @@
 """Registered queries do the whole job: small tables on which a prefix or a filter of rows would change the result."""
 
 import datetime
+import math
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -53,3 +56,42 @@ def test_error_rates_cover_rows_beyond_ascii(spark, tmp_path, name):
     con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
     plain = dict(con.execute(ORACLES[name]).fetchall())
     assert plain == {k: got[k] for k, t in rows if t.isascii()}
+
+
+def bm25(docs, asked):
+    """(query, document) to score, term by term; docs and asked: id to a list of terms."""
+    tf = {k: Counter(ts) for k, ts in docs.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    mean = sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for q, terms in asked.items():
+        for k, c in tf.items():
+            parts = [n * math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(docs[k]) / mean)) for t, n in Counter(terms).items() if t in c]
+            if parts:
+                out[q, k] = sum(parts)
+    return out
+
+
+def test_the_whole_benchmark_text_is_the_query(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(1, 6))) for _ in range(120)]
+    docs = {k: rng.choices(words, k=rng.randint(5, 40)) for k in range(30)}
+    asked = {k: [f"zz{k}{i}" for i in range(5)] + rng.choices(words, k=20) for k in range(4)}  # no document has the first five words
+    spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in asked.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    by_word = bm25(docs, asked)
+    got = {(r.query_id, r.doc_id): r.score for r in QUERIES["q6_4_field_score"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(by_word, abs=1e-6)
+
+    def grams(ws):
+        return [p[i : i + 3] for w in ws for p in ["\x02" + w + "\x03"] for i in range(max(1, len(p) - 2))]
+
+    by_gram = bm25({k: grams(w) for k, w in docs.items()}, {k: grams(w) for k, w in asked.items()})
+    want = {}
+    for q in asked:
+        score = {k: by_word.get((q, k), 0.0) + 0.5 * by_gram.get((q, k), 0.0) for k in docs if (q, k) in by_word or (q, k) in by_gram}
+        for rank, k in enumerate(sorted(score, key=lambda k: (-round(score[k], 9), k))[:10], 1):
+            want[q, rank] = (k, score[k])
+    found = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in QUERIES["q6_5_bm25_search"](spark, str(tmp_path)).collect()}
+    assert {x: v[0] for x, v in found.items()} == {x: v[0] for x, v in want.items()}
+    assert {x: v[1] for x, v in found.items()} == pytest.approx({x: v[1] for x, v in want.items()}, abs=1e-6)
