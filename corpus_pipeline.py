@@ -1,11 +1,18 @@
-"""From raw documents to packed training sequences: five stages, each written and read again by the next."""
-
+"""From raw documents to packed training sequences: five stages, each written and read again by the next.
+
+Defined cases, for every stage: a null or empty text has no words, is rejected by the quality rules and so never
+reaches the later stages of run(); called on their own, these keep it as it is (packing: a piece of one token).
+Rows with a null id are kept, are linked with nothing and lose words to any other document; rows with one id
+count as one document among near duplicates and are else judged row by row. Empty tables give empty tables, and
+further columns of any name are carried along to the last stage.
+""" 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import near_dedup, packing, quality_rules, secret_scans, substring_dedup
-from spanloom.llm.common import Scratch, read
+from spanloom.llm.common import read
+from spanloom.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch, last = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), ()
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        scratch.release()
+        table = name.replace(" ", "_")
+        docs = scratch.save(stage(spark, docs, sf_dir), table)
+        scratch.drop(*last)
+        last = (table,)
     return STAGES[-1][1](spark, docs, sf_dir)
