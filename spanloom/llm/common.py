@@ -7,9 +7,6 @@ of whole Arrow batches, so no Python string is made on the hot path. Batches are
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,33 +150,3 @@ def groups_of(batches, keys: list[str]):
     if rest is not None:
         table = pa.Table.from_batches(rest).combine_chunks()
         yield table, np.array([0, table.num_rows])
-
-
-class Scratch:
-    """Tables written to the shared folder that the session names in spark.checkpoint.dir.
-
-    A written table cuts lineage: a lost executor costs the tasks it ran, not the steps before. Where the
-    setting is unset (tests on one machine) a temporary folder is used.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="spanloom-")
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def release(self) -> None:
-        """Ask for the shuffle files of steps that nothing refers to any more; they count as disk until then."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        """For a table that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(conf).delete(path, True)

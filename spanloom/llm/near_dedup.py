@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
 from spanloom.operators.graph import components
+from spanloom.scratch import Scratch
 
 ROWS, MISS = 5, 1e-5
 SKETCH_BITS, SLACK = 512, 0.2
@@ -180,7 +181,7 @@ def in_cells(rows: DataFrame, key: str, node: str) -> DataFrame:
     return spread.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", node)
 
 
-def linked_components(members: DataFrame, key: str, node: str, block: int, links, scratch: C.Scratch, name: str) -> DataFrame:
+def linked_components(members: DataFrame, key: str, node: str, block: int, links, scratch: Scratch, name: str) -> DataFrame:
     """node and component over the links inside groups; members: key, node, n_members; links: a function from rows with cells to edges.
 
     Blocks of a group are compared within themselves and with a few rows that all blocks get; what this leaves
@@ -189,7 +190,10 @@ def linked_components(members: DataFrame, key: str, node: str, block: int, links
     """
     once = components(links(first_cells(members, key, node, block)))
     once = scratch.save(once, f"{name}_once")
-    rest = links(other_cells(members, once, key, node, block))
+    others = scratch.save(other_cells(members, once, key, node, block), f"{name}_others")
+    if others.isEmpty():
+        return once
+    rest = links(others)
     return components(once.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
 
 
@@ -284,7 +288,7 @@ def exact_forests(members: DataFrame, size: int, percent: int) -> DataFrame:
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: links have 100 * intersection >= percent * union."""
     spark, threshold = docs.sparkSession, percent / 100
-    scratch = C.Scratch(spark, "near_dedup")
+    scratch = Scratch(spark, "near_dedup")
     feats = scratch.save(features(docs, size, threshold), "features")
     named = feats.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

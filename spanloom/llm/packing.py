@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
+from spanloom.scratch import Scratch
 
 WINDOW, END_ID = 4096, 2
 #: Most words in a worker's cache; most ids of cut documents that are broadcast (above that they are joined by shuffle).
@@ -211,7 +212,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = C.Scratch(spark, "packing").save(first_pieces(docs, vocabulary, window), "pieces")
+    pieces = Scratch(spark, "packing").save(first_pieces(docs, vocabulary, window), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.where(F.col("length") < window).groupBy("length").count().collect()}
     slots, sequences, cuts = plan(counts, window)
     names = "length long, lo long, hi long, cut_start long, cut_length long, first long, items long, sequence long, at long"

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
+from spanloom.scratch import Scratch
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -187,7 +188,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees
 
 def judge(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row for each document: STATS, base_failed, score, kept. One pass over the texts, whose statistics are written and read again."""
-    stats = C.Scratch(docs.sparkSession, "quality_rules").save(measure(docs), "stats")
+    stats = Scratch(docs.sparkSession, "quality_rules").save(measure(docs), "stats")
     model = fit(stats, labels, fit_rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
@@ -206,7 +207,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The verdict rides along in the pass that computes it: a row is judged by its own text, so repeated ids need no join.
     """
-    model = fit(C.Scratch(docs.sparkSession, "quality_rules").save(measure(docs), "stats"), labels)
+    model = fit(Scratch(docs.sparkSession, "quality_rules").save(measure(docs), "stats"), labels)
 
     def flag(batches):
         for b in batches:

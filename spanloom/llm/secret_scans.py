@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
+from spanloom.scratch import Scratch
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns, with the least length of group 2, of the match, and of the match.
@@ -111,7 +112,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, repo: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
     """One row for each document: counts, base spans, and `all`: base spans and owned candidates, by start and kind."""
-    scanned = C.Scratch(docs.sparkSession, "secret_scans").save(scan(docs, repo, owner), "scanned")
+    scanned = Scratch(docs.sparkSession, "secret_scans").save(scan(docs, repo, owner), "scanned")
     found = scanned.where(F.size("found") > 0).select("doc_id", "row_key", "repo", "owner", F.explode("found").alias("f"))
     found = found.select("doc_id", "row_key", "repo", "owner", F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.hash").alias("hash"))
     owned = ownership(found).where(F.col("n_owners") <= most_owners)

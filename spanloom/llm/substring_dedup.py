@@ -1,27 +1,32 @@
 """Substring deduplication with suffix automata of reference shards.
 
 A word of a document goes if it lies in a run of WINDOW words that also begins in a document with a smaller id.
-No automaton of a whole corpus fits a task, so each document is sent only to the shards that can hold its runs:
+No automaton of a whole corpus fits a task, so the automata are not broadcast: each passage is sent only to the
+shards that can hold its runs.
 
 1. Every window names an anchor, its 5-word gram of the least hash; windows with equal words have equal anchors.
-   Neighbouring windows with one anchor are one snippet (21 words at most). For each anchor key the corpus is
-   asked for the smallest id, whether all its snippets are equal, and how many there are. These are
-   pre-aggregated sums and minima; the join back is by key, and large keys may be split by Spark.
-2. Where all snippets of a key are equal, all but those of the smallest id go, and nothing else is to decide.
-3. The other keys are the reference shards: of each the distinct snippets, with the smallest id that has them
-   (pre-aggregated, so thousands of copies are one row). They make up a suffix automaton over words, whose
-   states know the smallest id that they occur in; each distinct snippet is streamed through it, and where the
-   matching statistic reaches WINDOW, the window's smallest id is kept.
-4. A shard with more than SHARD_SNIPPETS distinct snippets (a very common phrase in many contexts) is cut by
-   window: its windows are grouped by their words, pre-aggregated to the smallest id, and joined back.
-5. What was found for a snippet goes back to the documents that have it; windows whose smallest id is smaller
-   than the document's own make up the spans to remove.
-
-Windows are judged on the input, not on what is left. Texts decide inside the shards; a
-snippet is known by two independent 64-bit hashes (of its anchor and of all its words).
+   Neighbouring windows with one anchor are one snippet (21 words at most). For each anchor the corpus is asked
+   for the smallest and the largest id, and whether all its snippets are equal: pre-aggregated, and joined back
+   with the heavy anchors dealt over tasks.
+2. Where all snippets of an anchor are equal, its reference is the document with the smallest id. A document's
+   neighbouring snippets with one reference are one passage, which goes to that document's shard; the reference
+   sends its own passages, and they make up the shard's suffix automaton over words.
+3. The other anchors are shards of their own: of each the distinct snippets, with the smallest id that has them.
+4. Distinct passages are streamed through the automaton of their shard (thousands of copies are one). Each state
+   knows the smallest id it occurs in, so the matching statistics give the maximal spans of at least WINDOW
+   words, cut where that id changes.
+5. A shard with more than SHARD_SNIPPETS distinct snippets (a common phrase in many contexts) is split by longer
+   anchors, of 9 words and then of a whole window; a reference with many passages is copied to several tasks,
+   which share the passages. An automaton holds BLOCK words; a longer reference is met in overlapping blocks.
+6. Spans go back to the documents that have the passage; those whose id is smaller than the document's own go.
+
+Windows are judged on the input, not on what is left. The words themselves decide in the automata; passages are
+known by two independent 64-bit hashes (of the anchor or reference, and of all words).
 
 Defined cases: null and empty texts have no words and stay as they are; a row with a null id comes after all
-others and is never a reference; rows with equal ids do not remove each other's words.
+others and is never a reference; rows with equal ids do not remove each other's words, each is judged by its own
+text; a very long text is one row of a task, and its automaton is met in blocks; columns of any name are carried
+along, since the work is done beside a struct of the whole row.
 """
 
 from __future__ import annotations
@@ -31,14 +36,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
-
-WINDOW, ANCHOR = 13, 5
-SHARD_SNIPPETS = 2000
+from spanloom.operators.skew import spread_join
+from spanloom.scratch import Scratch
+
+WINDOW = 13
+#: Words of an anchor, at first and where a shard is split.
+ANCHOR, LONGER = 5, (9, WINDOW)
+#: Most distinct snippets of a shard before it is split; characters of passages for one task of a reference; words of an automaton.
+SHARD_SNIPPETS, SHARD_CHARS, BLOCK = 2000, 4_000_000, 50_000
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
 _R = 0x9E3779B97F4A7C15
@@ -58,7 +68,7 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _inverse
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, at: np.ndarray, words: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, snippet hash, first word in the row, words) of each snippet, in order."""
     starts, _, bounds = C.words(data, at)
     where = C.starts_in_rows(bounds, WINDOW)
@@ -66,10 +76,10 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty
     hashes = C.span_hashes(data, starts, C.WORD_KEYS)
-    gram = C.grams(hashes, ANCHOR)
-    n = len(gram) - (WINDOW - ANCHOR)
+    gram = C.grams(hashes, words)
+    n = len(gram) - (WINDOW - words)
     best, off = gram[:n].copy(), np.zeros(n, np.int8)
-    for k in range(1, WINDOW - ANCHOR + 1):
+    for k in range(1, WINDOW - words + 1):
         less = gram[k : k + n] < best
         np.copyto(best, gram[k : k + n], where=less)
         np.copyto(off, k, where=less)
@@ -87,65 +97,89 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
+    """doc, text, and t, a hash of the text that tells rows of one id (or of none) apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text", F.xxhash64("text").alias("t"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """k, g, doc of each snippet, once for each document."""
+    """k, g, doc, r of each snippet, once for each row; r is t where the id is null (so that such rows are not one group), else 0."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("doc").to_numpy()
+            ids, texts = b.column("doc").to_numpy(), b.column("t").to_numpy()
+            rest = np.where(ids == LAST_ID, texts, 0)
             for lo, hi, data, at in C.chunks(b.column("text")):
                 row, key, snippet, _, _ = anchors(data, at)
                 own = C.mix(key.view(np.uint64) + row.astype(np.uint64) * C.GRAM_KEYS[52]) + snippet.view(np.uint64)
                 _, once = np.unique(own, return_index=True)
                 row, key, snippet = row[once], key[once], snippet[once]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(snippet), pa.array(ids[lo:hi][row])], names=["k", "g", "doc"])
-
-    return with_key(docs).mapInArrow(run, "k long, g long, doc long")
-
-
-def shared_keys(docs: DataFrame) -> DataFrame:
-    """For each document that shares a key: doc, `same` (its keys whose snippets all equal an earlier one) and `check` (the other shared keys)."""
-    keys = occurrences(docs).groupBy("k").agg(F.min("doc").alias("least"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n")).where("n > 1")
-    keys = keys.select("k", "least", (F.col("g0") == F.col("g1")).alias("equal"))
-    hits = occurrences(docs).select("k", "doc").join(keys, "k").where("not equal or doc > least")
-    take = lambda which: F.collect_set(F.when(which, F.col("k")))
-    return hits.groupBy("doc").agg(take(F.col("equal")).alias("same"), take(~F.col("equal")).alias("check"))
-
-
-SNIPPETS = "k long, g long, doc long, t long, starts array<long>, snippet string"
-
-
-def snippets(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The snippets whose keys have to be checked, with their words and the places where the document has them; t
-    is a hash of the text, which tells rows of one id apart."""
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(snippet), pa.array(ids[lo:hi][row]), pa.array(rest[lo:hi][row])], names=["k", "g", "doc", "r"])
+
+    return with_key(docs).mapInArrow(run, "k long, g long, doc long, r long")
+
+
+def shared_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, r, keys: the anchors that a row shares with another id, each with its reference (null where its snippets differ)."""
+    found = occurrences(docs).groupBy("k").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"))
+    found = found.where("least < last").select("k", F.expr("case when g0 = g1 then least end as reference"), "n")
+    found = scratch.save(found, "anchors")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hits = spread_join(occurrences(docs).select("k", "doc", "r"), found, ["k"], "n", total)
+    return hits.groupBy("doc", "r").agg(F.collect_list(F.struct("k", "reference")).alias("keys"))
+
+
+PASSAGES = "ref int, k long, g long, doc long, t long, starts array<long>, passage string"
+
+
+def passages(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """What each row sends to which shard: ref 1 and k a reference's id, or ref 0 and k an anchor; the words, and where the row has them."""
+    names = [x.split()[0] for x in PASSAGES.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+
+    def of_row(raw: bytes, keys, key, snippet, start, size):
+        """(ref, k, g, words of the passage) and the places of each passage of one text."""
+        known, reference = keys.flatten()
+        known, reference = known.to_numpy(), reference.fill_null(LAST_ID).to_numpy()
+        order = np.argsort(known, kind="stable")
+        known, reference = known[order], reference[order]
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        shared = known[place] == key
+        owner = np.where(shared, reference[place], LAST_ID)
+        words, places = raw.split(), {}
+        single = np.flatnonzero(shared & (owner == LAST_ID))
+        for k, g, s, n in zip(key[single].tolist(), snippet[single].tolist(), start[single].tolist(), size[single].tolist()):
+            places.setdefault((0, k, g, n), []).append(s)
+        joined = owner != LAST_ID
+        first = joined.copy()
+        first[1:] &= ~joined[:-1] | (owner[1:] != owner[:-1])
+        last = joined.copy()
+        last[:-1] &= ~joined[1:] | (owner[1:] != owner[:-1])
+        i, j = np.flatnonzero(first), np.flatnonzero(last)
+        for k, s, n in zip(owner[i].tolist(), start[i].tolist(), (start[j] + size[j] - start[i]).tolist()):
+            g = int.from_bytes(hashlib.blake2b(b" ".join(words[s : s + n]), digest_size=8).digest(), "little", signed=True)
+            places.setdefault((1, k, g, n), []).append(s)
+        return words, places
 
     def run(batches):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
         for b in batches:
-            ids, hashes, checks = b.column("doc").to_pylist(), b.column("t").to_pylist(), b.column("check")
+            ids, hashes, keys = b.column("doc").to_pylist(), b.column("t").to_pylist(), b.column("keys")
             for lo, hi, data, at in C.chunks(b.column("text")):
                 row, key, snippet, start, size = anchors(data, at)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                raw, cols = data.tobytes(), [[] for _ in range(6)]
+                raw, cols = data.tobytes(), [[] for _ in kinds]
                 for i in range(hi - lo):
                     a, z = edge[i], edge[i + 1]
-                    wanted = a + np.flatnonzero(np.isin(key[a:z], checks[lo + i].values.to_numpy()))
-                    if not len(wanted):
+                    if a == z or not len(keys[lo + i].values):
                         continue
-                    words, places = raw[at[i] : at[i + 1]].split(), {}
-                    for k, g, s, n in zip(key[wanted].tolist(), snippet[wanted].tolist(), start[wanted].tolist(), size[wanted].tolist()):
-                        places.setdefault((k, g, n), []).append(s)
-                    for (k, g, n), where in places.items():
+                    words, places = of_row(raw[at[i] : at[i + 1]], keys[lo + i].values, key[a:z], snippet[a:z], start[a:z], size[a:z])
+                    for (ref, k, g, n), where in places.items():
                         text = b" ".join(words[where[0] : where[0] + n]).decode()
-                        for col, x in zip(cols, (k, g, ids[lo + i], hashes[lo + i], where, text)):
+                        for col, x in zip(cols, (ref, k, g, ids[lo + i], hashes[lo + i], where, text)):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SNIPPETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    rows = with_key(docs).withColumn("t", F.xxhash64("text")).join(shared.where("size(check) > 0").select("doc", "check").hint("merge"), "doc")
-    return rows.select("doc", "t", "text", "check").mapInArrow(run, SNIPPETS)
+    keyed = with_key(docs).withColumn("r", F.when(F.col("doc") == LAST_ID, F.col("t")).otherwise(0))
+    return keyed.join(shared.hint("merge"), ["doc", "r"]).select("doc", "t", "text", "keys").mapInArrow(run, PASSAGES)
 
 
 class SuffixAutomaton:
@@ -213,103 +247,145 @@ class SuffixAutomaton:
         return out
 
 
-FOUND = "k long, g long, at array<int>, least array<long>"
-
+def cut(snippets: DataFrame, words: int) -> DataFrame:
+    """The rows of shards that are too large, cut by anchors of more words: at is where a piece begins in its passage."""
 
-def shard_windows(distinct: DataFrame) -> DataFrame:
-    """For the distinct snippets (k, g, doc, snippet) of small shards: where windows begin in them, and their smallest ids."""
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, at in C.chunks(b.column("passage")):
+                row, key, _, start, size = anchors(data, at, words)
+                raw = data.tobytes()
+                texts = [raw[s:e].split() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+                pieces = [b" ".join(texts[i][s : s + n]).decode() for i, s, n in zip(row.tolist(), start.tolist(), size.tolist())]
+                own, cols = pa.array(lo + row), {name: b.column(name) for name in b.schema.names}
+                cols = {name: c.take(own) for name, c in cols.items()}
+                cols |= {"shard": pa.array(key), "at": pa.array((cols["at"].to_numpy() + start).astype(np.int32)), "passage": pa.array(pieces, pa.string())}
+                yield pa.RecordBatch.from_arrays([cols[n] for n in b.schema.names], names=b.schema.names)
+
+    return snippets.mapInArrow(run, snippets.schema)
+
+
+def dealt(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """ref, shard, salt, k, g, copies, doc, at, passage and own: what each task of a shard builds its automaton from, and (own) streams through it."""
+    rows, out = distinct.select("ref", F.col("k").alias("shard"), "k", "g", "copies", "doc", F.lit(0).alias("at"), "passage"), None
+    for level, words in enumerate((*LONGER, None)):
+        loads = rows.groupBy("ref", "shard").agg(F.count("*").alias("n"), F.sum(F.length("passage")).alias("chars"))
+        loads = scratch.save(loads, f"loads{level}")
+        got = loads.agg(F.sum("n").alias("n"), F.max(F.when(F.col("ref") == 0, F.col("n"))).alias("most")).first()
+        placed = spread_join(rows, loads, ["ref", "shard"], "n", got["n"] or 0)
+        large = (F.col("ref") == 0) & (F.col("n") > SHARD_SNIPPETS)
+        split = words is not None and (got["most"] or 0) > SHARD_SNIPPETS
+        here = placed.where(~large) if split else placed
+        out = here if out is None else out.unionByName(here)
+        if not split:
+            break
+        rows = scratch.save(cut(placed.where(large).select(*rows.columns), words), f"cut{level}")
+    salts = F.when(F.col("ref") == 1, F.ceil(F.col("chars") / SHARD_CHARS)).otherwise(1).cast("int")
+    mine = F.pmod(F.xxhash64("g"), salts).cast("int")
+    builds = (F.col("ref") == 1) & (F.col("doc") == F.col("shard"))
+    out = out.withColumn("mine", mine).withColumn("salt", F.explode(F.when(builds, F.sequence(F.lit(0), salts - 1)).otherwise(F.array("mine"))))
+    return out.select("ref", "shard", "salt", "k", "g", "copies", "doc", "at", "passage", (F.col("salt") == F.col("mine")).alias("own"))
+
+
+def blocks(references: list[tuple[list[str], int]]):
+    """The references (words, id) in lots of at most BLOCK words; a longer one is cut with an overlap that keeps every snippet whole."""
+    lot, held, overlap = [], 0, 2 * WINDOW
+    for words, doc in references:
+        for s in range(0, max(1, len(words) - overlap), BLOCK):
+            part = words[s : s + BLOCK + overlap]
+            if lot and held + len(part) > BLOCK + overlap:
+                yield lot
+                lot, held = [], 0
+            lot.append((part, doc))
+            held += len(part)
+    if lot:
+        yield lot
+
+
+def spans_in(references: list[tuple[list[str], int]], streams: list[list[str]]) -> list[tuple[list[int], list[int], list[int]]]:
+    """For each stream the starts, ends and smallest ids of its maximal spans of WINDOW words or more that occur in a reference."""
+    least = [np.full(max(0, len(w) - WINDOW + 1), LAST_ID) for w in streams]
+    for lot in blocks(references):
+        automaton = SuffixAutomaton()
+        for words, doc in lot:
+            automaton.add(words, doc)
+        automaton.settle()
+        for words, best in zip(streams, least):
+            found = automaton.matches(words, WINDOW)
+            if found:
+                where, ids = np.array(found).T
+                best[where] = np.minimum(best[where], ids)
+    out = []
+    for best in least:
+        change = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1]))) if len(best) else np.zeros(0, np.int64)
+        ends = np.append(change[1:], len(best))
+        hit = best[change] < LAST_ID if len(best) else np.zeros(0, bool)
+        out.append((change[hit].tolist(), (ends[hit] - 1 + WINDOW).tolist(), best[change][hit].tolist()))
+    return out
+
+
+SPANS = "ref int, k long, g long, copies long, starts array<int>, ends array<int>, least array<long>"
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """For each passage streamed through its shard's automaton: its spans, and the smallest id that has each."""
+    names = [x.split()[0] for x in SPANS.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
 
     def run(batches):
-        for table, edges in C.groups_of(batches, ["k"]):
-            keys, hashes, docs, texts = (table.column(c).to_pylist() for c in ("k", "g", "doc", "snippet"))
-            at, least = [], []
+        for table, edges in C.groups_of(batches, ["ref", "shard", "salt"]):
+            cols = [[] for _ in kinds]
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                automaton, words = SuffixAutomaton(), [text.split(" ") for text in texts[s:e]]
-                for w, doc in zip(words, docs[s:e]):
-                    automaton.add(w, doc)
-                automaton.settle()
-                for w in words:
-                    found = automaton.matches(w, WINDOW)
-                    at.append([x for x, _ in found])
-                    least.append([x for _, x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], names=["k", "g", "at", "least"])
-
-    return distinct.repartition("k").sortWithinPartitions("k").mapInArrow(run, FOUND)
-
-
-def common_windows(distinct: DataFrame) -> DataFrame:
-    """The same for large shards: windows are grouped by their words."""
-    rows = distinct.select("k", "g", "doc", F.split("snippet", " ").alias("w"))
-    rows = rows.select("k", "g", "doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("at"))
-    rows = rows.select("k", "g", "doc", "at", F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").alias("window"))
-    least = rows.groupBy("window").agg(F.min("doc").alias("least"))
-    got = rows.select("k", "g", "at", "window").join(least, "window").groupBy("k", "g").agg(F.collect_list(F.struct("at", "least")).alias("f"))
-    return got.select("k", "g", F.col("f.at").alias("at"), F.col("f.least").alias("least"))
-
-
-def spans_of(rows: DataFrame) -> DataFrame:
-    """doc and its spans (t, places of a snippet, window starts in it that go) from the snippets of all documents."""
-    distinct = rows.groupBy("k", "g").agg(F.min("doc").alias("doc"), F.first("snippet").alias("snippet"))
-    distinct = C.Scratch(rows.sparkSession, "substring_dedup").save(distinct, "distinct")
-    large = distinct.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SNIPPETS).select("k")
-    found = shard_windows(distinct.join(large, "k", "left_anti")).unionByName(common_windows(distinct.join(large, "k", "left_semi")))
-    back = rows.select("k", "g", "doc", "t", "starts").join(found, ["k", "g"])
-    gone = F.filter(F.arrays_zip("at", "least"), lambda x: x["least"] < F.col("doc"))
-    back = back.select("doc", "t", "starts", F.transform(gone, lambda x: x["at"].cast("long")).alias("gone")).where("size(gone) > 0")
-    return back.groupBy("doc").agg(F.collect_list(F.struct("t", "starts", "gone")).alias("spans"))
+                part = table.slice(s, e - s).to_pylist()
+                words = [r["passage"].split(" ") for r in part]
+                references = [(w, r["doc"]) for w, r in zip(words, part) if r["ref"] == 0 or r["doc"] == r["shard"]]
+                asked = [(w, r) for w, r in zip(words, part) if r["own"]]
+                for (w, r), (first, last, least) in zip(asked, spans_in(references, [w for w, _ in asked])):
+                    at = r["at"]
+                    for col, x in zip(cols, (r["ref"], r["k"], r["g"], r["copies"], [x + at for x in first], [x + at for x in last], least)):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return rows.repartition("ref", "shard", "salt").sortWithinPartitions("ref", "shard", "salt").mapInArrow(run, SPANS).where("size(starts) > 0")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc, same (keys) and spans: what goes from each document, for those that lose words or may."""
-    scratch = C.Scratch(docs.sparkSession, "substring_dedup")
-    shared = scratch.save(shared_keys(docs), "shared")
-    scratch.release()
-    rows = scratch.save(snippets(docs, shared), "snippets")
-    scratch.release()
-    spans = spans_of(rows)
-    same = shared.where("size(same) > 0").select("doc", "same")
-    plan = scratch.save(same.join(spans, "doc", "full_outer"), "plan")
-    scratch.drop("snippets")
-    scratch.drop("shared")
-    scratch.release()
+    """doc, t and spans (places of a passage; starts and ends in it that go), for the rows that lose words."""
+    scratch = Scratch(docs.sparkSession, "substring_dedup")
+    shared = scratch.save(shared_keys(docs, scratch), "shared")
+    rows = scratch.save(passages(docs, shared), "passages")
+    distinct = rows.groupBy("ref", "k", "g").agg(F.min("doc").alias("doc"), F.first("passage").alias("passage"), F.count("*").alias("copies"))
+    distinct = scratch.save(distinct, "distinct")
+    spans = scratch.save(matched(dealt(distinct, scratch)), "spans")
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    back = spread_join(rows.select("ref", "k", "g", "doc", "t", F.col("starts").alias("places")), spans, ["ref", "k", "g"], "copies", total)
+    gone = F.filter(F.arrays_zip("starts", "ends", "least"), lambda x: x["least"] < F.col("doc"))
+    back = back.select("doc", "t", "places", gone.alias("gone")).where("size(gone) > 0")
+    back = back.select("doc", "t", F.struct("places", F.col("gone.starts").alias("starts"), F.col("gone.ends").alias("ends")).alias("span"))
+    plan = scratch.save(back.groupBy("doc", "t").agg(F.collect_list("span").alias("spans")), "plan")
+    scratch.drop("anchors", "shared", "passages", "distinct", "spans", *(f"{n}{level}" for n in ("loads", "cut") for level in range(len(LONGER) + 1)))
     return plan
 
 
-def removed_words(b: pa.RecordBatch, text: str):
-    """(bytes of the text, its words, mask of removed words or None) of each row of a batch with _t, _same, _spans."""
-    column, same, spans, hashes = b.column(text), b.column("_same"), b.column("_spans"), b.column("_t").to_pylist()
-    with_same = np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))
-    covered: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for lo, hi, data, at in C.chunks(column.take(pa.array(with_same))):
-        row, key, _, start, size = anchors(data, at)
-        edge = np.searchsorted(row, np.arange(hi - lo + 1))
-        for i in range(hi - lo):
-            j, a, z = int(with_same[lo + i]), edge[i], edge[i + 1]
-            gone = np.isin(key[a:z], same[j].values.to_numpy())
-            covered[j] = (start[a:z][gone], (start + size)[a:z][gone])
-    for lo, hi, data, at in C.chunks(column):
+def removed_words(texts: pa.Array, spans: pa.Array):
+    """(bytes of the text, its words, mask of removed words or None) of each row."""
+    for lo, hi, data, at in C.chunks(texts):
         raw = data.tobytes()
         for j, s, e in zip(range(lo, hi), at[:-1].tolist(), at[1:].tolist()):
             words, mask = raw[s:e].split(), None
-            if j in covered or spans[j].is_valid:
+            if spans[j].is_valid:
                 cover = np.zeros(len(words) + 1, np.int64)
-                if j in covered:
-                    np.add.at(cover, covered[j][0], 1)
-                    np.add.at(cover, covered[j][1], -1)
-                for x in spans[j].as_py() or []:
-                    if x["t"] == hashes[j]:
-                        begin = np.add.outer(x["starts"], x["gone"]).reshape(-1)
-                        np.add.at(cover, begin, 1)
-                        np.add.at(cover, begin + WINDOW, -1)
+                for x in spans[j].as_py():
+                    np.add.at(cover, np.add.outer(x["places"], x["starts"]).reshape(-1), 1)
+                    np.add.at(cover, np.add.outer(x["places"], x["ends"]).reshape(-1), -1)
                 mask = np.cumsum(cover[:-1]) > 0
-                mask = mask if mask.any() else None
             yield raw[s:e], words, mask
 
 
-def joined(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.select(F.col("doc").alias("_doc"), F.col("same").alias("_same"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_t", F.xxhash64("text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    return keyed.join(plan.hint("merge"), F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
+def with_spans(docs: DataFrame) -> DataFrame:
+    """row (all columns of a document) and spans (null where nothing goes)."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("t")
+    return docs.select(F.struct("*").alias("row"), *key).join(removals(docs).hint("merge"), ["doc", "t"], "left").select("row", "spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -318,41 +394,40 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             counts, gone, shas = [], [], []
-            for _, words, mask in removed_words(b, "text"):
+            for _, words, mask in removed_words(b.column("text"), b.column("spans")):
                 counts.append(len(words))
                 gone.append(0 if mask is None else int(mask.sum()))
                 shas.append(hashlib.sha256(b" ".join(words if mask is None else compress(words, ~mask))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), removals(docs))
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row.*", "spans")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def without(text: bytes, mask: np.ndarray) -> bytes:
+    """The text without the masked words and the white space after each."""
+    starts, _, _ = C.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    pieces = np.concatenate(([0], starts, [len(text)]))
+    keep = np.concatenate(([True], ~mask))
+    return b"".join(text[s:e] for s, e, k in zip(pieces[:-1].tolist(), pieces[1:].tolist(), keep.tolist()) if k)
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without their repeated words; the rest of each text stays as it was, and n_chars, where there is one, follows it."""
     names = docs.columns
 
     def run(batches):
         for b in batches:
-            texts = []
-            for text, _, mask in removed_words(b, "text"):
-                if mask is not None:
-                    starts, _, _ = C.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                    edges = np.append(starts, len(text))
-                    keep = np.concatenate(([True], ~mask))
-                    pieces = np.concatenate(([0], edges))
-                    text = b"".join(text[s:e] for s, e, k in zip(pieces[:-1].tolist(), pieces[1:].tolist(), keep.tolist()) if k)
-                texts.append(text.decode())
-            was = b.column("text")
-            new = pa.array([t if ok else None for t, ok in zip(texts, was.is_valid().to_pylist())], pa.string())
-            cols = {n: b.column(n) for n in names}
+            cols = dict(zip(names, b.column("row").flatten()))
+            was = cols["text"]
+            new = [text if mask is None else without(text, mask) for text, _, mask in removed_words(was, b.column("spans"))]
+            cols["text"] = pa.array([t.decode() if ok else None for t, ok in zip(new, was.is_valid().to_pylist())], pa.string())
             if "n_chars" in cols:
-                changed = pa.compute.fill_null(pa.compute.not_equal(new, was), False)
-                cols["n_chars"] = pa.compute.if_else(changed, pa.compute.utf8_length(new).cast(cols["n_chars"].type), cols["n_chars"])
-            cols["text"] = new
+                changed = pc.fill_null(pc.not_equal(cols["text"], was), False)
+                cols["n_chars"] = pc.if_else(changed, pc.utf8_length(cols["text"]).cast(cols["n_chars"].type), cols["n_chars"])
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return joined(docs, removals(docs)).mapInArrow(run, docs.schema)
+    return with_spans(docs).mapInArrow(run, docs.schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import substring_dedup as D
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,9 +49,12 @@ def documents():
 def test_removals_equal_brute_force(spark, monkeypatch):
     docs = documents()
     table = spark.createDataFrame([(i, t, 0, 5) for i, t in docs], "doc_id long, text string, spans int, n_chars int")
+    table = table.withColumns({"row": F.lit(1), "doc": F.lit("d"), "t": F.lit("t"), "_salt": F.lit(0), "text_": F.col("text")})
     want = sorted((str(i), n, gone, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, n, gone, kept in brute(docs))
-    for shard in (2000, 3):
+    for shard, chars, block in ((2000, 4_000_000, 50_000), (3, 100, 30)):
         monkeypatch.setattr(D, "SHARD_SNIPPETS", shard)
+        monkeypatch.setattr(D, "SHARD_CHARS", chars)
+        monkeypatch.setattr(D, "BLOCK", block)
         got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in D.digests(table).collect())
         assert got == want
     left = D.remove(table)
@@ -59,6 +64,7 @@ def test_removals_equal_brute_force(spark, monkeypatch):
     whole = {(i, t) for i, t in docs}
     assert all((r.doc_id, r.text) in whole and r.n_chars == 5 or r.n_chars == len(r.text) for r in rows)
     assert sum(r.text is None for r in rows) == 1
+    assert {(r.row, r.doc, r.t, r._salt) for r in rows} == {(1, "d", "t", 0)}
     assert D.digests(table.limit(0)).count() == 0
 
 
