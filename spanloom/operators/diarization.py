@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.spans import overlap_join
 
-MOST_SPEAKERS = 8
+
+def greatest_matching(value: np.ndarray) -> int:
+    """The greatest sum over one-to-one pairs of rows and columns, by shortest augmenting paths: exact for any number of speakers."""
+    n, far = max(value.shape), np.iinfo(np.int64).max // 4
+    cost = np.zeros((n, n), np.int64)
+    cost[: value.shape[0], : value.shape[1]] = value.max() - value
+    cost[value.shape[0] :], cost[:, value.shape[1] :] = value.max(), value.max()
+    row_price, col_price, taken_by = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+    for row in range(n):
+        reach, before, done = np.full(n, far), np.full(n, -1), np.zeros(n, bool)
+        at, came, base, settled_rows = row, -1, 0, []
+        while at >= 0:
+            settled_rows.append((at, base))
+            nearer = ~done & (base + cost[at] - row_price[at] - col_price < reach)
+            reach[nearer], before[nearer] = (base + cost[at] - row_price[at] - col_price)[nearer], came
+            came = int(np.where(done, far, reach).argmin())
+            base, done[came], at = int(reach[came]), True, int(taken_by[came])
+        for i, when in settled_rows:
+            row_price[i] += base - when
+        col_price[done] -= base - reach[done]
+        while came >= 0:
+            previous = int(before[came])
+            taken_by[came] = taken_by[previous] if previous >= 0 else row
+            came = previous
+    pairs = [(taken_by[c], c) for c in range(value.shape[1]) if taken_by[c] < value.shape[0]]
+    return int(sum(value[r, c] for r, c in pairs))
 
 
 def slices(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
@@ -32,7 +57,7 @@ def error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
 
     Confusion is what the best one-to-one mapping of speakers leaves of the time both sides speak: the least
     confusion is the greatest matched overlap. The matrix of overlaps of one recording (speakers by speakers)
-    is solved in its group; more than MOST_SPEAKERS on a side gives nulls rather than a guess.
+    is solved in its group, for any number of speakers.
     """
     rows = slices(reference, hypothesis).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
     r, h = F.size("ref"), F.size("hyp")
@@ -45,17 +70,8 @@ def error(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     matrix = rows.select("media_id", "ms", F.explode("ref").alias("a"), "hyp").select("media_id", "ms", "a", F.explode("hyp").alias("b")).groupBy("media_id", "a", "b").agg(F.sum("ms").alias("ms"))
 
     def best(pdf):
-        import pandas as pd
-
-        a, b = sorted(pdf["a"].unique()), sorted(pdf["b"].unique())
-        value = {(x, y): m for x, y, m in zip(pdf["a"], pdf["b"], pdf["ms"])}
-        if max(len(a), len(b)) > MOST_SPEAKERS:
-            matched = None
-        elif len(a) <= len(b):
-            matched = max(sum(value.get(p, 0) for p in zip(a, c)) for c in permutations(b, len(a)))
-        else:
-            matched = max(sum(value.get(p, 0) for p in zip(c, b)) for c in permutations(a, len(b)))
-        return pd.DataFrame({"media_id": [pdf["media_id"].iloc[0]], "matched_ms": pd.Series([matched], dtype="Int64")})
+        table = pdf.pivot(index="a", columns="b", values="ms").fillna(0).to_numpy(np.int64)
+        return pd.DataFrame({"media_id": pdf["media_id"].iloc[:1], "matched_ms": [greatest_matching(table)]})
 
     matched = matrix.groupBy("media_id").applyInPandas(best, "media_id long, matched_ms long")
     out = totals.join(matched, "media_id", "left").withColumn("confusion_ms", F.when(F.col("both_ms") == 0, 0).otherwise(F.col("both_ms") - F.col("matched_ms")))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators import sentences as S
 from spanloom.operators.spans import overlap_join
 
 
@@ -145,82 +147,137 @@ def follow_faces(frames: DataFrame, least_area: int = 0, most_step: int | None =
     return frames.select("media_id", "at_ms", "x", "width", "height").groupBy("media_id").applyInPandas(follow, "media_id long, at_ms long, x long, width long, height long")
 
 
-class SteadyCamera:
-    """Key frames of a camera that ignores small moves and follows one that lasts; feed points in order."""
-
-    def __init__(self, dead_zone: int, settle_ms: int, move_ms: int, cuts: list[int]) -> None:
-        self.dead_zone, self.settle_ms, self.move_ms, self.cuts = dead_zone, settle_ms, move_ms, sorted(cuts)
-        self.keys: list[tuple[int, int]] = []
-        self.away: list[tuple[int, int]] = []
-
-    def _cut_between(self, lo: int, hi: int, last: bool) -> int | None:
-        inside = [c for c in self.cuts if lo <= c <= hi]
-        return (inside[-1] if last else inside[0]) if inside else None
-
-    def _go(self, leave: int, arrive: int, x: int) -> None:
-        at, held = self.keys[-1]
-        if leave > at:
-            self.keys.append((leave, held))
-        self.keys.append((max(arrive, self.keys[-1][0] + 1), x))
-        self.away = []
-
-    def feed(self, at: int, x: int) -> None:
-        if not self.keys:
-            self.keys.append((at, x))
-            return
-        since, held = self.keys[-1]
-        if abs(x - held) <= self.dead_zone:
-            self.away = []
-            return
-        self.away.append((at, x))
-        cut = self._cut_between(since + 1, at, last=True)
-        if cut is not None:
-            self._go(cut, cut + 1, x)
-        elif at - self.away[0][0] >= self.settle_ms:
-            xs, leave = sorted(v for _, v in self.away), self.away[0][0]
-            cut = self._cut_between(leave, leave + self.move_ms, last=False)
-            arrive = leave + self.move_ms if cut is None else cut + 1
-            self._go(leave if cut is None else cut, arrive, xs[len(xs) // 2])
-
-    def end(self, at: int) -> list[tuple[int, int]]:
-        if self.keys and at > self.keys[-1][0]:
-            self.keys.append((at, self.keys[-1][1]))
-        return self.keys
-
-
-def steady(points: DataFrame, cuts: DataFrame, dead_zone: int, settle_ms: int, move_ms: int) -> DataFrame:
-    """media_id, at_ms, x: key frames of each track of points (media_id, at_ms, x); cuts: media_id, cut_ms."""
+def first_move(at: np.ndarray, away: np.ndarray, settle_ms: int, cut_since: np.ndarray) -> tuple[int, int] | None:
+    """(since, now): the first sample that ends a wait, and the sample at which that stretch outside began.
+
+    A stretch outside ends the wait when it has lasted settle_ms, or when a cut has come since the last key.
+    """
+    begins = away & ~np.concatenate(([False], away[:-1]))
+    since = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+    ready = np.flatnonzero(away & (cut_since | (at - at[since] >= settle_ms)))
+    return (int(since[ready[0]]), int(ready[0])) if len(ready) else None
+
+
+def camera_path(at: np.ndarray, x: np.ndarray, cuts: np.ndarray, dead_zone: int, settle_ms: int, move_ms: int, max_pan: int | None = None, step_beyond: bool = False) -> list[tuple[int, int]]:
+    """Key frames (at, x) of a camera that holds still inside dead_zone and follows what stays outside.
+
+    It jumps from move to move; between two of them the samples are judged as arrays, in windows that grow. At a
+    cut the camera steps, elsewhere it moves for move_ms to the median of the stretch. A move of more than
+    max_pan without a cut is not made (step_beyond: made as a step).
+    """
+    if not len(at):
+        return []
+    cuts = np.sort(cuts[(cuts >= at[0]) & (cuts <= at[-1])])
+    keys, here = [(int(at[0]), int(x[0]))], 1
+    while here < len(at):
+        (key_at, held), look, found = keys[-1], 64, None
+        while found is None and here < len(at):
+            t, p = at[here : here + look], x[here : here + look]
+            passed = np.searchsorted(cuts, t, "right") > np.searchsorted(cuts, key_at, "right")
+            found = first_move(t, np.abs(p - held) > dead_zone, settle_ms, passed)
+            if found is None and here + look >= len(at):
+                here = len(at)
+            look *= 2
+        if found is None:
+            break
+        since, now = here + found[0], here + found[1]
+        behind, goal, begin = cuts[(cuts > key_at) & (cuts <= at[now])], int(x[now]), int(at[since])
+        inside = cuts[(cuts >= begin) & (cuts <= begin + move_ms)]
+        here = now + 1
+        if len(behind):
+            leave, take = int(behind[-1]), 1
+        else:
+            goal = int(np.sort(x[since : now + 1])[(now + 1 - since) // 2])
+            leave, take = (int(inside[0]), 1) if len(inside) else (begin, move_ms)
+            if not len(inside) and max_pan is not None and abs(goal - held) > max_pan:
+                if not step_beyond:
+                    continue
+                take = 1
+        keys += [(leave, held)] if leave > key_at else []
+        keys.append((max(leave + take, keys[-1][0] + 1), goal))
+    return keys + [(int(at[-1]), keys[-1][1])] if at[-1] > keys[-1][0] else keys
+
+
+def steady(points: DataFrame, cuts: DataFrame, dead_zone: int, settle_ms: int, move_ms: int, max_pan: int | None = None, step_beyond: bool = False) -> DataFrame:
+    """media_id, at_ms, x: key frames of each track of points (media_id, at_ms, x); cuts: media_id, cut_ms. One group is one track."""
 
     def run(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        camera, p = SteadyCamera(dead_zone, settle_ms, move_ms, c.cut_ms.tolist()), p.sort_values("at_ms")
-        for at, x in zip(p.at_ms.tolist(), p.x.tolist()):
-            camera.feed(at, x)
-        keys = camera.end(int(p.at_ms.max())) if len(p) else []
-        return pd.DataFrame([(key[0], a, x) for a, x in keys], columns=["media_id", "at_ms", "x"])
+        p = p.sort_values("at_ms")
+        keys = camera_path(p.at_ms.to_numpy("int64"), p.x.to_numpy("int64"), c.cut_ms.to_numpy("int64"), dead_zone, settle_ms, move_ms, max_pan, step_beyond)
+        return pd.DataFrame([(key[0], a, x) for a, x in keys], columns=["media_id", "at_ms", "x"]).astype("int64")
 
     return points.groupBy("media_id").cogroup(cuts.groupBy("media_id")).applyInPandas(run, "media_id long, at_ms long, x long")
 
 
-def fill_story(sentences: DataFrame, target_ms: int = 50_000, most_ms: int = 60_000) -> DataFrame:
-    """sentences (media_id, sent_id, start_ms, end_ms, importance) with kept: the most important first while they fit.
+def fill_story(sentences: DataFrame, target_ms: int = 50_000, least_ms: int = 25_000, most_ms: int = 60_000, low: float = 0.35, join_ms: int = 600) -> DataFrame:
+    """sentences (media_id, sent_id, start_ms, end_ms, importance) with kept and span (of the kept ones, from 0).
 
-    The first and the last sentence of a story are kept. The others are taken in order of (-importance,
-    sent_id) until target_ms is reached; one that would pass most_ms is left out. One group is one story.
+    The first and the last sentence of a story always stay. A story no longer than most_ms loses sentences of
+    less importance than low, in order, while least_ms remain; its spans are runs of neighbours, or the whole
+    story if nothing goes. A longer one takes sentences by (-importance, sent_id): each that keeps the total
+    within target_ms, or within most_ms while the total is under least_ms; kept sentences at most join_ms apart
+    are one span. One group is one story.
     """
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sent_id").reset_index(drop=True)
-        ms = (pdf.end_ms - pdf.start_ms).tolist()
-        kept = {0, len(pdf) - 1}
-        total = sum(ms[i] for i in kept)
-        for i in sorted(range(1, len(pdf) - 1), key=lambda i: (-pdf.importance[i], i)):
-            if total >= target_ms:
-                break
-            if total + ms[i] <= most_ms:
-                kept.add(i)
-                total += ms[i]
-        pdf["kept"] = [i in kept for i in range(len(pdf))]
-        return pdf
+        length, inner = (pdf.end_ms - pdf.start_ms).to_numpy(), np.arange(1, len(pdf) - 1)
+        whole = int(pdf.end_ms.iloc[-1] - pdf.start_ms.iloc[0])
+        kept, short = np.ones(len(pdf), bool), whole <= most_ms
+        if short:
+            total = whole
+            for i in inner[pdf.importance.to_numpy()[inner] < low]:
+                if total - length[i] >= least_ms:
+                    kept[i], total = False, total - length[i]
+            apart = ~kept[:-1] if not kept.all() else np.zeros(len(pdf) - 1, bool)
+            place = np.concatenate(([0], np.cumsum(kept[1:] & apart)))
+        else:
+            kept[inner], total = False, length[0] + length[-1]
+            for i in inner[np.argsort(-pdf.importance.to_numpy()[inner], kind="stable")]:
+                if total + length[i] <= (most_ms if total < least_ms else target_ms):
+                    kept[i], total = True, total + length[i]
+            start, end = pdf.start_ms.to_numpy()[kept], pdf.end_ms.to_numpy()[kept]
+            place = np.full(len(pdf), -1)
+            place[kept] = np.concatenate(([0], np.cumsum(start[1:] - end[:-1] > join_ms)))
+        return pdf.assign(kept=kept, span=np.where(kept, place, -1))
 
     own = sentences.select("media_id", "sent_id", "start_ms", "end_ms", "importance")
-    return own.groupBy("media_id").applyInPandas(fill, "media_id long, sent_id long, start_ms long, end_ms long, importance double, kept boolean")
+    return own.groupBy("media_id").applyInPandas(fill, "media_id long, sent_id long, start_ms long, end_ms long, importance double, kept boolean, span long")
+
+
+def story_windows(sentences: DataFrame, size_ms: int = 80_000, least_ms: int = 25_000) -> DataFrame:
+    """sentences in overlapping windows (window, from 0, as another column): each takes sentences until their
+    lengths reach size_ms, and the next begins half of its sentences later; those under least_ms are left out."""
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sent_id").reset_index(drop=True)
+        total = np.concatenate(([0], np.cumsum(pdf.end_ms - pdf.start_ms)))
+        parts, first = [], 0
+        while first < len(pdf):
+            end = min(len(pdf), int(np.searchsorted(total, total[first] + size_ms)))
+            if total[end] - total[first] >= least_ms:
+                parts.append(pdf.iloc[first:end].assign(window=len(parts)))
+            first += max(1, (end - first) // 2)
+        return pd.concat(parts) if parts else pdf.iloc[:0].assign(window=0)
+
+    own = sentences.select("media_id", "sent_id", "start_ms", "end_ms", "worth")
+    return own.groupBy("media_id").applyInPandas(deal, "media_id long, sent_id long, start_ms long, end_ms long, worth double, window long")
+
+
+def story_arcs(sentences: DataFrame, most: int = 3, **limits) -> DataFrame:
+    """media_id, window, score, ms, n_kept, place: the `most` best condensed windows of each recording (sentences with worth).
+
+    score: of 100, from the first, the last and the mean kept sentence of a window (0.4, 0.3, 0.3).
+    """
+    rows = story_windows(sentences).withColumn("_m", F.col("media_id")).withColumn("media_id", F.xxhash64("_m", "window"))
+    own = Window.partitionBy("media_id")
+    place = F.when(F.col("sent_id") == F.min("sent_id").over(own), S.AS_FIRST).when(F.col("sent_id") == F.max("sent_id").over(own), S.AS_LAST).otherwise(0.0)
+    rows = rows.withColumn("importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("worth") + place)))
+    names = rows.select("media_id", F.col("_m").alias("recording"), "window").distinct()
+    kept = fill_story(rows, **limits).where("kept")
+    spans = kept.groupBy("media_id", "span").agg((F.max("end_ms") - F.min("start_ms")).alias("ms")).groupBy("media_id").agg(F.sum("ms").alias("ms"))
+    ends = F.min_by("importance", "sent_id") * 0.4 + F.max_by("importance", "sent_id") * 0.3
+    scored = kept.groupBy("media_id").agg(F.round((ends + 0.3 * F.avg("importance")) * 100, 1).alias("score"), F.count("*").alias("n_kept"))
+    rank = F.row_number().over(Window.partitionBy("recording").orderBy(F.desc("score"), "window"))
+    got = scored.join(spans, "media_id").join(names, "media_id").withColumn("place", rank).where(F.col("place") <= most)
+    return got.select(F.col("recording").alias("media_id"), "window", "score", "ms", "n_kept", "place")

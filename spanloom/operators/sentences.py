@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.spans import overlap_join
+
 #: Marks that end a sentence, and words that leave one open at its end.
 FINAL_MARKS = ".!?؟۔"
 OPEN_WORDS = ("and", "or", "but", "because", "und", "oder", "et", "ou", "y", "و")
@@ -25,7 +27,7 @@ def segment(words: DataFrame, pauses: DataFrame | None = None, pause_ms: int = P
     if pauses is not None:
         long = pauses.where(F.col("pause_end_ms") - F.col("pause_start_ms") >= pause_ms)
         gaps = rows.where("_next > end_ms").select("media_id", "pos", F.col("end_ms").alias("g0"), F.col("_next").alias("g1"))
-        held = gaps.join(long, "media_id").where("g0 <= pause_start_ms and pause_end_ms <= g1").select("media_id", "pos").distinct().withColumn("_silent", F.lit(True))
+        held = overlap_join(gaps, long, "media_id", ("g0", "g1"), ("pause_start_ms", "pause_end_ms")).where("g0 <= pause_start_ms and pause_end_ms <= g1").select("media_id", "pos").distinct().withColumn("_silent", F.lit(True))
         rows = rows.join(held, ["media_id", "pos"], "left")
         ends = ends | F.coalesce("_silent", F.lit(False))
     rows = rows.withColumn("_ends", ends)
@@ -42,6 +44,28 @@ def segment(words: DataFrame, pauses: DataFrame | None = None, pause_ms: int = P
     return grouped.select("media_id", "sent_id", "start_ms", "end_ms", "text", complete.alias("complete"), "n_words")
 
 
+#: What a sentence is worth at first, and what is added or taken away.
+WORTH, AS_FIRST, AS_LAST, MANY_FILLERS, LEFT_OPEN, BRISK, SLOW = 0.5, 0.45, 0.40, -0.4, -0.35, 0.1, -0.15
+
+
+def worth(fillers: tuple[str, ...], open_words: tuple[str, ...] = OPEN_WORDS) -> Column:
+    """What a sentence (text, n_words, start_ms, end_ms) is worth without regard to its place: fewer than a third of fillers, a closed end, pace."""
+    words = F.split("text", " ")
+    share = F.size(F.filter(words, lambda w: w.isin(*fillers))) / F.nullif(F.size(words), F.lit(0))
+    pace = F.col("n_words") / F.greatest(F.lit(0.5), (F.col("end_ms") - F.col("start_ms")) / 1000.0)
+    filled = F.when(share > 0.3, MANY_FILLERS).otherwise(0.0)
+    left_open = F.when(F.element_at(words, -1).isin(*open_words), LEFT_OPEN).otherwise(0.0)
+    return WORTH + filled + left_open + F.when(pace >= 2, BRISK).when(pace < 1, SLOW).otherwise(0.0)
+
+
+def importance(sentences: DataFrame, fillers: tuple[str, ...], open_words: tuple[str, ...] = OPEN_WORDS) -> DataFrame:
+    """sentences with worth and importance (0 to 1): the first and the last of a recording count for more."""
+    own = Window.partitionBy("media_id")
+    place = F.when(F.col("sent_id") == F.min("sent_id").over(own), AS_FIRST).when(F.col("sent_id") == F.max("sent_id").over(own), AS_LAST).otherwise(0.0)
+    rows = sentences.withColumn("worth", worth(fillers, open_words))
+    return rows.withColumn("importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("worth") + place)))
+
+
 def anchors(sentences: DataFrame) -> DataFrame:
     """Start of the first complete sentence and end of the last, by recording; none without a complete one."""
     return sentences.where("complete").groupBy("media_id").agg(F.min("start_ms").alias("anchor_in_ms"), F.max("end_ms").alias("anchor_out_ms"))

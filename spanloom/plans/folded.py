@@ -12,6 +12,7 @@ from spanloom.operators import diarization as D
 from spanloom.operators import folds as O
 from spanloom.operators import hooks as H
 from spanloom.operators import retrieval as R
+from spanloom.operators import sentences as E
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
 from spanloom.plans.evaluation import ITEMS, items
@@ -84,7 +85,7 @@ def choose_face(spark, d):
 @query("q5_40_stabilize")
 def stabilize(spark, d):
     points = T.spans(spark, d).groupBy("media_id", F.col("in_ms").alias("at_ms")).agg(F.max(F.floor("value")).alias("x"))
-    return O.steady(points, cuts(spark, d).limit(0).unionByName(cuts(spark, d)), 40, 60_000, 20_000)
+    return O.steady(points, cuts(spark, d), 40, 60_000, 20_000, 300)
 
 
 @query("q4_62_face_track_stats", with_tables("spans", " select media_id, count(*) as n_samples, count(*) filter (where value > 30) as n_detected, round(count(*) filter (where value > 30) / cast(count(*) as double), 9) as share from spans group by 1"))
@@ -94,24 +95,19 @@ def track_stats(spark, d):
 
 
 def _importance(spark, d):
-    return sentences(spark, d).withColumn("importance", F.round(F.least(F.col("n_words") / 20.0, F.lit(1.0)), 6))
+    return E.importance(sentences(spark, d), ("the", "um")).withColumn("importance", F.round("importance", 6)).withColumn("worth", F.round("worth", 6))
 
 
 @query("q6_25_condense_story")
 def condense(spark, d):
     kept = O.fill_story(_importance(spark, d)).where("kept")
-    spans = P.runs(kept, ["media_id"], "sent_id").groupBy("media_id", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_sentences"))
-    return spans.drop("run")
+    return kept.groupBy("media_id", "span").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_sentences"))
 
 
 @query("q6_26_condense_arcs")
 def arcs(spark, d):
-    """Stretches of 80 seconds, each condensed, the three with the highest mean importance."""
-    s = _importance(spark, d).withColumn("arc", F.col("media_id") * 100_000 + F.expr("start_ms div 80000"))
-    kept = O.fill_story(s.select(F.col("arc").alias("media_id"), "sent_id", "start_ms", "end_ms", "importance")).where("kept")
-    a = kept.groupBy(F.col("media_id").alias("arc")).agg(F.round(F.avg("importance"), 6).alias("mean"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms")).withColumn("media_id", F.expr("arc div 100000"))
-    order = Window.partitionBy("media_id").orderBy(F.desc("mean"), "arc")
-    return a.withColumn("place", F.row_number().over(order)).where("place <= 3")
+    """Windows of 80 seconds of speech, each condensed, the three best."""
+    return O.story_arcs(_importance(spark, d))
 
 
 def _read(pdf):

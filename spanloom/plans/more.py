@@ -10,10 +10,11 @@ from spanloom.functions import intervals as I
 from spanloom.functions import numbers as N
 from spanloom.functions import text as X
 from spanloom.operators import contracts as K
+from spanloom.operators import sentences as E
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
 from spanloom.plans.selection import VERDICT, verdicts
-from spanloom.plans.text import SENTENCES, sentences
+from spanloom.plans.text import OPEN, SENTENCES, sentences
 from spanloom.tables import with_tables
 
 QUERIES, ORACLES = {}, {}
@@ -447,17 +448,18 @@ def scores(spark, d):
 
 @query("q8_11_code_switch_error")
 def code_switch(spark, d):
+    """Every word with a capital letter or one outside ASCII counts as switched; it is sought in the next item's text."""
     b = T.read(spark, d, "benchmark")
-    spans = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 3)
+    spans = F.filter(F.split("text", r"\s+"), lambda x: x.rlike(r"[A-Z]|[^\x00-\x7F]"))
     rows = b.select("item_id", F.explode(spans).alias("span")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hyp")), "item_id")
     return rows.groupBy("item_id").agg(F.round(F.avg(X.substring_distance("span", "hyp") / F.length("span")), 9).alias("error"))
 
 
-@query("q8_22_sentence_importance", with_tables("words", SENTENCES + ", n as (select *, count(*) over (partition by media_id) as total from sent) select media_id, sent_id, round(greatest(0.0, least(1.0, 0.5 + 0.3 * (1 - sent_id / cast(total as double)) - case when complete then 0.0 else 0.2 end + least(n_words / ((end_ms - start_ms) / 1000.0), 4.0) / 20)), 6) as importance from n"))
+@query("q8_22_sentence_importance", with_tables("words", SENTENCES + f""", n as (select *, string_split(text, ' ') as ws, min(sent_id) over (partition by media_id) as a, max(sent_id) over (partition by media_id) as z, n_words / greatest(0.5, (end_ms - start_ms) / 1000.0) as pace from sent)
+ select media_id, sent_id, round(greatest(0.0, least(1.0, cast(0.5 as double) + case when len(list_filter(ws, lambda w: w in ('the', 'um'))) / cast(len(ws) as double) > 0.3 then -0.4 else 0 end + case when ws[-1] in ({OPEN}) then -0.35 else 0 end
+   + case when pace >= 2 then 0.1 when pace < 1 then -0.15 else 0 end + case when sent_id = a then 0.45 when sent_id = z then 0.40 else 0 end)), 6) as importance from n"""))
 def importance(spark, d):
-    total = F.count("*").over(Window.partitionBy("media_id"))
-    score = 0.5 + 0.3 * (1 - F.col("sent_id") / total) - F.when(F.col("complete"), 0.0).otherwise(0.2) + F.least(F.col("n_words") / ((F.col("end_ms") - F.col("start_ms")) / 1000.0), F.lit(4.0)) / 20
-    return sentences(spark, d).select("media_id", "sent_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("importance"))
+    return E.importance(sentences(spark, d), ("the", "um")).select("media_id", "sent_id", F.round("importance", 6).alias("importance"))
 
 
 @query("q8_23_boxes_intersect", with_tables("verbal visual", " select a.candidate_id as a_id, b.candidate_id as b_id, (least(a.out_ms, b.out_ms) - greatest(a.in_ms, b.in_ms)) / cast(b.out_ms - b.in_ms as double) >= 0.05 as intersects from verbal a join visual b on a.media_id = b.media_id and a.in_ms < b.out_ms and b.in_ms < a.out_ms"))
