@@ -13,7 +13,9 @@ is broadcast. A remainder's rank among those of its length comes from salted gro
 length, however common, meets in one task.
 
 Defined cases: a null or empty text is the end id alone; rows with equal or null ids are packed one by one;
-an empty table gives no pieces.
+pieces of one length are ranked by id, start and content, ties among equal rows falling either way; an empty
+table gives no pieces; a very long text is encoded whole in one task and gives as many full windows as it has;
+only id and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from spanloom.llm import common as C
 from spanloom.scratch import Scratch
 
 WINDOW, END_ID = 4096, 2
-#: Most words in a worker's cache; most ids of cut documents that are broadcast (above that they are joined by shuffle).
-CACHE_WORDS, BROADCAST_CUTS = 800_000, 100_000
+#: Most words in a worker's cache.
+CACHE_WORDS = 800_000
 
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -212,7 +214,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = Scratch(spark, "packing").save(first_pieces(docs, vocabulary, window), "pieces")
+    scratch = Scratch(spark, "packing")
+    pieces = scratch.save(first_pieces(docs, vocabulary, window), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.where(F.col("length") < window).groupBy("length").count().collect()}
     slots, sequences, cuts = plan(counts, window)
     names = "length long, lo long, hi long, cut_start long, cut_length long, first long, items long, sequence long, at long"
@@ -225,9 +228,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     whole = placed.where(F.col("cut_length") == F.col("length")).select(*full.columns)
     out = full.unionByName(whole)
     if cuts:
-        parts = placed.where(F.col("cut_length") < F.col("length"))
+        # Written, so that the planner knows how large the side is that texts are looked up for.
+        parts = scratch.save(placed.where(F.col("cut_length") < F.col("length")), "parts")
         ids = parts.select("doc_id").distinct()
-        ids = F.broadcast(ids) if cuts <= BROADCAST_CUTS else ids
         again = remainders(docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["doc_id"]), "left_semi"), vocabulary, window).distinct()
         same = parts["doc_id"].eqNullSafe(again["r_id"]) & (parts["doc_tokens"] == again["r_tokens"]) & (parts["ids_crc32"] == again["r_crc"])
         piece = F.expr("substring(r_ids, cast(4 * cut_start + 1 as int), cast(4 * cut_length as int))")

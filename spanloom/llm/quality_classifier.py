@@ -1,14 +1,15 @@
 """Quality classifier: a byte-level convolutional network, trained and applied in numpy.
 
 A text is cut into overlapping chunks that cover all of it. Each learned filter looks at WIDTH consecutive
-bytes through its own table of weights for every byte value; its largest response in a chunk is the chunk's
+bytes, at every byte, through its own table of weights for each byte value; its largest response in a chunk is the chunk's
 feature (max-pooling). A text's features are the mean and the maximum over its chunks, and a logistic layer
 combines them into one probability. Training draws a bounded sample of labelled rows to the driver; scoring
 runs inside the tasks over whole texts.
 
 Defined cases: a null or empty text is one chunk of padding and gets that chunk's score; a null id keeps its
-row and counts as held out (its crc is 0); repeated rows are scored one by one; with no labels, or labels of
-one kind, every score is the share of label 1 (0.5 without any).
+row and counts as held out (its crc is 0); repeated rows are scored one by one; with no labels, or labels of one
+kind, every score is the share of label 1 (0.5 without any); equal texts get equal scores; a very long text is
+scored whole, some chunks at a time; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
 
-CHUNK, HOP, WIDTH, STRIDE, FILTERS = 256, 192, 6, 2, 12
-#: Most labelled rows of each label in the training sample, and most chunks of one text in one training step.
-FIT_ROWS, FIT_CHUNKS, EPOCHS, BATCH = 700, 10, 7, 50
+CHUNK, HOP, WIDTH, STRIDE, FILTERS = 256, 192, 6, 1, 12
+#: Most labelled rows of each label in the training sample; most chunks of a text that are brought to the driver
+#: (spread over all of it), and most of those in one training step.
+FIT_ROWS, HELD_CHUNKS, FIT_CHUNKS, EPOCHS, BATCH = 700, 40, 10, 7, 50
 PREDICT_FROM = 0.3
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -77,13 +79,16 @@ class Network:
         return self.score_codes(self.combine(out, first))
 
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
-    """Adam on the logistic loss; in each step a text is seen through FIT_CHUNKS chunks drawn from all of it."""
+def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
+    """Adam on the logistic loss over texts given by their chunks; in each step a text is seen through FIT_CHUNKS of these."""
     net, rng = Network(), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    padded = [np.concatenate((np.frombuffer(t, np.uint8).astype(np.uint16), np.full(CHUNK, 256, np.uint16))) for t in texts]
+    held = [np.full((len(t), CHUNK), 256, np.uint16) for t in texts]
+    for rows, t in zip(held, texts):
+        for row, chunk in zip(rows, t):
+            row[: len(chunk)] = np.frombuffer(chunk, np.uint8)
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
@@ -91,9 +96,8 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 1
             rows = order[k : k + BATCH]
             codes, first = [], [0]
             for r in rows:
-                start, _ = cut(np.zeros(0), np.array([0, len(texts[r])]))
-                some = start if len(start) <= FIT_CHUNKS else np.sort(rng.choice(start, FIT_CHUNKS, False))
-                codes.append(padded[r][some[:, None] + np.arange(CHUNK)])
+                some = held[r] if len(held[r]) <= FIT_CHUNKS else held[r][np.sort(rng.choice(len(held[r]), FIT_CHUNKS, False))]
+                codes.append(some)
                 first.append(first[-1] + len(some))
             codes, first = np.concatenate(codes), np.array(first)
             feats, where = net.pooled(codes)
@@ -119,6 +123,19 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 1
     return net
 
 
+def sample_chunks(batches):
+    """At most HELD_CHUNKS chunks of each text, spread evenly over all of it: what training may see is bounded in bytes."""
+    for b in batches:
+        for lo, hi, data, at in C.chunks(b.column("text")):
+            start, first = cut(data, at)
+            raw, out = data.tobytes(), []
+            for i in range(hi - lo):
+                own = start[first[i] : first[i + 1]]
+                own = own[np.unique(np.linspace(0, len(own) - 1, HELD_CHUNKS).astype(np.int64))]
+                out.append([raw[s : min(s + CHUNK, at[i + 1])] for s in own.tolist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in ("doc_id", "t", "quality")), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "t", "quality", "chunks"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out=None):
     """A function from (bytes, row starts) to scores, learned from at most fit_rows texts of each label.
 
@@ -133,12 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out=N
     for q in (0, 1):
         part = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
         some = part if some is None else some.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * fit_rows).toPandas()
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality", F.xxhash64("text").alias("t"))
+    rows = own.mapInArrow(sample_chunks, "doc_id long, t long, quality int, chunks array<binary>").orderBy(F.xxhash64("doc_id"), "t").limit(2 * fit_rows).toPandas()
     y = rows["quality"].to_numpy(float)
     if len(set(y)) < 2:
         level = float(y.mean()) if len(y) else 0.5
         return lambda data, at: np.full(len(at) - 1, level)
-    return train([(t or "").encode() for t in rows["text"]], y).scores
+    return train([list(c) for c in rows["chunks"]], y).scores
 
 
 def score(docs: DataFrame, scores) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
-from spanloom.scratch import Scratch
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -176,47 +175,51 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, ", ".join(f"{f.name} long" for f in STATS_SCHEMA))
 
 
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees | None:
-    """Trees that tell quality 1 from 0, from at most fit_rows labelled documents in the order of a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees | None:
+    """Trees that tell quality 1 from 0, from at most fit_rows labelled documents in the order of a hash of the id; only their texts are measured."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    some = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = stats.join(F.broadcast(some), "doc_id").select("doc_id", "quality", *STATS).orderBy(F.xxhash64("doc_id"), *STATS).limit(fit_rows).toPandas()
+    some = F.broadcast(marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi")
+    rows = measure(own).join(some, "doc_id").select("doc_id", "quality", *STATS).orderBy(F.xxhash64("doc_id"), *STATS).limit(fit_rows).toPandas()
     if rows["quality"].nunique() < 2:
         return None
     return fit_trees(features(rows[STATS].to_numpy()), rows["quality"].to_numpy(float), {FEATURES.index(k): v for k, v in MONOTONE.items()})
 
 
+def verdicts(stats: np.ndarray, model: Trees | None, keep_from: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, score, kept) of rows of STATS; without a model every score is 1."""
+    failed = (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > MAX_REPEAT_PERCENT * stats[:, 0])
+    score = np.ones(len(stats)) if model is None else model.score(features(stats))
+    return failed, score, ~failed & (score >= keep_from)
+
+
 def judge(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row for each document: STATS, base_failed, score, kept. One pass over the texts, whose statistics are written and read again."""
-    stats = Scratch(docs.sparkSession, "quality_rules").save(measure(docs), "stats")
-    model = fit(stats, labels, fit_rows)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    """One row for each document: STATS, base_failed, score, kept. Everything is computed in one pass over the texts."""
+    model = fit(docs, labels, fit_rows)
 
-    def score(batches):
+    def run(batches):
         for b in batches:
-            x = np.stack([b.column(s).to_numpy(zero_copy_only=False) for s in STATS], 1)
-            p = np.ones(len(x)) if model is None else model.score(features(x))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
+            ids = b.column("doc_id")
+            for lo, hi, data, at in C.chunks(b.column("text")):
+                s = statistics(data, at)
+                failed, score, kept = verdicts(s, model, keep_from)
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], *(pa.array(c, pa.int64()) for c in s.T), pa.array(score), pa.array(failed), pa.array(kept)], names=["doc_id", *STATS, "score", "base_failed", "kept"])
 
-    scored = stats.mapInArrow(score, ", ".join(f"{f.name} long" for f in STATS_SCHEMA) + ", score double")
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= keep_from))
+    schema = ", ".join(f"{f.name} long" for f in STATS_SCHEMA) + ", score double, base_failed boolean, kept boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """The documents that the rules and the trees let pass, with their columns.
 
     The verdict rides along in the pass that computes it: a row is judged by its own text, so repeated ids need no join.
     """
-    model = fit(Scratch(docs.sparkSession, "quality_rules").save(measure(docs), "stats"), labels)
+    model = fit(docs, labels)
 
     def flag(batches):
         for b in batches:
-            keep_row = np.zeros(b.num_rows, bool)
-            for lo, hi, data, at in C.chunks(b.column("text")):
-                s = statistics(data, at)
-                ok = (s[:, 0] >= MIN_WORDS) & (100 * s[:, 4] <= MAX_REPEAT_PERCENT * s[:, 0])
-                keep_row[lo:hi] = ok if model is None else ok & (model.score(features(s)) >= 0.5)
-            yield b.filter(pa.array(keep_row))
+            kept = [verdicts(statistics(data, at), model, keep_from)[2] for _, _, data, at in C.chunks(b.column("text"))]
+            yield b.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
     return docs.mapInArrow(flag, docs.schema)
 

@@ -2,13 +2,16 @@
 
 Fixed patterns give the base spans. Beside them, strings that look random are candidates: they mix letters
 and digits, are 20 characters or longer and have a high character entropy. A candidate's hash is aggregated
-over the corpus by distinct repositories and owners: what many owners hold is a copied example, a licence key
-of a tutorial or a test vector; what belongs to one owner looks live and is added as a span of kind `owned`.
-Candidates are rare, are hashed inside the scan, and are pre-aggregated by (hash, repository, owner) before
-the shuffle, so a string that a third of all rows hold costs one row for each task and owner.
+over the corpus by distinct repositories and by distinct owners. What several owners hold, or one owner in many
+repositories, is a copied example: a licence key of a tutorial, a test vector, a template. What one owner holds in
+few repositories looks live and is added as a span of kind `owned`. Candidates are rare, are hashed inside the
+scan, and are pre-aggregated by (hash, repository, owner) before the shuffle, so a string that a third of all
+rows hold costs one row for each task and repository.
 
 Defined cases: a null or empty text has no spans; a null repository or owner counts as one of its own; rows
-that are equal in id and text get equal results, each its own row; a null id keeps its row.
+that are equal in id and text get equal results, each its own row; a null id keeps its row; spans that begin
+together are ordered by kind; a very long text is scanned whole, as one string of its task; columns of any name
+are carried along by `redact`, which works beside a struct of the whole row.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
@@ -30,9 +35,9 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
-#: Candidates: least length, least bits of entropy a character, and most owners of a string that looks live.
+#: Candidates: least length, least bits of entropy a character, and most owners and repositories of a string that looks live.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_ENTROPY, MOST_OWNERS = 3.5, 1
+LEAST_ENTROPY, MOST_OWNERS, MOST_REPOS = 3.5, 1, 2
 _KEYWORD = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
@@ -79,27 +84,38 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind"
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.binary())]))
 
 
-def scan(docs: DataFrame, repo: str = "source", owner: str = "source") -> DataFrame:
+def row_key(doc_id: int | None, text: bytes) -> bytes:
+    """A digest of id and text, which names a row in joins."""
+    return hashlib.sha256(f"{doc_id}\0".encode() + text).digest()[:16]
+
+
+def _name(of) -> Column:
+    return (F.col(of) if isinstance(of, str) else of).cast("string")
+
+
+def scan(docs: DataFrame, repo="source", owner="source") -> DataFrame:
     """Base spans and candidates of every whole text; row_key is a digest of id and text."""
 
     def run(batches):
         for b in batches:
-            keys, counts, spans, found = [], ([], [], []), [], []
             ids = b.column("doc_id").to_pylist()
-            for i, text in zip(ids, b.column("text").to_pylist()):
-                text = text or ""
-                base = base_spans(text)
-                keys.append(hashlib.sha256(f"{i}\0{text}".encode()).digest()[:16])
-                for k, c in enumerate(counts):
-                    c.append(sum(s[2] == k for s in base))
-                spans.append([{"start": s, "stop": e, "kind": k} for s, e, k in base])
-                found.append([{"start": s, "stop": e, "hash": h} for s, e, h in candidates(text, base)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("repo"), b.column("owner"), pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in counts), pa.array(spans, _SPAN), pa.array(found, _FOUND)],
-                names=["doc_id", "repo", "owner", "row_key", "n_assign", "n_access", "n_hex", "base", "found"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), "text")
+            for lo, hi, data, at in C.chunks(b.column("text")):
+                keys, counts, spans, found = [], ([], [], []), [], []
+                raw = data.tobytes()
+                for i, s, e in zip(ids[lo:hi], at[:-1].tolist(), at[1:].tolist()):
+                    text = raw[s:e].decode()
+                    base = base_spans(text)
+                    keys.append(row_key(i, raw[s:e]))
+                    for k, c in enumerate(counts):
+                        c.append(sum(x[2] == k for x in base))
+                    spans.append([{"start": x, "stop": y, "kind": k} for x, y, k in base])
+                    found.append([{"start": x, "stop": y, "hash": h} for x, y, h in candidates(text, base)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c)[lo:hi] for c in ("doc_id", "repo", "owner")), pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in counts), pa.array(spans, _SPAN), pa.array(found, _FOUND)],
+                    names=["doc_id", "repo", "owner", "row_key", "n_assign", "n_access", "n_hex", "base", "found"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _name(repo).alias("repo"), _name(owner).alias("owner"), "text")
     return rows.mapInArrow(run, SCHEMA)
 
 
@@ -110,13 +126,23 @@ def ownership(found: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.countDistinct(F.coalesce("repo", nul)).alias("n_repos"), F.countDistinct(F.coalesce("owner", nul)).alias("n_owners"), F.sum("n").alias("n_uses"))
 
 
-def judge(docs: DataFrame, repo: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row for each document: counts, base spans, and `all`: base spans and owned candidates, by start and kind."""
-    scanned = Scratch(docs.sparkSession, "secret_scans").save(scan(docs, repo, owner), "scanned")
+def verdict(most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> Column:
+    """What n_owners and n_repos say of a candidate: `live`, or a `copied` example."""
+    return F.when((F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos), "live").otherwise("copied")
+
+
+def candidate_table(scanned: DataFrame, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """row_key, doc_id, start, stop, hash, n_repos, n_owners, n_uses, verdict of every candidate of a scanned table."""
     found = scanned.where(F.size("found") > 0).select("doc_id", "row_key", "repo", "owner", F.explode("found").alias("f"))
     found = found.select("doc_id", "row_key", "repo", "owner", F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.hash").alias("hash"))
-    owned = ownership(found).where(F.col("n_owners") <= most_owners)
-    live = found.join(owned, "hash").select("row_key", "start", "stop").distinct()
+    held = ownership(found).withColumn("verdict", verdict(most_owners, most_repos))
+    return found.drop("repo", "owner").join(held, "hash")
+
+
+def judge(docs: DataFrame, repo="source", owner="source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """One row for each document: counts, base spans, and `all`: base spans and live candidates, by start and kind. repo, owner: columns."""
+    scanned = Scratch(docs.sparkSession, "secret_scans").save(scan(docs, repo, owner), "scanned")
+    live = candidate_table(scanned, most_owners, most_repos).where("verdict = 'live'").select("row_key", "start", "stop").distinct()
     added = live.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"))).alias("added"))
     plain = scanned.select("doc_id", "row_key", "n_assign", "n_access", "n_hex", "base", F.size("found").alias("n_found"))
     with_found = plain.where("n_found > 0").join(added, "row_key", "left")
@@ -132,45 +158,63 @@ def span_text(column: str):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, repo: str = "source", owner: str = "source", mark: str = "[REDACTED]") -> DataFrame:
+def redacted(text: str, spans: list, mark: str) -> str:
+    """The text with each span replaced by the mark; of spans that overlap, only what is beyond the last end goes."""
+    out, at = [], 0
+    for x in spans:
+        if x["start"] >= at:
+            out += [text[at : x["start"]], mark]
+        at = max(at, x["stop"])
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, repo="source", owner="source", mark: str = "[REDACTED]") -> DataFrame:
     """The documents with every found span replaced by the mark; n_chars, where there is one, follows the text."""
-    spans = judge(docs, repo, owner).where(F.size("all") > 0).groupBy("row_key").agg(F.first("all").alias("_all"))
-    key = F.substring(F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256)), 1, 16)
-    joined = docs.withColumn("_key", key).join(spans.withColumnRenamed("row_key", "_key").hint("merge"), "_key", "left")
-    # Spans in order: the text between them is kept; of spans that overlap, what is beyond the last end.
-    start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at"))
+    names = docs.columns
+    spans = judge(docs, repo, owner).where(F.size("all") > 0).groupBy("row_key").agg(F.first("all").alias("spans"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.substring(F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None")), F.lit("\0"), text), 256)), 1, 16)
+    rows = docs.select(F.struct("*").alias("row"), key.alias("row_key")).join(spans.hint("merge"), "row_key", "left").select("row", "spans")
+
+    def run(batches):
+        for b in batches:
+            cols, spans = dict(zip(names, b.column("row").flatten())), b.column("spans")
+            hit = spans.is_valid()
+            which = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            texts = [redacted(cols["text"][i].as_py(), spans[i].as_py(), mark) for i in which.tolist()]
+            cols["text"] = pc.replace_with_mask(cols["text"], hit, pa.array(texts, pa.string()))
+            if "n_chars" in cols:
+                sizes = pa.array([len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
+                cols["n_chars"] = pc.replace_with_mask(cols["n_chars"], hit, sizes)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return rows.mapInArrow(run, docs.schema)
 
-    def take(acc, s):
-        free = s["start"] >= acc["at"]
-        piece = F.concat(acc["t"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (F.greatest(s["start"] - acc["at"], F.lit(0))).cast("int")), F.when(free, F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(piece.alias("t"), F.greatest(s["stop"], acc["at"]).alias("at"))
 
-    clean = F.aggregate("_all", start, take, lambda acc: F.concat(acc["t"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("_all").isNull(), F.col("text")).otherwise(clean)
-    out = joined.withColumn("_text", text)
-    cols = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_all").isNull(), F.col(c)).otherwise(F.length("_text")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return out.select(*cols)
+def repository() -> Column:
+    """The table names no repositories: a source's section in one language stands for one, and the source for its owner."""
+    return F.concat_ws("/", "source", "lang")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    out = judge(C.read(spark, sf_dir, "documents"))
+    out = judge(C.read(spark, sf_dir, "documents"), repository())
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("all").alias("spans"))
 
 
 ORACLE = r"""
-WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH texts AS (SELECT doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS text FROM documents),
 patterns(kind, place, pattern, least) AS (
   VALUES ('assign', 0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0),
          ('access', 1, 'AKIA[A-Z0-9]+', 20), ('hex', 2, '[0-9a-f]+', 24), ('owned', 3, '[A-Za-z0-9+/_=-]+', 20)),
 cut AS (
-  SELECT doc_id, source, kind, place, least, pattern, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS between
+  SELECT doc_id, source, repo, kind, place, least, pattern, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS between
   FROM texts, patterns),
 matches AS (
-  SELECT doc_id, source, kind, place, least, pattern, unnest(found) AS value, unnest(between[:len(found)]) AS before, unnest(range(len(found))) AS i FROM cut),
+  SELECT doc_id, source, repo, kind, place, least, pattern, unnest(found) AS value, unnest(between[:len(found)]) AS before, unnest(range(len(found))) AS i FROM cut),
 placed AS (
   SELECT *, CAST(sum(length(before) + length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM matches),
 spans AS (
-  SELECT doc_id, source, kind, place, value, stop - length(value) AS start, stop FROM placed
+  SELECT doc_id, source, repo, kind, place, value, stop - length(value) AS start, stop FROM placed
   WHERE length(value) >= least AND (kind <> 'assign' OR length(regexp_extract(value, pattern, 2)) >= 6)),
 base AS (SELECT * FROM spans WHERE kind <> 'owned'),
 random AS (
@@ -179,7 +223,7 @@ random AS (
 letters AS (
   SELECT value, letter, count(*) AS n FROM (SELECT value, unnest(string_split(value, '')) AS letter FROM (SELECT DISTINCT value FROM random)) GROUP BY ALL),
 mixed AS (SELECT value FROM letters GROUP BY value HAVING -sum(n / length(value) * log2(n / length(value))) >= 3.5),
-live AS (SELECT value FROM random JOIN mixed USING (value) GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) = 1),
+live AS (SELECT value FROM random JOIN mixed USING (value) GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) = 1 AND count(DISTINCT coalesce(repo, chr(1))) <= 2),
 every AS (SELECT doc_id, kind, place, start, stop FROM base UNION ALL SELECT doc_id, kind, place, start, stop FROM random JOIN live USING (value)),
 lines AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,

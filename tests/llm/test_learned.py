@@ -69,9 +69,61 @@ def test_language_filters(spark):
     assert {r.lang_pred for r in L.predict(odd, none).collect()} == {"und"}
 
 
-def test_bloom_lookup_has_no_false_negatives():
-    f = L.Filters(["a", "b"])
-    grams = np.random.default_rng(0).integers(0, L.GRAMS, 5000).astype(np.uint32)
-    f.insert(grams, 1)
-    f.seal()
-    assert ((f.masks(grams) >> np.uint8(1)) & np.uint8(1)).all() and f.false_rate[0] == 0 and f.false_rate[1] < 0.01
+def exact_shares(rows, text):
+    """The share of the text's n-grams that belong to each language, by counting."""
+    fold = lambda t: bytes(32 if c in L.C.SPACE_BYTES or 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in t.encode())
+    cut = lambda t: [fold(t)[i : i + 3] for i in range(len(t.encode()) - 2)]
+    rate = {}
+    for lang in {r[2] for r in rows}:
+        grams = [g for _, t, x in rows if x == lang for g in cut(t)]
+        rate[lang] = {g: grams.count(g) / len(grams) for g in set(grams)}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    own = {lang: {g for g, x in r.items() if x >= L.RATIO * best[g]} for lang, r in rate.items()}
+    return {lang: sum(g in s for g in cut(text)) / max(1, len(cut(text))) for lang, s in own.items()}
+
+
+def test_language_scores_equal_counting(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgé"[k : k + 6]), 4)) for _ in range(12)), f"l{k}") for i, k in enumerate([0, 1, 2] * 8)]
+    learned = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learned).collect():
+        want = exact_shares(rows, rows[r.doc_id][1])
+        assert abs(r.score - max(want.values())) < 0.03 and want[r.lang_pred] > max(want.values()) - 0.03
+
+
+def test_many_languages_and_a_long_text(spark):
+    rows = [(i, "".join(chr(0x4E00 + 40 * i + j) for j in range(40)) * 3, f"l{i:03}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = L.learn(docs)
+    assert len(learned.planes) == 3
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in L.predict(docs, learned).collect())
+    long = spark.createDataFrame([(7, rows[7][1] * 20_000, "x")], docs.schema)
+    assert L.predict(long, learned).first().lang_pred == "l007"
+
+
+def test_filter_grows_with_its_ngrams():
+    rng = np.random.default_rng(0)
+    for n in (10, 5_000, 400_000):
+        grams = rng.choice(L.GRAMS, n, replace=False).astype(np.uint32)
+        bits = L.slot_bits(n)
+        slots = np.zeros(1 << bits, np.uint8)
+        for p in L.places(grams, bits):
+            slots[p] |= 2
+        f = L.Filters(["a", "b"], [slots], bits)
+        assert ((f.masks(grams)[0] >> 1) & 1).all() and f.false_rate[0] == 0 and f.false_rate[1] <= 1.1 * L.FALSE_RATE
+        others = np.setdiff1d(rng.choice(L.GRAMS, 100_000).astype(np.uint32), grams)
+        assert (f.masks(others)[0] > 0).mean() <= 2 * L.FALSE_RATE
+
+
+def test_network_equals_a_plain_convolution():
+    net, rng = Q.Network(), np.random.default_rng(2)
+    net.p["table"] = rng.normal(size=net.p["table"].shape).astype(np.float32)
+    text = rng.integers(0, 256, 700).astype(np.uint8)
+    best = []
+    for s in (0, 192, 384, 444):
+        chunk = text[s : s + Q.CHUNK]
+        places = range(0, Q.CHUNK - Q.WIDTH + 1, Q.STRIDE)
+        best.append([max(0.0, max(sum(net.p["table"][w, chunk[p + w], f] for w in range(Q.WIDTH)) for p in places)) for f in range(Q.FILTERS)])
+    best = np.array(best)
+    z = float(np.concatenate((best.mean(0), best.max(0))) @ net.p["out"] + net.p["level"][0])
+    assert abs(net.scores(text, np.array([0, len(text)]))[0] - 1 / (1 + np.exp(-z))) < 1e-4

@@ -103,3 +103,9 @@ def test_plain_words_keep_the_ids():
             got += [np.frombuffer(ids.packed(raw[s:e]), "<u4").tolist() for s, e in zip(edges, edges[1:])]
         for text, own in zip(rows, got):
             assert own == t.encode(text, add_special_tokens=False).ids + [P.END_ID], repr(text)
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    docs = [(1, "some words of a long text " * 30_000), (2, "short")]
+    table = spark.createDataFrame([(*d, 0, 0, 0) for d in docs], "doc_id long, text string, length int, rank int, sequence_id int")
+    check(P.pack(table, P.vocabulary()).collect(), docs, P.WINDOW)

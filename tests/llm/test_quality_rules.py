@@ -54,3 +54,30 @@ def test_odd_rows_and_clashing_columns(spark, docs):
     kept = Q.keep(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
     assert Q.judge(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_verdict_equals_a_walk_down_each_tree(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdeAB#!1"), 4)) for _ in range(int(rng.integers(8, 60)))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t.count("#") < 8), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model = Q.fit(docs, labels)
+
+    def kept(row):
+        words = max(row["n_words"], 1)
+        if row["n_words"] < 10 or 100 * row["n_repeat_words"] > 20 * row["n_words"]:
+            return False
+        chars, lines = max(row["word_chars"], 1), max(row["n_lines"], 1)
+        x = [row["n_symbols"] / words, row["n_repeat_words"] / words, row["n_dup_lines"] / lines, row["n_upper"] / chars, row["n_bang"] / words, row["n_digits"] / chars, row["word_chars"] / words, row["n_words"] / lines, np.log1p(row["n_words"])]
+        total = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+            total += value[node]
+        return total >= 0
+
+    out = Q.judge(docs, labels).collect()
+    assert all(r.kept == kept(r.asDict()) for r in out) and 20 < sum(r.kept for r in out) < 180
+    long = spark.createDataFrame([(1, "word other " * 200_000)], "doc_id long, text string")
+    assert Q.judge(long, labels).first().n_words == 400_000

@@ -36,7 +36,11 @@ def test_base_spans_and_ownership(spark):
     every = {r.doc_id: r["all"] for r in out}
     assert all(every[100 + i] == "" for i in range(5)) and every[300] == ""
     assert every[200] == f"owned:7:{7 + len(live)}" and every[201] and every[None]
+    assert {(r.verdict, r.n_owners, r.n_uses) for r in S.candidate_table(S.scan(docs)).collect() if r.doc_id in (100, 200)} == {("copied", 6, 6), ("live", 1, 4)}
+    docs = docs.withColumns({"row": F.lit(1), "spans": F.lit("s"), "_key": F.lit("k"), "row_key": F.lit("rk"), "n_chars": F.length("text")})
     clean = S.redact(docs)
+    assert {(r.row, r.spans, r._key, r.row_key) for r in clean.collect()} == {(1, "s", "k", "rk")}
+    assert all(r.text is None or r.n_chars == len(r.text) for r in clean.collect())
     assert clean.columns == docs.columns and clean.count() == len(rows)
     assert clean.where(F.contains("text", F.lit(live))).count() == 0
     assert {r.text for r in clean.where("doc_id = 200").collect()} == {"my key [REDACTED] here"}
@@ -47,3 +51,18 @@ def test_base_spans_and_ownership(spark):
 def test_digest_of_spans(spark):
     docs = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert S.judge(docs).select(F.sha2(S.span_text("base"), 256).alias("h")).first().h == hashlib.sha256(b"").hexdigest()
+
+
+def test_one_owner_in_many_repositories_is_no_secret(spark):
+    key = "Zx9" * 3 + "Qw7rT2yU5iO1pLk3Jh"
+    rows = [(i, f"use {key} here", f"repo{i % n}", "owner", n) for n in (2, 3) for i in range(6)]
+    for n, verdict in ((2, "live"), (3, "copied")):
+        docs = spark.createDataFrame([r for r in rows if r[4] == n], "doc_id long, text string, repo string, owner string, n int")
+        got = S.candidate_table(S.scan(docs, "repo", "owner")).collect()
+        assert {(r.verdict, r.n_repos, r.n_owners) for r in got} == {(verdict, n, 1)} and len(got) == 6
+        assert {r["all"] is not None and len(r["all"]) for r in S.judge(docs, "repo", "owner").collect()} == {int(verdict == "live")}
+
+
+def test_a_text_full_of_secrets(spark):
+    docs = spark.createDataFrame([(1, "password=abcdef123 x " * 20_000, "s")], "doc_id long, text string, source string")
+    assert S.redact(docs).first().text == "[REDACTED] x " * 20_000

@@ -11,8 +11,8 @@ def brute(url, rules):
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
     host, path = rest[:cut].translate(str.maketrans(U.UPPER, U.LOWER)), rest[cut:]
     path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
-    fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
-    best = max(fit, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), default=None)
+    fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1]) or not r[1]) and host and path.startswith(r[2])]
+    best = max(fit, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0]), default=None)
     return host, path, best and best[1] + best[2], best[0] if best else "allow"
 
 
@@ -24,9 +24,15 @@ def test_sweep_equals_brute_force(spark):
     for _ in range(3000):
         urls.append("http://" + ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4))) + rng.choice(["", "/", "/en/", "/es/x", "/x/y", "/x?y", "#/en/"]))
     urls += ["http://hot.example.com/en/"] * 500
-    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)] + [(None, None, None)], "page_id long, url string, rule string")
-    got = {r.page_id: (r._host, r._path, r._rule, r._verdict) for r in U.apply_rules(pages, rules, order="page_id").collect()}
-    assert len(got) == len(urls) + 1
-    assert all(got[i] == brute(u, rules) for i, u in enumerate(urls))
+    urls.append("http://long.example.com/en/" + "x" * 300_000)
+    rules += [("block", "", "/x"), ("allow", "", "/x"), ("allow", "b.com", "/en"), ("block", "b.com", "/en")]
+    pages = spark.createDataFrame([(i, u, "k", "f", "key", 1) for i, u in enumerate(urls)] + [(None, None, None, None, None, 1)], "page_id long, url string, rule string, found string, key string, part int")
+    assert U.found_name(pages) == "found_"
+    for ranges in (1, 4, 23):
+        out = U.apply_rules(pages, rules, ranges=ranges)
+        assert out.columns == [*pages.columns, "found_"]
+        got = {r.page_id: (r.url, r.rule, r.found, r.key, r.part, tuple(r.found_)) for r in out.collect()}
+        assert len(got) == len(urls) + 1
+        assert all(got[i] == (u, "k", "f", "key", 1, brute(u, rules)) for i, u in enumerate(urls))
     assert U.apply_rules(pages.limit(0), rules).count() == 0
-    assert all(r._rule is None for r in U.apply_rules(pages, []).collect())
+    assert all(r.found_.rule is None for r in U.apply_rules(pages, []).collect())
