@@ -45,9 +45,9 @@ def spacing_free_cer(reference, hypothesis) -> Column:
 
 
 def missing_share(text, needles) -> Column:
-    """Share of the needles that the text does not contain; null without needles."""
+    """Share of the needles that the text does not contain; null without needles or text."""
     lost = F.filter(col(needles), lambda n: ~F.contains(col(text), n))
-    return F.size(lost) / F.nullif(F.size(col(needles)), F.lit(0))
+    return F.when(col(text).isNotNull(), F.size(lost) / F.nullif(F.size(col(needles)), F.lit(0)))
 
 
 def substring_distance(needle, haystack) -> Column:

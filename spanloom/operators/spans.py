@@ -132,3 +132,41 @@ def thin(points: Column, least_ms: int, first_after: int | None = None) -> Colum
 def runs(df: DataFrame, key: list[str], index: str) -> DataFrame:
     """df with `run`: rows of consecutive indices have one run number."""
     return df.withColumn("run", F.col(index) - F.row_number().over(Window.partitionBy(*key).orderBy(index)))
+
+
+def within_media(spans: DataFrame, start: str, end: str, first, last) -> DataFrame:
+    """spans cut to [first, last); what lies outside is dropped."""
+    cut = spans.withColumns({start: F.greatest(F.col(start), F.lit(first)), end: F.least(F.col(end), F.lit(last))})
+    return cut.where(F.col(end) > F.col(start))
+
+
+def not_exclusive(spans: DataFrame, key: str, start: str, end: str, *ties: str) -> DataFrame:
+    """spans that begin before an earlier one of their key has ended, with overlaps_end_ms."""
+    before = F.max(end).over(Window.partitionBy(key).orderBy(start, *ties).rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("overlaps_end_ms", before).where(F.col("overlaps_end_ms") > F.col(start))
+
+
+def end_to_end(spans: DataFrame, key: str, start: str, end: str, *ties: str) -> DataFrame:
+    """spans with offset_ms: where each begins if they are played one after another."""
+    before = Window.partitionBy(key).orderBy(start, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("offset_ms", F.coalesce(F.sum(F.col(end) - F.col(start)).over(before), F.lit(0)))
+
+
+def between(spans: DataFrame, key: str, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """key, pause_start_ms, pause_end_ms: what lies between consecutive disjoint spans."""
+    following = F.lead(start).over(Window.partitionBy(key).orderBy(start))
+    return spans.select(key, F.col(end).alias("pause_start_ms"), following.alias("pause_end_ms")).where("pause_end_ms is not null")
+
+
+def all_cuts(key: str, *sources: DataFrame) -> DataFrame:
+    """key, cut_ms of several cut tables (key, cut_ms), each place once."""
+    out = sources[0].select(key, "cut_ms")
+    for s in sources[1:]:
+        out = out.unionByName(s.select(key, "cut_ms"))
+    return out.distinct()
+
+
+def retained_order(spans: DataFrame, key: str, start: str, end: str, *ties: str) -> DataFrame:
+    """spans after the first of their key, with overlaps: do they begin before the one before has ended?"""
+    before = F.lag(end).over(Window.partitionBy(key).orderBy(start, *ties))
+    return spans.withColumn("_b", before).where("_b is not null").withColumn("overlaps", F.col("_b") > F.col(start)).drop("_b")

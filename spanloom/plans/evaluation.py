@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanloom import tables as T
 from spanloom.functions import intervals as I
 from spanloom.functions import numbers as N
+from spanloom.functions import text as X
+from spanloom.operators import reports as R
 from spanloom.operators import spans as P
 from spanloom.tables import with_tables
 
@@ -76,13 +78,13 @@ def unique_wins(spark, d):
 @query("q4_35_misleading_rate", "select source, round(avg(cast(toxic as double)), 9) as rate, count(toxic) as n from documents d left join labels l on l.doc_id = d.doc_id group by source")
 def misleading(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels"), "doc_id", "left")
-    return j.groupBy("source").agg(F.round(F.avg(F.col("toxic").cast("double")), 9).alias("rate"), F.count("toxic").alias("n"))
+    return R.flag_rate(j, "source", "toxic").withColumn("rate", F.round("rate", 9))
 
 
 @query("q4_36_completeness_rate", "select lang, round(avg(cast(quality as double)), 9) as rate from documents d left join labels l on l.doc_id = d.doc_id group by lang")
 def completeness(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "lang").join(T.read(spark, d, "labels"), "doc_id", "left")
-    return j.groupBy("lang").agg(F.round(F.avg(F.col("quality").cast("double")), 9).alias("rate"))
+    return R.flag_rate(j, "lang", "quality").select("lang", F.round("rate", 9).alias("rate"))
 
 
 @query("q8_19_wilson_interval", "with a as (select source, avg(cast(quality as double)) as p, cast(count(quality) as double) as n from documents d join labels l on l.doc_id = d.doc_id group by source), z as (select 1.959963984540054 as z) select source, round(greatest((p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 0.0), 9) as low, round(least((p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 1.0), 9) as high from a, z")
@@ -97,108 +99,116 @@ def preference(spark, d):
     j = T.read(spark, d, "documents").select("doc_id").join(T.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     s = F.when(F.col("quality").isNull(), 0.5).when(F.col("quality") == 1, 1.0).otherwise(0.0)
     c = j.select(F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string")).alias("x"), F.concat(F.lit("b"), (F.col("doc_id") % 2).cast("string")).alias("y"), s.alias("s"))
-    both = c.select(F.explode(F.array(F.struct(F.col("x").alias("system"), F.col("s")), F.struct(F.col("y").alias("system"), (1.0 - F.col("s")).alias("s")))).alias("e")).select("e.*")
-    return both.groupBy("system").agg(F.round(F.avg("s"), 9).alias("win_rate"), F.count("*").alias("n"))
+    return R.win_rates(c, "x", "y", "s").withColumn("win_rate", F.round("win_rate", 9))
 
 
-ITEMS = "items as (select doc_id, lang as dialect, source as condition, n_chars, n_chars / 15000.0 as duration_s, 'm' || (doc_id % 4) as model, (n_chars % 97) / 970.0 as cer, case when doc_id % 5 = 0 then null else (n_chars % 31) / 31.0 end as entity_error from documents)"
+ITEMS = f"""it as (select conv_id * 1000 + turn as item_id, role as dialect, text as ref, conv_id % 9 = 4 as failed, 'm' || (conv_id % 4) as model, turn, cast(length(text) as bigint) as n_chars,
+   case conv_id % 4 when 0 then replace(text, 'th', 't') when 1 then replace(text, 'on', 'om') when 2 then replace(text, 'e', '') else replace(text, 'le ', 'la ') end as hyp from conversations),
+ items as (select item_id, dialect, model, n_chars, n_chars / 15.0 as duration_s, n_chars / 15.0 * (0.2 + turn % 5 * 0.25) as wall_s,
+   case when not failed then levenshtein(translate(ref, '{T.LETTERS}', {T.ONE_BYTE}), translate(hyp, '{T.LETTERS}', {T.ONE_BYTE})) / cast(nullif(n_chars, 0) as double) end as cer,
+   case when not failed then len(list_filter(names, lambda n: not contains(hyp, n))) / cast(nullif(len(names), 0) as double) end as entity_error
+   from (select *, list_filter(string_split_regex(ref, '\\s+'), lambda x: regexp_matches(x, '^\\p{{Lu}}')) as names from it))"""
 
 
 def items(spark, d):
-    n = F.col("n_chars")
-    return T.read(spark, d, "documents").select("doc_id", F.col("lang").alias("dialect"), F.col("source").alias("condition"), "n_chars", (n / 15000.0).alias("duration_s"), F.concat(F.lit("m"), (F.col("doc_id") % 4).cast("string")).alias("model"), (n % 97 / 970.0).alias("cer"), F.when(F.col("doc_id") % 5 != 0, n % 31 / 31.0).alias("entity_error"))
-
-
-@query("q4_7_micro_cer", f"with {ITEMS} select model, round(cast(sum(cer * n_chars) as double) / nullif(sum(n_chars), 0), 9) as micro_cer from items group by model")
+    """Each turn is an item of one model, whose hypothesis is the turn misheard in the model's way; some runs failed."""
+    c = T.read(spark, d, "conversations")
+    failed, way = F.col("conv_id") % 9 == 4, F.col("conv_id") % 4
+    misheard = [("th", "t"), ("on", "om"), ("e", ""), ("le ", "la ")]
+    hyp = F.coalesce(*[F.when(way == k, F.replace("text", F.lit(a), F.lit(b))) for k, (a, b) in enumerate(misheard)])
+    names = F.filter(F.split("text", r"\s+"), lambda x: x.rlike(r"^\p{Lu}"))
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.col("role").alias("dialect"), F.concat(F.lit("m"), way.cast("string")).alias("model"), F.col("text").alias("ref"), F.when(~failed, hyp).alias("hyp"), names.alias("names"), F.length("text").cast("long").alias("n_chars"), "turn")
+    rows = rows.withColumn("duration_s", F.col("n_chars") / 15.0).withColumn("wall_s", F.col("duration_s") * (0.2 + F.col("turn") % 5 * 0.25))
+    return rows.select("item_id", "dialect", "model", "n_chars", "duration_s", "wall_s", X.cer("ref", "hyp").alias("cer"), X.missing_share("hyp", "names").alias("entity_error"))
+
+
+@query("q4_7_micro_cer", f"with {ITEMS} select model, round(sum(cer * n_chars) / nullif(sum(n_chars) filter (where cer is not null), 0), 9) as micro_cer from items group by model")
 def micro_cer(spark, d):
-    return items(spark, d).groupBy("model").agg(F.round(N.rate(F.sum(F.col("cer") * F.col("n_chars")), F.sum("n_chars")), 9).alias("micro_cer"))
+    return R.micro_rate(items(spark, d), ["model"]).withColumn("micro_cer", F.round("micro_cer", 9))
 
 
-@query("q4_8_cer_by_dialect", f"with {ITEMS} select model, dialect, round(cast(sum(cer * n_chars) as double) / nullif(sum(n_chars), 0), 9) as micro_cer from items group by model, dialect")
+@query("q4_8_cer_by_dialect", f"with {ITEMS} select model, dialect, round(sum(cer * n_chars) / nullif(sum(n_chars) filter (where cer is not null), 0), 9) as micro_cer from items group by model, dialect")
 def cer_by_dialect(spark, d):
-    return items(spark, d).groupBy("model", "dialect").agg(F.round(N.rate(F.sum(F.col("cer") * F.col("n_chars")), F.sum("n_chars")), 9).alias("micro_cer"))
+    return R.micro_rate(items(spark, d), ["model", "dialect"]).withColumn("micro_cer", F.round("micro_cer", 9))
 
 
-@query("q4_9_entity_error", f"with {ITEMS} select model, round(avg(cast(entity_error as double)), 9) as error, count(entity_error) as n from items group by model")
+@query("q4_9_entity_error", f"with {ITEMS} select model, round(avg(entity_error), 9) as error, count(entity_error) as n from items group by model")
 def entity_error(spark, d):
-    return items(spark, d).groupBy("model").agg(F.round(F.avg("entity_error"), 9).alias("error"), F.count("entity_error").alias("n"))
+    return R.measured_mean(items(spark, d), "model", "entity_error").withColumn("error", F.round("error", 9))
+
 
+@query("q4_10_code_switch_error", r"with s as (select b.item_id, b.text as ref, p.text as hyp, list_filter(string_split_regex(b.text, '\s+'), lambda x: regexp_matches(x, '[A-Z]|[^\x00-\x7F]')) as spans from benchmark b join benchmark p on p.item_id = b.item_id + 1), e as (select item_id % 4 as model, len(list_filter(spans, lambda x: not contains(hyp, x))) / cast(nullif(len(spans), 0) as double) as e from s) select model, round(avg(e), 9) as error, count(e) as n from e group by model")
+def code_switch_error(spark, d):
+    """Exact containment of switched words in the next item's text, by model."""
+    b = T.read(spark, d, "benchmark")
+    spans = F.filter(F.split("text", r"\s+"), lambda x: x.rlike(r"[A-Z]|[^\x00-\x7F]"))
+    hyp = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hyp"))
+    scored = b.select("item_id", spans.alias("spans")).join(hyp, "item_id").select((F.col("item_id") % 4).alias("model"), X.missing_share("hyp", "spans").alias("error"))
+    return R.measured_mean(scored, "model", "error").withColumn("error", F.round("error", 9))
 
-@query("q4_11_mean_worst_rtf", f"with {ITEMS} select model, round(avg(cast(cer as double) / duration_s), 9) as mean_rtf, round(max(cast(cer as double) / duration_s), 9) as worst_rtf from items group by model")
+
+@query("q4_11_mean_worst_rtf", f"with {ITEMS} select model, round(avg(wall_s / nullif(duration_s, 0)), 9) as mean_rtf, round(max(wall_s / nullif(duration_s, 0)), 9) as worst_rtf from items group by model")
 def rtf(spark, d):
-    own = items(spark, d).withColumn("rtf", F.col("cer") / F.col("duration_s"))
-    return own.groupBy("model").agg(F.round(F.avg("rtf"), 9).alias("mean_rtf"), F.round(F.max("rtf"), 9).alias("worst_rtf"))
+    return R.speed(items(spark, d), "model").select("model", F.round("mean_rtf", 9).alias("mean_rtf"), F.round("worst_rtf", 9).alias("worst_rtf"))
+
 
+@query("q4_12_worst_rtf", f"with {ITEMS} select dialect, round(max(wall_s / nullif(duration_s, 0)), 9) as worst_rtf from items group by dialect")
+def worst_rtf(spark, d):
+    return R.speed(items(spark, d), "dialect").select("dialect", F.round("worst_rtf", 9).alias("worst_rtf"))
 
-@query("q4_17_decide_canonical", f"""with {ITEMS}, bd as (select model, dialect, cast(sum(cer * n_chars) as double) / sum(n_chars) as c from items group by 1, 2), b as (select model, cast(sum(cer * n_chars) as double) / sum(n_chars) as c, max(cast(cer as double) / duration_s) as worst from items group by 1),
- i as (select c from b where model = 'm0'), g as (select x.model, bool_or(x.c > y.c * 1.0) as regress, count(*) as n from bd x join bd y on y.model = 'm0' and y.dialect = x.dialect group by 1)
- select b.model, round((i.c - b.c) / i.c, 9) as gain, g.regress, (i.c - b.c) / i.c >= 0.1 and not g.regress and b.worst <= 1.0 as promoted,
- concat_ws(';', case when (i.c - b.c) / i.c < 0.1 then 'gain' end, case when g.regress then 'regression' end, case when b.worst > 1.0 then 'speed' end) as reasons from b, i, g where g.model = b.model and b.model <> 'm0'""")
+
+@query("q4_13_item_rtf", f"with {ITEMS} select item_id, round(wall_s / nullif(duration_s, 0), 9) as rtf from items")
+def item_rtf(spark, d):
+    return items(spark, d).select("item_id", F.round(R.real_time_factor("wall_s", "duration_s"), 9).alias("rtf"))
+
+
+@query("q4_17_decide_canonical", f"""with {ITEMS}, bd as (select model, dialect, sum(cer * n_chars) / nullif(sum(n_chars) filter (where cer is not null), 0) as c from items group by 1, 2),
+ w as (select model, sum(cer * n_chars) / nullif(sum(n_chars) filter (where cer is not null), 0) as c, max(wall_s / nullif(duration_s, 0)) as worst from items group by 1), b as (select c as base from w where model = 'm0'),
+ g as (select bd.model, bool_or(bd.c > z.c) as regress from bd join bd z on z.dialect = bd.dialect and z.model = 'm0' group by 1)
+ select w.model, round((base - c) / base, 9) as gain, regress, (base - c) / base >= 0.1 and not regress and worst <= 1.0 as promoted,
+  concat_ws(';', case when (base - c) / base < 0.1 then 'gain' end, case when regress then 'regression' end, case when worst > 1.0 then 'speed' end) as reasons from w join g on g.model = w.model, b where w.model <> 'm0'""")
 def decide(spark, d):
-    micro = N.rate(F.sum(F.col("cer") * F.col("n_chars")), F.sum("n_chars"))
-    own = items(spark, d)
-    whole = own.groupBy("model").agg(micro.alias("c"), F.max(F.col("cer") / F.col("duration_s")).alias("worst"))
-    part = own.groupBy("model", "dialect").agg(micro.alias("c"))
-    base = whole.where("model = 'm0'").select(F.col("c").alias("base"))
-    regress = part.join(part.where("model = 'm0'").select("dialect", F.col("c").alias("base_c")), "dialect").groupBy("model").agg(F.bool_or(F.col("c") > F.col("base_c")).alias("regress"))
-    gain = (F.col("base") - F.col("c")) / F.col("base")
-    rows = whole.where("model <> 'm0'").join(F.broadcast(base)).join(regress, "model").withColumn("gain", gain)
-    reasons = F.concat_ws(";", F.when(F.col("gain") < 0.1, "gain"), F.when(F.col("regress"), "regression"), F.when(F.col("worst") > 1.0, "speed"))
-    return rows.select("model", F.round("gain", 9).alias("gain"), "regress", ((F.col("gain") >= 0.1) & ~F.col("regress") & (F.col("worst") <= 1.0)).alias("promoted"), reasons.alias("reasons"))
-
-
-@query("q4_18_long_audio_failures", f"with {ITEMS} select dialect, round(count(*) filter (where entity_error is null and duration_s > 0.2) / cast(nullif(count(*) filter (where duration_s > 0.2), 0) as double), 9) as rate from items group by dialect")
+    return R.choose_model(items(spark, d), "m0").withColumn("gain", F.round("gain", 9))
+
+
+@query("q4_18_long_audio_failures", f"with {ITEMS} select dialect, round(count(*) filter (where duration_s > 30 and cer is null) / cast(nullif(count(*) filter (where duration_s > 30), 0) as double), 9) as rate from items group by dialect")
 def long_failures(spark, d):
-    long = F.col("duration_s") > 0.2
-    return items(spark, d).groupBy("dialect").agg(F.round(N.rate(F.count_if(long & F.col("entity_error").isNull()), F.count_if(long)), 9).alias("rate"))
+    return R.failure_rate(items(spark, d), "dialect", F.col("duration_s") > 30, F.col("cer").isNull()).withColumn("rate", F.round("rate", 9))
 
 
 @query("q4_20_mean_aligned_logprob", with_tables("words", " select media_id, round(sum((end_ms - start_ms) * ln(greatest(conf, 1e-12))) / sum(end_ms - start_ms), 9) as mean_logprob from words group by media_id"))
 def logprob(spark, d):
-    ms = F.col("end_ms") - F.col("start_ms")
-    return T.words(spark, d).groupBy("media_id").agg(F.round(F.sum(ms * F.log(F.greatest("conf", F.lit(1e-12)))) / F.sum(ms), 9).alias("mean_logprob"))
+    return R.mean_log_probability(T.words(spark, d), "media_id").withColumn("mean_logprob", F.round("mean_logprob", 9))
 
 
 @query("q4_4_coverage", "select dialect, condition, coalesce(n, 0) as n_items, round(coalesce(h, 0), 9) as hours from (select * from (select distinct lang as dialect from documents) cross join (select distinct source as condition from documents)) g left join (select lang, source, count(*) as n, sum(n_chars) / cast(54000000 as double) as h from documents group by 1, 2) c on c.lang = g.dialect and c.source = g.condition")
 def coverage(spark, d):
-    docs = T.read(spark, d, "documents")
-    cells = docs.groupBy(F.col("lang").alias("dialect"), F.col("source").alias("condition")).agg(F.count("*").alias("n"), (F.sum("n_chars") / 54000000).alias("h"))
-    langs, sources = cells.select("dialect").distinct(), cells.select("condition").distinct()
-    grid = langs.join(F.broadcast(sources.agg(F.collect_set("condition").alias("c")))).select("dialect", F.explode("c").alias("condition"))
-    return grid.join(cells, ["dialect", "condition"], "left").select("dialect", "condition", F.coalesce("n", F.lit(0)).alias("n_items"), F.round(F.coalesce("h", F.lit(0.0)), 9).alias("hours"))
+    docs = T.read(spark, d, "documents").select(F.col("lang").alias("dialect"), F.col("source").alias("condition"), "n_chars")
+    return R.coverage(docs, "dialect", "condition", F.col("n_chars") / 54000000).withColumn("hours", F.round("hours", 9))
 
 
 @query("q4_5_missing_cells", "select dialect, condition from (select distinct lang as dialect from documents) cross join (select distinct source as condition from documents) where (dialect, condition) not in (select lang, source from documents where n_chars > 2000)")
 def missing_cells(spark, d):
-    docs = T.read(spark, d, "documents")
-    own = docs.select(F.col("lang").alias("dialect"), F.col("source").alias("condition"), "n_chars").groupBy("dialect", "condition").agg(F.max("n_chars").alias("m"))
-    sources = own.agg(F.collect_set("condition").alias("c"))
-    grid = own.select("dialect").distinct().join(F.broadcast(sources)).select("dialect", F.explode("c").alias("condition"))
-    return grid.join(own.where("m > 2000"), ["dialect", "condition"], "left_anti")
+    docs = T.read(spark, d, "documents").select(F.col("lang").alias("dialect"), F.col("source").alias("condition"), "n_chars")
+    return R.missing_cells(docs, "dialect", "condition", F.col("n_chars") > 2000)
 
 
 @query("q4_29_decide_judge", "with w as (select d.source, count(*) filter (where quality = 0) as shadow, count(*) filter (where quality = 1 and toxic = 0) as incumbent, count(*) as n from documents d join labels l using (doc_id) group by 1) select source, n, incumbent, shadow, case when n < 20 then 'too few' when shadow > incumbent then 'switch' else 'keep' end as decision from w")
 def decide_judge(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels"), "doc_id")
-    w = j.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("incumbent"), F.count_if(F.col("quality") == 0).alias("shadow"))
-    return w.withColumn("decision", F.when(F.col("n") < 20, "too few").when(F.col("shadow") > F.col("incumbent"), "switch").otherwise("keep"))
+    return R.switch_decision(j, "source", (F.col("quality") == 1) & (F.col("toxic") == 0), F.col("quality") == 0)
 
 
 @query("q4_30_repeat_agreement", with_tables("spans", ", u as (select media_id, 'value' as metric, value as v from spans union all select media_id, 'length', (out_ms - in_ms) / 1000.0 from spans) select media_id, metric, round(avg(v), 8) as mean, round(stddev_pop(v), 8) as std, round(max(v) - min(v), 8) as spread from u group by 1, 2"))
 def repeat_agreement(spark, d):
-    s = T.spans(spark, d)
-    u = s.select("media_id", F.explode(F.array(F.struct(F.lit("value").alias("metric"), F.col("value").alias("v")), F.struct(F.lit("length").alias("metric"), ((F.col("out_ms") - F.col("in_ms")) / 1000.0).alias("v")))).alias("u")).select("media_id", "u.*")
-    return u.groupBy("media_id", "metric").agg(F.round(F.avg("v"), 8).alias("mean"), F.round(F.stddev_pop("v"), 8).alias("std"), F.round(F.max("v") - F.min("v"), 8).alias("spread"))
+    got = R.repeat_agreement(T.spans(spark, d), "media_id", {"value": F.col("value"), "length": (F.col("out_ms") - F.col("in_ms")) / 1000.0})
+    return got.select("media_id", "metric", *[F.round(c, 8).alias(c) for c in ("mean", "std", "spread")])
 
 
 @query("q4_40_cluster_variance", "with c as (select source, lang, cast(count(*) as double) as n, cast(count(*) filter (where quality = 1) as double) as a from documents d join labels l using (doc_id) group by 1, 2), t as (select lang, sum(n) as tn, sum(a) / sum(n) as p, cast(count(*) as double) as k from c group by 1) select c.lang, round(min(k) / nullif(min(k) - 1, 0) * sum((a - p * n) * (a - p * n)) / (min(tn) * min(tn)), 12) as variance from c join t on t.lang = c.lang group by c.lang")
 def cluster_variance(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "source", "lang").join(T.read(spark, d, "labels"), "doc_id")
-    c = j.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("a"))
-    own = Window.partitionBy("lang")
-    c = c.withColumns({"tn": F.sum("n").over(own), "p": F.sum("a").over(own) / F.sum("n").over(own), "k": F.count("*").over(own)})
-    gap = F.col("a") - F.col("p") * F.col("n")
-    return c.groupBy("lang").agg(F.round(F.min("k") / F.nullif(F.min("k") - 1, F.lit(0)) * F.sum(gap * gap) / (F.min("tn") * F.min("tn")), 12).alias("variance"))
+    return R.cluster_variance(j, "lang", "source", F.col("quality") == 1).withColumn("variance", F.round("variance", 12))
 
 
 @query("q4_42_acceptance_scorecard", "with a as (select lang, count(*) as n, count(*) filter (where l.doc_id is null) as refused, count(*) filter (where quality = 1) as accepted from documents d left join labels l using (doc_id) group by 1) select lang, n, round(refused / cast(n as double), 9) as refusal_rate, round(accepted / cast(n as double), 9) as first_pass_rate, round(1.96 * sqrt((accepted / cast(n as double)) * (1 - accepted / cast(n as double)) / n), 9) as margin from a")
@@ -211,26 +221,23 @@ def acceptance(spark, d):
 
 @query("q4_48_discovery_counts", with_tables("spans", " select event_type as path, count(*) as n, count(*) filter (where out_ms - in_ms between 30000 and 90000) as compliant from spans group by 1"))
 def discovery_counts(spark, d):
-    ms = F.col("out_ms") - F.col("in_ms")
-    return T.spans(spark, d).groupBy(F.col("event_type").alias("path")).agg(F.count("*").alias("n"), F.count_if(ms.between(30000, 90000)).alias("compliant"))
+    return R.span_compliance(T.spans(spark, d).withColumnRenamed("event_type", "path"), "path", "in_ms", "out_ms")
 
 
 @query("q4_50_speaker_counts", with_tables("turns", " select media_id, count(*) as n_turns, count(distinct speaker) as n_speakers, cast(sum(end_ms - start_ms) as bigint) as speech_ms from turns group by 1"))
 def speakers(spark, d):
-    return T.turns(spark, d).groupBy("media_id").agg(F.count("*").alias("n_turns"), F.countDistinct("speaker").alias("n_speakers"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
+    return R.speaker_counts(T.turns(spark, d), "media_id")
 
 
-@query("q4_60_crop_jitter", with_tables("spans", ", s as (select media_id, event_id, value - lag(value) over (partition by media_id order by in_ms, event_id) as step, value from spans), r as (select *, lag(step) over (partition by media_id order by event_id) as prev from s) select media_id, count(*) filter (where step * prev < 0) as reversals, round(max(abs(step)), 6) as max_step, round(avg(abs(step)), 6) as mean_step, round(sum(abs(step)) - abs(sum(step)), 4) as oscillation from r group by 1"))
+@query("q4_60_crop_jitter", with_tables("spans", ", s as (select media_id, event_id, in_ms, value - lag(value) over (partition by media_id order by in_ms, event_id) as step, value from spans), r as (select *, lag(step) over (partition by media_id order by in_ms, event_id) as prev from s) select media_id, count(*) filter (where step * prev < 0) as reversals, round(max(abs(step)), 6) as max_step, round(avg(abs(step)), 6) as mean_step, round(sum(abs(step)) - abs(sum(step)), 4) as oscillation from r group by 1"))
 def jitter(spark, d):
-    order = Window.partitionBy("media_id").orderBy("in_ms", "event_id")
-    s = T.spans(spark, d).withColumn("step", F.col("value") - F.lag("value").over(order))
-    r = s.withColumn("prev", F.lag("step").over(Window.partitionBy("media_id").orderBy("event_id")))
-    return r.groupBy("media_id").agg(F.count_if(F.col("step") * F.col("prev") < 0).alias("reversals"), F.round(F.max(F.abs("step")), 6).alias("max_step"), F.round(F.avg(F.abs("step")), 6).alias("mean_step"), F.round(F.sum(F.abs("step")) - F.abs(F.sum("step")), 4).alias("oscillation"))
+    got = R.jitter(T.spans(spark, d), "media_id", ["in_ms", "event_id"], "value")
+    return got.select("media_id", "reversals", F.round("max_step", 6).alias("max_step"), F.round("mean_step", 6).alias("mean_step"), F.round("oscillation", 4).alias("oscillation"))
 
 
 @query("q4_61_upper_median", with_tables("spans", " select media_id, list_sort(list(value))[len(list(value)) // 2 + 1] as median_value from spans group by 1"))
 def median(spark, d):
-    return T.spans(spark, d).groupBy("media_id").agg(N.upper_median(F.collect_list("value")).alias("median_value"))
+    return R.upper_median(T.spans(spark, d), "media_id", "value").withColumnRenamed("median", "median_value")
 
 
 @query("q4_53_publishable_rate", "select source, round(coalesce(count(*) filter (where quality = 1) / cast(nullif(count(l.doc_id), 0) as double), 0.0), 9) as rate from documents d left join labels l using (doc_id) group by 1")

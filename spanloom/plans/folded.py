@@ -11,7 +11,9 @@ from spanloom.operators import contracts as K
 from spanloom.operators import diarization as D
 from spanloom.operators import folds as O
 from spanloom.operators import hooks as H
+from spanloom.operators import reports as Q
 from spanloom.operators import retrieval as R
+from spanloom.operators import rules as U
 from spanloom.operators import sentences as E
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
@@ -53,7 +55,7 @@ def apply_targeted(spark, d):
     frames = got.select("media_id", F.explode(O.frame_times(F.col("in_ms"), F.col("out_ms"), F.col("frames").cast("int"))).alias("at_ms"))
     m = media(spark, d).withColumn("scan_in", F.lit(0).cast("long")).withColumn("scan_out", F.col("duration_ms"))
     own = lambda k: T.spans(spark, d).where(F.col("event_type") == k).select("media_id", F.col("in_ms").alias("start_ms"), F.col("out_ms").alias("end_ms"))
-    return L.observation_inventory(m, cuts(spark, d), own("view"), own("signup").limit(0), frames)
+    return L.observation_inventory(m, cuts(spark, d), own("view"), own("signup"), frames)
 
 
 @query("q5_46_grown_runs")
@@ -125,7 +127,7 @@ def discover_visual(spark, d):
 @query("q6_9_path_candidates", with_tables("spans", " select event_id, media_id, row_number() over (partition by media_id order by value desc, in_ms, event_id) as rank from spans where value > 1 and out_ms - in_ms between 20000 and 120000"))
 def path_candidates(spark, d):
     ok = T.spans(spark, d).where((F.col("value") > 1) & (F.col("out_ms") - F.col("in_ms")).between(20000, 120000))
-    return ok.select("event_id", "media_id", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("value"), "in_ms", "event_id")).alias("rank"))
+    return U.placed(ok, "media_id", F.desc("value"), "in_ms", "event_id", name="rank").select("event_id", "media_id", "rank")
 
 
 @query("q6_3_bm25_from_media", "with" + TOKENS + ", t as (select doc_id, term, count(*) as tf from tok group by 1, 2) select doc_id, count(*) as n_terms, cast(sum(tf) as bigint) as length, max(tf) as most from t group by 1")
@@ -154,23 +156,24 @@ def pooled(spark, d):
     return rows.agg(*[F.sum(c).alias(c) for c in ("speech_ms", "missed_ms", "false_alarm_ms", "confusion_ms")]).withColumn("der", F.round((F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("speech_ms"), 9))
 
 
-@query("q4_26_item_metrics", with_tables("turns", ", p as (select media_id, start_ms, case when turn % 3 = 0 then 1 else 0 end as wrong, start_ms % 37 as err, start_ms - lag(start_ms) over (partition by media_id order by turn) as step from turns) select media_id, round(avg(cast(wrong as double)), 9) as error_rate, round(avg(cast(err as double)), 9) as mae, round(avg(cast(step as double)), 9) as mean_step from p group by 1"))
+@query("q4_26_item_metrics", with_tables("turns", ", p as (select media_id, coalesce(turn % 3 = 0 and lag(speaker) over (partition by media_id order by turn) <> speaker, false) as wrong, (end_ms - start_ms) / 100.0 as err, start_ms - lag(start_ms) over (partition by media_id order by turn) as step from turns) select media_id, round(avg(cast(wrong as double)), 9) as error_rate, round(avg(cast(err as double)), 9) as mae, round(avg(cast(step as double)), 9) as mean_step from p group by 1"))
 def item_metrics(spark, d):
-    step = F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy("media_id").orderBy("turn"))
-    p = T.turns(spark, d).select("media_id", (F.col("turn") % 3 == 0).cast("double").alias("wrong"), (F.col("start_ms") % 37).alias("err"), step.alias("step"))
-    return p.groupBy("media_id").agg(F.round(F.avg("wrong"), 9).alias("error_rate"), F.round(F.avg("err"), 9).alias("mae"), F.round(F.avg("step"), 9).alias("mean_step"))
+    """A run that keeps the last speaker at every third turn and comes later the longer a turn is."""
+    before = F.lag("speaker").over(Window.partitionBy("media_id").orderBy("turn"))
+    pairs = T.turns(spark, d).withColumn("run_speaker", F.when(F.col("turn") % 3 == 0, F.coalesce(before, "speaker")).otherwise(F.col("speaker"))).withColumn("at_ms", F.col("start_ms"))
+    got = Q.track_metrics(pairs, "media_id", "turn", F.col("run_speaker") != F.col("speaker"), (F.col("end_ms") - F.col("start_ms")) / 100.0)
+    return got.select("media_id", *[F.round(c, 9).alias(c) for c in ("error_rate", "mae", "mean_step")])
 
 
-@query("q4_15_run_benchmark", f"with {ITEMS} select model, count(*) as n, count(*) filter (where entity_error is null) as n_failed, round(cast(sum(cer * n_chars) as double) / nullif(sum(n_chars), 0), 9) as micro_cer, round(avg(cast(cer as double) / duration_s), 9) as mean_rtf, round(max(cast(cer as double) / duration_s), 9) as worst_rtf from items group by model")
+@query("q4_15_run_benchmark", f"with {ITEMS} select model, count(*) as n, count(*) filter (where cer is null) as n_failed, round(sum(cer * n_chars) / nullif(sum(n_chars) filter (where cer is not null), 0), 9) as micro_cer, round(avg(wall_s / nullif(duration_s, 0)), 9) as mean_rtf, round(max(wall_s / nullif(duration_s, 0)), 9) as worst_rtf from items group by model")
 def benchmark(spark, d):
-    i = items(spark, d).withColumn("rtf", F.col("cer") / F.col("duration_s"))
-    micro = N.rate(F.sum(F.col("cer") * F.col("n_chars")), F.sum("n_chars"))
-    return i.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("entity_error").isNull()).alias("n_failed"), F.round(micro, 9).alias("micro_cer"), F.round(F.avg("rtf"), 9).alias("mean_rtf"), F.round(F.max("rtf"), 9).alias("worst_rtf"))
+    got = Q.benchmark(items(spark, d))
+    return got.select("model", "n", "n_failed", *[F.round(c, 9).alias(c) for c in ("micro_cer", "mean_rtf", "worst_rtf")])
 
 
-@query("q4_16_score_items", f"with {ITEMS} select doc_id, model, round(cast(cer as double), 9) as cer, round(cast(cer as double) / duration_s, 9) as rtf, entity_error is not null as measured from items")
+@query("q4_16_score_items", f"with {ITEMS} select item_id, model, round(cer, 9) as cer, round(wall_s / nullif(duration_s, 0), 9) as rtf, round(entity_error, 9) as entity_error, cer is not null as measured from items")
 def score_items(spark, d):
-    return items(spark, d).select("doc_id", "model", F.round("cer", 9).alias("cer"), F.round(F.col("cer") / F.col("duration_s"), 9).alias("rtf"), F.col("entity_error").isNotNull().alias("measured"))
+    return items(spark, d).select("item_id", "model", F.round("cer", 9).alias("cer"), F.round(Q.real_time_factor("wall_s", "duration_s"), 9).alias("rtf"), F.round("entity_error", 9).alias("entity_error"), F.col("cer").isNotNull().alias("measured"))
 
 
 @query("q4_41_visual_scorecard", "with c as (select lang, source, cast(count(quality) as double) as n, cast(count(*) filter (where quality = 1) as double) as a from documents left join labels using (doc_id) group by 1, 2), t as (select lang, sum(n) as n, sum(a) / nullif(sum(n), 0) as p, cast(count(*) as double) as k from c group by 1), v as (select c.lang, min(k) / nullif(min(k) - 1, 0) * sum((a - p * c.n) * (a - p * c.n)) / (min(t.n) * min(t.n)) as var from c join t on t.lang = c.lang group by 1), z as (select 1.959963984540054 as z) select t.lang, round(p, 9) as rate, round(greatest(0.0, least(p - z * sqrt(var), (p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n))), 9) as low from t join v on v.lang = t.lang, z")
@@ -187,13 +190,13 @@ def scorecard(spark, d):
 
 @query("q4_56_inspect_run", with_tables("spans", " select media_id, count(*) as n_events, count(distinct event_type) as n_stages, max(in_ms) as last_ms from spans group by 1"))
 def inspect_run(spark, d):
-    return T.spans(spark, d).groupBy("media_id").agg(F.count("*").alias("n_events"), F.countDistinct("event_type").alias("n_stages"), F.max("in_ms").alias("last_ms"))
+    return Q.run_summary(T.spans(spark, d), "media_id", "event_type", "in_ms")
 
 
 @query("q4_57_inspect_project", "select source, count(*) as n_decisions, count(*) filter (where quality = 0) as n_revisions from documents left join labels using (doc_id) group by 1")
 def inspect_project(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels"), "doc_id", "left")
-    return j.groupBy("source").agg(F.count("*").alias("n_decisions"), F.count_if(F.col("quality") == 0).alias("n_revisions"))
+    return Q.project_summary(j, "source", F.col("quality") == 0)
 
 
 @query("q5_18_output_sentences", with_tables("words", SENTENCES + """, g as (select *, lag(end_ms) over (partition by media_id order by pos) as b from w2), sh as (select media_id, sid, w, pos, start_ms - sum(case when b is not null and start_ms - b > 600 then start_ms - b - 150 else 0 end) over (partition by media_id order by pos rows unbounded preceding) as s, end_ms - start_ms as ms from g)
@@ -222,7 +225,7 @@ def order_moments(spark, d):
 
 @query("q5_56_run_timeline", with_tables("spans", " select media_id as run_id, event_id, event_type as stage, row_number() over (partition by media_id order by in_ms, event_id) as place from spans"))
 def run_timeline(spark, d):
-    return T.spans(spark, d).select(F.col("media_id").alias("run_id"), "event_id", F.col("event_type").alias("stage"), F.row_number().over(Window.partitionBy("media_id").orderBy("in_ms", "event_id")).alias("place"))
+    return U.placed(T.spans(spark, d), "media_id", "in_ms", "event_id").select(F.col("media_id").alias("run_id"), "event_id", F.col("event_type").alias("stage"), "place")
 
 
 @query("q8_12_alignment_coverage", with_tables("words", " select media_id, round(count(*) filter (where conf >= 0.6) / cast(nullif(count(*), 0) as double), 9) as coverage from words group by 1"))
@@ -236,11 +239,11 @@ def cosine(spark, d):
     return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o")), "vec_id").select("vec_id", F.round(N.cosine("embedding", "o"), 6).alias("cosine"))
 
 
-@query("q2_21_times_within_window", with_tables("spans", " select event_id, (in_ms // 1000 * 1000 + value * 1000) between in_ms and out_ms as grounded from spans"))
+@query("q2_21_times_within_window", with_tables("spans", " select event_id, 'l' || k as label, 1 as cited, (in_ms // 1000 + 15 * k) * 1000 between in_ms and out_ms as grounded from spans, (select unnest(range(6)) as k)"))
 def times_within(spark, d):
-    """Six labels a span, each citing a time; one of them is the span's start plus its value in seconds."""
-    at = F.expr("in_ms div 1000 * 1000") + F.col("value") * 1000
-    return T.spans(spark, d).select("event_id", at.between(F.col("in_ms"), F.col("out_ms")).alias("grounded"))
+    """Six labels a span, each citing a time 15 seconds after the one before."""
+    labels = {f"l{k}": F.concat(F.lit("seen at "), F.expr(f"cast(in_ms div 1000 + {15 * k} as string)"), F.lit("s")) for k in range(6)}
+    return U.labels_within(T.spans(spark, d), labels, "in_ms", "out_ms").select("event_id", "label", "cited", "grounded")
 
 
 @query("q2_29_boundary_revision", with_tables("spans", " select event_id, concat_ws(';', case when in_ms + 1000 > in_ms + cast(floor(value * 100) as bigint) then 'starts after the anchor' end, case when out_ms - 5000 < in_ms + 20000 then 'ends before the anchor' end) as reasons from spans where event_type = 'click'"))
@@ -251,10 +254,9 @@ def boundary_revision(spark, d):
 
 @query("q2_31_inspect_artifact", "select d.doc_id, 'original' as version, n_chars as span, lang as style from documents d union all select l.doc_id, 'revision', case when quality = 0 then 1 else d.n_chars end, case when toxic = 1 then 'flagged' else d.lang end from labels l join documents d using (doc_id)")
 def inspect_artifact(spark, d):
-    docs = T.read(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    docs = T.read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("span"), F.col("lang").alias("style"))
     revisions = T.read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, 1).alias("new_span"), F.when(F.col("toxic") == 1, "flagged").alias("new_style"))
-    second = docs.join(revisions, "doc_id").select("doc_id", F.lit("revision").alias("version"), F.coalesce("new_span", "n_chars").alias("span"), F.coalesce("new_style", "lang").alias("style"))
-    return docs.select("doc_id", F.lit("original").alias("version"), F.col("n_chars").alias("span"), F.col("lang").alias("style")).unionByName(second)
+    return U.effective(docs, revisions, "doc_id", {"span": "new_span", "style": "new_style"})
 
 
 def _transcripts(spark, d):

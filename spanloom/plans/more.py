@@ -9,7 +9,10 @@ from spanloom import tables as T
 from spanloom.functions import intervals as I
 from spanloom.functions import numbers as N
 from spanloom.functions import text as X
+from spanloom.operators import alignment as A
 from spanloom.operators import contracts as K
+from spanloom.operators import reports as R
+from spanloom.operators import rules as U
 from spanloom.operators import sentences as E
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
@@ -36,8 +39,8 @@ def joined(col="reasons"):
 
 @query("q2_13_retained_order", with_tables("spans", " select media_id, event_id, before > in_ms as overlaps from (select *, lag(out_ms) over (partition by media_id order by in_ms, event_id) as before from spans where event_type = 'view') where before is not null"))
 def retained_order(spark, d):
-    before = F.lag("out_ms").over(Window.partitionBy("media_id").orderBy("in_ms", "event_id"))
-    return T.spans(spark, d).where("event_type = 'view'").withColumn("b", before).where("b is not null").select("media_id", "event_id", (F.col("b") > F.col("in_ms")).alias("overlaps"))
+    views = T.spans(spark, d).where("event_type = 'view'")
+    return P.retained_order(views, "media_id", "in_ms", "out_ms", "event_id").select("media_id", "event_id", "overlaps")
 
 
 @query("q2_9_protected_pause", with_tables("spans", " select event_id, concat_ws(';', case when value * 100 > out_ms - in_ms then 'keeps more than there is' end, case when out_ms - in_ms < 25000 then 'too short' end) as reasons from spans where event_type = 'signup'"))
@@ -63,7 +66,7 @@ def tiles(spark, d):
 @query("q2_16_decision_contract", with_tables("spans", " select event_id, (case when event_type in ('click', 'view') then event_id % 3 <> 0 else false end) = (event_id % 5 <> 0) as consistent from spans"))
 def decision_contract(spark, d):
     human = F.when(F.col("event_type").isin("click", "view"), F.col("event_id") % 3 != 0).otherwise(False)
-    return T.spans(spark, d).select("event_id", (human == (F.col("event_id") % 5 != 0)).alias("consistent"))
+    return T.spans(spark, d).select("event_id", U.both_or_neither(human, F.col("event_id") % 5 != 0).alias("consistent"))
 
 
 @query("q2_17_editorial_contract", with_tables("spans", f", {VERDICT} select event_id, concat_ws(';', case when hook not between 0 and 0.9 then 'hook' end, case when risk > 0.25 then 'risk' end, case when event_type not in ('click', 'view', 'purchase', 'signup') then 'kind' end) as reasons from verdicts"))
@@ -75,7 +78,7 @@ def editorial_contract(spark, d):
 @query("q2_18_qc_contract", "select doc_id, (quality is null) = (toxic is null) and (quality is null or quality in (0, 1)) as valid from documents left join labels using (doc_id)")
 def qc_contract(spark, d):
     j = T.read(spark, d, "documents").join(T.read(spark, d, "labels"), "doc_id", "left")
-    return j.select("doc_id", ((F.col("quality").isNull() == F.col("toxic").isNull()) & (F.col("quality").isNull() | F.col("quality").isin(0, 1))).alias("valid"))
+    return j.select("doc_id", U.all_or_none("quality", "toxic", allowed={"quality": (0, 1)}).alias("valid"))
 
 
 @query("q2_28_renderable", with_tables("spans", f", {VERDICT}, r as (select event_id, concat_ws(';', case when hook < 0.75 then 'hook' end, case when risk > 0.1 then 'risk' end, case when fidelity < 0.7 then 'fidelity' end, case when cultural < 0.7 then 'cultural' end, case when payoff is null then 'not measured' end) as reasons from verdicts) select event_id, reasons, reasons = '' as accepted, split_part(reasons, ';', 1) as first_failure from r"))
@@ -87,8 +90,7 @@ def renderable(spark, d):
 
 @query("q2_32_judge_tier", "select conv_id, turn, case when text is null then 'unknown' when length(text) > 400 then 'over the ceiling' else 'ok' end as outcome from conversations")
 def judge_tier(spark, d):
-    n = F.length("text")
-    return T.read(spark, d, "conversations").select("conv_id", "turn", F.when(n.isNull(), "unknown").when(n > 400, "over the ceiling").otherwise("ok").alias("outcome"))
+    return T.read(spark, d, "conversations").select("conv_id", "turn", U.tier_outcome(F.length("text"), 400).alias("outcome"))
 
 
 @query("q2_35_scoped_acceptance", "with s as (select source, count(quality) as n, avg(cast(quality as double)) as q, max(toxic) as t from documents left join labels using (doc_id) group by 1) select source, case when n < 20 then 'insufficient' when q < 0.85 or t = 1 then 'deficient' else 'accepted' end as status, concat_ws(';', case when n < 20 then 'sample' end, case when q < 0.85 then 'quality' end, case when t = 1 then 'toxic' end) as deficiencies from s")
@@ -102,36 +104,37 @@ def scoped_acceptance(spark, d):
 
 @query("q2_37_release_eligible", with_tables("spans", " select media_id, count(*) filter (where event_type = 'error' and value > 200) = 0 and count(*) filter (where event_type in ('click', 'view', 'purchase', 'signup')) > 40 as eligible from spans group by 1"))
 def release_eligible(spark, d):
-    return T.spans(spark, d).groupBy("media_id").agg(((F.count_if((F.col("event_type") == "error") & (F.col("value") > 200)) == 0) & (F.count_if(F.col("event_type").isin("click", "view", "purchase", "signup")) > 40)).alias("eligible"))
+    critical = (F.col("event_type") == "error") & (F.col("value") > 200)
+    return R.release_eligible(T.spans(spark, d), "media_id", critical, F.col("event_type").isin("click", "view", "purchase", "signup"), 40)
 
 
 @query("q2_38_encoded_span", with_tables("words", " select media_id, pos, abs(end_ms - start_ms - 150) <= 40 as within from words"))
 def encoded_span(spark, d):
-    return T.words(spark, d).select("media_id", "pos", (F.abs(F.col("end_ms") - F.col("start_ms") - 150) <= 40).alias("within"))
+    return T.words(spark, d).select("media_id", "pos", U.within_tolerance(F.col("end_ms") - F.col("start_ms"), F.lit(150), 40).alias("within"))
 
 
 @query("q2_42_static_speech", with_tables("spans", " select event_id from spans where event_type = 'view' and out_ms - in_ms >= 40000 and value % 1.0 <= 0.4"))
 def static_speech(spark, d):
-    return T.spans(spark, d).where("event_type = 'view' and out_ms - in_ms >= 40000 and value % 1.0D <= 0.4D").select("event_id")
+    still = U.still_speech(F.col("event_type") == "view", F.col("out_ms") - F.col("in_ms"), F.expr("value % 1.0D"), 40_000, 0.4)
+    return T.spans(spark, d).where(still).select("event_id")
 
 
 @query("q2_44_commercial_licence", "select doc_id, source, case source when 'src1' then 'non-commercial' when 'src2' then 'unknown' else 'open' end as licence from documents where source not in ('src1')")
 def licence(spark, d):
-    lic = F.when(F.col("source") == "src1", "non-commercial").when(F.col("source") == "src2", "unknown").otherwise("open")
-    return T.read(spark, d, "documents").select("doc_id", "source", lic.alias("licence")).where("licence <> 'non-commercial'")
+    registry = spark.createDataFrame([("src1", "non-commercial"), ("src2", "unknown")], "source string, licence string")
+    return U.commercially_usable(T.read(spark, d, "documents"), "source", registry, ("non-commercial",)).select("doc_id", "source", "licence")
 
 
 @query("q2_45_attribution", "select source, 'uses ' || source as notice, count(*) as n from documents where regexp_matches(source, '[13579]$') group by 1 union all select 'pages', 'uses pages', count(*) from pages")
 def attribution(spark, d):
-    a = T.read(spark, d, "documents").where(F.col("source").rlike("[13579]$")).groupBy("source").agg(F.concat(F.lit("uses "), F.first("source")).alias("notice"), F.count("*").alias("n"))
-    b = T.read(spark, d, "pages").agg(F.count("*").alias("n")).select(F.lit("pages").alias("source"), F.lit("uses pages").alias("notice"), "n")
-    return a.unionByName(b)
+    odd = T.read(spark, d, "documents").where(F.col("source").rlike("[13579]$"))
+    return U.attributions(odd, T.read(spark, d, "pages").select(F.lit("pages").alias("source")))
 
 
 @query("q2_46_disjoint_registries", "select source from (select source from documents where lang = 'de') intersect select source from documents where lang = 'es'")
 def disjoint_registries(spark, d):
     docs = T.read(spark, d, "documents")
-    return docs.where("lang = 'de'").select("source").intersect(docs.where("lang = 'es'").select("source"))
+    return U.in_both(docs.where("lang = 'de'"), docs.where("lang = 'es'"), "source")
 
 
 @query("q2_50_narrative_integrity", with_tables("spans", " select event_id, concat_ws(';', case when out_ms - in_ms < 25000 or out_ms - in_ms > 65000 then 'duration' end, case when value < 5 then 'no headline' end) as reasons from spans"))
@@ -156,16 +159,16 @@ def preview(spark, d):
 @query("q1_24_verify_integrity", "select doc_id, sha256(text) = sha256(case when doc_id % 9 = 0 then text || '.' else text end) as intact from documents")
 def integrity(spark, d):
     docs = T.read(spark, d, "documents")
-    recorded = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("recorded"))
-    return docs.join(recorded, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("recorded")).alias("intact"))
+    recorded = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("digest"))
+    return U.intact(docs, recorded, "doc_id", "text")
 
 
 @query("q1_25_stale_lineage", "select doc_id as media_id from documents where doc_id % 9 = 0 or doc_id % 10 = 3")
 def stale(spark, d):
-    docs = T.read(spark, d, "documents")
-    raw = docs.where("doc_id % 10 <> 3").select("doc_id", F.sha2("text", 256).alias("digest"))
-    derived = docs.select(F.col("doc_id").alias("media_id"), F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("source"))
-    return derived.join(raw, (derived["media_id"] == raw["doc_id"]) & (derived["source"] == raw["digest"]), "left_anti").select("media_id")
+    docs = T.read(spark, d, "documents").withColumnRenamed("doc_id", "media_id")
+    raw = docs.where("media_id % 10 <> 3").select("media_id", F.sha2("text", 256).alias("digest"))
+    derived = docs.select("media_id", F.sha2(F.when(F.col("media_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("source_digest"))
+    return U.stale(derived, raw, "media_id").select("media_id")
 
 
 @query("q1_32_clip_markers", with_tables("verbal visual", """, m as (select candidate_id, 'hook' as kind, 0 as at from verbal union all select candidate_id, 'payoff', cast(round_even((out_ms - in_ms) * 25.0 / 1000, 0) as bigint) from verbal
@@ -185,10 +188,10 @@ def natural_silence(spark, d):
     return P.point_join(a, v, "media_id", "at", ("s", "e")).groupBy("event_id").agg(F.max("e").alias("silence_ms"))
 
 
-@query("q3_8_window_interval", with_tables("spans", " select event_id, in_ms + cast(round_even(value * 10, 0) as bigint) as start_ms, in_ms + cast(round_even(value * 10, 0) as bigint) + 1000 <= out_ms as fits from spans"))
+@query("q3_8_window_interval", with_tables("spans", " select event_id, in_ms + cast(round_even(value / 100 * 1000, 0) as bigint) as start_ms, in_ms + cast(round_even(value / 100 * 1000, 0) as bigint) + 1000 <= out_ms as fits from spans"))
 def window_interval(spark, d):
-    start = F.col("in_ms") + F.bround(F.col("value") * 10).cast("long")
-    return T.spans(spark, d).select("event_id", start.alias("start_ms"), (start + 1000 <= F.col("out_ms")).alias("fits"))
+    start = U.media_clock("in_ms", F.col("value") / 100)
+    return T.spans(spark, d).select("event_id", start.alias("start_ms"), U.within_window(start, "out_ms", 1000).alias("fits"))
 
 
 @query("q3_12_required_sentences", with_tables("words", SENTENCES + ", n as (select media_id, sent_id, lead(sent_id) over (partition by media_id order by sent_id) as nx from sent) select media_id, sent_id, case when nx is null then cast(sent_id as varchar) else sent_id || ',' || nx end as required from n"))
@@ -240,7 +243,7 @@ def required_context(spark, d):
 def references(spark, d):
     docs = T.read(spark, d, "documents").select("doc_id")
     cited = docs.select("doc_id", (F.col("doc_id") + 1).alias("missing_id"))
-    return cited.join(docs.select(F.col("doc_id").alias("missing_id")), "missing_id", "left_anti").select("doc_id", "missing_id")
+    return U.dangling(cited, docs.withColumnRenamed("doc_id", "missing_id"), "missing_id").select("doc_id", "missing_id")
 
 
 @query("q3_22_top_caption", with_tables("spans", " select event_id from spans s where event_type = 'click' and exists (select 1 from spans f where f.event_type = 'view' and f.media_id = s.media_id and f.in_ms < s.out_ms and s.in_ms < f.out_ms and f.value > 50)"))
@@ -278,25 +281,22 @@ def caption_layout(spark, d):
 @query("q3_32_compare_versions", "select a.doc_id, b.doc_id is not null as found, a.n_chars is distinct from b.n_chars as span_changed, a.lang is distinct from b.lang as style_changed from documents a left join documents b on b.doc_id = a.doc_id + 1")
 def compare_versions(spark, d):
     a = T.read(spark, d, "documents").select("doc_id", "n_chars", "lang")
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n_chars").alias("n2"), F.col("lang").alias("l2"), F.lit(True).alias("f"))
-    return a.join(b, "doc_id", "left").select("doc_id", F.coalesce("f", F.lit(False)).alias("found"), (~F.col("n_chars").eqNullSafe(F.col("n2"))).alias("span_changed"), (~F.col("lang").eqNullSafe(F.col("l2"))).alias("style_changed"))
+    b = a.withColumn("doc_id", F.col("doc_id") - 1)
+    return U.changes(a, b, "doc_id", {"n_chars": "span_changed", "lang": "style_changed"})
 
 
 @query("q3_33_replay_decisions", "select d.doc_id, case when n_chars < 300 then 'too short' when toxic = 1 then 'toxic' end as finding from documents d join labels l using (doc_id) where quality = 1 and (n_chars < 300 or toxic = 1)")
 def replay(spark, d):
-    j = T.read(spark, d, "documents").join(T.read(spark, d, "labels").where("quality = 1"), "doc_id")
-    return j.select("doc_id", F.when(F.col("n_chars") < 300, "too short").when(F.col("toxic") == 1, "toxic").alias("finding")).where("finding is not null")
+    approved = T.read(spark, d, "documents").join(T.read(spark, d, "labels").where("quality = 1"), "doc_id")
+    return U.findings(approved, {"too short": F.col("n_chars") < 300, "toxic": F.col("toxic") == 1}).select("doc_id", "finding")
 
 
 @query("q3_31_editorial_study", "with r as (select doc_id, lang, quality as r1, case when doc_id % 4 = 0 then 1 - quality else quality end as r2 from documents join labels using (doc_id)) select lang, count(*) as n, round(avg(case when r1 <> r2 then 1.0 else 0.0 end), 9) as disagreement, round(avg(cast(case when r1 = r2 then r1 when doc_id % 8 = 0 then 1 else r1 end as double)), 9) as accepted from r group by 1")
 def study(spark, d):
     base = T.read(spark, d, "documents").select("doc_id", "lang").join(T.read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    r1 = base.select("doc_id", "lang", F.col("quality").alias("r1"))
-    r2 = base.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("r2"))
-    adjudicated = base.where("doc_id % 8 = 0").select("doc_id", F.lit(1).alias("ruling"))
-    j = r1.join(r2, "doc_id").join(adjudicated, "doc_id", "left")
-    final = F.when(F.col("r1") == F.col("r2"), F.col("r1")).otherwise(F.coalesce("ruling", "r1"))
-    return j.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((F.col("r1") != F.col("r2")).cast("double")), 9).alias("disagreement"), F.round(F.avg(final.cast("double")), 9).alias("accepted"))
+    second = base.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("score"))
+    got = R.study(base.withColumnRenamed("quality", "score"), second, base.where("doc_id % 8 = 0").select("doc_id", F.lit(1).alias("ruling")), "doc_id", "lang")
+    return got.select("lang", "n", F.round("disagreement", 9).alias("disagreement"), F.round("accepted", 9).alias("accepted"))
 
 
 @query("q4_2_changed_rate", r"select lang, round(count(*) filter (where text <> regexp_replace(text, '\p{P}', '', 'g')) / cast(nullif(count(*), 0) as double), 9) as rate from documents group by 1")
@@ -313,44 +313,47 @@ def collision_rate(spark, d):
 
 @query("q4_6_by_dialect", "select lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
 def by_dialect(spark, d):
-    return T.read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return R.sizes(T.read(spark, d, "documents"), "lang", "n_chars", "chars")
 
 
-@query("q4_14_alignment", with_tables("words", ", e as (select media_id, start_ms % 90 as onset, end_ms % 70 as off from words) select media_id, round(sum(onset) / cast(count(*) as double), 9) as onset_ms, round(sum(off) / cast(count(*) as double), 9) as offset_ms, round(count(*) filter (where onset <= 50) / cast(count(*) as double), 9) as within from e group by 1"))
+@query("q4_14_alignment", with_tables("words", ", e as (select media_id, abs((length(w) * 7) % 90 - 30) as onset, abs((length(w) * 5) % 70 - 20) as off from words) select media_id, round(avg(onset), 9) as onset_ms, round(avg(off), 9) as offset_ms, round((count(*) filter (where onset <= 50) + count(*) filter (where off <= 50)) / cast(2 * count(*) as double), 9) as within from e group by 1"))
 def alignment(spark, d):
-    n = F.count("*")
-    return T.words(spark, d).select("media_id", (F.col("start_ms") % 90).alias("a"), (F.col("end_ms") % 70).alias("b")).groupBy("media_id").agg(F.round(F.sum("a") / n, 9).alias("onset_ms"), F.round(F.sum("b") / n, 9).alias("offset_ms"), F.round(F.count_if(F.col("a") <= 50) / n, 9).alias("within"))
+    """The hypothesis has each word's times moved by an amount that follows its length."""
+    w, n = T.words(spark, d), F.length("w")
+    pairs = w.select("media_id", "start_ms", "end_ms", (F.col("start_ms") + n * 7 % 90 - 30).alias("h_start_ms"), (F.col("end_ms") + n * 5 % 70 - 20).alias("h_end_ms"))
+    return A.alignment_report(pairs, ["media_id"]).select("media_id", *[F.round(c, 9).alias(c) for c in ("onset_ms", "offset_ms", "within")])
 
 
 @query("q4_19_one_hardware", "select source, count(distinct lang) as n_kinds, count(distinct lang) = 1 as uniform from documents group by 1")
 def one_hardware(spark, d):
-    n = F.countDistinct("lang")
-    return T.read(spark, d, "documents").groupBy("source").agg(n.alias("n_kinds"), (n == 1).alias("uniform"))
+    return R.uniform(T.read(spark, d, "documents"), "source", "lang")
 
 
-@query("q4_21_assemble_transcript", with_tables("words", ", s as (select media_id, pos // 50 as seg, min(start_ms) as base from words group by 1, 2) select w.media_id, count(*) as n_words, cast(sum(s.base + (w.start_ms - s.base)) as bigint) as check_ms, round(avg(ln(greatest(conf, 1e-12))), 9) as mean_logprob from words w join s on s.media_id = w.media_id and s.seg = w.pos // 50 group by 1"))
+@query("q4_21_assemble_transcript", with_tables("words", ", s as (select media_id, pos // 50 as seg, min(start_ms) as base from words group by 1, 2) select w.media_id, count(*) as n_words, cast(sum(s.base + 1000 * s.seg + (w.start_ms - s.base)) as bigint) as check_ms, round(avg(ln(greatest(conf, 1e-12))), 9) as mean_logprob from words w join s on s.media_id = w.media_id and s.seg = w.pos // 50 group by 1"))
 def assemble(spark, d):
+    """Words relative to segments of 50, whose starts lie on a clock with a second more between segments."""
     w = T.words(spark, d).withColumn("seg", F.expr("pos div 50"))
-    base = w.groupBy("media_id", "seg").agg(F.min("start_ms").alias("base"))
-    relative = w.join(base, ["media_id", "seg"]).select("media_id", "seg", (F.col("start_ms") - F.col("base")).alias("rel"), "conf")
-    moved = relative.join(base, ["media_id", "seg"]).withColumn("at", F.col("base") + F.col("rel"))
-    return moved.groupBy("media_id").agg(F.count("*").alias("n_words"), F.sum("at").alias("check_ms"), F.round(F.avg(F.log(F.greatest("conf", F.lit(1e-12)))), 9).alias("mean_logprob"))
+    segments = w.groupBy("media_id", "seg").agg(F.min("start_ms").alias("base")).select("media_id", "seg", "base", (F.col("base") + 1000 * F.col("seg")).alias("start_ms"))
+    relative = w.join(segments.select("media_id", "seg", "base"), ["media_id", "seg"]).select("media_id", "seg", (F.col("start_ms") - F.col("base")).alias("rel_ms"), "conf")
+    moved = R.assembled(relative, segments, "media_id", "seg")
+    return moved.groupBy("media_id").agg(F.count("*").alias("n_words"), F.sum("at_ms").alias("check_ms"), F.round(F.avg(F.log(F.greatest("conf", F.lit(1e-12)))), 9).alias("mean_logprob"))
 
 
 @query("q4_27_regression_set", "select lang, count(*) filter (where quality = 1) as wins, count(*) filter (where quality = 0) as losses, count(*) filter (where quality is null) as ties, count(*) >= 20 as enough from documents left join labels using (doc_id) group by 1")
 def regression_set(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "lang").join(T.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return j.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("wins"), F.count_if(F.col("quality") == 0).alias("losses"), F.count_if(F.col("quality").isNull()).alias("ties"), (F.count("*") >= 20).alias("enough"))
+    return R.preferences(j, "lang", F.col("quality") == 1)
 
 
 @query("q4_28_regression_real", "select lang, count(*) as n, count(distinct doc_id) = count(*) as unique_ids from documents group by 1 having count(*) >= 5")
 def regression_real(spark, d):
-    return T.read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), (F.countDistinct("doc_id") == F.count("*")).alias("unique_ids")).where("n >= 5")
+    return R.real_groups(T.read(spark, d, "documents"), "lang", "doc_id")
 
 
 @query("q4_38_wallclock_per_hour", with_tables("words", " select media_id, round(count(*) * 0.01 / (sum(end_ms - start_ms) / 3600000.0), 6) as seconds_per_hour from words group by 1"))
 def wallclock(spark, d):
-    return T.words(spark, d).groupBy("media_id").agg(F.round(F.count("*") * 0.01 / (F.sum(F.col("end_ms") - F.col("start_ms")) / 3600000.0), 6).alias("seconds_per_hour"))
+    per = R.per_hour(F.count("*") * 0.01, F.sum(F.col("end_ms") - F.col("start_ms")))
+    return T.words(spark, d).groupBy("media_id").agg(F.round(per, 6).alias("seconds_per_hour"))
 
 
 @query("q4_39_analyze_study", "with p as (select doc_id, source as system, quality, toxic from documents join labels using (doc_id)), a as (select system, count(*) as n, avg(case when toxic = 1 then 0.5 when quality = 1 then 1.0 else 0.0 end) as w, avg(cast(toxic as double)) as m from p group by 1), z as (select 1.959963984540054 as z) select system, n, round(w, 9) as win_rate, round(m, 9) as misleading, round(greatest((w + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(w*(1-w)/n + z*z/(4.0*n*n)) / (1 + z*z/n), 0.0), 9) as low from a, z")
@@ -363,41 +366,38 @@ def analyze_study(spark, d):
 
 @query("q4_49_span_compliance", with_tables("verbal", " select media_id, count(*) as asked, count(*) filter (where out_ms - in_ms between 30000 and 90000) as inside from verbal group by 1"))
 def compliance(spark, d):
-    return T.candidates(spark, d, "click").groupBy("media_id").agg(F.count("*").alias("asked"), F.count_if((F.col("out_ms") - F.col("in_ms")).between(30000, 90000)).alias("inside"))
+    return R.span_compliance(T.candidates(spark, d, "click"), "media_id", "in_ms", "out_ms").select("media_id", F.col("n").alias("asked"), F.col("compliant").alias("inside"))
 
 
 @query("q4_51_skipped_stages", with_tables("spans", " select media_id, event_id as stage, row_number() over (partition by media_id order by in_ms, event_id) as place from spans where event_type = 'error'"))
 def skipped(spark, d):
-    return T.spans(spark, d).where("event_type = 'error'").select("media_id", F.col("event_id").alias("stage"), F.row_number().over(Window.partitionBy("media_id").orderBy("in_ms", "event_id")).alias("place"))
+    failed = T.spans(spark, d).where("event_type = 'error'")
+    return U.placed(failed, "media_id", "in_ms", "event_id").select("media_id", F.col("event_id").alias("stage"), "place")
 
 
 @query("q4_54_manifest_outcome", with_tables("spans", " select media_id, count(*) filter (where event_type = 'error') > 0 and count(*) filter (where event_type = 'purchase') > 0 as partial_failure, count(*) filter (where event_type = 'purchase') = 0 as no_clip from spans group by 1"))
 def manifest_outcome(spark, d):
-    bad, good = F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type") == "purchase")
-    return T.spans(spark, d).groupBy("media_id").agg(((bad > 0) & (good > 0)).alias("partial_failure"), (good == 0).alias("no_clip"))
+    return R.manifest_outcome(T.spans(spark, d), "media_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
 
 
 @query("q4_58_compare_candidates", with_tables("verbal visual", " select candidate_id, media_id, 'candidate' as kind, rank, cast(null as varchar) as reason from verbal union all select candidate_id, media_id, 'rejected', cast(null as bigint), case when score > 50 then 'high' else 'low' end from visual"))
 def compare_candidates(spark, d):
-    a = T.candidates(spark, d, "click").select("candidate_id", "media_id", F.lit("candidate").alias("kind"), "rank")
-    b = T.candidates(spark, d, "view").select("candidate_id", "media_id", F.lit("rejected").alias("kind"), F.when(F.col("score") > 50, "high").otherwise("low").alias("reason"))
-    return a.unionByName(b, allowMissingColumns=True)
+    a = T.candidates(spark, d, "click").select("candidate_id", "media_id", "rank")
+    b = T.candidates(spark, d, "view").select("candidate_id", "media_id", F.when(F.col("score") > 50, "high").otherwise("low").alias("reason"))
+    return R.side_by_side(candidate=a, rejected=b)
 
 
 @query("q4_59_quality_checks", with_tables("spans", ", c as (select media_id, 'count' as check_name, count(*) > 50 as passed from spans group by 1 union all select media_id, 'length', max(out_ms - in_ms) < 200000 from spans group by 1 union all select media_id, 'errors', count(*) filter (where event_type = 'error') < 15 from spans group by 1) select media_id, check_name, passed, bool_and(passed) over (partition by media_id) as all_passed from c"))
 def quality_checks(spark, d):
-    a = T.spans(spark, d).groupBy("media_id").agg((F.count("*") > 50).alias("c"), (F.max(F.col("out_ms") - F.col("in_ms")) < 200000).alias("l"), (F.count_if(F.col("event_type") == "error") < 15).alias("e"))
-    checks = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(c).alias("passed")) for n, c in (("count", "c"), ("length", "l"), ("errors", "e"))])
-    return a.select("media_id", F.explode(checks).alias("k"), (F.col("c") & F.col("l") & F.col("e")).alias("all_passed")).select("media_id", "k.check_name", "k.passed", "all_passed")
+    checks = {"count": F.count("*") > 50, "length": F.max(F.col("out_ms") - F.col("in_ms")) < 200000, "errors": F.count_if(F.col("event_type") == "error") < 15}
+    return R.named_checks(T.spans(spark, d), "media_id", checks)
 
 
-@query("q5_15_continuity_protection", with_tables("words", ", g as (select media_id, pos, start_ms, lag(end_ms) over (partition by media_id order by pos) as b from words), p as (select media_id, start_ms as ps, end_ms as pe from words where pos % 9 = 0 and pos > 0), c as (select media_id, pos, b + 200 as s, start_ms - 50 as e from g where start_ms - b > 600) select c.media_id, c.pos, c.s as start_ms, c.e as end_ms, p.ps is not null as next_to_protected from c left join p on p.media_id = c.media_id and p.ps = c.e + 50"))
+@query("q5_15_continuity_protection", with_tables("words", ", g as (select media_id, pos, start_ms, lag(end_ms) over (partition by media_id order by pos) as b from words), c as (select media_id, b + 200 as s, case when pos % 18 = 0 then start_ms - 400 else start_ms - 50 end as e from g where start_ms - b > 600) select media_id, s as start_ms, e as end_ms from c where e - s >= 50"))
 def continuity(spark, d):
-    b = F.lag("end_ms").over(Window.partitionBy("media_id").orderBy("pos"))
     w = T.words(spark, d)
-    c = w.withColumn("b", b).where("start_ms - b > 600").select("media_id", "pos", (F.col("b") + 200).alias("start_ms"), (F.col("start_ms") - 50).alias("end_ms"))
-    p = w.where("pos % 9 = 0 and pos > 0").select("media_id", (F.col("start_ms") - 50).alias("end_ms"), F.lit(True).alias("x"))
-    return c.join(p, ["media_id", "end_ms"], "left").select("media_id", "pos", "start_ms", "end_ms", F.coalesce("x", F.lit(False)).alias("next_to_protected"))
+    kept = w.where("pos % 18 = 0 and pos > 0").select("media_id", (F.col("start_ms") - 400).alias("start_ms"), F.col("start_ms").alias("end_ms"))
+    return L.protected_cuts(w, kept)
 
 
 @query("q5_19_remap_to_condensed", with_tables("words", ", k as (select media_id, 2000 * i as s, 2000 * i + 1000 as e, 1000 * i as o from (select media_id, unnest(range(max(end_ms) // 2000 + 1)) as i from words group by 1)) select w.media_id, w.pos, w.start_ms - k.s + k.o as start_ms, w.end_ms - k.s + k.o as end_ms from words w join k on k.media_id = w.media_id and k.s <= w.start_ms and w.end_ms <= k.e"))
@@ -435,13 +435,13 @@ def greedy_tokens(spark, d):
 @query("q6_13_judgeable_plans", with_tables("verbal", " select * from (select media_id, candidate_id, row_number() over (partition by media_id order by rank, candidate_id) as place from verbal where out_ms - in_ms >= 30000) where place <= 3"))
 def judgeable(spark, d):
     v = T.candidates(spark, d, "click").where(F.col("out_ms") - F.col("in_ms") >= 30000)
-    return v.select("media_id", "candidate_id", F.row_number().over(Window.partitionBy("media_id").orderBy("rank", "candidate_id")).alias("place")).where("place <= 3")
+    return U.placed(v, "media_id", "rank", "candidate_id", limit=3).select("media_id", "candidate_id", "place")
 
 
 @query("q6_24_scores_from_transcript", with_tables("words", ", s as (select media_id, pos // 20 as seg, round(avg(ln(conf)), 9) as lp, min(start_ms) as start_ms, max(end_ms) as end_ms from words group by 1, 2) select * from s"))
 def scores(spark, d):
     """Nested confidences of a transcript, written out as rows."""
-    s = T.words(spark, d).groupBy("media_id", F.expr("pos div 20").alias("seg")).agg(F.round(F.avg(F.log("conf")), 9).alias("lp"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    s = R.segment_scores(T.words(spark, d), "media_id", F.expr("pos div 20")).withColumn("lp", F.round("lp", 9))
     nested = s.groupBy("media_id").agg(F.collect_list(F.struct("seg", "lp", "start_ms", "end_ms")).alias("segments"))
     return nested.select("media_id", F.inline("segments"))
 
@@ -486,4 +486,4 @@ def blind(spark, d):
 @query("q7_7_qc_records", "select l.doc_id, d.source, case when quality = 1 and toxic = 0 then 'pass' else 'fail' end as verdict from labels l join documents d using (doc_id)")
 def qc_records(spark, d):
     j = T.read(spark, d, "labels").join(T.read(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return j.select("doc_id", "source", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "pass").otherwise("fail").alias("verdict"))
+    return j.select("doc_id", "source", F.when(U.meets({"quality": 1}, {"toxic": 0}), "pass").otherwise("fail").alias("verdict"))

@@ -9,6 +9,8 @@ from spanloom import tables as T
 from spanloom.functions import numbers as N
 from spanloom.functions import text as X
 from spanloom.operators import contracts as K
+from spanloom.operators import reports as R
+from spanloom.operators import rules as W
 from spanloom.operators import curation as U
 from spanloom.operators import diarization as D
 from spanloom.plans.text import SENTENCES, sentences
@@ -54,8 +56,8 @@ def turn_contract(spark, d):
 
 @query("q2_5_segment_contract", with_tables("words", ", s as (select media_id, pos // 20 as seg, avg(ln(conf)) as lp from words group by 1, 2) select media_id, seg, lp <= 0 and not isnan(lp) as valid from s"))
 def segment_contract(spark, d):
-    s = T.words(spark, d).groupBy("media_id", F.expr("pos div 20").alias("seg")).agg(F.avg(F.log("conf")).alias("lp"))
-    return s.select("media_id", "seg", ((F.col("lp") <= 0) & ~F.isnan("lp")).alias("valid"))
+    s = R.segment_scores(T.words(spark, d), "media_id", F.expr("pos div 20"))
+    return s.select("media_id", "seg", W.is_log_probability("lp").alias("valid"))
 
 
 @query("q2_15_run_event_contract", with_tables("spans", " select event_id, concat_ws(';', case when event_type = 'purchase' and value < 10 then 'billed without cost' end, case when event_type = 'error' and value > 100 then 'skipped without reason' end, case when event_type not in ('purchase', 'error', 'click', 'view') then 'unknown state' end) as reasons from spans"))
@@ -91,13 +93,12 @@ def json_fields(spark, d):
 
 @query("q2_25_asr_ceiling", with_tables("spans", " select media_id, count(*) as n_long, max(out_ms - in_ms) as longest_ms from spans where out_ms - in_ms > 40000 group by 1"))
 def ceiling(spark, d):
-    ms = F.col("out_ms") - F.col("in_ms")
-    return T.spans(spark, d).where(ms > 40000).groupBy("media_id").agg(F.count("*").alias("n_long"), F.max(ms).alias("longest_ms"))
+    return W.over_ceiling(T.spans(spark, d), "media_id", "in_ms", "out_ms", 40000)
 
 
 @query("q2_33_media_id", "select page_id, regexp_matches(url, '^https?://[a-z0-9.]+/[a-z]{2}/[0-9]+$') as safe from pages")
 def media_id(spark, d):
-    return T.read(spark, d, "pages").select("page_id", F.col("url").rlike("^https?://[a-z0-9.]+/[a-z]{2}/[0-9]+$").alias("safe"))
+    return T.read(spark, d, "pages").select("page_id", W.safe_key("url", "https?://[a-z0-9.]+/[a-z]{2}/[0-9]+").alias("safe"))
 
 
 @query("q2_43_resolve_role", "with reg as (select * from (values ('src0', 'asr'), ('src1', 'judge'), ('src2', 'embed')) t(name, role)), den as (select * from (values ('src3'), ('src4')) t(name)) select doc_id, case when den.name is not null then 'denied' when reg.name is null then 'unknown' else role end as status from documents d left join reg on reg.name = d.source left join den on den.name = d.source")
@@ -116,16 +117,14 @@ def configuration(spark, d):
 
 @query("q2_47_content_profile", "select doc_id, coalesce(p.least, 30000) as least_ms from documents d left join (values ('en', 20000), ('fr', 25000), ('de', 30000), ('es', 35000)) p(lang, least) on p.lang = d.lang")
 def profile(spark, d):
-    p = spark.createDataFrame([("en", 20000), ("fr", 25000), ("de", 30000), ("es", 35000)], "lang string, least int")
-    return T.read(spark, d, "documents").join(F.broadcast(p), "lang", "left").select("doc_id", F.coalesce("least", F.lit(30000)).alias("least_ms"))
+    least = {"en": 20000, "fr": 25000, "de": 30000, "es": 35000}
+    return W.profile(T.read(spark, d, "documents"), "lang", least, 30000, "least_ms").select("doc_id", "least_ms")
 
 
 @query("q2_49_validate_ratings", "with e as (select doc_id from documents), r as (select doc_id, quality + toxic as score from labels) select coalesce(e.doc_id, r.doc_id) as doc_id, case when e.doc_id is null then 'unexpected' when r.doc_id is null then 'missing' when score not between 1 and 5 then 'out of range' else 'ok' end as outcome from e full outer join r on e.doc_id = r.doc_id")
 def ratings(spark, d):
-    e = T.read(spark, d, "documents").select("doc_id", F.lit(True).alias("e"))
-    r = T.read(spark, d, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("score"))
-    out = F.when(F.col("e").isNull(), "unexpected").when(F.col("score").isNull(), "missing").when(~F.col("score").between(1, 5), "out of range").otherwise("ok")
-    return e.join(r, "doc_id", "full_outer").select("doc_id", out.alias("outcome"))
+    rated = T.read(spark, d, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("score"))
+    return W.rating_outcomes(T.read(spark, d, "documents"), rated, "doc_id", "score")
 
 
 DIGEST = "sha256('sample' || chr(0) || cast(doc_id as varchar))"
@@ -235,8 +234,7 @@ def complete(spark, d):
 @query("q4_47_rejected_by_path", with_tables("spans", ", p as (select distinct media_id, event_type as path from spans), r as (select media_id, event_type as path, count(*) as n from spans where value > 60 group by 1, 2) select p.media_id, p.path, coalesce(n, 0) as n_rejected from p left join r on r.media_id = p.media_id and r.path = p.path"))
 def rejected_by_path(spark, d):
     s = T.spans(spark, d).withColumnRenamed("event_type", "path")
-    n = s.where("value > 60").groupBy("media_id", "path").agg(F.count("*").alias("n"))
-    return s.select("media_id", "path").distinct().join(n, ["media_id", "path"], "left").select("media_id", "path", F.coalesce("n", F.lit(0)).alias("n_rejected"))
+    return R.rejected_by_path(s, s.where("value > 60"), ["media_id", "path"])
 
 
 @query("q9_2_embedding_cache", "with w as (select vec_id, label, sha256(cast(vec_id as varchar) || ':' || cast(label as varchar)) as d from embeddings) select case when vec_id % 3 = 0 then 'miss' when vec_id % 3 = 1 then 'hit' else 'stale' end as outcome, count(*) as n from w group by 1")

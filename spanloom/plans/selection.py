@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom import tables as T
 from spanloom.functions import intervals as I
+from spanloom.operators import rules as U
 from spanloom.operators import selection as S
 from spanloom.operators import spans as P
 from spanloom.tables import with_tables
@@ -109,19 +110,19 @@ def score(spark, d):
 
 @query("q6_16_tournament_rank", with_tables("spans", f", {VERDICT}, r as (select event_id, media_id, row_number() over (partition by media_id order by round(cast({SCORE} as double), 6) desc, event_type, event_id) as place from verdicts where risk <= 0.1) select * from r"))
 def tournament_rank(spark, d):
-    order = Window.partitionBy("media_id").orderBy(F.round(tournament_score(), 6).desc(), "event_type", "event_id")
-    return verdicts(spark, d).where("risk <= 0.1").select("event_id", "media_id", F.row_number().over(order).alias("place"))
+    fit = verdicts(spark, d).where("risk <= 0.1")
+    return U.placed(fit, "media_id", F.round(tournament_score(), 6).desc(), "event_type", "event_id").select("event_id", "media_id", "place")
 
 
 @query("q2_27_verdict_shippable", with_tables("spans", f", {VERDICT} select event_id, hook >= 0.75 and risk <= 0.10 and fidelity >= 0.70 and cultural >= 0.70 as shippable from verdicts"))
 def shippable(spark, d):
-    return verdicts(spark, d).select("event_id", F.expr("hook >= 0.75D and risk <= 0.10D and fidelity >= 0.70D and cultural >= 0.70D").alias("shippable"))
+    return verdicts(spark, d).select("event_id", U.meets({"hook": 0.75, "fidelity": 0.70, "cultural": 0.70}, {"risk": 0.10}).alias("shippable"))
 
 
 @query("q6_18_rank_editorial", with_tables("spans", f", {VERDICT} select event_id, media_id, row_number() over (partition by media_id order by round(cast(0.5 * hook + 0.5 * fidelity as double), 6) desc, event_id) as place from verdicts"))
 def rank_editorial(spark, d):
-    order = Window.partitionBy("media_id").orderBy(F.round(0.5 * F.col("hook") + 0.5 * F.col("fidelity"), 6).desc(), "event_id")
-    return verdicts(spark, d).select("event_id", "media_id", F.row_number().over(order).alias("place"))
+    score = F.round(0.5 * F.col("hook") + 0.5 * F.col("fidelity"), 6)
+    return U.placed(verdicts(spark, d), "media_id", score.desc(), "event_id").select("event_id", "media_id", "place")
 
 
 @query("q3_35_candidate_for_judging", with_tables("verbal visual", """, m as (select a.candidate_id, v.candidate_id as chosen_id, row_number() over (partition by a.candidate_id order by v.out_ms - v.in_ms, v.rank, v.candidate_id) as k
@@ -146,7 +147,4 @@ def rejected(spark, d):
 
 @query("q2_40_list_candidates", with_tables("spans", " select * from (select media_id, event_id, event_type, row_number() over (partition by media_id order by nullif(event_id % 7, 0) nulls last, event_id) as place, count(*) over (partition by media_id) as total from spans) where place <= 10"))
 def list_candidates(spark, d):
-    own = Window.partitionBy("media_id")
-    rank = F.nullif(F.col("event_id") % 7, F.lit(0))
-    rows = T.spans(spark, d).select("media_id", "event_id", "event_type", F.row_number().over(own.orderBy(rank.asc_nulls_last(), "event_id")).alias("place"), F.count("*").over(own).alias("total"))
-    return rows.where("place <= 10")
+    return U.page(T.spans(spark, d), "media_id", F.col("event_id") % 7, "event_id").select("media_id", "event_id", "event_type", "place", "total")

@@ -136,9 +136,7 @@ def output_to_source(spark, d):
 
 @query("q5_20_assemble_spans", with_tables("spans", ", g as (select *, row_number() over (partition by media_id order by in_ms, event_id) as k from spans) select event_id, media_id, cast(coalesce(sum(out_ms - in_ms) over (partition by media_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as offset_ms from g"))
 def assemble(spark, d):
-    own = T.spans(spark, d)
-    before = Window.partitionBy("media_id").orderBy("in_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return own.select("event_id", "media_id", F.coalesce(F.sum(F.col("out_ms") - F.col("in_ms")).over(before), F.lit(0)).alias("offset_ms"))
+    return S.end_to_end(T.spans(spark, d), "media_id", "in_ms", "out_ms", "event_id").select("event_id", "media_id", "offset_ms")
 
 
 @query(
@@ -237,24 +235,23 @@ def visual_variety(spark, d):
 @query("q7_1_effective_cuts", with_tables("spans", " select distinct media_id, in_ms as cut_ms from spans where event_type in ('error', 'view') union select media_id, out_ms from spans where event_type = 'error'"))
 def effective_cuts(spark, d):
     a, b = kind(spark, d, "error"), kind(spark, d, "view")
-    return a.select("media_id", F.col("start_ms").alias("cut_ms")).union(b.select("media_id", "start_ms")).union(a.select("media_id", "end_ms")).distinct()
+    return S.all_cuts("media_id", a.withColumnRenamed("start_ms", "cut_ms"), b.withColumnRenamed("start_ms", "cut_ms"), a.withColumnRenamed("end_ms", "cut_ms"))
 
 
 @query("q5_25_pauses_between", with_tables("spans", MERGED + " select * from (select media_id, end_ms as pause_start_ms, lead(start_ms) over (partition by media_id order by start_ms) as pause_end_ms from merged where event_type = 'view') where pause_end_ms is not null"))
 def pauses_between(spark, d):
-    following = F.lead("start_ms").over(Window.partitionBy("media_id").orderBy("start_ms"))
-    return _retained(spark, d).select("media_id", F.col("end_ms").alias("pause_start_ms"), following.alias("pause_end_ms")).where("pause_end_ms is not null")
+    return S.between(_retained(spark, d), "media_id")
 
 
 @query("q2_26_clip_to_media", with_tables("spans", " select event_id, greatest(in_ms, 100000) as start_ms, least(out_ms, 2000000) as end_ms from spans where least(out_ms, 2000000) > greatest(in_ms, 100000)"))
 def clip_to_media(spark, d):
-    return T.spans(spark, d).select("event_id", F.greatest("in_ms", F.lit(100000)).alias("start_ms"), F.least("out_ms", F.lit(2000000)).alias("end_ms")).where("end_ms > start_ms")
+    own = T.spans(spark, d).select("event_id", F.col("in_ms").alias("start_ms"), F.col("out_ms").alias("end_ms"))
+    return S.within_media(own, "start_ms", "end_ms", 100000, 2000000)
 
 
 @query("q5_5_assert_exclusive", with_tables("spans", " select media_id, event_id, before as overlaps_end_ms from (select *, max(out_ms) over (partition by media_id order by in_ms, event_id rows between unbounded preceding and 1 preceding) as before from spans) where before > in_ms"))
 def exclusive(spark, d):
-    before = F.max("out_ms").over(Window.partitionBy("media_id").orderBy("in_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    return T.spans(spark, d).withColumn("overlaps_end_ms", before).where("overlaps_end_ms > in_ms").select("media_id", "event_id", "overlaps_end_ms")
+    return S.not_exclusive(T.spans(spark, d), "media_id", "in_ms", "out_ms", "event_id").select("media_id", "event_id", "overlaps_end_ms")
 
 
 @query("q5_10_cut_points", with_tables("spans", MERGED + " select media_id, cut_ms from (select media_id, cast(sum(end_ms - start_ms) over (partition by media_id order by start_ms rows unbounded preceding) as bigint) as cut_ms, row_number() over (partition by media_id order by start_ms desc) as k from merged where event_type = 'view') where k > 1"))

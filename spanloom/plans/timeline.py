@@ -138,7 +138,6 @@ def tighten(spark, d):
  select media_id, cast(sid as bigint) as sent_id, cast(min(start_ms - cut) as bigint) as start_ms, cast(max(end_ms - cut) as bigint) as end_ms from sh group by 1, 2"""))
 def tighten_sentences(spark, d):
     _, retained = L.silence_plan(T.words(spark, d), word_media(spark, d))
-    moved = tighten(spark, d)
     s = sentences(spark, d).select("media_id", "sent_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("z"))
     at_start = P.to_output(s, retained, "media_id", "a").withColumnRenamed("output_ms", "start_ms")
     return P.to_output(at_start.drop("end_ms").withColumnRenamed("start_ms", "n_start"), retained, "media_id", "z").select("media_id", "sent_id", F.col("n_start").alias("start_ms"), F.col("output_ms").alias("end_ms"))

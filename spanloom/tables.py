@@ -37,6 +37,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), "turn", F.col("role").alias("speaker"), (F.col("turn") * 4000).alias("start_ms"), end.alias("end_ms"))
 
 
+#: Letters outside ASCII in the tables; the checking engine counts edits in bytes, so they become one byte each there.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+ONE_BYTE = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(14, 27)])
+
 #: The same tables for the checking engine, as common table expressions.
 SQL = {
     "words": r"""words as (select media_id, pos, w, start_ms, start_ms + least(100 + 10 * length(w), 400) as end_ms, cast(1 as double) - (pos % 10) / cast(20 as double) as conf
