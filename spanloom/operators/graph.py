@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.skew import spread_join
 from spanloom.scratch import Scratch
 
 
@@ -14,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every larger neighbour at the smallest one, then every node at its smallest neighbour;
     the edges become stars in a number of rounds that grows with the logarithm of the longest path. Rounds
-    are written, so lineage stays short. Minima are pre-aggregated, and the edges of a node with very many are
-    dealt over tasks; only edges move, and none to the driver.
+    are written, so lineage stays short. Minima are pre-aggregated; the join back to a node with very many edges is
+    by key, for Spark to split where it is large. Only edges move, and none to the driver.
     """
     scratch = Scratch(edges.sparkSession, "components")
     now, mark = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), None
@@ -25,11 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = (got["n"], got["s"])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both, least, ["u"], "n", 2 * got["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low, ["u"], "n", 2 * got["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
         now = scratch.save(small.distinct())
         scratch.drop(scratch.n - 1)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
