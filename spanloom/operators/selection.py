@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import intervals as I
+from spanloom.functions import numbers as N
 from spanloom.operators.spans import overlap_join
 from spanloom.scratch import Scratch
 
@@ -95,11 +96,12 @@ def vote(runs: DataFrame, least_iou: float = 0.6, least_votes: int = 2) -> DataF
     return spans.select("media_id", "leader_id", "in_ms", "out_ms", "votes", "mean_score", rank.alias("rank"))
 
 
-def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_similar: float = 0.5, deal: int = 16) -> DataFrame:
+def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_similar: float = 0.5, deal: int = 16, carry: tuple[str, ...] = (), alike=None) -> DataFrame:
     """rows (media_id, candidate_id, in_ms, out_ms, score, words array) with selected and reason.
 
     In order of (-score, candidate_id) a row is taken unless the quota is full (checked first), it overlaps a
     taken one, lies closer than separation_ms to one, or shares more than most_similar of its words with one.
+    alike: another condition for the last, on the words and the columns named in carry, x_* for the taken row's.
 
     Round n takes the first open row of every key and closes what conflicts with it, so whole word sets are
     compared at most `quota` times a row, never row by row. A key is dealt over `deal` tasks; its words are
@@ -110,20 +112,22 @@ def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_simil
     place = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("score"), "candidate_id"))
     placed = scratch.save(rows.drop("words").withColumn("place", place))
     salt = F.pmod(F.xxhash64("candidate_id"), F.lit(deal)).alias("salt")
-    salted = rows.select("media_id", "candidate_id", "in_ms", "out_ms", F.array_distinct("words").alias("words"), salt)
+    salted = rows.select("media_id", "candidate_id", "in_ms", "out_ms", F.array_distinct("words").alias("words"), *carry, salt)
     held = salted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id", "salt").persist()
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("salt")
     over = I.overlaps("x_in_ms", "x_out_ms", "in_ms", "out_ms")
     gap = F.greatest(F.col("in_ms") - F.col("x_out_ms"), F.col("x_in_ms") - F.col("out_ms"))
-    conflict = over | (gap < separation_ms) | F.coalesce(similarity("x_words", "words") > most_similar, F.lit(False))
+    same = similarity("x_words", "words") > most_similar if alike is None else alike
+    conflict = over | (gap < separation_ms) | F.coalesce(same, F.lit(False))
     still, taken = placed.select("media_id", "candidate_id", "place"), None
     for nth in range(1, quota + 1):
         first = still.groupBy("media_id").agg(F.min(F.struct("place", "candidate_id")).alias("x")).select("media_id", F.col("x.place").alias("x_place"), F.col("x.candidate_id").alias("candidate_id"))
         first = first.select("media_id", "x_place", F.col("candidate_id").alias("lo"), salt)
         # An equality would become a key of the join, for which all words were shuffled again.
         found = held.join(first, ["media_id", "salt"]).where(F.array_contains(F.array("lo"), F.col("candidate_id")))
-        picks = scratch.save(found.select("media_id", "lo", F.col("in_ms").alias("x_in_ms"), F.col("out_ms").alias("x_out_ms"), "x_place", F.col("words").alias("x_words"), F.lit(nth).alias("nth")))
-        taken = picks.drop("x_words") if taken is None else taken.unionByName(picks.drop("x_words"))
+        picks = scratch.save(found.select("media_id", "lo", F.col("in_ms").alias("x_in_ms"), F.col("out_ms").alias("x_out_ms"), "x_place", *[F.col(c).alias(f"x_{c}") for c in ("words", *carry)], F.lit(nth).alias("nth")))
+        own = picks.drop("x_words", *[f"x_{c}" for c in carry])
+        taken = own if taken is None else taken.unionByName(own)
         if nth == quota or picks.isEmpty():
             break
         apart = held.join(picks.select("*", every), ["media_id", "salt"]).where(~conflict).select("candidate_id", "x_place")
@@ -143,6 +147,26 @@ def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_simil
     return out.withColumn("reason", reason).withColumn("selected", F.col("reason").isNull()).drop("full_at", "kind", "nth")
 
 
+def episode_package(rows: DataFrame, quota: int = 3, least_quality: float = 0.6, separation_ms: int = 15_000, most_lexical: float = 0.5, most_semantic: float = 0.8, distinct_views: bool = True) -> DataFrame:
+    """media_id, candidate_id, state, reason: the clips that go into an episode's package, and why the others do not.
+
+    rows: those of diverse, with vector (array<double> or null), perspective, critical and clear (null where nobody
+    looked). Low quality and critical defects are refused first. Of the rest, two are alike in words or in vectors,
+    unless their perspectives differ (and distinct_views holds). What is taken is approved if clear, else it needs review.
+    """
+    first = F.when(F.col("score") < least_quality, "low quality").when(F.coalesce("critical", F.lit(False)), "defects")
+    checked = rows.withColumn("gate", first)
+    view = lambda c: F.lower(F.trim(c))
+    alike = F.coalesce(similarity("x_words", "words") > most_lexical, F.lit(False)) | F.coalesce(N.similarity01("x_vector", "vector") > most_semantic, F.lit(False))
+    if distinct_views:
+        alike = alike & view("x_perspective").eqNullSafe(view("perspective"))
+    open_rows = checked.where("gate is null").drop("gate", "critical")
+    got = diverse(open_rows, quota, separation_ms, carry=("vector", "perspective"), alike=alike)
+    state = F.when(~F.col("selected"), "rejected").when(F.coalesce("clear", F.lit(False)), "approved").otherwise("needs review")
+    refused = checked.where("gate is not null").select("media_id", "candidate_id", F.lit("rejected").alias("state"), F.col("gate").alias("reason"))
+    return got.select("media_id", "candidate_id", state.alias("state"), "reason").unionByName(refused)
+
+
 def similarity(a: str, b: str):
     """Jaccard similarity of two arrays of distinct words; null if both are empty."""
     both = F.size(F.array_intersect(a, b))

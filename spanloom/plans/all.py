@@ -1,8 +1,8 @@
 """Every registered query of the library proper."""
 
-from spanloom.plans import evaluation, folded, more, records, selection, spans, text, timeline
+from spanloom.plans import evaluation, folded, more, records, releases, selection, spans, text, timeline
 
 QUERIES, ORACLES = {}, {}
-for _module in (spans, text, selection, evaluation, timeline, records, more, folded):
+for _module in (spans, text, selection, evaluation, timeline, records, more, folded, releases):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

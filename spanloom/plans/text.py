@@ -72,10 +72,10 @@ def word_cuts(spark, d):
  tm as (select *, format('{:02d}:{:02d}:{:02d},{:03d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) as a, format('{:02d}:{:02d}:{:02d},{:03d}', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) as z from n)
  select media_id, md5(string_agg(k || chr(10) || a || ' --> ' || z || chr(10) || text || chr(10), chr(10) order by k)) as srt_md5, count(*) as n_cues from tm group by media_id"""))
 def srt(spark, d):
-    n = sentences(spark, d).where("complete").withColumn("k", F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "sent_id")))
-    cue = F.concat(F.col("k").cast("string"), F.lit("\n"), N.srt_time("start_ms"), F.lit(" --> "), N.srt_time("end_ms"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    cues = n.select("media_id", F.struct("k", cue.alias("cue")).alias("c")).groupBy("media_id").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.count("*").alias("n_cues"))
-    return cues.select("media_id", F.md5(F.array_join(F.transform("cs", lambda c: c["cue"]), "\n").cast("binary")).alias("srt_md5"), "n_cues")
+    from spanloom.sources import documents as J
+
+    got = J.srt(sentences(spark, d).where("complete"), "media_id", "sent_id")
+    return got.select("media_id", F.md5(F.col("srt").cast("binary")).alias("srt_md5"), "n_cues")
 
 
 TOKENS = r""" tok as (select doc_id, unnest(list_filter(string_split_regex(regexp_replace(text, '\p{P}', '', 'g'), '\s+'), lambda x: x <> '')) as term from documents)"""

@@ -97,8 +97,8 @@ def missing_files(spark: SparkSession, items: DataFrame, path_column: str, root:
 
 
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    """path, bytes, sha256 of each file."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, lines and sha256 of each file."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("long").alias("lines"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_once(df: DataFrame, path: str, key: str) -> DataFrame:

@@ -51,6 +51,11 @@ def windowed_counts(stream: DataFrame, at: str, size: str, *keys: str, late: str
     return stream.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def append_json(rows: DataFrame, path: str) -> None:
+    """Append rows as JSON lines; what is there stays as it is."""
+    rows.write.mode("append").json(path)
+
+
 def append_once(stream: DataFrame, key: list[str], at: str, path: str, checkpoint: str, late: str = "10 minutes"):
     """Write a stream to a table, each key once within the watermark; runs over what is there, then ends."""
     once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
