@@ -16,20 +16,42 @@ def rank_digest(namespace: str, *fields) -> Column:
     return F.sha2(F.concat_ws(NUL, F.lit(namespace), *parts), 256)
 
 
+#: Hexadecimal digits of a digest that name a bucket: 4096 of them, however many rows there are.
+BUCKET_DIGITS = 3
+
+
+def with_before(rows: DataFrame, keys: list[str], digest: str, order: list[str], amount: Column | None = None) -> DataFrame:
+    """rows with `before`: the sum of an amount (1) over the rows of the same keys that come earlier by (digest, order).
+
+    Digests are spread evenly, so rows are ranked inside buckets of them; what comes before a bucket is a running
+    sum over at most 4096 bucket totals of a key. No key's rows meet in one task.
+    """
+    amount = F.lit(1) if amount is None else amount
+    bucketed = rows.withColumn("_a", amount.cast("long")).withColumn("_bucket", F.substring(digest, 1, BUCKET_DIGITS))
+    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_a").alias("_t"))
+    ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"), F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(digest, *order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bucketed.withColumn("_own", F.coalesce(F.sum("_a").over(inside), F.lit(0)))
+    on = [ranked["_bucket"] == base["_kb"]] + [ranked[k].eqNullSafe(base[f"_k{i}"]) for i, k in enumerate(keys)]
+    return ranked.join(base, on).withColumn("before", F.col("_own") + F.col("_base")).select(*rows.columns, "before")
+
+
 def stratified_sample(items: DataFrame, stratum: str, item_id: str, quota: int, namespace: str) -> DataFrame:
     """The first `quota` items of each stratum in the order of their digests."""
-    order = Window.partitionBy(stratum).orderBy(rank_digest(namespace, item_id), item_id)
-    return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
+    placed = with_before(items.withColumn("_digest", rank_digest(namespace, item_id)), [stratum], "_digest", [item_id])
+    return placed.withColumn("place", (F.col("before") + 1).cast("int")).where(F.col("place") <= quota).drop("_digest", "before")
 
 
 def freeze_study(items: DataFrame, stratum: str, item_id: str, namespace: str, holdout: float = 0.2) -> DataFrame:
     """items with split (a fifth of each stratum, one at least, is held out), option_a by parity, and an opaque review_id."""
-    own = Window.partitionBy(stratum)
     digest = rank_digest(namespace, item_id)
-    place = F.row_number().over(own.orderBy(rank_digest(namespace + "-split", item_id), item_id))
-    held = place <= F.greatest(F.lit(1), F.floor(F.count("*").over(own) * holdout))
+    placed = with_before(items.withColumn("_split", rank_digest(namespace + "-split", item_id)), [stratum], "_split", [item_id])
+    sizes = items.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_size"))
+    placed = placed.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    held = F.col("before") < F.greatest(F.lit(1), F.floor(F.col("_size") * holdout))
     parity = F.conv(F.substring(digest, 64, 1), 16, 10).cast("int") % 2
-    return items.select("*", F.when(held, "holdout").otherwise("training").alias("split"), F.when(parity == 0, "first").otherwise("second").alias("option_a"), F.substring(rank_digest(namespace + "-review", item_id), 1, 16).alias("review_id"))
+    return placed.select(*items.columns, F.when(held, "holdout").otherwise("training").alias("split"), F.when(parity == 0, "first").otherwise("second").alias("option_a"), F.substring(rank_digest(namespace + "-review", item_id), 1, 16).alias("review_id"))
 
 
 def disjoint_split(items: DataFrame, episode: str, speaker: str, holdout: float = 0.2, seed: str = "disjoint") -> DataFrame:
@@ -44,10 +66,9 @@ def disjoint_split(items: DataFrame, episode: str, speaker: str, holdout: float
     of = components(edges)
     rows = keyed.join(of.select(F.col("node").alias("_e"), "component"), "_e", "left").withColumn("component", F.coalesce("component", "_e")).drop("_e")
     sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.col(episode).cast("string")).alias("name"))
-    order = Window.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "name"), 256), "component")
+    named = sizes.withColumn("_digest", F.sha2(F.concat_ws(":", F.lit(seed), "name"), 256))
     total = sizes.agg(F.sum("n").alias("total"))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sizes.withColumn("before", before).join(F.broadcast(total))
+    placed = with_before(named, [], "_digest", ["component"], F.col("n")).join(F.broadcast(total))
     held = (F.col("before") == 0) | ((F.col("before") < F.greatest(F.lit(1), F.round(F.col("total") * holdout))) & (F.col("before") + F.col("n") <= F.col("total") - 1))
     return rows.join(placed.select("component", held.alias("_held")), "component").withColumn("split", F.when(F.col("_held"), "holdout").otherwise("training")).drop("_held")
 
