@@ -47,8 +47,8 @@ from spanloom.scratch import Scratch
 WINDOW = 13
 #: Words of an anchor, at first and where a shard is split.
 ANCHOR, LONGER = 5, (9, WINDOW)
-#: Most distinct snippets of a shard before it is split; characters of passages for one task of a reference; words of an automaton.
-SHARD_SNIPPETS, SHARD_CHARS, BLOCK = 2000, 4_000_000, 50_000
+#: Most distinct passages of a shard before it is split or dealt; characters of passages for one task of a reference; words of an automaton.
+SHARD_SNIPPETS, SHARD_CHARS, BLOCK = 1000, 4_000_000, 50_000
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
 _R = 0x9E3779B97F4A7C15
@@ -280,7 +280,7 @@ def dealt(distinct: DataFrame, scratch: Scratch) -> DataFrame:
         if not split:
             break
         rows = scratch.save(cut(placed.where(large).select(*rows.columns), words), f"cut{level}")
-    salts = F.when(F.col("ref") == 1, F.ceil(F.col("chars") / SHARD_CHARS)).otherwise(1).cast("int")
+    salts = F.when(F.col("ref") == 1, F.greatest(F.ceil(F.col("chars") / SHARD_CHARS), F.ceil(F.col("n") / SHARD_SNIPPETS))).otherwise(1).cast("int")
     mine = F.pmod(F.xxhash64("g"), salts).cast("int")
     builds = (F.col("ref") == 1) & (F.col("doc") == F.col("shard"))
     out = out.withColumn("mine", mine).withColumn("salt", F.explode(F.when(builds, F.sequence(F.lit(0), salts - 1)).otherwise(F.array("mine"))))
