@@ -13,34 +13,39 @@ OPEN_WORDS = ("and", "or", "but", "because", "und", "oder", "et", "ou", "y", "و
 PAUSE_MS = 500
 
 
-def segment(words: DataFrame, pauses: DataFrame | None = None, pause_ms: int = PAUSE_MS, open_words: tuple[str, ...] = OPEN_WORDS) -> DataFrame:
-    """media_id, sent_id, start_ms, end_ms, text, complete, n_words.
+def numbered(words: DataFrame, pauses: DataFrame | None = None, pause_ms: int = PAUSE_MS) -> DataFrame:
+    """words with sent_id, final (it bears a final mark) and next_ms (start of the next word).
 
     A sentence ends after a final mark, before a gap of pause_ms or more, or where a silence of that length
-    (pauses: media_id, pause_start_ms, pause_end_ms) lies inside the gap. It is complete unless its last word
-    is open; the last one of a recording only with a final mark. One window pass by recording, one aggregation.
+    (pauses: media_id, pause_start_ms, pause_end_ms) lies inside the gap. One window pass by recording.
     """
     order = Window.partitionBy("media_id").orderBy("pos")
-    marked = F.col("w").rlike(f"[{FINAL_MARKS}]$")
-    rows = words.withColumn("_next", F.lead("start_ms").over(order)).withColumn("_final", marked)
-    ends = F.col("_final") | (F.col("_next") - F.col("end_ms") >= pause_ms)
+    rows = words.withColumn("next_ms", F.lead("start_ms").over(order)).withColumn("final", F.col("w").rlike(f"[{FINAL_MARKS}]$"))
+    ends = F.col("final") | (F.col("next_ms") - F.col("end_ms") >= pause_ms)
     if pauses is not None:
         long = pauses.where(F.col("pause_end_ms") - F.col("pause_start_ms") >= pause_ms)
-        gaps = rows.where("_next > end_ms").select("media_id", "pos", F.col("end_ms").alias("g0"), F.col("_next").alias("g1"))
+        gaps = rows.where("next_ms > end_ms").select("media_id", "pos", F.col("end_ms").alias("g0"), F.col("next_ms").alias("g1"))
         held = overlap_join(gaps, long, "media_id", ("g0", "g1"), ("pause_start_ms", "pause_end_ms")).where("g0 <= pause_start_ms and pause_end_ms <= g1").select("media_id", "pos").distinct().withColumn("_silent", F.lit(True))
         rows = rows.join(held, ["media_id", "pos"], "left")
         ends = ends | F.coalesce("_silent", F.lit(False))
-    rows = rows.withColumn("_ends", ends)
     number = F.coalesce(F.sum(F.col("_ends").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    grouped = rows.withColumn("sent_id", number).groupBy("media_id", "sent_id").agg(
+    return rows.withColumn("_ends", ends).withColumn("sent_id", number).drop("_ends", "_silent")
+
+
+def segment(words: DataFrame, pauses: DataFrame | None = None, pause_ms: int = PAUSE_MS, open_words: tuple[str, ...] = OPEN_WORDS) -> DataFrame:
+    """media_id, sent_id, start_ms, end_ms, text, complete, n_words of the numbered words.
+
+    A sentence is complete unless its last word is open; the last one of a recording only with a final mark.
+    """
+    grouped = numbered(words, pauses, pause_ms).groupBy("media_id", "sent_id").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("text"),
         F.count("*").alias("n_words"),
-        F.max_by(F.struct("w", "_final", "_next"), "pos").alias("_last"),
+        F.max_by(F.struct("w", "final", "next_ms"), "pos").alias("_last"),
     )
     dangling = F.lower(F.regexp_replace(F.col("_last.w"), r"\p{P}", "")).isin(*open_words)
-    complete = ~dangling & (F.col("_last._final") | F.col("_last._next").isNotNull())
+    complete = ~dangling & (F.col("_last.final") | F.col("_last.next_ms").isNotNull())
     return grouped.select("media_id", "sent_id", "start_ms", "end_ms", "text", complete.alias("complete"), "n_words")
 
 

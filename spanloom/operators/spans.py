@@ -22,11 +22,23 @@ def bucketed(df: DataFrame, start: str, end: str, bucket_ms: int, name: str) ->
     return df.withColumn(f"_{name}0", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Pairs of rows of one key whose spans overlap. Columns of the two sides other than the key must differ in name."""
+def dealt(left: DataFrame, right: DataFrame, deal: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_deal`: left rows each in one of `deal` parts, right rows in all of them. For a bucket that would not fit a task."""
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(deal)).cast("int") if deal > 1 else F.lit(0)
+    return left.withColumn("_deal", part), right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bucket_ms: int = BUCKET_MS, deal: int = 1) -> DataFrame:
+    """Pairs of rows of one key whose spans overlap. Columns of the two sides other than the key must differ in name.
+
+    deal: parts into which the left rows of a crowded (key, bucket) are dealt; the right rows are copied to each.
+    """
     x, y = bucketed(left, *a, bucket_ms, "l"), bucketed(right, *b, bucket_ms, "r")
-    met = x.join(y, [key, "_bucket"]).where(overlaps(*a, *b) & (F.col("_bucket") == F.greatest("_l0", "_r0")))
-    return met.drop("_bucket", "_l0", "_r0")
+    on = [key, "_bucket"]
+    if deal > 1:
+        (x, y), on = dealt(x, y, deal), [*on, "_deal"]
+    met = x.join(y, on).where(overlaps(*a, *b) & (F.col("_bucket") == F.greatest("_l0", "_r0")))
+    return met.drop("_bucket", "_l0", "_r0", "_deal")
 
 
 def point_join(points: DataFrame, spans: DataFrame, key: str, at: str, b: tuple[str, str], closed_end: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:

@@ -20,7 +20,7 @@ from spanloom.operators import timeline as L
 from spanloom.plans.evaluation import ITEMS, items
 from spanloom.plans.selection import merged
 from spanloom.plans.text import SENTENCES, TOKENS, sentences
-from spanloom.plans.timeline import MARKS, cuts, media, tighten
+from spanloom.plans.timeline import MARKS, cuts, media
 from spanloom.sources import documents as J
 from spanloom.tables import with_tables
 
@@ -202,11 +202,8 @@ def inspect_project(spark, d):
 @query("q5_18_output_sentences", with_tables("words", SENTENCES + """, g as (select *, lag(end_ms) over (partition by media_id order by pos) as b from w2), sh as (select media_id, sid, w, pos, start_ms - sum(case when b is not null and start_ms - b > 600 then start_ms - b - 150 else 0 end) over (partition by media_id order by pos rows unbounded preceding) as s, end_ms - start_ms as ms from g)
  select media_id, cast(sid as bigint) as sent_id, cast(min(s) as bigint) as start_ms, cast(max(s + ms) as bigint) as end_ms, count(*) as n_words from sh group by 1, 2"""))
 def output_sentences(spark, d):
-    order = Window.partitionBy("media_id").orderBy("pos")
-    ends = F.col("w").rlike("[.!?؟۔]$") | (F.lead("start_ms").over(order) - F.col("end_ms") >= 500)
-    w = T.words(spark, d).withColumn("_e", F.coalesce(ends, F.lit(False)).cast("long"))
-    w = w.select("media_id", "pos", F.coalesce(F.sum("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sent_id"))
-    return w.join(tighten(spark, d), ["media_id", "pos"]).groupBy("media_id", "sent_id").agg(F.min("new_start_ms").alias("start_ms"), F.max("new_end_ms").alias("end_ms"), F.count("*").alias("n_words"))
+    moved = L.tightened(E.numbered(T.words(spark, d)))
+    return moved.groupBy("media_id", "sent_id").agg(F.min("new_start_ms").alias("start_ms"), F.max("new_end_ms").alias("end_ms"), F.count("*").alias("n_words"))
 
 
 @query("q5_39_captions_within", with_tables("words", SENTENCES + " select media_id, bool_or(start_ms < 60000 and end_ms > 0) as has_cue, count(*) filter (where start_ms >= 60000) as n_outside from sent group by 1"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom import tables as T
+from spanloom.operators import sentences as S
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
 from spanloom.plans.text import SENTENCES, sentences
@@ -115,12 +116,7 @@ def word_media(spark, d):
 
 @query("q5_9_silence_plan", with_tables("words", WORDMEDIA + " select m.media_id, count(r.start_ms) as n_removed, cast(coalesce(sum(r.end_ms - r.start_ms), 0) as bigint) as removed_ms, max(duration_ms) - cast(coalesce(sum(r.end_ms - r.start_ms), 0) as bigint) as retained_ms from wm m left join rem r on r.media_id = m.media_id group by 1"))
 def silence_plan(spark, d):
-    m = word_media(spark, d)
-    removed, retained = L.silence_plan(T.words(spark, d), m)
-    ms = F.sum(F.col("end_ms") - F.col("start_ms"))
-    a = removed.groupBy("media_id").agg(F.count("*").alias("n_removed"), ms.alias("removed_ms"))
-    b = retained.groupBy("media_id").agg(ms.alias("retained_ms"))
-    return m.select("media_id").join(a, "media_id", "left").join(b, "media_id", "left").na.fill(0)
+    return L.silence_totals(T.words(spark, d))
 
 
 REMAP = WORDMEDIA + ", mv as (select w.media_id, w.pos, w.start_ms - coalesce((select sum(r.end_ms - r.start_ms) from rem r where r.media_id = w.media_id and r.end_ms <= w.start_ms), 0) as s, w.end_ms - w.start_ms as ms from words w)"
@@ -128,19 +124,14 @@ REMAP = WORDMEDIA + ", mv as (select w.media_id, w.pos, w.start_ms - coalesce((s
 
 @query("q5_13_tighten_silence", with_tables("words", WORDMEDIA + ", r1 as (select w.media_id, w.pos, w.start_ms - coalesce(sum(case when b is not null and start_ms - b > 600 then start_ms - b - 150 else 0 end) over (partition by media_id order by pos rows unbounded preceding), 0) as new_start_ms, end_ms - start_ms as ms from (select *, lag(end_ms) over (partition by media_id order by pos) as b from words) w) select media_id, pos, cast(new_start_ms as bigint) as new_start_ms, cast(new_start_ms + ms as bigint) as new_end_ms from r1"))
 def tighten(spark, d):
-    w = T.words(spark, d)
-    _, retained = L.silence_plan(w, word_media(spark, d))
-    got = P.to_output(w.select("media_id", "pos", "start_ms", "end_ms").withColumnsRenamed({"start_ms": "s", "end_ms": "e"}), retained, "media_id", "s")
-    return got.select("media_id", "pos", F.col("output_ms").alias("new_start_ms"), (F.col("output_ms") + F.col("e") - F.col("s")).alias("new_end_ms"))
+    return L.tightened(T.words(spark, d)).select("media_id", "pos", "new_start_ms", "new_end_ms")
 
 
 @query("q5_14_tighten_sentences", with_tables("words", SENTENCES + """, g as (select *, lag(end_ms) over (partition by media_id order by pos) as b from w2), sh as (select media_id, sid, sum(case when b is not null and start_ms - b > 600 then start_ms - b - 150 else 0 end) over (partition by media_id order by pos rows unbounded preceding) as cut, start_ms, end_ms, pos from g)
  select media_id, cast(sid as bigint) as sent_id, cast(min(start_ms - cut) as bigint) as start_ms, cast(max(end_ms - cut) as bigint) as end_ms from sh group by 1, 2"""))
 def tighten_sentences(spark, d):
-    _, retained = L.silence_plan(T.words(spark, d), word_media(spark, d))
-    s = sentences(spark, d).select("media_id", "sent_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("z"))
-    at_start = P.to_output(s, retained, "media_id", "a").withColumnRenamed("output_ms", "start_ms")
-    return P.to_output(at_start.drop("end_ms").withColumnRenamed("start_ms", "n_start"), retained, "media_id", "z").select("media_id", "sent_id", F.col("n_start").alias("start_ms"), F.col("output_ms").alias("end_ms"))
+    moved = L.tightened(S.numbered(T.words(spark, d)))
+    return moved.groupBy("media_id", "sent_id").agg(F.min("new_start_ms").alias("start_ms"), F.max("new_end_ms").alias("end_ms"))
 
 
 @query("q5_8_filler_words")
@@ -173,13 +164,8 @@ def detect_shots(spark, d):
 
 
 def _sentence_words(spark, d):
-    from spanloom.operators.sentences import PAUSE_MS
-
-    order = Window.partitionBy("media_id").orderBy("pos")
-    ends = F.col("w").rlike("[.!?؟۔]$") | (F.lead("start_ms").over(order) - F.col("end_ms") >= PAUSE_MS)
-    rows = T.words(spark, d).withColumn("_e", F.coalesce(ends, F.lit(False)).cast("long"))
-    rows = rows.withColumn("sent_id", F.coalesce(F.sum("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.groupBy("media_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "start_ms", "end_ms"))).alias("ws"))
+    words = F.array_sort(F.collect_list(F.struct("pos", "w", "start_ms", "end_ms")))
+    return S.numbered(T.words(spark, d)).groupBy("media_id", "sent_id").agg(words.alias("ws"))
 
 
 @query("q5_37_caption_chunks")
