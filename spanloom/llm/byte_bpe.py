@@ -11,7 +11,8 @@ The token slices are looked up in a cache of merged pieces; only pieces not seen
 pair. Byte offsets of tokens are kept (`offsets=True`), and decoding joins the bytes of the ids.
 
 Defined cases: a null or empty text has no tokens; null ids and repeated rows keep their rows; characters that
-Unicode has not assigned count as marks.
+Unicode has not assigned count as marks; of pairs with one rank the leftmost is merged first; a very long text
+is cut in one piece, as one array of its task; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ A pair at the threshold shares no band with probability `MISS` at most, and sket
 over five standard deviations. Everything after that is exact.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a null id is linked with
-nothing, has no component and is kept; rows with one id count as one document.
+nothing, has no component and is kept; rows with one id count as one document; the smallest id names a
+component, so there are no ties; a very long text is hashed whole, as one array of its task; an empty table gives
+no rows; `groups` reads id and text only, `keep_one` carries columns of any name along.
 """
 
 from __future__ import annotations
@@ -190,10 +192,7 @@ def linked_components(members: DataFrame, key: str, node: str, block: int, links
     """
     once = components(links(first_cells(members, key, node, block)))
     once = scratch.save(once, f"{name}_once")
-    others = scratch.save(other_cells(members, once, key, node, block), f"{name}_others")
-    if others.isEmpty():
-        return once
-    rest = links(others)
+    rest = links(other_cells(members, once, key, node, block))
     return components(once.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest))
 
 

@@ -5,7 +5,9 @@ labelled rows, flattened into numpy node arrays (one row of nodes for each tree)
 batches level by level. Chosen features are monotone: more of them can only lower the score.
 
 Defined cases: a null or empty text has no words and fails the rules; a null id keeps its row; repeated
-rows are judged one by one; without labelled rows of both kinds nothing but the fixed rules rejects.
+rows are judged one by one, equal texts alike; without labelled rows of both kinds nothing but the fixed rules
+rejects; a very long text is measured whole, as one array of its task; an empty table gives no rows; `judge` reads
+id and text only, `keep` carries columns of any name along.
 """
 
 from __future__ import annotations
