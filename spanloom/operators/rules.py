@@ -159,8 +159,3 @@ def placed(rows: DataFrame, key: str, *order, limit: int | None = None, name: st
     """rows with their place in the order of their key, the first `limit` of them."""
     out = rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return out if limit is None else out.where(F.col(name) <= limit)
-
-
-def style_findings(most_font: int = 100, most_margin: int = 240, most_outline: float = 3.0, most_chars: int = 20) -> dict[str, Column]:
-    """Rules for a subtitle file's font size, margin, outline and longest line."""
-    return {"font too large": F.col("font_size") > most_font, "margin too large": F.col("margin") > most_margin, "outline too thick": F.col("outline") > most_outline, "line too long": F.col("longest_line") > most_chars}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanloom.plans.text import COS, OPEN, SENTENCES
+from spanloom.plans.timeline import MEDIA, SCENES
 from spanloom.tables import with_tables
 
 ORACLES: dict[str, str] = {}
@@ -154,3 +155,51 @@ ORACLES["q5_8_filler_words"] = recursive(
 # Model stand-ins whose answers are known.
 ORACLES["q10_3_reranker_faults"] = "with " + COS + ", h as (select query_id, min(vec_id) as a, max(vec_id) as z from r where rank <= 10 group by 1) select query_id, a as vec_id, 'duplicate' as reason from h union all select query_id, z, 'missing' from h"
 ORACLES["q1_33_timeline_json"] = with_tables("verbal", " select media_id, to_json({'name': 'reel', 'tracks': [{'kind': 'video', 'children': list({'name': cast(candidate_id as varchar), 'source_range': {'in_ms': in_ms, 'out_ms': out_ms}, 'markers': 2} order by in_ms, cast(candidate_id as varchar))}]})::varchar as timeline from verbal group by 1")
+
+# Diarization: the best one-to-one mapping of speakers, by trying every one.
+_ERROR = """, {n}mk as (select distinct media_id, unnest([start_ms, end_ms]) as s from (select media_id, start_ms, end_ms from {ref} union all select media_id, start_ms, end_ms from {hyp})),
+ {n}sl as (select * from (select media_id, s, lead(s) over (partition by media_id order by s) as e from {n}mk) where e is not null),
+ {n}ra as (select distinct l.media_id, s, e, speaker from {n}sl l join {ref} t on t.media_id = l.media_id and s < end_ms and start_ms < e), {n}ha as (select distinct l.media_id, s, e, speaker from {n}sl l join {hyp} t on t.media_id = l.media_id and s < end_ms and start_ms < e),
+ {n}ct as (select l.media_id, e - s as ms, (select count(*) from {n}ra r where r.media_id = l.media_id and r.s = l.s) as r, (select count(*) from {n}ha h where h.media_id = l.media_id and h.s = l.s) as h from {n}sl l),
+ {n}to as (select media_id, sum(ms * r) as speech_ms, sum(ms * greatest(r - h, 0)) as missed_ms, sum(ms * greatest(h - r, 0)) as false_alarm_ms, sum(ms * least(r, h)) as both_ms from {n}ct group by 1),
+ {n}mx as (select r.media_id, r.speaker as a, h.speaker as b, sum(r.e - r.s) as ms from {n}ra r join {n}ha h on h.media_id = r.media_id and h.s = r.s group by 1, 2, 3),
+ {n}sp as (select media_id, a, row_number() over (partition by media_id order by a) as k from (select distinct media_id, a from {n}mx)),
+ {n}tr as (select media_id, cast(0 as bigint) as k, cast([] as varchar[]) as used, cast(0 as bigint) as total from (select distinct media_id from {n}sp) union all
+   select t.media_id, s.k, case when m.b is null then t.used else list_append(t.used, m.b) end, cast(t.total + coalesce(m.ms, 0) as bigint) from {n}tr t join {n}sp s on s.media_id = t.media_id and s.k = t.k + 1 join (select media_id, a, b, ms from {n}mx union all select media_id, a, null, null from {n}sp) m on m.media_id = t.media_id and m.a = s.a where m.b is null or not list_contains(t.used, m.b)),
+ {n}bt as (select media_id, max(total) as matched from {n}tr group by 1),
+ {n}er as (select t.media_id, cast(speech_ms as bigint) as speech_ms, cast(missed_ms as bigint) as missed_ms, cast(false_alarm_ms as bigint) as false_alarm_ms, cast(case when both_ms = 0 then 0 else both_ms - matched end as bigint) as confusion_ms from {n}to t left join {n}bt b on b.media_id = t.media_id)"""
+_RATE = "round((missed_ms + false_alarm_ms + confusion_ms) / cast(nullif(speech_ms, 0) as double), 9) as der"
+ORACLES["q4_22_diarization_error"] = recursive(
+    "turns",
+    ", ref as (select media_id, speaker, start_ms, end_ms from turns), hyp as (select media_id, case when turn % 3 = 0 then 's1' else 'x' || speaker end as speaker, start_ms + 300 as start_ms, end_ms + 200 as end_ms from turns where turn % 5 <> 4)" + _ERROR.format(n="d", ref="ref", hyp="hyp") + f" select *, {_RATE} from der",
+)
+_spans_error = ", ref as (select media_id, event_type as speaker, in_ms as start_ms, out_ms as end_ms from spans), hyp as (select media_id, case when event_type = 'view' then 'click' else event_type end as speaker, in_ms + 500 as start_ms, out_ms as end_ms from spans)" + _ERROR.format(n="d", ref="ref", hyp="hyp")
+ORACLES["q4_23_overlap_aware_error"] = recursive("spans", _spans_error + f" select *, {_RATE} from der")
+_times = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("speech_ms", "missed_ms", "false_alarm_ms", "confusion_ms"))
+ORACLES["q4_24_pooled_error"] = recursive("spans", _spans_error + f", po as (select {_times} from der) select *, {_RATE} from po")
+ORACLES["q4_25_diarization_study"] = recursive(
+    "turns",
+    ", ref as (select media_id, speaker, start_ms, end_ms from turns), late as (select media_id, speaker, start_ms + 300 as start_ms, end_ms + 300 as end_ms from turns), one as (select media_id, 's' as speaker, start_ms, end_ms from turns)"
+    + _ERROR.format(n="l", ref="ref", hyp="late")
+    + _ERROR.format(n="o", ref="ref", hyp="one")
+    + f", every as (select 'late' as system, * from ler union all select 'one', * from oer), po as (select system, cast(null as bigint) as media_id, {_times} from every group by 1) select *, {_RATE} from every union all select *, {_RATE} from po",
+)
+
+# Windows read by a stand-in, and what is known of each stretch of a recording.
+ORACLES["q6_8_discover_visual"] = with_tables(
+    "spans",
+    SCENES + ", sc2 as (select media_id, media_id || ':s' || scene || ':w' || \"window\" as window_id, in_ms, in_ms % 5 = 0 as refused from win), rk as (select media_id, window_id, cast(in_ms % 97 as double) as score, row_number() over (partition by media_id order by in_ms % 97 desc, in_ms, window_id) as rank, cast(null as varchar) as reason from sc2 where not refused) select * from rk union all select media_id, window_id, null, null, 'refused' from sc2 where refused",
+)
+_INVENTORY = (
+    MEDIA
+    + """, me as (select media_id, duration_ms, cast(floor(duration_ms * 3 / 4) as bigint) as scan_out from media), iv as (select s.media_id, event_type, in_ms as a, out_ms as z, duration_ms from spans s join me on me.media_id = s.media_id where event_type in ('view', 'signup')),
+ pk as (select distinct media_id, p from (select media_id, unnest([0, duration_ms, scan_out]) as p from me union all select c.media_id, cut_ms from cuts c join me on me.media_id = c.media_id where cut_ms > 0 and cut_ms < duration_ms union all select media_id, unnest([greatest(0, least(a, duration_ms)), greatest(0, least(z, duration_ms))]) from iv)),
+ sl as (select * from (select media_id, p as a, lead(p) over (partition by media_id order by p) as z from pk) where z is not null),
+ fl as (select sl.media_id, sl.a, sl.z, exists (select 1 from iv where iv.media_id = sl.media_id and event_type = 'view' and iv.a < sl.z and sl.a < iv.z) as sp, exists (select 1 from iv where iv.media_id = sl.media_id and event_type = 'signup' and iv.a < sl.z and sl.a < iv.z) as ins,
+   (select count(*) from spans f where f.media_id = sl.media_id and f.event_type = 'purchase' and sl.a <= f.in_ms and f.in_ms < sl.z) as n, scan_out from sl join me on me.media_id = sl.media_id),
+ lv as (select *, case when ins then 'inspected' when n > 0 then 'sampled' when z <= scan_out then 'scanned' else 'unknown' end as level from fl),
+ nb as (select *, case when ins then 0 else n end as f from lv), gp as (select *, (coalesce(level <> lag(level) over w or sp <> lag(sp) over w or f <> lag(f) over w, true))::int as fresh from nb window w as (partition by media_id order by a)),
+ gi as (select *, sum(fresh) over (partition by media_id order by a) as i from gp), inv as (select media_id, i, level, sp as has_speech, min(a) as in_ms, max(z) as out_ms from gi group by 1, 2, 3, 4)"""
+)
+ORACLES["q5_33_observation_inventory"] = with_tables("spans", _INVENTORY + " select media_id, in_ms, out_ms, level, has_speech from inv")
+ORACLES["q4_44_coverage_summary"] = with_tables("spans", _INVENTORY + ", cs as (select media_id, level, cast(sum(out_ms - in_ms) as bigint) as ms, cast(sum(case when has_speech then out_ms - in_ms else 0 end) as bigint) as speech_ms from inv group by 1, 2) select *, round(ms / cast(sum(ms) over (partition by media_id) as double), 6) as share from cs")
