@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from spanloom.scratch import Scratch
 
 
+#: Edges of a written partition: rounds of few edges are written by few tasks.
+EDGES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node it reaches) for every node of edges (u, v).
 
@@ -29,6 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        now = scratch.save(small.distinct())
+        now = scratch.save(small.distinct().coalesce(1 + got["n"] // EDGES))
         scratch.drop(scratch.n - 1)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
