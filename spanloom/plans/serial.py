@@ -203,3 +203,16 @@ _INVENTORY = (
 )
 ORACLES["q5_33_observation_inventory"] = with_tables("spans", _INVENTORY + " select media_id, in_ms, out_ms, level, has_speech from inv")
 ORACLES["q4_44_coverage_summary"] = with_tables("spans", _INVENTORY + ", cs as (select media_id, level, cast(sum(out_ms - in_ms) as bigint) as ms, cast(sum(case when has_speech then out_ms - in_ms else 0 end) as bigint) as speech_ms from inv group by 1, 2) select *, round(ms / cast(sum(ms) over (partition by media_id) as double), 6) as share from cs")
+_frames = ", al as (select media_id, in_ms, out_ms, case when event_type = 'error' then 0 else least(4, greatest(1, (out_ms - in_ms) // 20000)) end as want, row_number() over (partition by media_id order by value desc, in_ms, out_ms, event_id) as k from spans), lt as (select *, cast(least(want, greatest(40 - coalesce(sum(want) over (partition by media_id order by k rows between unbounded preceding and 1 preceding), 0), 0)) as bigint) as frames from al), fr as (select media_id, case when frames = 1 then in_ms + (out_ms - in_ms) // 2 else cast(round_even(in_ms + i * ((out_ms - in_ms) / cast(frames + 1 as double)), 0) as bigint) end as at_ms from (select *, unnest(range(1, frames + 1)) as i from lt))"
+_applied = _INVENTORY.replace("from spans f where f.media_id = sl.media_id and f.event_type = 'purchase' and sl.a <= f.in_ms and f.in_ms < sl.z", "from fr f where f.media_id = sl.media_id and sl.a <= f.at_ms and f.at_ms < sl.z").replace("cast(floor(duration_ms * 3 / 4) as bigint) as scan_out", "duration_ms as scan_out")
+ORACLES["q5_36_apply_observation"] = with_tables("spans", _frames + _applied + " select media_id, in_ms, out_ms, level, has_speech from inv")
+
+# Splits: what an episode reaches over speakers is one component.
+ORACLES["q7_5_partition_disjoint"] = recursive(
+    "spans",
+    """, g as (select event_id, media_id as episode, media_id // 3 + (value > 200)::int as speaker from spans), ed as (select distinct 'e' || episode as u, 's' || speaker as v from g), bw as (select u, v from ed union all select v, u from ed),
+ rc as (select distinct u, u as v from bw union select rc.u, bw.v from rc join bw on bw.u = rc.v), cm as (select u, min(v) as c from rc group by 1),
+ rw as (select g.*, c from g join cm on u = 'e' || episode), sz as (select c, count(*) as n, min(cast(episode as varchar)) as name from rw group by 1),
+ pl as (select c, n, coalesce(sum(n) over (order by sha256('disjoint:' || name), c rows between unbounded preceding and 1 preceding), 0) as b, sum(n) over () as total from sz)
+ select event_id, episode, speaker, case when b = 0 or (b < greatest(1, round(total * 0.2)) and b + n <= total - 1) then 'holdout' else 'training' end as split from rw join pl on pl.c = rw.c""",
+)
