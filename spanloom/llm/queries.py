@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, centroid_clustering, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
+from spanloom.llm import byte_bpe, centroid_clustering, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, spelling_variants, substring_dedup, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9,
     "op10_quality_rules": quality_rules.op10,
     "op11_centroid_clustering": centroid_clustering.op11,
+    "op12_spelling_variants": spelling_variants.op12,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE,
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op5_near_dedup": near_dedup.ORACLE,
     "op7_secret_scans": secret_scans.ORACLE,
     "op11_centroid_clustering": centroid_clustering.ORACLE,
+    "op12_spelling_variants": spelling_variants.ORACLE,
 }
