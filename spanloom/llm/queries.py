@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, centroid_clustering, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, spelling_variants, substring_dedup, url_filters
+from spanloom.llm import byte_bpe, centroid_clustering, chat_formatting, language_id, media_columns, near_dedup, packing, quality_classifier, quality_rules, secret_scans, spelling_variants, substring_dedup, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10,
     "op11_centroid_clustering": centroid_clustering.op11,
     "op12_spelling_variants": spelling_variants.op12,
+    "op13_chat_formatting": chat_formatting.op13,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE,
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_secret_scans": secret_scans.ORACLE,
     "op11_centroid_clustering": centroid_clustering.ORACLE,
     "op12_spelling_variants": spelling_variants.ORACLE,
+    "op13_chat_formatting": chat_formatting.ORACLE,
 }
