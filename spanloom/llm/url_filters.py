@@ -127,7 +127,7 @@ def apply_rules(pages: DataFrame, rules, url: str = "url", default: str = "allow
     ready = rules.select(reversed_key(name).alias("key"), begin.alias("path"), F.concat(F.coalesce("host", F.lit("")), begin).alias("text"), "verdict").distinct()
     opened = ready.mapInArrow(copy, "key string, path string, text string, verdict string, part int")
     opened = opened.select("part", "key", F.lit(0).alias("kind"), "path", F.lit(None).cast("string").alias("host"), F.lit(None).cast(row).alias("row"), "text", "verdict")
-    both = urls.unionByName(opened).repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "path")
+    both = urls.unionByName(opened).repartitionById(ranges, "part").sortWithinPartitions("part", "key", "kind", "path")
     names, added = pages.columns, found_name(pages)
     found_type = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")])
 
