@@ -15,12 +15,14 @@ length, however common, meets in one task.
 Defined cases: a null or empty text is the end id alone; rows with equal or null ids are packed one by one;
 pieces of one length are ranked by id, start and content, ties among equal rows falling either way; an empty
 table gives no pieces; a very long text is encoded whole in one task and gives as many full windows as it has;
-only id and text are read, so further columns of any name do no harm.
+only id and text are read, so further columns of any name do no harm; a special token written in a text is that token,
+as the library's plain call has it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -41,6 +43,8 @@ _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 _MARK[39] = False  # an apostrophe may belong to what follows
+#: The vocabulary's special tokens.
+SPECIAL = re.compile(rb"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Lead bytes of combining marks, which may join a letter before it is lower-cased.
 _COMBINING = (b"\xcc", b"\xcd")
 
@@ -49,9 +53,12 @@ def plain_words(data: np.ndarray, at: np.ndarray) -> tuple[bytes, list[int]]:
     """The texts with A-Z in lower case and a blank between a letter and the mark after it, and their row starts.
 
     The vocabulary lower-cases, splits there and drops blanks itself, so ids stay the same, but far fewer
-    different words are left to encode.
+    different words are left to encode. Special tokens stay as they are; in other case they are no tokens, and get a blank.
     """
     cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    if b"<|" in (whole := data.tobytes()):
+        inside = [m.start() + m[0].rindex(b"|") for m in SPECIAL.finditer(whole)]  # the only such place in a special token
+        cut = cut[~np.isin(cut, inside)]
     raw = np.insert(data, cut, 32).tobytes()
     edges = (at + np.searchsorted(cut, at)).tolist()
     return (raw if any(c in raw for c in _COMBINING) else raw.lower()), edges
@@ -65,7 +72,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content.encode(): i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cache: dict[bytes, bytes] = {}
 
     def learn(self, new: list[bytes]) -> None:
@@ -81,6 +88,13 @@ class WordIds:
                 self.cache[word] = ids[s:e]
 
     def packed(self, text: bytes) -> bytes:
+        """The ids of a text and the end's id. A special token is one id, and what stands on its sides is encoded apart."""
+        if b"<|" in text:
+            parts = SPECIAL.split(text)
+            return b"".join(self.special[p] if k % 2 else self.ordinary(p) for k, p in enumerate(parts)) + END_ID.to_bytes(4, "little")
+        return self.ordinary(text) + END_ID.to_bytes(4, "little")
+
+    def ordinary(self, text: bytes) -> bytes:
         words = text.split()
         have = self.cache.get
         ids = list(map(have, words))
@@ -90,7 +104,7 @@ class WordIds:
                 ids = [None] * len(words)
             self.learn(list(dict.fromkeys(w for w, i in zip(words, ids) if i is None)))
             ids = list(map(self.cache.__getitem__, words))
-        return b"".join(ids) + END_ID.to_bytes(4, "little")
+        return b"".join(ids)
 
 
 @lru_cache(1)

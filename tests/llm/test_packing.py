@@ -48,7 +48,6 @@ def check(rows, docs, window):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.vocabulary())
-    t.encode_special_tokens = True
     want = {}
     for i, text in docs:
         want.setdefault(i, []).append(t.encode(text or "", add_special_tokens=False).ids + [P.END_ID])
@@ -76,7 +75,7 @@ def check(rows, docs, window):
 
 def test_pack(spark):
     rng = random.Random(3)
-    texts = [None, "", "A <|endoftext|> it's ÉCOLE é x y 😀 1234"] + [" ".join("".join(rng.choice("abcdeft'É1") for _ in range(rng.randint(1, 12))) for _ in range(rng.choice([3, 30, 300]))) for _ in range(60)] + ["same text of a few words"] * 40
+    texts = [None, "", "A<|endoftext|>b<|ENDOFTEXT|> <|startoftext|><|endoftext|> it's ÉCOLE é x y 😀 1234"] + [" ".join("".join(rng.choice("abcdeft'É1") for _ in range(rng.randint(1, 12))) for _ in range(rng.choice([3, 30, 300]))) for _ in range(60)] + ["same text of a few words"] * 40
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (5, "again five")]
     table = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, length int")
     for window in (64, 1000):
@@ -91,9 +90,8 @@ def test_plain_words_keep_the_ids():
     from spanloom.llm import common as C
 
     t = Tokenizer.from_file(P.vocabulary())
-    t.encode_special_tokens = True
     rng = random.Random(5)
-    parts = ["a", "Z", "'s", "'", ".", ",", "#", "##", "&", "1", " ", "\n", "É", "é", "e\u0301", "H\u0331", "İ", "ß", "日", "😀", "<|endoftext|>", "-", "_", "Σ", "\u00a0", "\x00"]
+    parts = ["a", "Z", "'s", "'", ".", ",", "#", "##", "&", "1", " ", "\n", "É", "é", "e\u0301", "H\u0331", "İ", "ß", "日", "😀", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "-", "_", "Σ", "\u00a0", "\x00"]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)] + ["ΟΔΟΣ. T\u0308x", "don't.stop"]
     ids = P.WordIds(P.vocabulary())
     for limit in (300, 1 << 20):
