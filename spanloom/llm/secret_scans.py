@@ -1,12 +1,15 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Fixed patterns give the base spans. Beside them, strings that look random are candidates: they mix letters
-and digits, are 20 characters or longer and have a high character entropy. A candidate's hash is aggregated
-over the corpus by distinct repositories and by distinct owners. What several owners hold, or one owner in many
-repositories, is a copied example: a licence key of a tutorial, a test vector, a template. What one owner holds in
-few repositories looks live and is added as a span of kind `owned`. Candidates are rare, are hashed inside the
-scan, and are pre-aggregated by (hash, repository, owner) before the shuffle, so a string that a third of all
-rows hold costs one row for each task and repository.
+and digits, are 20 characters or longer and have a high character entropy. Every find is hashed inside the scan, the
+value of a base span (group 2 of `assign`, else the match) as well as a candidate, and its hash is aggregated over the
+corpus by distinct repositories and by distinct owners: a key that many hold as `token=...` and one holds bare is
+the same key. What several owners hold, or one owner in many repositories, is a copied example: a licence key of
+a tutorial, a test vector, a template. What one owner holds in few repositories looks live. Live candidates are
+added as spans of kind `owned`; base spans all stay, and carry their verdict.
+
+Hashes are pre-aggregated by (hash, repository, owner) before the shuffle, so a string that a third of all
+rows hold costs one row for each task and repository; where finds meet their verdicts, heavy hashes are dealt.
 
 Defined cases: a null or empty text has no spans; a null repository or owner counts as one of its own; rows
 that are equal in id and text get equal results, each its own row; a null id keeps its row; spans that begin
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import common as C
+from spanloom.operators.skew import spread_join
 from spanloom.scratch import Scratch
 
 KINDS = ("assign", "access", "hex")
@@ -58,6 +62,16 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def digest(value: str) -> bytes:
+    return hashlib.sha256(value.encode()).digest()[:16]
+
+
+def base_value(text: str, span: tuple[int, int, int]) -> str:
+    """What a base span holds: the value given to the name of an `assign`, else all of it."""
+    found = text[span[0] : span[1]]
+    return ASSIGN.fullmatch(found)[2] if span[2] == 0 else found
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bytes]]:
     """(start, end, hash) of strings that look random and are not part of a base span."""
     out, at = [], 0
@@ -71,17 +85,22 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if any(b[0] < m.end() and m.start() < b[1] for b in base[at : at + 4]):
             continue
         if entropy(value) >= LEAST_ENTROPY:
-            out.append((m.start(), m.end(), hashlib.sha256(value.encode()).digest()[:16]))
+            out.append((m.start(), m.end(), digest(value)))
     return out
 
 
+def finds(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, index of the kind, hash) of base spans and candidates."""
+    return [(*b, digest(base_value(text, b))) for b in base] + [(s, e, len(KINDS), h) for s, e, h in candidates(text, base)]
+
+
 def line(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-SCHEMA = "doc_id long, repo string, owner string, row_key binary, n_assign long, n_access long, n_hex long, base array<struct<start:long,stop:long,kind:int>>, found array<struct<start:long,stop:long,hash:binary>>"
+SCHEMA = "doc_id long, repo string, owner string, row_key binary, n_assign long, n_access long, n_hex long, base array<struct<start:long,stop:long,kind:int>>, found array<struct<start:long,stop:long,kind:int,hash:binary>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32())]))
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.binary())]))
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32()), ("hash", pa.binary())]))
 
 
 def row_key(doc_id: int | None, text: bytes) -> bytes:
@@ -94,7 +113,7 @@ def _name(of) -> Column:
 
 
 def scan(docs: DataFrame, repo="source", owner="source") -> DataFrame:
-    """Base spans and candidates of every whole text; row_key is a digest of id and text."""
+    """Base spans, and base spans and candidates with their hashes, of every whole text; row_key is a digest of id and text."""
 
     def run(batches):
         for b in batches:
@@ -109,7 +128,7 @@ def scan(docs: DataFrame, repo="source", owner="source") -> DataFrame:
                     for k, c in enumerate(counts):
                         c.append(sum(x[2] == k for x in base))
                     spans.append([{"start": x, "stop": y, "kind": k} for x, y, k in base])
-                    found.append([{"start": x, "stop": y, "hash": h} for x, y, h in candidates(text, base)])
+                    found.append([{"start": x, "stop": y, "kind": k, "hash": h} for x, y, k, h in finds(text, base)])
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c)[lo:hi] for c in ("doc_id", "repo", "owner")), pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in counts), pa.array(spans, _SPAN), pa.array(found, _FOUND)],
                     names=["doc_id", "repo", "owner", "row_key", "n_assign", "n_access", "n_hex", "base", "found"],
@@ -120,37 +139,37 @@ def scan(docs: DataFrame, repo="source", owner="source") -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repos, n_owners, n_uses over all candidates of (hash, repo, owner)."""
+    """hash, n_repos, n_owners, n_uses over all finds of (hash, repo, owner)."""
     held = found.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
     nul = F.lit("\0")
     return held.groupBy("hash").agg(F.countDistinct(F.coalesce("repo", nul)).alias("n_repos"), F.countDistinct(F.coalesce("owner", nul)).alias("n_owners"), F.sum("n").alias("n_uses"))
 
 
 def verdict(most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> Column:
-    """What n_owners and n_repos say of a candidate: `live`, or a `copied` example."""
+    """What n_owners and n_repos say of a find: `live`, or a `copied` example."""
     return F.when((F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos), "live").otherwise("copied")
 
 
-def candidate_table(scanned: DataFrame, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
-    """row_key, doc_id, start, stop, hash, n_repos, n_owners, n_uses, verdict of every candidate of a scanned table."""
-    found = scanned.where(F.size("found") > 0).select("doc_id", "row_key", "repo", "owner", F.explode("found").alias("f"))
-    found = found.select("doc_id", "row_key", "repo", "owner", F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.hash").alias("hash"))
-    held = ownership(found).withColumn("verdict", verdict(most_owners, most_repos))
-    return found.drop("repo", "owner").join(held, "hash")
+def find_table(scanned: DataFrame, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """row_key, doc_id, start, stop, kind, hash, n_repos, n_owners, n_uses, verdict of every find of a scanned table."""
+    found = scanned.where(F.size("found") > 0).select("doc_id", "row_key", "repo", "owner", F.explode("found").alias("f")).select("doc_id", "row_key", "repo", "owner", "f.*")
+    held = Scratch(scanned.sparkSession, "secret_owners").save(ownership(found).withColumn("verdict", verdict(most_owners, most_repos)))
+    total = held.agg(F.coalesce(F.sum("n_uses"), F.lit(0))).first()[0]
+    return spread_join(found.drop("repo", "owner"), held, ["hash"], "n_uses", total)
 
 
 def judge(docs: DataFrame, repo="source", owner="source", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
-    """One row for each document: counts, base spans, and `all`: base spans and live candidates, by start and kind. repo, owner: columns."""
+    """One row for each document: counts, base spans, and `all`: base spans and live candidates, by start and kind, each with its verdict. repo, owner: columns."""
     scanned = Scratch(docs.sparkSession, "secret_scans").save(scan(docs, repo, owner), "scanned")
-    live = candidate_table(scanned, most_owners, most_repos).where("verdict = 'live'").select("row_key", "start", "stop").distinct()
-    added = live.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"))).alias("added"))
+    told = find_table(scanned, most_owners, most_repos).where((F.col("kind") < len(KINDS)) | (F.col("verdict") == "live"))
+    span = F.struct("start", "kind", "stop", "verdict")
+    # Rows equal in id and text share a key, and so would tell each span several times.
+    spans = told.groupBy("row_key").agg(F.sort_array(F.collect_set(span)).alias("all"))
     plain = scanned.select("doc_id", "row_key", "n_assign", "n_access", "n_hex", "base", F.size("found").alias("n_found"))
-    with_found = plain.where("n_found > 0").join(added, "row_key", "left")
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,kind:int>>")
-    return with_found.unionByName(plain.where("n_found = 0").withColumn("added", empty)).select(
-        "doc_id", "row_key", "n_assign", "n_access", "n_hex", "base",
-        F.array_sort(F.concat("base", F.coalesce("added", empty)), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int")).alias("all"),
-    )
+    none = F.array().cast(spans.schema["all"].dataType)
+    with_found = plain.where("n_found > 0").join(spans, "row_key", "left")
+    both = with_found.unionByName(plain.where("n_found = 0").withColumn("all", none))
+    return both.select("doc_id", "row_key", "n_assign", "n_access", "n_hex", "base", F.coalesce("all", none).alias("all"))
 
 
 def span_text(column: str):
@@ -158,6 +177,10 @@ def span_text(column: str):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def verdict_text(column: str) -> Column:
+    return F.array_join(F.transform(column, lambda s: s["verdict"]), ",")
+
+
 def redacted(text: str, spans: list, mark: str) -> str:
     """The text with each span replaced by the mark; of spans that overlap, only what is beyond the last end goes."""
     out, at = [], 0
@@ -198,7 +221,7 @@ def repository() -> Column:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     out = judge(C.read(spark, sf_dir, "documents"), repository())
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("all").alias("spans"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("all").alias("spans"), verdict_text("all").alias("verdicts"))
 
 
 ORACLE = r"""
@@ -214,22 +237,24 @@ matches AS (
 placed AS (
   SELECT *, CAST(sum(length(before) + length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM matches),
 spans AS (
-  SELECT doc_id, source, repo, kind, place, value, stop - length(value) AS start, stop FROM placed
+  SELECT doc_id, source, repo, kind, place, pattern, value, stop - length(value) AS start, stop FROM placed
   WHERE length(value) >= least AND (kind <> 'assign' OR length(regexp_extract(value, pattern, 2)) >= 6)),
-base AS (SELECT * FROM spans WHERE kind <> 'owned'),
+base AS (SELECT doc_id, source, repo, kind, place, start, stop, CASE kind WHEN 'assign' THEN regexp_extract(value, pattern, 2) ELSE value END AS value FROM spans WHERE kind <> 'owned'),
 random AS (
-  SELECT * FROM spans s WHERE kind = 'owned' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+  SELECT * EXCLUDE (pattern) FROM spans s WHERE kind = 'owned' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)),
 letters AS (
   SELECT value, letter, count(*) AS n FROM (SELECT value, unnest(string_split(value, '')) AS letter FROM (SELECT DISTINCT value FROM random)) GROUP BY ALL),
 mixed AS (SELECT value FROM letters GROUP BY value HAVING -sum(n / length(value) * log2(n / length(value))) >= 3.5),
-live AS (SELECT value FROM random JOIN mixed USING (value) GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) = 1 AND count(DISTINCT coalesce(repo, chr(1))) <= 2),
-every AS (SELECT doc_id, kind, place, start, stop FROM base UNION ALL SELECT doc_id, kind, place, start, stop FROM random JOIN live USING (value)),
+found AS (SELECT * FROM base UNION ALL BY NAME SELECT random.* FROM random JOIN mixed USING (value)),
+owners AS (
+  SELECT value, CASE WHEN count(DISTINCT coalesce(source, chr(1))) = 1 AND count(DISTINCT coalesce(repo, chr(1))) <= 2 THEN 'live' ELSE 'copied' END AS verdict FROM found GROUP BY value),
+every AS (SELECT doc_id, kind, place, start, stop, verdict FROM found JOIN owners USING (value) WHERE kind <> 'owned' OR verdict = 'live'),
 lines AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
     string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) FILTER (WHERE kind <> 'owned') AS base,
-    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) AS spans
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) AS spans, string_agg(verdict, ',' ORDER BY start, place) AS verdicts
   FROM every GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts
 FROM documents LEFT JOIN lines USING (doc_id)
 """

@@ -46,13 +46,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
     sf, word = "/root/testdata/sf0.001", "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups".split()
     prose = " ".join(word)
     texts = [(1, prose + ". One two three."), (1, prose + ". One two three."), (2, None), (3, ""), (None, prose), (None, prose), (None, None), (4, "other " + prose + " end"), (5, "password=abcdef123 " + prose), (6, "Long words in a row, all of them. " * 6000), (4, "short")]
-    columns = "doc_id long, text string, row int, spans string, doc long, t string, row_key binary, found int, kept boolean, _gone long, _salt int, length int, source string"
-    docs = spark.createDataFrame([(i, t, 1, "s", 2, "t", b"k", 3, True, 4, 5, 6, "w") for i, t in texts], columns)
+    columns = "doc_id long, text string, row int, spans string, doc long, t string, row_key binary, found int, kept boolean, _gone long, _salt int, length int, source string, lang string"
+    docs = spark.createDataFrame([(i, t, 1, "s", 2, "t", b"k", 3, True, 4, 5, 6, "w", None) for i, t in texts], columns)
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.schema == docs.schema and stage(spark, docs.limit(0), sf).count() == 0
         rows = out.collect()
-        assert all(tuple(r)[2:] == (1, "s", 2, "t", b"k", 3, True, 4, 5, 6, "w") for r in rows)
+        assert all(tuple(r)[2:] == (1, "s", 2, "t", b"k", 3, True, 4, 5, 6, "w", None) for r in rows)
         if name == "quality rules":
             assert not any(r.text in (None, "", "short") for r in rows)
         elif name == "near duplicates":

@@ -36,7 +36,7 @@ def test_base_spans_and_ownership(spark):
     every = {r.doc_id: r["all"] for r in out}
     assert all(every[100 + i] == "" for i in range(5)) and every[300] == ""
     assert every[200] == f"owned:7:{7 + len(live)}" and every[201] and every[None]
-    assert {(r.verdict, r.n_owners, r.n_uses) for r in S.candidate_table(S.scan(docs)).collect() if r.doc_id in (100, 200)} == {("copied", 6, 6), ("live", 1, 4)}
+    assert {(r.verdict, r.n_owners, r.n_uses) for r in S.find_table(S.scan(docs)).collect() if r.doc_id in (100, 200)} == {("copied", 6, 6), ("live", 1, 4)}
     docs = docs.withColumns({"row": F.lit(1), "spans": F.lit("s"), "_key": F.lit("k"), "row_key": F.lit("rk"), "n_chars": F.length("text")})
     clean = S.redact(docs)
     assert {(r.row, r.spans, r._key, r.row_key) for r in clean.collect()} == {(1, "s", "k", "rk")}
@@ -58,7 +58,7 @@ def test_one_owner_in_many_repositories_is_no_secret(spark):
     rows = [(i, f"use {key} here", f"repo{i % n}", "owner", n) for n in (2, 3) for i in range(6)]
     for n, verdict in ((2, "live"), (3, "copied")):
         docs = spark.createDataFrame([r for r in rows if r[4] == n], "doc_id long, text string, repo string, owner string, n int")
-        got = S.candidate_table(S.scan(docs, "repo", "owner")).collect()
+        got = S.find_table(S.scan(docs, "repo", "owner")).collect()
         assert {(r.verdict, r.n_repos, r.n_owners) for r in got} == {(verdict, n, 1)} and len(got) == 6
         assert {r["all"] is not None and len(r["all"]) for r in S.judge(docs, "repo", "owner").collect()} == {int(verdict == "live")}
 
@@ -66,3 +66,15 @@ def test_one_owner_in_many_repositories_is_no_secret(spark):
 def test_a_text_full_of_secrets(spark):
     docs = spark.createDataFrame([(1, "password=abcdef123 x " * 20_000, "s")], "doc_id long, text string, source string")
     assert S.redact(docs).first().text == "[REDACTED] x " * 20_000
+
+
+def test_strings_inside_base_spans_count(spark):
+    """Fifty owners hold the key as an assignment, one holds it bare: a copied example. One owner's own key is live."""
+    key, own, hexed = "Ab3xK9pQ7zLmN4vR2tYw8", "Zx8wQ2rT5yU7iO9pA1sDf", "0123456789abcdef" * 2
+    rows = [(i, f"token={key} and {hexed}", f"owner{i}") for i in range(50)] + [(100, f"bare {key}", "owner100"), (101, f"bare {own} then token={own}", "owner101"), (102, f"secret: {own}", "owner101")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.spans, r.verdicts) for r in S.judge(docs).select("doc_id", S.span_text("all").alias("spans"), S.verdict_text("all").alias("verdicts")).collect()}
+    assert got[100] == ("", "")
+    assert all(got[i] == ("assign:0:27,hex:32:64", "copied,copied") for i in range(50))
+    assert got[101] == ("owned:5:26,assign:32:59", "live,live") and got[102] == ("assign:0:29", "live")
+    assert {r.n_owners for r in S.find_table(S.scan(docs)).collect() if r.doc_id == 100} == {51}
