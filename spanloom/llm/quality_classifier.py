@@ -3,8 +3,8 @@
 A text is cut into overlapping chunks that cover all of it. Each learned filter looks at WIDTH consecutive
 bytes, at every byte, through its own table of weights for each byte value; its largest response in a chunk is the chunk's
 feature (max-pooling). A text's features are the mean and the maximum over its chunks, and a logistic layer
-combines them into one probability. Training draws a bounded sample of labelled rows to the driver; scoring
-runs inside the tasks over whole texts.
+combines them into one probability. Training draws a bounded sample of labelled rows to the driver, and sees every
+chunk of them, some at a time; scoring runs inside the tasks over whole texts.
 
 Defined cases: a null or empty text is one chunk of padding and gets that chunk's score; a null id keeps its
 row and counts as held out (its crc is 0); repeated rows are scored one by one; with no labels, or labels of one
@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from spanloom.llm import common as C
 
 CHUNK, HOP, WIDTH, STRIDE, FILTERS = 256, 192, 6, 1, 12
-#: Most labelled rows of each label in the training sample; most chunks of a text that are brought to the driver
-#: (spread over all of it), and most of those in one training step.
-FIT_ROWS, HELD_CHUNKS, FIT_CHUNKS, EPOCHS, BATCH = 700, 40, 10, 7, 50
+#: The sample of labelled rows: most rows of each label, and bytes of its longest text (longer ones are not drawn, but scored).
+FIT_ROWS, FIT_BYTES, EPOCHS, BATCH, BLOCK = 700, 1 << 17, 7, 50, 1024
 PREDICT_FROM = 0.3
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -66,7 +65,7 @@ class Network:
     def score_codes(self, text_features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(text_features.astype(float) @ self.p["out"] + self.p["level"], -30, 30)))
 
-    def scores(self, data: np.ndarray, at: np.ndarray, block: int = 1024) -> np.ndarray:
+    def scores(self, data: np.ndarray, at: np.ndarray, block: int = BLOCK) -> np.ndarray:
         start, first = cut(data, at)
         ends = np.repeat(at[1:], np.diff(first))
         codes_of = np.concatenate((data.astype(np.uint16), np.full(CHUNK, 256, np.uint16)))
@@ -79,68 +78,58 @@ class Network:
         return self.score_codes(self.combine(out, first))
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
-    """Adam on the logistic loss over texts given by their chunks; in each step a text is seen through FIT_CHUNKS of these."""
+def gradients(net: Network, codes: np.ndarray, first: np.ndarray, y: np.ndarray, share: np.ndarray, block: int = BLOCK) -> dict[str, np.ndarray]:
+    """Of the mean weighted logistic loss over texts whose chunks are codes[first[i] : first[i + 1]], some chunks at a time."""
+    feats, where = np.empty((len(codes), FILTERS), np.float32), np.empty((len(codes), FILTERS), np.int64)
+    for k in range(0, len(codes), block):
+        feats[k : k + block], where[k : k + block] = net.pooled(codes[k : k + block])
+    text = net.combine(feats, first)
+    err = ((net.score_codes(text) - y) * share / len(y)).astype(np.float32)
+    count = np.diff(first)
+    text_of = np.repeat(np.arange(len(y)), count)
+    back = (err[text_of] / count[text_of])[:, None] * net.p["out"][:FILTERS]
+    # A maximum that several chunks share is handed to each of them in equal parts.
+    top = text[text_of, FILTERS:] == feats
+    tied = np.add.reduceat(top.astype(np.float32), first[:-1])[text_of]
+    back = (back + np.where(top, err[text_of, None] * net.p["out"][FILTERS:] / tied, 0)) * (feats > 0)
+    table = np.zeros_like(net.p["table"])
+    chunk = np.arange(len(codes))[:, None]
+    for w in range(WIDTH):
+        np.add.at(table[w], (codes[chunk, where * STRIDE + w], np.arange(FILTERS)), back)
+    table[:, 256] = 0
+    return {"out": err @ text, "level": np.array([err.sum()], np.float32), "bias": back.sum(0), "table": table}
+
+
+def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
+    """Adam on the logistic loss over whole texts."""
     net, rng = Network(), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    held = [np.full((len(t), CHUNK), 256, np.uint16) for t in texts]
-    for rows, t in zip(held, texts):
-        for row, chunk in zip(rows, t):
-            row[: len(chunk)] = np.frombuffer(chunk, np.uint8)
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
-            codes, first = [], [0]
-            for r in rows:
-                some = held[r] if len(held[r]) <= FIT_CHUNKS else held[r][np.sort(rng.choice(len(held[r]), FIT_CHUNKS, False))]
-                codes.append(some)
-                first.append(first[-1] + len(some))
-            codes, first = np.concatenate(codes), np.array(first)
-            feats, where = net.pooled(codes)
-            text = net.combine(feats, first)
-            err = ((net.score_codes(text) - y[rows]) * share[rows] / len(rows)).astype(np.float32)
-            grad = {"out": err @ text, "level": np.array([err.sum()], np.float32)}
-            count = np.diff(first)
-            text_of = np.repeat(np.arange(len(rows)), count)
-            back = (err[text_of] / count[text_of])[:, None] * net.p["out"][:FILTERS]
-            top = text[text_of, FILTERS:] == feats
-            back = (back + np.where(top, err[text_of, None] * net.p["out"][FILTERS:], 0)) * (feats > 0)
-            grad["bias"] = back.sum(0)
-            grad["table"] = np.zeros_like(net.p["table"])
-            chunk = np.arange(len(codes))[:, None]
-            for w in range(WIDTH):
-                np.add.at(grad["table"][w], (codes[chunk, where * STRIDE + w], np.arange(FILTERS)), back)
-            grad["table"][:, 256] = 0
+            size = np.array([len(texts[r]) for r in rows])
+            data, at = np.frombuffer(b"".join(texts[r] for r in rows), np.uint8), np.concatenate(([0], np.cumsum(size)))
+            start, first = cut(data, at)
+            where = start[:, None] + np.arange(CHUNK)
+            codes = np.concatenate((data.astype(np.uint16), np.full(CHUNK, 256, np.uint16)))[where]
+            codes[where >= np.repeat(at[1:], np.diff(first))[:, None]] = 256
             step += 1
-            for name, g in grad.items():
+            for name, g in gradients(net, codes, first, y[rows], share[rows]).items():
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
                 net.p[name] -= 0.02 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-7)
     return net
 
 
-def sample_chunks(batches):
-    """At most HELD_CHUNKS chunks of each text, spread evenly over all of it: what training may see is bounded in bytes."""
-    for b in batches:
-        for lo, hi, data, at in C.chunks(b.column("text")):
-            start, first = cut(data, at)
-            raw, out = data.tobytes(), []
-            for i in range(hi - lo):
-                own = start[first[i] : first[i + 1]]
-                own = own[np.unique(np.linspace(0, len(own) - 1, HELD_CHUNKS).astype(np.int64))]
-                out.append([raw[s : min(s + CHUNK, at[i + 1])] for s in own.tolist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in ("doc_id", "t", "quality")), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "t", "quality", "chunks"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out=None):
     """A function from (bytes, row starts) to scores, learned from at most fit_rows texts of each label.
 
     held_out: a condition on doc_id; rows for which it holds are never learned from. The sample is the first
-    rows of each label in the order of a hash of the id.
+    rows of each label in the order of a hash of the id, less those with texts beyond FIT_BYTES.
     """
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     if held_out is not None:
@@ -150,13 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out=N
     for q in (0, 1):
         part = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
         some = part if some is None else some.unionByName(part)
-    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality", F.xxhash64("text").alias("t"))
-    rows = own.mapInArrow(sample_chunks, "doc_id long, t long, quality int, chunks array<binary>").orderBy(F.xxhash64("doc_id"), "t").limit(2 * fit_rows).toPandas()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(some), "doc_id")
+    rows = own.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * fit_rows).toPandas()
     y = rows["quality"].to_numpy(float)
     if len(set(y)) < 2:
         level = float(y.mean()) if len(y) else 0.5
         return lambda data, at: np.full(len(at) - 1, level)
-    return train([list(c) for c in rows["chunks"]], y).scores
+    return train([bytes(t) for t in rows["text"]], y).scores
 
 
 def score(docs: DataFrame, scores) -> DataFrame:

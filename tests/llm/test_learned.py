@@ -127,3 +127,34 @@ def test_network_equals_a_plain_convolution():
     best = np.array(best)
     z = float(np.concatenate((best.mean(0), best.max(0))) @ net.p["out"] + net.p["level"][0])
     assert abs(net.scores(text, np.array([0, len(text)]))[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 103, n).astype(np.uint8) for n in (0, 3, 300, 1500, 256)]
+    data, at = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    start, first = Q.cut(data, at)
+    where = start[:, None] + np.arange(Q.CHUNK)
+    codes = np.concatenate((data.astype(np.uint16), np.full(Q.CHUNK, 256, np.uint16)))[where]
+    codes[where >= np.repeat(at[1:], np.diff(first))[:, None]] = 256
+    y, share = np.array([1, 0, 1, 0, 1.0]), np.array([1, 2, 1, 2, 0.5])
+    net = Q.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["bias"] += 0.3
+
+    def loss():
+        p = net.score_codes(net.combine(np.concatenate([net.pooled(codes[k : k + 1])[0] for k in range(len(codes))]).astype(float), first))
+        return float((share * -(y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+    for block in (2, 1024):
+        grad = Q.gradients(net, codes, first, y, share, block)
+        for name, g in grad.items():
+            flat, own = net.p[name].reshape(-1), g.reshape(-1)
+            for i in rng.choice(np.flatnonzero(own) if np.any(own) else np.arange(len(own)), 6):
+                was, step = flat[i], 1e-3
+                flat[i] = was + step
+                up = loss()
+                flat[i] = was - step
+                down = loss()
+                flat[i] = was
+                assert abs((up - down) / (2 * step) - own[i]) < 2e-3 + 0.02 * abs(own[i]), (name, i)
