@@ -1,9 +1,9 @@
 """Every registered query of the library proper."""
 
-from spanloom.plans import evaluation, folded, more, records, releases, selection, serial, spans, text, timeline
+from spanloom.plans import evaluation, folded, more, records, releases, selection, serial, spans, text, timeline, wordlists
 
 QUERIES, ORACLES = {}, {}
-for _module in (spans, text, selection, evaluation, timeline, records, more, folded, releases):
+for _module in (spans, text, selection, evaluation, timeline, records, more, folded, releases, wordlists):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 ORACLES |= serial.ORACLES
