@@ -183,11 +183,6 @@ def ledger(spark, d):
     return L.stamp(s, "run_id", ["in_ms", "event_id"])
 
 
-@query("q9_1_run_event_log", with_tables("spans", LEDGER + " select run_id, event_id, sequence from led"))
-def run_event_log(spark, d):
-    return ledger(spark, d).select("run_id", "event_id", "sequence")
-
-
 @query("q1_11_read_events_prefix", with_tables("spans", LEDGER + ", b as (select run_id, min(sequence) as bad from led where value > 300 group by 1) select l.run_id, count(*) as n_read, max(sequence) as last_sequence from led l left join b on b.run_id = l.run_id where bad is null or sequence < bad group by 1"))
 def prefix(spark, d):
     """The ledger as JSON lines, with torn lines where the value is over 300, read up to the first of them."""

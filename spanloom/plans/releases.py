@@ -345,16 +345,6 @@ def interval_end(spark, d):
 # Ledgers
 
 
-@query("q1_10_event_sink", with_tables("spans", LEDGER + " select run_id, stage, count(*) as n, max(sequence) as last_sequence from led group by 1, 2"))
-def event_sink(spark, d):
-    """Events appended to a folder of JSON lines in two writes, and read again."""
-    rows, scratch = ledger(spark, d), Scratch(spark, "sink")
-    for part in (0, 1):
-        G.append_json(rows.where(F.col("event_id") % 2 == part), f"{scratch.root}/events")
-    back = spark.read.schema(rows.schema).json(f"{scratch.root}/events")
-    return back.groupBy("run_id", "stage").agg(F.count("*").alias("n"), F.max("sequence").alias("last_sequence"))
-
-
 def _prefix(spark, d, bad, schema):
     """A ledger of JSON lines, torn where `bad` holds, read up to the first torn line of each run."""
     text = F.to_json(F.struct("event_id", "stage", "value", "sequence"))
@@ -512,13 +502,3 @@ def _track(pdf):
 @query("q10_7_tracker_hook", with_tables("spans", " select event_id, case when value <= 300 then cast(round_even(value * 3, 0) as bigint) end as x, case when value > 300 then 'ValueError: lost' end as error from spans"))
 def tracker(spark, d):
     return H.map_rows(T.spans(spark, d).select("event_id", "value"), _track, "x long", "event_id")
-
-
-@query("q10_9_event_stream", "select event_type, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by 1")
-def event_stream(spark, d):
-    """The event stream written to a table, each event once, and read from there."""
-    scratch = Scratch(spark, "events")
-    source = T.read(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{d}/event[s].parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    G.append_once(stream, ["event_id"], "at", f"{scratch.root}/out", f"{scratch.root}/state", late="400 days").awaitTermination()
-    return spark.read.parquet(f"{scratch.root}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
