@@ -232,14 +232,6 @@ def rejected_by_path(spark, d):
     return R.rejected_by_path(s, s.where("value > 60"), ["media_id", "path"])
 
 
-@query("q9_2_embedding_cache", "with w as (select vec_id, label, sha256(cast(vec_id as varchar) || ':' || cast(label as varchar)) as d from embeddings) select case when vec_id % 3 = 0 then 'miss' when vec_id % 3 = 1 then 'hit' else 'stale' end as outcome, count(*) as n from w group by 1")
-def embedding_cache(spark, d):
-    digest = F.sha2(F.concat_ws(":", F.col("vec_id").cast("string"), F.col("label").cast("string")), 256)
-    want = T.read(spark, d, "embeddings").select("vec_id", digest.alias("digest"))
-    have = want.where("vec_id % 3 <> 0").select("vec_id", F.when(F.col("vec_id") % 3 == 1, F.col("digest")).otherwise(F.reverse("digest")).alias("digest"))
-    return L.reuse(want, have, ["vec_id"], "digest").groupBy("outcome").agg(F.count("*").alias("n"))
-
-
 @query("q9_3_stage_complete", with_tables("spans", ", s as (select media_id as run, event_type as stage, count(*) as n, max(value) as m from spans group by 1, 2) select run, stage, m <= 60 as complete from s"))
 def stage_complete(spark, d):
     s = T.spans(spark, d).groupBy(F.col("media_id").alias("run"), F.col("event_type").alias("stage")).agg(F.collect_list(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("digests"), F.max("value").alias("m"))

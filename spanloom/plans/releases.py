@@ -391,50 +391,6 @@ def promote(spark, d):
     return D.promotion(asked, "run_id", rows)
 
 
-@query("q9_4_save_checkpoint", with_tables("spans", " select media_id as run, event_type as stage, count(*) as n_digests, true as complete from spans group by 1, 2"))
-def save_checkpoint(spark, d):
-    """Digest manifests of finished stages, appended and asked for again."""
-    s = T.spans(spark, d).groupBy(F.col("media_id").alias("run"), F.col("event_type").alias("stage")).agg(F.array_sort(F.collect_list(F.md5(F.col("event_id").cast("string").cast("binary")))).alias("digests")).withColumn("metadata", F.lit("v1"))
-    scratch = Scratch(spark, "checkpoints")
-    G.append_json(s, f"{scratch.root}/stages")
-    recorded = spark.read.schema(s.schema).json(f"{scratch.root}/stages")
-    return G.stage_complete(s, recorded).select("run", "stage", F.size("digests").cast("long").alias("n_digests"), "complete")
-
-
-@query("q9_5_extract_once", "select page_id, case when page_id % 4 = 0 then 'miss' when page_id % 4 = 1 then 'stale' else 'hit' end as outcome from pages")
-def extract_once(spark, d):
-    """Derived files are made again where source, command or size differ."""
-    pages = T.read(spark, d, "pages")
-    digest = F.sha2(F.concat_ws("|", F.sha2("html", 256), F.lit("extract --text"), F.length("html").cast("string")), 256)
-    want = pages.select("page_id", digest.alias("digest"))
-    have = want.where("page_id % 4 <> 0").withColumn("digest", F.when(F.col("page_id") % 4 == 1, F.reverse("digest")).otherwise(F.col("digest")))
-    return G.reuse(want, have, ["page_id"], "digest").select("page_id", "outcome")
-
-
-@query("q9_6_reusable_raw", "select doc_id, case when doc_id % 5 = 0 then 'miss' when doc_id % 7 = 0 then 'stale' else 'hit' end as outcome, doc_id % 5 <> 0 and doc_id % 7 <> 0 and doc_id % 3 <> 0 as reusable from documents")
-def reusable_raw(spark, d):
-    """A stored transcript is used again if source and producer are the same and what is stored is intact."""
-    docs = T.read(spark, d, "documents").select("doc_id", "text", "source", F.sha2("text", 256).alias("digest"))
-    n = F.col("doc_id")
-    stored = docs.where("doc_id % 5 <> 0").select("doc_id", "source", F.when(n % 7 == 0, F.reverse("digest")).otherwise(F.col("digest")).alias("digest"), F.when(n % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("held"))
-    out = G.reuse(docs.select("doc_id", "source", "digest"), stored, ["doc_id", "source"], "digest")
-    good = U.intact(stored, docs.select("doc_id", "digest"), "doc_id", "held")
-    return out.join(good, "doc_id", "left").select("doc_id", "outcome", ((F.col("outcome") == "hit") & F.coalesce("intact", F.lit(False))).alias("reusable"))
-
-
-@query("q9_7_cached_votes")
-def cached_votes(spark, d):
-    """Votes over runs; only recordings whose cache is missing or stale are voted on again, the others come from the cache."""
-    runs = T.spans(spark, d).select(F.col("event_id").alias("candidate_id"), "media_id", F.col("event_type").alias("run"), "in_ms", "out_ms", F.col("value").alias("score"))
-    digest = runs.groupBy("media_id").agg(F.md5(F.concat_ws(",", F.count("*").cast("string"), F.sum(F.xxhash64("candidate_id", "score").cast("decimal(38,0)")).cast("string")).cast("binary")).alias("digest"))
-    cached = S.vote(runs.where("media_id % 2 = 0"), 0.6, 2)
-    have = digest.where("media_id % 2 = 0 and media_id % 3 <> 0").unionByName(digest.where("media_id % 6 = 0").withColumn("digest", F.lit("old")))
-    state = G.reuse(digest, have, ["media_id"], "digest").select("media_id", "outcome")
-    fresh = S.vote(runs.join(state.where("outcome <> 'hit'"), "media_id", "left_semi"), 0.6, 2)
-    both = cached.join(state.where("outcome = 'hit'"), "media_id", "left_semi").unionByName(fresh)
-    return both.join(state, "media_id").select("media_id", "outcome", "leader_id", "votes", F.round("mean_score", 6).alias("mean_score"), "rank")
-
-
 # Model hooks
 
 
