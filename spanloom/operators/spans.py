@@ -1,8 +1,12 @@
 """Span algebra: range joins, merge, subtract, complement, clock mapping, nearest, thinning.
 
-Spans are half-open and integer; every operator works inside a key (a recording). Range joins are bucketed:
-each span is put into the time buckets it touches and joined by (key, bucket), so that neither side is
-compared with all of the other, and a pair is kept only in the first bucket both share.
+Spans are half-open and integer; every operator works inside a key (a recording).
+
+Range joins go by dyadic cells. A span is cut into the largest aligned cells of 1, 2, 4, ... buckets that lie in it: about
+two for each doubling of its length, be it a minute or a year. A point lies in one cell of each size, and meets a
+span in the one cell of the span that holds it, so no pair is met twice. Spans overlap where one's start lies in the other. A
+first pass finds the longest span and the largest key; only where a key is large are the rows of each cell counted, and
+cells that are crowded are dealt over a grid of tasks, the rows of one side by rows, of the other by columns.
 """
 
 from __future__ import annotations
@@ -13,41 +17,109 @@ from pyspark.sql import functions as F
 from spanloom.functions.intervals import overlaps
 
 BUCKET_MS = 60_000
+#: Rows of one side in one cell that a task takes, at least; where there are very many rows, a SHARE of all of them.
+CROWD, SHARE = 20_000, 1024
+
+
+def cell(at, bucket_ms: int) -> Column:
+    return F.floor((F.col(at) if isinstance(at, str) else at) / bucket_ms).cast("long")
+
+
+def cells_spanned(start: str, end: str, bucket_ms: int) -> Column:
+    """How many buckets a span touches; one where it is empty."""
+    return F.greatest(F.lit(1), cell(F.col(end) - 1, bucket_ms) - cell(start, bucket_ms) + 1)
+
+
+def cover(lo: str, cells: str, levels: int) -> Column:
+    """The aligned cells of 2**level buckets that make up the `cells` buckets from lo: level, place."""
+    out = []
+    for k in range(levels):
+        first, last = -F.shiftright(-F.col(lo), k), F.shiftright(F.col(lo) + F.col(cells), k)
+        left, right = (F.struct(F.lit(k).alias("level"), x.alias("place")) for x in (first, last - 1))
+        out += [F.when((first < last) & (first.bitwiseAND(1) == 1), left), F.when((first < last) & (last.bitwiseAND(1) == 1), right)]
+    return F.array_compact(F.array(*out))
+
+
+def around(at: str, levels: int) -> Column:
+    """The cells of every size that a bucket lies in."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("place")) for k in range(levels)])
+
+
+def _first_pass(key: str, *sides: tuple[DataFrame, Column]) -> tuple[list[int], int, int]:
+    """Levels that each side's spans need, rows of the largest key on one side, rows of both sides."""
+    every = None
+    for k, (df, spanned) in enumerate(sides):
+        own = df.select(F.lit(k).alias("side"), F.xxhash64(key).alias("key"), spanned.alias("cells"))
+        every = own if every is None else every.unionByName(own)
+    got = every.groupBy("side", "key").agg(F.count("*").alias("n"), F.max("cells").alias("cells")).groupBy("side").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max("cells").alias("cells")).collect()
+    levels = {r["side"]: int(r["cells"] or 1).bit_length() for r in got}
+    return [levels.get(k, 1) for k in range(len(sides))], max((r["most"] for r in got), default=0), sum(r["n"] for r in got)
+
+
+def _dealt(x: DataFrame, y: DataFrame, on: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_deal`. A cell of n and m rows becomes a grid of n / limit by m / limit tasks.
+
+    Cells with more than limit rows on a side are few when limit is a share of all rows, so their list is broadcast.
+    """
+    count = lambda df, name: df.groupBy(*on).agg(F.count("*").alias(name))
+    grid = count(x, "_n").where(F.col("_n") > limit).join(count(y, "_m").where(F.col("_m") > limit), on, "full")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(1)) / limit)).cast("int")
+    grid = grid.select(*on, parts(F.col("_n")).alias("_rows"), parts(F.col("_m")).alias("_columns"))
+
+    def deal(df: DataFrame, own: str, other: str, place) -> DataFrame:
+        met = df.join(F.broadcast(grid), on, "left").withColumn("_own", F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(own), F.lit(1))).cast("int"))
+        copies = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        return met.withColumn("_deal", F.explode(F.transform(copies, lambda k: place(F.col("_own"), k)))).drop("_own", "_rows", "_columns")
+
+    width = F.coalesce("_columns", F.lit(1))
+    return deal(x, "_rows", "_columns", lambda own, k: own * width + k), deal(y, "_columns", "_rows", lambda own, k: k * width + own)
+
+
+def _meet(x: DataFrame, y: DataFrame, key: str, most: int, total: int, crowd: int) -> DataFrame:
+    """Rows of both sides that share a key and a cell."""
+    on = [key, "_way", "_level", "_place"]
+    if most > crowd:
+        x, y = _dealt(x, y, on, max(crowd, total // SHARE))
+        on = [*on, "_deal"]
+    return x.join(y, on)
 
 
-def bucketed(df: DataFrame, start: str, end: str, bucket_ms: int, name: str) -> DataFrame:
-    """The rows once for each bucket they touch, with the bucket and the first of them."""
-    first = F.floor(F.col(start) / bucket_ms).cast("long")
-    last = F.greatest(first, F.floor((F.col(end) - 1) / bucket_ms).cast("long"))
-    return df.withColumn(f"_{name}0", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _placed(df: DataFrame, *ways: tuple[int, Column]) -> DataFrame:
+    """A row for each cell; ways: cells in which a row is a point or a span, on the first way the left one is the point."""
 
+    def named(way: int, cells: Column) -> Column:
+        return F.transform(cells, lambda s: F.struct(F.lit(way).alias("way"), s["level"].alias("level"), s["place"].alias("place")))
 
-def dealt(left: DataFrame, right: DataFrame, deal: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with `_deal`: left rows each in one of `deal` parts, right rows in all of them. For a bucket that would not fit a task."""
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(deal)).cast("int") if deal > 1 else F.lit(0)
-    return left.withColumn("_deal", part), right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    cells = [named(*w) for w in ways]
+    at = F.explode(F.concat(*cells)).alias("_c")
+    return df.select("*", at).select(*[F.col(c) for c in df.columns], F.col("_c.way").alias("_way"), F.col("_c.level").alias("_level"), F.col("_c.place").alias("_place"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bucket_ms: int = BUCKET_MS, deal: int = 1) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bucket_ms: int = BUCKET_MS, crowd: int = CROWD) -> DataFrame:
     """Pairs of rows of one key whose spans overlap. Columns of the two sides other than the key must differ in name.
 
-    deal: parts into which the left rows of a crowded (key, bucket) are dealt; the right rows are copied to each.
+    Runs a first pass over both sides (see above). crowd: rows of one side that a task takes of a cell, at least.
     """
-    x, y = bucketed(left, *a, bucket_ms, "l"), bucketed(right, *b, bucket_ms, "r")
-    on = [key, "_bucket"]
-    if deal > 1:
-        (x, y), on = dealt(x, y, deal), [*on, "_deal"]
-    met = x.join(y, on).where(overlaps(*a, *b) & (F.col("_bucket") == F.greatest("_l0", "_r0")))
-    return met.drop("_bucket", "_l0", "_r0", "_deal")
+    (la, lb), most, total = _first_pass(key, (left, cells_spanned(*a, bucket_ms)), (right, cells_spanned(*b, bucket_ms)))
+    x = left.withColumn("_l0", cell(a[0], bucket_ms)).withColumn("_l1", cells_spanned(*a, bucket_ms))
+    y = right.withColumn("_r0", cell(b[0], bucket_ms)).withColumn("_r1", cells_spanned(*b, bucket_ms))
+    x = _placed(x, (0, around("_l0", lb)), (1, cover("_l0", "_l1", la))).drop("_l0", "_l1")
+    y = _placed(y, (0, cover("_r0", "_r1", lb)), (1, around("_r0", la))).drop("_r0", "_r1")
+    first = F.col(a[0]) >= F.col(b[0])
+    met = _meet(x, y, key, most, total, crowd).where(overlaps(*a, *b) & (first == (F.col("_way") == 0)))
+    return met.drop("_way", "_level", "_place", "_deal")
 
 
-def point_join(points: DataFrame, spans: DataFrame, key: str, at: str, b: tuple[str, str], closed_end: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def point_join(points: DataFrame, spans: DataFrame, key: str, at: str, b: tuple[str, str], closed_end: bool = False, bucket_ms: int = BUCKET_MS, crowd: int = CROWD) -> DataFrame:
     """Pairs of a point and a span that holds it: start <= at < end, or start < at <= end if closed_end."""
-    x = points.withColumn("_bucket", F.floor((F.col(at) - int(closed_end)) / bucket_ms).cast("long"))
-    y = bucketed(spans, *b, bucket_ms, "r").drop("_r0")
+    shown = F.col(at) - int(closed_end)
+    (_, levels), most, total = _first_pass(key, (points, F.lit(1).cast("long")), (spans, cells_spanned(*b, bucket_ms)))
+    x = _placed(points.withColumn("_l0", cell(shown, bucket_ms)), (0, around("_l0", levels))).drop("_l0")
+    y = spans.withColumn("_r0", cell(b[0], bucket_ms)).withColumn("_r1", cells_spanned(*b, bucket_ms))
+    y = _placed(y, (0, cover("_r0", "_r1", levels))).drop("_r0", "_r1")
     start, end = F.col(b[0]), F.col(b[1])
     inside = (start < F.col(at)) & (F.col(at) <= end) if closed_end else (start <= F.col(at)) & (F.col(at) < end)
-    return x.join(y, [key, "_bucket"]).where(inside).drop("_bucket")
+    return _meet(x, y, key, most, total, crowd).where(inside).drop("_way", "_level", "_place", "_deal")
 
 
 def islands(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:

@@ -191,12 +191,6 @@ def test_captions_and_lines(spark):
         assert list(r.lines) == lines
 
 
-def test_dealt_overlaps_are_the_same(spark):
-    a = spark.createDataFrame([(i % 2, i, i * 7 % 50, i * 7 % 50 + i % 9) for i in range(80)], "k long, i long, s long, e long")
-    b = spark.createDataFrame([(i % 2, i, i * 3 % 50, i * 3 % 50 + i % 7) for i in range(80)], "k long, j long, t long, u long")
-    one, many = (sorted((r.i, r.j) for r in P.overlap_join(a, b, "k", ("s", "e"), ("t", "u"), 10, deal).collect()) for deal in (1, 5))
-    assert one == many and one
-
 
 def test_fillers(spark):
     def flags(text, gap=10):
