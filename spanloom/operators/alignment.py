@@ -27,7 +27,7 @@ def matched_words(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
         return pd.DataFrame({"media_id": [key[0]] * len(pairs), "pos": a["pos"].to_numpy()[[i for i, _ in pairs]], "h_pos": b["pos"].to_numpy()[[j for _, j in pairs]]})
 
     a, b = (t.select("media_id", "pos", X.normalize("w").alias("k")).groupBy("media_id") for t in (reference, hypothesis))
-    return a.cogroup(b).applyInPandas(match, "media_id long, pos long, h_pos long")
+    return a.cogroup(b).applyInPandas(match, f"media_id {reference.schema['media_id'].dataType.simpleString()}, pos long, h_pos long")
 
 
 def alignment_report(pairs: DataFrame, keys: list[str], tolerance_ms: int = TOLERANCE_MS) -> DataFrame:

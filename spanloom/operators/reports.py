@@ -12,10 +12,21 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Most values of the second side of a grid: they travel as one array.
+GRID_VALUES = 10_000
+
+
 def grid(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Every combination of the values of two columns; the second has few enough for one array."""
-    seconds = rows.agg(F.collect_set(b).alias("_b"))
-    return rows.select(a).distinct().join(F.broadcast(seconds)).select(a, F.explode("_b").alias(b))
+    """Every combination of the values of two columns, nulls not counted as values of the second.
+
+    A report of all combinations makes sense for a few kinds of things. The second column has GRID_VALUES
+    values at most, else this is an error: their number is asked for first.
+    """
+    seconds = [r[0] for r in rows.select(b).where(F.col(b).isNotNull()).distinct().limit(GRID_VALUES + 1).collect()]
+    if len(seconds) > GRID_VALUES:
+        raise ValueError(f"{b} has more than {GRID_VALUES} values: no grid is made of them")
+    values = F.array(*[F.lit(v) for v in sorted(seconds)]) if seconds else F.array().cast(f"array<{rows.schema[b].dataType.simpleString()}>")
+    return rows.select(a).distinct().select(a, F.explode(values).alias(b))
 
 
 def coverage(items: DataFrame, a: str, b: str, hours) -> DataFrame:

@@ -448,10 +448,11 @@ def scores(spark, d):
 
 @query("q8_11_code_switch_error")
 def code_switch(spark, d):
-    """Every word with a capital letter or one outside ASCII counts as switched; it is sought in the next item's text."""
-    b = T.read(spark, d, "benchmark")
-    spans = F.filter(F.split("text", r"\s+"), lambda x: x.rlike(r"[A-Z]|[^\x00-\x7F]"))
-    rows = b.select("item_id", F.explode(spans).alias("span")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hyp")), "item_id")
+    """Every word with a capital letter or one outside ASCII counts as switched; it is sought in the misheard text."""
+    from spanloom.plans.text import _hyp
+
+    spans = F.filter(F.split("ref", r"\s+"), lambda x: x.rlike(r"[A-Z]|[^\x00-\x7F]"))
+    rows = _hyp(spark, d).select("item_id", "hyp", F.explode(spans).alias("span"))
     return rows.groupBy("item_id").agg(F.round(F.avg(X.substring_distance("span", "hyp") / F.length("span")), 9).alias("error"))
 
 

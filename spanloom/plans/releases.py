@@ -121,28 +121,28 @@ def write_once(spark, d):
     return I.write_once(docs, f"{scratch.root}/raw", "doc_id")
 
 
-def _stored(spark, d):
-    """A folder of text files, one for each source and language."""
+def _stored(spark, docs):
+    """A folder of text files for each source and language."""
     scratch = Scratch(spark, "stored")
-    docs = T.read(spark, d, "documents").select("source", "lang", F.concat_ws(" ", F.col("doc_id").cast("string"), F.length("text").cast("string")).alias("value"))
-    docs.repartition(1, "source", "lang").write.partitionBy("source", "lang").text(f"{scratch.root}/files")
+    rows = docs.select("source", "lang", F.concat_ws(" ", F.col("doc_id").cast("string"), F.length("text").cast("string")).alias("value"))
+    rows.write.partitionBy("source", "lang").text(f"{scratch.root}/files")
     return f"{scratch.root}/files"
 
 
-@query("q1_26_missing_files", "select distinct lang from documents where lang is not null union all select 'xx'")
+@query("q1_26_missing_files", "select source, lang, count(*) as n from documents group by 1, 2 having count(*) filter (where n_chars >= 8000) = 0")
 def missing_files(spark, d):
-    """Folders that a manifest names, and one that is not there: what has no file."""
-    root = _stored(spark, d)
-    there = I.file_digests(spark, root).select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang")).distinct()
-    langs = T.read(spark, d, "documents").select("lang").where("lang is not null").distinct()
-    named = langs.withColumn("source", F.lit("nowhere")).unionByName(spark.createDataFrame([("xx", "src0")], "lang string, source string"))
-    return named.join(there, ["source", "lang"], "left_anti").select("lang")
+    """A manifest of a folder for each source and language, where only long documents were stored: what has no file."""
+    docs = T.read(spark, d, "documents")
+    root = _stored(spark, docs.where("n_chars >= 8000"))
+    named = docs.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    named = named.withColumn("path", F.concat(F.lit("source="), "source", F.lit("/lang="), "lang"))
+    return I.missing_files(spark, named, "path", root, folders=True).select("source", "lang", "n")
 
 
 @query("q1_27_file_digests", "select source, lang, count(*) as n_lines, cast(sum(length(cast(doc_id as varchar)) + 2 + length(cast(length(text) as varchar))) as bigint) as bytes from documents group by 1, 2")
 def file_digests(spark, d):
     """Digests of stored files; size and number of lines of each folder are read off the bytes."""
-    got = I.file_digests(spark, _stored(spark, d)).withColumn("source", F.regexp_extract("path", "source=([^/]+)", 1)).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
+    got = I.file_digests(spark, _stored(spark, T.read(spark, d, "documents"))).withColumn("source", F.regexp_extract("path", "source=([^/]+)", 1)).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
     return got.where("length(sha256) = 64").groupBy("source", "lang").agg(F.sum("lines").alias("n_lines"), F.sum("bytes").alias("bytes"))
 
 
@@ -228,7 +228,7 @@ def full_audit(spark, d):
 @query("q3_29_score_alignment")
 def score_alignment(spark, d):
     """Each conversation against a hearing of it that lost every seventh word and is late by a word's length."""
-    c = T.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("media_id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "w"))
+    c = T.read(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("media_id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "w"))
     ref = c.select("media_id", F.col("pos").cast("long").alias("pos"), "w", (F.col("pos") * 400).cast("long").alias("start_ms"), (F.col("pos") * 400 + 300).cast("long").alias("end_ms"))
     hyp = ref.where("pos % 7 <> 6").withColumns({"start_ms": F.col("start_ms") + 10 * F.length("w"), "end_ms": F.col("end_ms") + 5 * F.length("w")})
     got = A.score_alignment(ref, hyp)

@@ -25,6 +25,9 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="spanloom-")
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        folder = self._path("")
+        self._files(folder).mkdirs(folder)
+        self._files(folder).deleteOnExit(folder)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
@@ -41,9 +44,6 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
-        if self.n == 1:
-            folder = self._path("")
-            self._files(folder).deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names) -> None:

@@ -90,9 +90,11 @@ def silence_intervals(lines: DataFrame, key: str = "file", pos: str = "pos", lin
     return marks.withColumn("_b", before).where("_e is not null and _b is not null").select(key, F.round(F.col("_b") * 1000).cast("long").alias("start_ms"), F.round(F.col("_e") * 1000).cast("long").alias("end_ms"))
 
 
-def missing_files(spark: SparkSession, items: DataFrame, path_column: str, root: str) -> DataFrame:
-    """items whose file is not under root."""
+def missing_files(spark: SparkSession, items: DataFrame, path_column: str, root: str, folders: bool = False) -> DataFrame:
+    """items whose file, or with `folders` whose folder with files, is not under root; paths are relative to it. A null path is missing."""
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "").alias("_p"))
+    if folders:
+        there = there.select(F.regexp_replace("_p", "/[^/]*$", "").alias("_p")).distinct()
     return items.join(there, items[path_column] == there["_p"], "left_anti")
 
 
