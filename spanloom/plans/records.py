@@ -185,13 +185,21 @@ def ledger(spark, d):
 
 @query("q1_11_read_events_prefix", with_tables("spans", LEDGER + ", b as (select run_id, min(sequence) as bad from led where value > 300 group by 1) select l.run_id, count(*) as n_read, max(sequence) as last_sequence from led l left join b on b.run_id = l.run_id where bad is null or sequence < bad group by 1"))
 def prefix(spark, d):
-    """The ledger as JSON lines, with torn lines where the value is over 300, read up to the first of them."""
-    text = F.to_json(F.struct("event_id", "stage", "value", "sequence"))
-    lines = ledger(spark, d).select("run_id", F.col("sequence").alias("pos"), F.when(F.col("value") > 300, F.substring(text, 1, 20)).otherwise(text).alias("line"))
-    got = I.good_prefix(lines, "event_id long, stage string, value double, sequence long", "run_id")
+    """Ledger files, torn where the value is over 300, read up to the first torn line of each."""
+    got = read_ledgers(spark, d, F.col("value") > 300, "event_id long, stage string, value double, sequence long")
     return got.groupBy("run_id").agg(F.count("*").alias("n_read"), F.max("sequence").alias("last_sequence"))
 
 
+def read_ledgers(spark, d, torn, schema):
+    """The ledger of each run written to a file of JSON lines, torn where `torn` holds, and read from there: run_id and the records of its good prefix."""
+    text = F.to_json(F.struct("event_id", "stage", "value", "sequence"))
+    lines = ledger(spark, d).select("run_id", "sequence", F.when(torn, F.substring(text, 1, 15)).otherwise(text).alias("value"))
+    root = f"{Scratch(spark, 'ledgers').root}/files"
+    lines.repartition("run_id").sortWithinPartitions("run_id", "sequence").select("run_id", "value").write.partitionBy("run_id").text(root)
+    got = I.good_prefix(I.numbered_lines(spark, root), schema)
+    return got.withColumn("run_id", F.regexp_extract("file", "run_id=(-?[0-9]+)", 1).cast("long"))
+
+
 @query("q5_57_current_judge", with_tables("spans", LEDGER + " select run_id, arg_max(stage, sequence) as stage from led group by 1"))
 def current(spark, d):
     return L.current(ledger(spark, d), "run_id", "stage", "none")

@@ -19,7 +19,7 @@ from spanloom.operators import selection as S
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
 from spanloom.plans.folded import clicks
-from spanloom.plans.records import LEDGER, ledger
+from spanloom.plans.records import LEDGER, ledger, read_ledgers
 from spanloom.plans.selection import VERDICT, verdicts
 from spanloom.plans.text import SENTENCES, sentences
 from spanloom.plans.timeline import WORDMEDIA, media, tighten_sentences, word_media
@@ -345,32 +345,25 @@ def interval_end(spark, d):
 # Ledgers
 
 
-def _prefix(spark, d, bad, schema):
-    """A ledger of JSON lines, torn where `bad` holds, read up to the first torn line of each run."""
-    text = F.to_json(F.struct("event_id", "stage", "value", "sequence"))
-    lines = ledger(spark, d).select("run_id", F.col("sequence").alias("pos"), F.when(bad, F.substring(text, 1, 15)).otherwise(text).alias("line"))
-    return I.good_prefix(lines, schema, "run_id")
-
-
 def _prefix_sql(bad, group):
     return LEDGER + f", b as (select run_id, min(sequence) as bad from led where {bad} group by 1), g as (select l.* from led l left join b on b.run_id = l.run_id where bad is null or sequence < bad) " + group
 
 
 @query("q1_12_read_decisions", with_tables("spans", _prefix_sql("value > 400", "select run_id, count(*) filter (where stage = 'purchase') as n_accepted, count(*) as n from g group by 1")))
 def read_decisions(spark, d):
-    got = _prefix(spark, d, F.col("value") > 400, "event_id long, stage string, value double, sequence long")
+    got = read_ledgers(spark, d, F.col("value") > 400, "event_id long, stage string, value double, sequence long")
     return got.groupBy("run_id").agg(F.count_if(F.col("stage") == "purchase").alias("n_accepted"), F.count("*").alias("n"))
 
 
 @query("q1_13_read_promotions", with_tables("spans", _prefix_sql("value > 350", "select run_id, arg_max(stage, sequence) as current from g group by 1")))
 def read_promotions(spark, d):
-    got = _prefix(spark, d, F.col("value") > 350, "stage string, sequence long")
+    got = read_ledgers(spark, d, F.col("value") > 350, "stage string, sequence long")
     return got.groupBy("run_id").agg(F.max_by("stage", "sequence").alias("current"))
 
 
 @query("q1_14_read_shadow_verdicts", with_tables("spans", _prefix_sql("value > 320", "select run_id, round(avg(value), 6) as mean, count(*) as n from g group by 1")))
 def read_shadow(spark, d):
-    got = _prefix(spark, d, F.col("value") > 320, "event_id long, value double")
+    got = read_ledgers(spark, d, F.col("value") > 320, "event_id long, value double")
     return got.groupBy("run_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 

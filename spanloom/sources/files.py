@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.contracts import with_reasons
+from spanloom.scratch import Scratch
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, line of text files. A file is one row until it is split: files are manifests and logs, not data sets."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    """file, pos, line of text files, in order from 0, however many splits a file is read in.
+
+    Lines are read once and kept with their split and their order in it. A line's place is its order plus the
+    lines of the splits before it: a running sum over splits, not over lines. Blank lines count; the end of the last one does not
+    begin another.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    kept = Scratch(spark, "lines").save(lines)
+    splits = kept.groupBy("file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    ahead = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    return kept.join(splits, ["file", "_split"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("pos"), "line")
 
 
 def table_with_header(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +50,16 @@ def human_confirmed(exported, verified, gold, chosen, verdicts):
 
 
 def good_prefix(lines: DataFrame, schema: str, key: str = "file", pos: str = "pos", line: str = "line") -> DataFrame:
-    """Parsed records of each file up to its first line that is no record: a torn tail ends it, it is not skipped."""
-    parsed = lines.withColumn("_r", F.from_json(line, schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    """Parsed records of each file up to its first line that is no record: a torn tail ends it, it is not skipped.
+
+    Blank lines are no records and end nothing. The first bad lines are one row a file at most and are joined to the
+    others, so a long file is read by as many tasks as it has splits.
+    """
+    parsed = lines.where(F.trim(line) != "").withColumn("_r", F.from_json(line, schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
-    first = F.min(F.when(bad, F.col(pos))).over(Window.partitionBy(key))
-    return parsed.withColumn("_first", first).where(F.col("_first").isNull() | (F.col(pos) < F.col("_first"))).select(key, pos, "_r.*").drop("_corrupt")
+    first = parsed.where(bad).groupBy(F.col(key).alias("_key")).agg(F.min(pos).alias("_first"))
+    met = parsed.join(first, parsed[key].eqNullSafe(first["_key"]), "left")
+    return met.where(F.col("_first").isNull() | (F.col(pos) < F.col("_first"))).select(key, pos, "_r.*").drop("_corrupt")
 
 
 _CLOCK = r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3})"

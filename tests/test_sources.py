@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from spanloom.sources import files as I
@@ -11,6 +13,27 @@ def test_ledger_stops_at_a_torn_line(spark, tmp_path):
     assert sorted(r.n for r in I.good_prefix(lines, "n long").collect()) == [1, 2, 7, 8]
 
 
+def test_lines_of_a_file_of_many_splits(spark, tmp_path):
+    """Places are those of the file, a torn line in the third split ends it there, and other files go on."""
+    long = [json.dumps({"n": i, "t": "x" * (i % 37)}) for i in range(3000)]
+    (tmp_path / "long.jsonl").write_text("\n".join(long) + "\n")
+    torn = [*long[:1900], '{"n": 1900, "t": "xx', "", *long[1901:]]
+    (tmp_path / "torn.jsonl").write_text("\n".join(torn))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = I.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count() > 4
+        got = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, want in (("long", long), ("torn", torn)):
+        assert [r.line for r in sorted((r for r in got if name in r.file), key=lambda r: r.pos)] == want
+        assert sorted(r.pos for r in got if name in r.file) == list(range(len(want)))
+    read = I.good_prefix(lines, "n long, t string").groupBy("file").agg(F.count("*").alias("c"), F.max("n").alias("m")).collect()
+    assert {(r.file.split("/")[-1], r.c, r.m) for r in read} == {("long.jsonl", 3000, 2999), ("torn.jsonl", 1900, 1899)}
+
+
 def test_voice_corpus(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("path\tsentence\tlocale\na\tone\tckb\nb\t\tckb\nc\tthree\ten\nd\tfour\tckb\n")
     (tmp_path / "d.tsv").write_text("clip\tduration[ms]\na\t1500\nb\t100\nc\t100\na\t2500\n")
