@@ -1,7 +1,9 @@
 """Operators whose rule is a serial fold: one key (a track, a story, a recording's candidates) is one fold.
 
-Keys run in parallel; what one key holds must fit a task. Folds over short sequences are `aggregate`
-expressions over a sorted array and stay in the JVM; those with real state run as pandas functions by group.
+Keys run in parallel. Folds over short sequences are `aggregate` expressions over a sorted array and stay in the JVM; those
+with real state run as pandas functions by group. A key of more than GROUP rows is no group: batches and windows of such
+a recording are walked as chains (`chains`), and tracks are folded split by split with a state that is handed on
+(`carried`). Stories and grown runs are groups whatever their size.
 """
 
 from __future__ import annotations
@@ -13,8 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators import chains as C
 from spanloom.operators import sentences as S
 from spanloom.operators.spans import overlap_join
+from spanloom.scratch import Scratch
+
+#: Most rows of a key that are handed to one group.
+GROUP = 100_000
 
 
 def batch_numbers(sizes: Column, most: int) -> Column:
@@ -35,9 +42,13 @@ def read_in_batches(windows: DataFrame, reader: Callable, most_frames: int = 256
     reader: pandas frame of a batch to frames of (media_id, window_id, score, refused). Every window must come
     back once, read or refused; what is missing, doubled or foreign is a fault and nothing of it is ranked.
     """
-    arrays = windows.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("in_ms", "window_id", F.col("frames").cast("long").alias("frames")))).alias("ws"))
+    small, large = C.by_size(windows, "media_id", GROUP)
+    arrays = small.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("in_ms", "window_id", F.col("frames").cast("long").alias("frames")))).alias("ws"))
     numbered = arrays.withColumn("b", batch_numbers(F.transform("ws", lambda w: w["frames"]), most_frames)).select("media_id", F.explode(F.arrays_zip("ws", "b")).alias("z"))
     rows = numbered.select("media_id", "z.ws.*", F.col("z.b").alias("batch"))
+    if large is not None:
+        long = C.batched(large.select("media_id", "in_ms", "window_id", F.col("frames").cast("long").alias("frames")), "media_id", ["in_ms", "window_id"], "frames", most_frames)
+        rows = rows.unionByName(long.withColumn("batch", F.col("batch").cast("int")))
     back = rows.groupBy("media_id", "batch").applyInPandas(reader, "media_id long, window_id string, score double, refused boolean")
     counted = back.groupBy("media_id", "window_id").agg(F.count("*").alias("times"), F.max("score").alias("score"), F.bool_or("refused").alias("refused"))
     every = rows.select("media_id", "window_id", "in_ms", F.lit(True).alias("sent")).join(counted, ["media_id", "window_id"], "full_outer")
@@ -247,7 +258,8 @@ def fill_story(sentences: DataFrame, target_ms: int = 50_000, least_ms: int = 25
 
 def story_windows(sentences: DataFrame, size_ms: int = 80_000, least_ms: int = 25_000) -> DataFrame:
     """sentences in overlapping windows (window, from 0, as another column): each takes sentences until their
-    lengths reach size_ms, and the next begins half of its sentences later; those under least_ms are left out."""
+    lengths reach size_ms, and the next begins half of its sentences later; those under least_ms are left out. Recordings of
+    up to GROUP sentences are groups of a task; longer ones are walked as chains."""
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sent_id").reset_index(drop=True)
@@ -260,8 +272,14 @@ def story_windows(sentences: DataFrame, size_ms: int = 80_000, least_ms: int = 2
             first += max(1, (end - first) // 2)
         return pd.concat(parts) if parts else pdf.iloc[:0].assign(window=0)
 
-    own = sentences.select("media_id", "sent_id", "start_ms", "end_ms", "worth")
-    return own.groupBy("media_id").applyInPandas(deal, "media_id long, sent_id long, start_ms long, end_ms long, worth double, window long")
+    own, long = C.by_size(sentences.select("media_id", "sent_id", "start_ms", "end_ms", "worth"), "media_id", GROUP)
+    out = own.groupBy("media_id").applyInPandas(deal, "media_id long, sent_id long, start_ms long, end_ms long, worth double, window long")
+    if long is None:
+        return out
+    parts = C.half_windows(long.withColumn("_ms", F.col("end_ms") - F.col("start_ms")), "media_id", ["sent_id"], "_ms", size_ms).where(F.col("total") >= least_ms)
+    parts = Scratch(sentences.sparkSession, "story_windows").save(parts.drop("_ms", "total"))
+    names = C.numbered(parts.select("media_id", "window").distinct(), "media_id", ["window"]).select("media_id", "window", "i")
+    return out.unionByName(parts.join(names, ["media_id", "window"]).withColumn("window", F.col("i")).drop("i"))
 
 
 def story_arcs(sentences: DataFrame, most: int = 3, **limits) -> DataFrame:
