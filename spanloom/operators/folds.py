@@ -8,6 +8,7 @@ a recording are walked as chains (`chains`), and tracks are folded split by spli
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import chains as C
 from spanloom.operators import sentences as S
+from spanloom.operators.carried import carried
 from spanloom.operators.spans import overlap_join
 from spanloom.scratch import Scratch
 
@@ -136,12 +138,12 @@ def follow_faces(frames: DataFrame, least_area: int = 0, most_step: int | None =
     """media_id, at_ms, x, width, height of the box picked in each frame (boxes: media_id, at_ms, x, width, height).
 
     The first pick is the largest box; later ones weigh area against distance to the last pick. A frame in
-    which no box qualifies has no row and leaves the last pick as it is. One group is one track.
+    which no box qualifies has no row and leaves the last pick as it is. Tracks of more than GROUP boxes are folded split by split.
     """
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def picks(pdf: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
         pdf = pdf.assign(area=pdf.width * pdf.height, centre=pdf.x + pdf.width // 2)
-        pdf, out, last = pdf[pdf.area >= least_area], [], None
+        pdf, out = pdf[pdf.area >= least_area], []
         for _, frame in pdf.groupby("at_ms", sort=True):
             if last is None:
                 pick = frame.sort_values(["area", "x"], ascending=[False, True]).iloc[0]
@@ -151,11 +153,20 @@ def follow_faces(frames: DataFrame, least_area: int = 0, most_step: int | None =
                 if frame.empty:
                     continue
                 pick = frame.sort_values(["worth", "area", "x"], ascending=[False, False, True]).iloc[0]
-            last = pick.centre
+            last = int(pick.centre)
             out.append((pick.media_id, pick.at_ms, pick.x, pick.width, pick.height))
-        return pd.DataFrame(out, columns=["media_id", "at_ms", "x", "width", "height"]).astype("int64")
+        return pd.DataFrame(out, columns=["media_id", "at_ms", "x", "width", "height"]).astype("int64"), last
 
-    return frames.select("media_id", "at_ms", "x", "width", "height").groupBy("media_id").applyInPandas(follow, "media_id long, at_ms long, x long, width long, height long")
+    def step(key, pdf, _, state, last):
+        got, centre = picks(pdf, int(state) if state else None)
+        return got, "" if centre is None else str(centre)
+
+    schema = "media_id long, at_ms long, x long, width long, height long"
+    own, long = C.by_size(frames.select("media_id", "at_ms", "x", "width", "height"), "media_id", GROUP)
+    out = own.groupBy("media_id").applyInPandas(lambda pdf: picks(pdf, None)[0], schema)
+    if long is None:
+        return out
+    return out.unionByName(carried(long, long.select("media_id").limit(0), "media_id", ["at_ms"], ["x", "width", "height"], step, schema, GROUP))
 
 
 def first_move(at: np.ndarray, away: np.ndarray, settle_ms: int, cut_since: np.ndarray) -> tuple[int, int] | None:
@@ -169,6 +180,9 @@ def first_move(at: np.ndarray, away: np.ndarray, settle_ms: int, cut_since: np.n
     return (int(since[ready[0]]), int(ready[0])) if len(ready) else None
 
 
+Carry = tuple[int, int, list[int], list[int]]
+
+
 def camera_path(at: np.ndarray, x: np.ndarray, cuts: np.ndarray, dead_zone: int, settle_ms: int, move_ms: int, max_pan: int | None = None, step_beyond: bool = False) -> list[tuple[int, int]]:
     """Key frames (at, x) of a camera that holds still inside dead_zone and follows what stays outside.
 
@@ -179,15 +193,25 @@ def camera_path(at: np.ndarray, x: np.ndarray, cuts: np.ndarray, dead_zone: int,
     if not len(at):
         return []
     cuts = np.sort(cuts[(cuts >= at[0]) & (cuts <= at[-1])])
-    keys, here = [(int(at[0]), int(x[0]))], 1
-    while here < len(at):
-        (key_at, held), look, found = keys[-1], 64, None
-        while found is None and here < len(at):
+    return camera_keys(at, x, cuts, dead_zone, settle_ms, move_ms, max_pan, step_beyond, None, True)[0]
+
+
+def camera_keys(at: np.ndarray, x: np.ndarray, cuts: np.ndarray, dead_zone: int, settle_ms: int, move_ms: int, max_pan: int | None, step_beyond: bool, carry: Carry | None, last: bool) -> tuple[list[tuple[int, int]], Carry]:
+    """Key frames of some samples of a track in order, and what the next ones go on from: the last key and the samples of a
+    stretch outside that is not decided yet. cuts: sorted, those within the whole track."""
+    if carry is None:
+        keys, here = [(int(at[0]), int(x[0]))], 1
+    else:
+        keys, here = [carry[:2]], 0
+        at, x = np.concatenate((np.array(carry[2], np.int64), at)), np.concatenate((np.array(carry[3], np.int64), x))
+    while True:
+        (key_at, held), begun, look, found = keys[-1], here, 64, None
+        while found is None and begun < len(at):
             t, p = at[here : here + look], x[here : here + look]
             passed = np.searchsorted(cuts, t, "right") > np.searchsorted(cuts, key_at, "right")
             found = first_move(t, np.abs(p - held) > dead_zone, settle_ms, passed)
             if found is None and here + look >= len(at):
-                here = len(at)
+                begun = len(at)
             look *= 2
         if found is None:
             break
@@ -206,18 +230,39 @@ def camera_path(at: np.ndarray, x: np.ndarray, cuts: np.ndarray, dead_zone: int,
                 take = 1
         keys += [(leave, held)] if leave > key_at else []
         keys.append((max(leave + take, keys[-1][0] + 1), goal))
-    return keys + [(int(at[-1]), keys[-1][1])] if at[-1] > keys[-1][0] else keys
+    key_at, held = keys[-1]
+    still = np.flatnonzero(np.abs(x[here:] - held) <= dead_zone)
+    open_from = here + (int(still[-1]) + 1 if len(still) else 0)
+    state = (key_at, held, at[open_from:].tolist(), x[open_from:].tolist())
+    out = keys if carry is None else keys[1:]
+    return out + ([(int(at[-1]), held)] if last and at[-1] > key_at else []), state
 
 
 def steady(points: DataFrame, cuts: DataFrame, dead_zone: int, settle_ms: int, move_ms: int, max_pan: int | None = None, step_beyond: bool = False) -> DataFrame:
-    """media_id, at_ms, x: key frames of each track of points (media_id, at_ms, x); cuts: media_id, cut_ms. One group is one track."""
+    """media_id, at_ms, x: key frames of each track of points (media_id, at_ms, x); cuts: media_id, cut_ms.
+
+    Tracks of more than GROUP points are folded split by split; a track's cuts go to each of its splits.
+    """
+    limits = (dead_zone, settle_ms, move_ms, max_pan, step_beyond)
 
     def run(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("at_ms")
-        keys = camera_path(p.at_ms.to_numpy("int64"), p.x.to_numpy("int64"), c.cut_ms.to_numpy("int64"), dead_zone, settle_ms, move_ms, max_pan, step_beyond)
+        p = p.sort_values(["at_ms", "x"])
+        keys = camera_path(p.at_ms.to_numpy("int64"), p.x.to_numpy("int64"), c.cut_ms.to_numpy("int64"), *limits)
         return pd.DataFrame([(key[0], a, x) for a, x in keys], columns=["media_id", "at_ms", "x"]).astype("int64")
 
-    return points.groupBy("media_id").cogroup(cuts.groupBy("media_id")).applyInPandas(run, "media_id long, at_ms long, x long")
+    def step(key, p, c, state, last):
+        carry = tuple(json.loads(state)) if state else None
+        keys, end = camera_keys(p.at_ms.to_numpy("int64"), p.x.to_numpy("int64"), np.sort(c.cut_ms.to_numpy("int64")), *limits, carry, last)
+        return pd.DataFrame([(key, a, x) for a, x in keys], columns=["media_id", "at_ms", "x"]).astype("int64"), json.dumps(end)
+
+    schema = "media_id long, at_ms long, x long"
+    own, long = C.by_size(points.select("media_id", "at_ms", "x"), "media_id", GROUP)
+    out = own.groupBy("media_id").cogroup(cuts.groupBy("media_id")).applyInPandas(run, schema)
+    if long is None:
+        return out
+    bounds = long.groupBy("media_id").agg(F.min("at_ms").alias("_lo"), F.max("at_ms").alias("_hi"))
+    within = cuts.join(bounds, "media_id").where("cut_ms between _lo and _hi").select("media_id", "cut_ms")
+    return out.unionByName(carried(long, within, "media_id", ["at_ms"], ["x"], step, schema, GROUP))
 
 
 def fill_story(sentences: DataFrame, target_ms: int = 50_000, least_ms: int = 25_000, most_ms: int = 60_000, low: float = 0.35, join_ms: int = 600) -> DataFrame:
