@@ -9,6 +9,7 @@ from spanloom.functions import intervals as I
 from spanloom.functions import numbers as N
 from spanloom.functions import text as X
 from spanloom.operators import reports as R
+from spanloom.operators import scorecards as Y
 from spanloom.operators import spans as P
 from spanloom.tables import with_tables
 
@@ -51,27 +52,21 @@ def found(spark, d):
 
 @query("q4_31_recall_at_k", with_tables("verbal visual winners", HITS + ", n as (select media_id, count(*) as n from winners group by 1), f as (select media_id, count(distinct winner_id) as f from hit group by 1) select n.media_id, round(coalesce(f, 0) / cast(n as double), 9) as recall from n left join f on f.media_id = n.media_id"))
 def recall(spark, d):
-    n = T.candidates(spark, d, "purchase").groupBy("media_id").agg(F.count("*").alias("n"))
-    f = hits(spark, d).groupBy("media_id").agg(F.countDistinct("winner_id").alias("f"))
-    return n.join(f, "media_id", "left").select("media_id", F.round(N.rate(F.coalesce("f", F.lit(0)), "n"), 9).alias("recall"))
+    return Y.recall(T.candidates(spark, d, "purchase"), hits(spark, d), "media_id", "winner_id").select("media_id", F.round("recall", 9).alias("recall"))
 
 
 def by_path(spark, d):
-    h = hits(spark, d)
-    one = h.withColumn("p", F.explode(F.when(F.col("path") == "both", F.array(F.lit("verbal"), F.lit("visual"), F.lit("both"))).otherwise(F.array("path"))))
-    return one.select("p", "media_id", "winner_id").distinct()
+    return Y.on_each_path(hits(spark, d).select("path", "media_id", "winner_id"), "path", ("verbal", "visual"))
 
 
 @query("q4_32_recall_by_path", with_tables("verbal visual winners", HITS + " select p as path, round(count(*) / (select cast(count(*) as double) from winners), 9) as recall from byp group by p"))
 def recall_by_path(spark, d):
-    total = T.candidates(spark, d, "purchase").agg(F.count("*").alias("n"))
-    return by_path(spark, d).groupBy(F.col("p").alias("path")).agg(F.count("*").alias("f")).join(F.broadcast(total)).select("path", F.round(N.rate("f", "n"), 9).alias("recall"))
+    return Y.recall_by_path(T.candidates(spark, d, "purchase"), by_path(spark, d), "path").select("path", F.round("recall", 9).alias("recall"))
 
 
 @query("q4_33_path_unique_wins", with_tables("verbal visual winners", HITS + ", c as (select winner_id, count(*) as k, min(p) as p from byp where p <> 'both' group by 1) select p as path, count(*) as n from c where k = 1 group by 1"))
 def unique_wins(spark, d):
-    c = by_path(spark, d).where("p <> 'both'").groupBy("winner_id").agg(F.count("*").alias("k"), F.min("p").alias("path"))
-    return c.where("k = 1").groupBy("path").agg(F.count("*").alias("n"))
+    return Y.unique_wins(by_path(spark, d), "path", "winner_id")
 
 
 @query("q4_35_misleading_rate", "select source, round(avg(cast(toxic as double)), 9) as rate, count(toxic) as n from documents d left join labels l on l.doc_id = d.doc_id group by source")
@@ -213,9 +208,9 @@ def cluster_variance(spark, d):
 @query("q4_42_acceptance_scorecard", "with a as (select lang, count(*) as n, count(*) filter (where l.doc_id is null) as refused, count(*) filter (where quality = 1) as accepted from documents d left join labels l using (doc_id) group by 1) select lang, n, round(refused / cast(n as double), 9) as refusal_rate, round(accepted / cast(n as double), 9) as first_pass_rate, round(1.96 * sqrt((accepted / cast(n as double)) * (1 - accepted / cast(n as double)) / n), 9) as margin from a")
 def acceptance(spark, d):
     l = T.read(spark, d, "labels").withColumn("seen", F.lit(1))  # noqa: E741
-    a = T.read(spark, d, "documents").select("doc_id", "lang").join(l, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("seen").isNull()).alias("r"), F.count_if(F.col("quality") == 1).alias("k"))
-    p = F.col("k") / F.col("n")
-    return a.select("lang", "n", F.round(F.col("r") / F.col("n"), 9).alias("refusal_rate"), F.round(p, 9).alias("first_pass_rate"), F.round(N.margin(p, F.col("n")), 9).alias("margin"))
+    rows = T.read(spark, d, "documents").select("doc_id", "lang").join(l, "doc_id", "left")
+    got = Y.acceptance(rows, "lang", F.col("seen").isNull(), F.col("quality") == 1)
+    return got.withColumns({c: F.round(c, 9) for c in ("refusal_rate", "first_pass_rate", "margin")})
 
 
 @query("q4_48_discovery_counts", with_tables("spans", " select event_type as path, count(*) as n, count(*) filter (where out_ms - in_ms between 30000 and 90000) as compliant from spans group by 1"))
@@ -242,7 +237,8 @@ def median(spark, d):
 @query("q4_53_publishable_rate", "select source, round(coalesce(count(*) filter (where quality = 1) / cast(nullif(count(l.doc_id), 0) as double), 0.0), 9) as rate from documents d left join labels l using (doc_id) group by 1")
 def publishable(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels"), "doc_id", "left")
-    return j.groupBy("source").agg(F.round(F.coalesce(N.rate(F.count_if(F.col("quality") == 1), F.count("quality")), F.lit(0.0)), 9).alias("rate"))
+    got = Y.share(j, "source", F.col("quality") == 1, F.col("quality").isNotNull())
+    return got.select("source", F.round(F.coalesce("share", F.lit(0.0)), 9).alias("rate"))
 
 
 @query("q8_20_cost", "select conv_id, turn, round(length(text) / 1e6 * 2 * case when turn % 2 = 0 then 0.1 else 1.0 end * case when turn % 3 = 0 then 0.5 else 1.0 end, 12) as usd, cast(length(text) * 300 as bigint) as video_tokens from conversations")
@@ -253,6 +249,5 @@ def cost(spark, d):
 
 @query("q4_37_cost_per_source_hour", with_tables("turns", ", c as (select conv_id as media_id, sum(length(text)) / 1e6 * 2 as usd from conversations group by 1), h as (select media_id, sum(end_ms - start_ms) / 3600000.0 as hours from turns group by 1) select h.media_id, round(usd / cast(hours as double), 9) as usd_per_hour from h join c on c.media_id = h.media_id"))
 def cost_per_hour(spark, d):
-    c = T.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("media_id")).agg(N.token_cost(F.sum(F.length("text"))).alias("usd"))
-    h = T.turns(spark, d).groupBy("media_id").agg((F.sum(F.col("end_ms") - F.col("start_ms")) / 3600000.0).alias("hours"))
-    return h.join(c, "media_id").select("media_id", F.round(N.rate("usd", "hours"), 9).alias("usd_per_hour"))
+    costs = T.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("media_id")).agg(N.token_cost(F.sum(F.length("text"))).alias("usd"))
+    return Y.per_source_hour(costs, T.turns(spark, d), "media_id", "usd").select("media_id", F.round("per_hour", 9).alias("usd_per_hour"))
\ No newline at end of file

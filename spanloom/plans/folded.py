@@ -14,6 +14,7 @@ from spanloom.operators import hooks as H
 from spanloom.operators import reports as Q
 from spanloom.operators import retrieval as R
 from spanloom.operators import rules as U
+from spanloom.operators import scorecards as Y
 from spanloom.operators import sentences as E
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
@@ -92,8 +93,8 @@ def stabilize(spark, d):
 
 @query("q4_62_face_track_stats", with_tables("spans", " select media_id, count(*) as n_samples, count(*) filter (where value > 30) as n_detected, round(count(*) filter (where value > 30) / cast(count(*) as double), 9) as share from spans group by 1"))
 def track_stats(spark, d):
-    hit = F.count_if(F.col("value") > 30)
-    return T.spans(spark, d).groupBy("media_id").agg(F.count("*").alias("n_samples"), hit.alias("n_detected"), F.round(N.rate(hit, F.count("*")), 9).alias("share"))
+    got = Y.share(T.spans(spark, d), "media_id", F.col("value") > 30, n="n_samples", hits="n_detected")
+    return got.withColumn("share", F.round("share", 9))
 
 
 def _importance(spark, d):
@@ -139,8 +140,7 @@ def media_docs(spark, d):
 @query("q6_14_automatic_selection")
 def automatic(spark, d):
     rows = merged(spark, d).withColumn("cid", F.concat_ws("+", F.col("sources").cast("array<string>")))
-    best = F.struct(F.least("verbal_rank", "visual_rank"), F.when(F.col("path") == "both", 0).otherwise(1), F.col("in_ms"), F.col("cid"))
-    return rows.groupBy("media_id").agg(F.min_by(F.struct("cid", "in_ms", "out_ms"), best).alias("b")).select("media_id", "b.*")
+    return rows.groupBy("media_id").agg(F.min_by(F.struct("cid", "in_ms", "out_ms"), F.struct(*Y.candidate_order("cid"))).alias("b")).select("media_id", "b.*")
 
 
 @query("q4_23_overlap_aware_error")
@@ -152,8 +152,7 @@ def overlap_aware(spark, d):
 
 @query("q4_24_pooled_error")
 def pooled(spark, d):
-    rows = overlap_aware(spark, d)
-    return rows.agg(*[F.sum(c).alias(c) for c in ("speech_ms", "missed_ms", "false_alarm_ms", "confusion_ms")]).withColumn("der", F.round((F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms")) / F.col("speech_ms"), 9))
+    return Y.pooled_error(overlap_aware(spark, d)).withColumn("der", F.round("der", 9))
 
 
 @query("q4_26_item_metrics", with_tables("turns", ", p as (select media_id, coalesce(turn % 3 = 0 and lag(speaker) over (partition by media_id order by turn) <> speaker, false) as wrong, (end_ms - start_ms) / 100.0 as err, start_ms - lag(start_ms) over (partition by media_id order by turn) as step from turns) select media_id, round(avg(cast(wrong as double)), 9) as error_rate, round(avg(cast(err as double)), 9) as mae, round(avg(cast(step as double)), 9) as mean_step from p group by 1"))
@@ -179,13 +178,7 @@ def score_items(spark, d):
 @query("q4_41_visual_scorecard", "with c as (select lang, source, cast(count(quality) as double) as n, cast(count(*) filter (where quality = 1) as double) as a from documents left join labels using (doc_id) group by 1, 2), t as (select lang, sum(n) as n, sum(a) / nullif(sum(n), 0) as p, cast(count(*) as double) as k from c group by 1), v as (select c.lang, min(k) / nullif(min(k) - 1, 0) * sum((a - p * c.n) * (a - p * c.n)) / (min(t.n) * min(t.n)) as var from c join t on t.lang = c.lang group by 1), z as (select 1.959963984540054 as z) select t.lang, round(p, 9) as rate, round(greatest(0.0, least(p - z * sqrt(var), (p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n))), 9) as low from t join v on v.lang = t.lang, z")
 def scorecard(spark, d):
     j = T.read(spark, d, "documents").select("doc_id", "lang", "source").join(T.read(spark, d, "labels"), "doc_id", "left")
-    c = j.groupBy("lang", "source").agg(F.count("quality").alias("n"), F.count_if(F.col("quality") == 1).alias("a"))
-    own = Window.partitionBy("lang")
-    c = c.withColumns({"tn": F.sum("n").over(own), "p": F.sum("a").over(own) / F.sum("n").over(own), "k": F.count("*").over(own)})
-    gap = F.col("a") - F.col("p") * F.col("n")
-    t = c.groupBy("lang").agg(F.first("p").alias("p"), F.first("tn").alias("tn"), (F.first("k") / F.nullif(F.first("k") - 1, F.lit(0)) * F.sum(gap * gap) / (F.first("tn") * F.first("tn"))).alias("var"))
-    cluster = F.col("p") - N.Z95 * F.sqrt("var")
-    return t.select("lang", F.round("p", 9).alias("rate"), F.round(F.greatest(F.lit(0.0), F.least(cluster, N.wilson("p", "tn")["low"])), 9).alias("low"))
+    return Y.clustered_rate(j, "lang", "source", F.col("quality").isNotNull(), F.col("quality") == 1).select("lang", F.round("rate", 9).alias("rate"), F.round("low", 9).alias("low"))
 
 
 @query("q4_56_inspect_run", with_tables("spans", " select media_id, count(*) as n_events, count(distinct event_type) as n_stages, max(in_ms) as last_ms from spans group by 1"))
@@ -208,16 +201,14 @@ def output_sentences(spark, d):
 
 @query("q5_39_captions_within", with_tables("words", SENTENCES + " select media_id, bool_or(start_ms < 60000 and end_ms > 0) as has_cue, count(*) filter (where start_ms >= 60000) as n_outside from sent group by 1"))
 def captions_within(spark, d):
-    return sentences(spark, d).groupBy("media_id").agg(F.bool_or((F.col("start_ms") < 60000) & (F.col("end_ms") > 0)).alias("has_cue"), F.count_if(F.col("start_ms") >= 60000).alias("n_outside"))
+    return Y.cues_within(sentences(spark, d), "media_id", 60_000)
 
 
 @query("q5_52_order_moments", with_tables("words", SENTENCES + ", o as (select media_id, sent_id, case when sent_id = (max(sent_id) over (partition by media_id)) then -1 else sent_id end as k from sent) select media_id, sent_id, row_number() over (partition by media_id order by k) as place from o"))
 def order_moments(spark, d):
     """Every story played with its last moment first: setup after payoff is put in order by a key, not by moving rows."""
-    last = F.max("sent_id").over(Window.partitionBy("media_id"))
-    k = F.when(F.col("sent_id") == last, -1).otherwise(F.col("sent_id"))
-    rows = sentences(spark, d).withColumn("k", k)
-    return rows.select("media_id", "sent_id", F.row_number().over(Window.partitionBy("media_id").orderBy("k")).alias("place"))
+    rows = Y.last_first(sentences(spark, d), "media_id", "sent_id")
+    return rows.select("media_id", "sent_id", F.row_number().over(Window.partitionBy("media_id").orderBy("_play")).alias("place"))
 
 
 @query("q5_56_run_timeline", with_tables("spans", " select media_id as run_id, event_id, event_type as stage, row_number() over (partition by media_id order by in_ms, event_id) as place from spans"))
@@ -227,7 +218,7 @@ def run_timeline(spark, d):
 
 @query("q8_12_alignment_coverage", with_tables("words", " select media_id, round(count(*) filter (where conf >= 0.6) / cast(nullif(count(*), 0) as double), 9) as coverage from words group by 1"))
 def alignment_coverage(spark, d):
-    return T.words(spark, d).groupBy("media_id").agg(F.round(N.rate(F.count_if(F.col("conf") >= 0.6), F.count("*")), 9).alias("coverage"))
+    return Y.share(T.words(spark, d), "media_id", F.col("conf") >= 0.6).select("media_id", F.round("share", 9).alias("coverage"))
 
 
 @query("q8_17_cosine", "with v as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from embeddings) select a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))) / (a.n * b.n), 6) as cosine from v a join v b on b.vec_id = a.vec_id + 1")

@@ -12,6 +12,7 @@ from spanloom.functions import text as X
 from spanloom.operators import alignment as A
 from spanloom.operators import contracts as K
 from spanloom.operators import reports as R
+from spanloom.operators import scorecards as Y
 from spanloom.operators import rules as U
 from spanloom.operators import sentences as E
 from spanloom.operators import spans as P
@@ -59,8 +60,7 @@ def reaction(spark, d):
 
 @query("q2_14_inventory_tiles", with_tables("words", SENTENCES + " select media_id, bool_and(coalesce(b, 0) <= start_ms) as in_order, min(start_ms) = 0 as from_zero, count(*) as n from (select *, lag(end_ms) over (partition by media_id order by start_ms, sent_id) as b from sent) group by 1"))
 def tiles(spark, d):
-    b = F.lag("end_ms").over(Window.partitionBy("media_id").orderBy("start_ms", "sent_id"))
-    return sentences(spark, d).withColumn("b", F.coalesce(b, F.lit(0))).groupBy("media_id").agg(F.bool_and(F.col("b") <= F.col("start_ms")).alias("in_order"), (F.min("start_ms") == 0).alias("from_zero"), F.count("*").alias("n"))
+    return Y.tiled(sentences(spark, d), "media_id", "start_ms", "sent_id")
 
 
 @query("q2_16_decision_contract", with_tables("spans", " select event_id, (case when event_type in ('click', 'view') then event_id % 3 <> 0 else false end) = (event_id % 5 <> 0) as consistent from spans"))
@@ -196,9 +196,8 @@ def window_interval(spark, d):
 
 @query("q3_12_required_sentences", with_tables("words", SENTENCES + ", n as (select media_id, sent_id, lead(sent_id) over (partition by media_id order by sent_id) as nx from sent) select media_id, sent_id, case when nx is null then cast(sent_id as varchar) else sent_id || ',' || nx end as required from n"))
 def required(spark, d):
-    nx = F.lead("sent_id").over(Window.partitionBy("media_id").orderBy("sent_id"))
-    ids = F.array_distinct(F.array_compact(F.concat(F.array("sent_id", nx), F.array("sent_id"))))
-    return sentences(spark, d).select("media_id", "sent_id", F.array_join(ids.cast("array<string>"), ",").alias("required"))
+    got = Y.with_following(sentences(spark, d), "media_id", "sent_id", "ids")
+    return got.select("media_id", "sent_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("required"))
 
 
 @query("q3_14_speaker_focus", with_tables("turns", " select t.media_id, t.turn, t.start_ms + 500 as at_ms, t.speaker, case when t.turn % 3 = 0 then 'user' else t.speaker end <> t.speaker as mismatch from turns t"))
@@ -301,14 +300,13 @@ def study(spark, d):
 
 @query("q4_2_changed_rate", r"select lang, round(count(*) filter (where text <> regexp_replace(text, '\p{P}', '', 'g')) / cast(nullif(count(*), 0) as double), 9) as rate from documents group by 1")
 def changed_rate(spark, d):
-    changed = F.count_if(F.col("text") != F.regexp_replace("text", r"\p{P}", ""))
-    return T.read(spark, d, "documents").groupBy("lang").agg(F.round(N.rate(changed, F.count("*")), 9).alias("rate"))
+    got = Y.collisions(T.read(spark, d, "documents"), "text", F.regexp_replace("text", r"\p{P}", ""), "lang")
+    return got.select("lang", F.round("changed_rate", 9).alias("rate"))
 
 
 @query("q4_3_index_collision_rate", "select lang, round((count(distinct text) - count(distinct lower(text))) / cast(nullif(count(distinct text), 0) as double), 9) as rate from documents group by 1")
 def collision_rate(spark, d):
-    n = F.countDistinct("text")
-    return T.read(spark, d, "documents").groupBy("lang").agg(F.round(N.rate(n - F.countDistinct(F.lower("text")), n), 9).alias("rate"))
+    return Y.collisions(T.read(spark, d, "documents"), "text", F.lower("text"), "lang").select("lang", F.round("collision_rate", 9).alias("rate"))
 
 
 @query("q4_6_by_dialect", "select lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
@@ -359,9 +357,8 @@ def wallclock(spark, d):
 @query("q4_39_analyze_study", "with p as (select doc_id, source as system, quality, toxic from documents join labels using (doc_id)), a as (select system, count(*) as n, avg(case when toxic = 1 then 0.5 when quality = 1 then 1.0 else 0.0 end) as w, avg(cast(toxic as double)) as m from p group by 1), z as (select 1.959963984540054 as z) select system, n, round(w, 9) as win_rate, round(m, 9) as misleading, round(greatest((w + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(w*(1-w)/n + z*z/(4.0*n*n)) / (1 + z*z/n), 0.0), 9) as low from a, z")
 def analyze_study(spark, d):
     p = T.read(spark, d, "documents").select("doc_id", F.col("source").alias("system")).join(T.read(spark, d, "labels"), "doc_id")
-    w = F.when(F.col("toxic") == 1, 0.5).when(F.col("quality") == 1, 1.0).otherwise(0.0)
-    a = p.groupBy("system").agg(F.count("*").alias("n"), F.avg(w).alias("w"), F.avg(F.col("toxic").cast("double")).alias("m"))
-    return a.select("system", "n", F.round("w", 9).alias("win_rate"), F.round("m", 9).alias("misleading"), F.round(N.wilson("w", "n")["low"], 9).alias("low"))
+    worth = F.when(F.col("toxic") == 1, 0.5).when(F.col("quality") == 1, 1.0).otherwise(0.0)
+    return Y.study(p, "system", worth, "toxic").withColumns({c: F.round(c, 9) for c in ("win_rate", "misleading", "low")})
 
 
 @query("q4_49_span_compliance", with_tables("verbal", " select media_id, count(*) as asked, count(*) filter (where out_ms - in_ms between 30000 and 90000) as inside from verbal group by 1"))
@@ -412,18 +409,13 @@ def condensed(spark, d):
 
 @query("q5_21_cold_open", with_tables("words", SENTENCES + ", l as (select media_id, max(sent_id) as m from sent where complete group by 1), o as (select s.*, case when s.sent_id = l.m then -1 else s.sent_id end as k from sent s join l on l.media_id = s.media_id where complete) select media_id, sent_id, cast(coalesce(sum(end_ms - start_ms) over (partition by media_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as offset_ms from o"))
 def cold_open(spark, d):
-    s = sentences(spark, d).where("complete")
-    last = s.groupBy("media_id").agg(F.max("sent_id").alias("m"))
-    o = s.join(last, "media_id").withColumn("k", F.when(F.col("sent_id") == F.col("m"), -1).otherwise(F.col("sent_id")))
-    before = Window.partitionBy("media_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return o.select("media_id", "sent_id", F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")).over(before), F.lit(0)).alias("offset_ms"))
+    s = Y.last_first(sentences(spark, d).where("complete"), "media_id", "sent_id")
+    return Y.offsets(s, "media_id", "_play", F.col("end_ms") - F.col("start_ms")).select("media_id", "sent_id", "offset_ms")
 
 
 @query("q5_48_time_contiguous", with_tables("words", SENTENCES + ", r as (select media_id, min(start_ms) as lo, max(end_ms) as hi from sent where complete group by 1) select s.media_id, s.sent_id from sent s join r on r.media_id = s.media_id where not s.complete and s.start_ms < r.hi and r.lo < s.end_ms"))
 def time_contiguous(spark, d):
-    s = sentences(spark, d)
-    r = s.where("complete").groupBy("media_id").agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"))
-    return s.where("not complete").join(r, "media_id").where(I.overlaps("start_ms", "end_ms", "lo", "hi")).select("media_id", "sent_id")
+    return Y.foreign_inside(sentences(spark, d), "media_id", F.col("complete")).select("media_id", "sent_id")
 
 
 @query("q5_54_greedy_tokens", "with f as (select vec_id, label, list_position(embedding, list_max(embedding)) - 1 as token from embeddings), b as (select *, lag(token) over (partition by label order by vec_id) as p from f) select label, vec_id, token from b where (p is null or p <> token) and token <> 0")

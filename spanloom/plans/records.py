@@ -11,6 +11,7 @@ from spanloom.functions import text as X
 from spanloom.operators import contracts as K
 from spanloom.operators import reports as R
 from spanloom.operators import rules as W
+from spanloom.operators import scorecards as Y
 from spanloom.operators import curation as U
 from spanloom.operators import diarization as D
 from spanloom.plans.text import SENTENCES, sentences
@@ -219,8 +220,8 @@ def record_delta(spark, d):
 
 @query("q4_46_run_costs", with_tables("spans", LEDGER + " select run_id, stage, cast(sum(cast(floor(value) as bigint)) as bigint) as tokens, round(sum(floor(value)) / 1e6 * 2, 9) as usd, count(*) as n from led where stage in ('purchase', 'click') group by 1, 2"))
 def run_costs(spark, d):
-    t = F.sum(F.floor("value"))
-    return ledger(spark, d).where("stage in ('purchase', 'click')").groupBy("run_id", "stage").agg(t.alias("tokens"), F.round(N.token_cost(t), 9).alias("usd"), F.count("*").alias("n"))
+    billed = ledger(spark, d).where("stage in ('purchase', 'click')")
+    return Y.stage_costs(billed, "run_id", "stage", F.floor("value")).withColumn("usd", F.round("usd", 9))
 
 
 @query("q5_55_explain_run_state", with_tables("spans", LEDGER + " select run_id, arg_min('v' || cast(event_id as varchar), sequence) as reason, 'error' as stage from led where stage = 'error' group by 1"))
@@ -231,7 +232,7 @@ def explain_state(spark, d):
 
 @query("q4_52_run_complete", with_tables("spans", LEDGER + " select run_id, count(distinct stage) = 5 as complete, count(*) filter (where stage = 'error') as n_skipped from led group by 1"))
 def complete(spark, d):
-    return ledger(spark, d).groupBy("run_id").agg((F.countDistinct("stage") == 5).alias("complete"), F.count_if(F.col("stage") == "error").alias("n_skipped"))
+    return Y.run_complete(ledger(spark, d), "run_id", "stage", 5, F.col("stage") == "error")
 
 
 @query("q4_47_rejected_by_path", with_tables("spans", ", p as (select distinct media_id, event_type as path from spans), r as (select media_id, event_type as path, count(*) as n from spans where value > 60 group by 1, 2) select p.media_id, p.path, coalesce(n, 0) as n_rejected from p left join r on r.media_id = p.media_id and r.path = p.path"))

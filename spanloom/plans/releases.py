@@ -15,6 +15,7 @@ from spanloom.operators import hooks as H
 from spanloom.operators import reports as R
 from spanloom.operators import retrieval as V
 from spanloom.operators import rules as U
+from spanloom.operators import scorecards as Y
 from spanloom.operators import selection as S
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
@@ -197,7 +198,7 @@ def _shots(spark, d):
 
 @query("q2_12_shot_plan_valid", with_tables("verbal", " select media_id, bool_and(not (candidate_id % 5 = 0 and candidate_id % 2 = 1)) as valid from verbal group by 1"))
 def shot_plan_valid(spark, d):
-    return _shots(spark, d).groupBy("media_id").agg(F.bool_and(~F.array_contains("reasons", "no region")).alias("valid"))
+    return Y.none_with(_shots(spark, d), "media_id", "no region")
 
 
 @query("q2_34_resolve_model", "select source, case when source in ('src3', 'src4') then 'denied' when source in ('src0', 'src1') then 'known' else 'unknown' end as status, count(*) as n from documents group by 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom import tables as T
 from spanloom.functions import intervals as I
+from spanloom.operators import scorecards as Y
 from spanloom.operators import rules as U
 from spanloom.operators import selection as S
 from spanloom.operators import spans as P
@@ -38,8 +39,7 @@ def merge(spark, d):
 def independence(spark, d):
     """Every input id appears once among the sources of the merged rows."""
     ids = T.candidates(spark, d, "click").select(F.lit("verbal").alias("path"), "candidate_id").unionByName(T.candidates(spark, d, "view").select(F.lit("visual").alias("path"), "candidate_id"))
-    used = merged(spark, d).select(F.explode("sources").alias("candidate_id")).groupBy("candidate_id").agg(F.count("*").alias("times"))
-    return ids.join(used, "candidate_id", "left").groupBy("path").agg(F.count("*").alias("n_ids"), F.max(F.coalesce("times", F.lit(0))).cast("int").alias("times"))
+    return Y.uses(ids, merged(spark, d).select(F.explode("sources").alias("candidate_id")), "path", "candidate_id")
 
 
 @query("q6_11_to_retrieved")
@@ -49,7 +49,7 @@ def to_retrieved(spark, d):
 
 @query("q6_12_candidate_priority")
 def priority(spark, d):
-    order = Window.partitionBy("media_id").orderBy(F.least("verbal_rank", "visual_rank"), F.when(F.col("path") == "both", 0).otherwise(1), "in_ms", F.element_at("sources", 1))
+    order = Window.partitionBy("media_id").orderBy(*Y.candidate_order(F.element_at("sources", 1)))
     return merged(spark, d).select("media_id", "path", "in_ms", "out_ms", F.row_number().over(order).alias("priority"))
 
 

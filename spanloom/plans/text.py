@@ -8,6 +8,7 @@ from spanloom import tables as T
 from spanloom.functions import numbers as N
 from spanloom.functions import text as X
 from spanloom.operators import retrieval as R
+from spanloom.operators import scorecards as Y
 from spanloom.operators import sentences as S
 from spanloom.scratch import Scratch
 from spanloom.tables import with_tables
@@ -244,9 +245,8 @@ def assert_share(spark, d):
 
 @query("q4_1_measure_collisions", r"with n as (select text as raw, lower(regexp_replace(text, '\p{P}', '', 'g')) as norm from documents) select count(*) as n_items, count(*) filter (where raw <> norm) as n_changed, count(distinct raw) as n_raw, count(distinct norm) as n_norm, round(count(*) filter (where raw <> norm) / cast(nullif(count(*), 0) as double), 9) as changed_rate, round((count(distinct raw) - count(distinct norm)) / cast(nullif(count(distinct raw), 0) as double), 9) as collision_rate from n")
 def collisions(spark, d):
-    n = T.read(spark, d, "documents").select(F.col("text").alias("raw"), F.lower(F.regexp_replace("text", r"\p{P}", "")).alias("norm"))
-    got = n.agg(F.count("*").alias("n_items"), F.count_if(F.col("raw") != F.col("norm")).alias("n_changed"), F.countDistinct("raw").alias("n_raw"), F.countDistinct("norm").alias("n_norm"))
-    return got.select("*", F.round(N.rate("n_changed", "n_items"), 9).alias("changed_rate"), F.round(N.rate(F.col("n_raw") - F.col("n_norm"), "n_raw"), 9).alias("collision_rate"))
+    docs = T.read(spark, d, "documents").select(F.col("text").alias("raw"), F.lower(F.regexp_replace("text", r"\p{P}", "")).alias("norm"))
+    return Y.collisions(docs, "raw", "norm").withColumns({c: F.round(c, 9) for c in ("changed_rate", "collision_rate")})
 
 
 @query("q3_17_slice_text", with_tables("words verbal", ", o as (select v.candidate_id, string_agg(w.w, ' ' order by w.pos) as t, count(*) as n_words from verbal v join words w on w.media_id = v.media_id and w.start_ms < v.out_ms and v.in_ms < w.end_ms group by 1) select candidate_id, n_words, md5(t) as text_md5 from o"))

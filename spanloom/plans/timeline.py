@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom import tables as T
+from spanloom.operators import scorecards as Y
 from spanloom.operators import sentences as S
 from spanloom.operators import spans as P
 from spanloom.operators import timeline as L
@@ -189,9 +190,7 @@ def inventory(spark, d):
 
 @query("q4_44_coverage_summary")
 def coverage_summary(spark, d):
-    ms = F.col("out_ms") - F.col("in_ms")
-    rows = inventory(spark, d).groupBy("media_id", "level").agg(F.sum(ms).alias("ms"), F.sum(F.when(F.col("has_speech"), ms).otherwise(0)).alias("speech_ms"))
-    return rows.withColumn("share", F.round(F.col("ms") / F.sum("ms").over(Window.partitionBy("media_id")), 6))
+    return Y.level_shares(inventory(spark, d), "media_id", "level", "has_speech").withColumn("share", F.round("share", 6))
 
 
 MARKS = (("What", "Why"), ("no,", "rather"), ("but ", "except"), ("first", "once"), ("so ", "finally"))
@@ -235,8 +234,7 @@ def contiguous(spark, d):
 
 @query("q5_47_assert_contiguous", with_tables("words", SENTENCES + " select media_id, max(sent_id) - min(sent_id) + 1 = count(distinct sent_id) and count(*) = count(distinct sent_id) as contiguous from sent where complete group by 1"))
 def assert_contiguous(spark, d):
-    n = F.countDistinct("sent_id")
-    return sentences(spark, d).where("complete").groupBy("media_id").agg(((F.max("sent_id") - F.min("sent_id") + 1 == n) & (F.count("*") == n)).alias("contiguous"))
+    return Y.without_gaps(sentences(spark, d).where("complete"), "media_id", "sent_id")
 
 
 @query("q1_29_build_edl", with_tables("words", WORDMEDIA + """, e as (select media_id, 0 as s, 0 as z from wm union all select media_id, start_ms, end_ms from rem), g as (select e.media_id, z as a, coalesce(lead(s) over (partition by e.media_id order by s, z), duration_ms) as b from e join wm on wm.media_id = e.media_id),
