@@ -153,6 +153,16 @@ def reusable_raw(spark, d):
     return out.join(good, "doc_id", "left").select("doc_id", "outcome", ((F.col("outcome") == "hit") & F.coalesce("intact", F.lit(False))).alias("reusable"))
 
 
+@query("q9_3_stage_complete", with_tables("spans", ", s as (select media_id as run, event_type as stage, count(*) as n, max(value) as m from spans group by 1, 2) select run, stage, m <= 60 as complete from s"))
+def stage_complete(spark, d):
+    """Which stages of which runs are done: all that was read then is what there is now, under the same producer. A first run saw no event over 60."""
+    events = T.spans(spark, d).withColumn("part", F.concat_ws("/", F.col("media_id").cast("string"), "event_type")).select("part", "event_id", "value", "in_ms")
+    stage = N.Stage(spark, f"{Scratch(spark, 'stages').root}/stages", "part", "part string", "producer v1")
+    stage.run(events.where("value <= 60"), lambda rows: rows.select("part").limit(0))
+    part = F.split("part", "/")
+    return stage.outcomes(events).select(part[0].cast("long").alias("run"), part[1].alias("stage"), (F.col("outcome") == "hit").alias("complete"))
+
+
 _DAY = "strftime(ts, '%Y-%m-%d')"
 _NEW = "(day(ts) % 2 = 1 and event_type = 'purchase')"
 

@@ -241,14 +241,6 @@ def rejected_by_path(spark, d):
     return R.rejected_by_path(s, s.where("value > 60"), ["media_id", "path"])
 
 
-@query("q9_3_stage_complete", with_tables("spans", ", s as (select media_id as run, event_type as stage, count(*) as n, max(value) as m from spans group by 1, 2) select run, stage, m <= 60 as complete from s"))
-def stage_complete(spark, d):
-    s = T.spans(spark, d).groupBy(F.col("media_id").alias("run"), F.col("event_type").alias("stage")).agg(F.collect_list(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("digests"), F.max("value").alias("m"))
-    s = s.withColumn("metadata", F.lit("v1"))
-    recorded = s.select("run", "stage", F.when(F.col("m") <= 60, F.col("digests")).otherwise(F.array(F.lit("other"))).alias("digests"), "metadata")
-    return L.stage_complete(s, recorded).select("run", "stage", "complete")
-
-
 @query("q9_10_streamed_windows", "select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def streamed(spark, d):
     """Daily counts of the event stream, run as a stream over what is there, then read from its sink."""

@@ -34,13 +34,6 @@ def reuse(wanted: DataFrame, cache: DataFrame, keys: list[str], digest: str) ->
     return out.withColumn("outcome", F.when(F.col("_ds").isNull(), "miss").when(F.array_contains("_ds", F.col(digest)), "hit").otherwise("stale")).drop("_ds")
 
 
-def stage_complete(stages: DataFrame, recorded: DataFrame) -> DataFrame:
-    """stages with complete: name recorded, digests (a non-empty array) equal as sets, metadata equal."""
-    r = recorded.select("run", "stage", F.col("digests").alias("_d"), F.col("metadata").alias("_m"), F.lit(True).alias("_r"))
-    ok = F.col("_r") & (F.size("digests") > 0) & (F.array_sort("digests") == F.array_sort("_d")) & F.col("metadata").eqNullSafe(F.col("_m"))
-    return stages.join(r, ["run", "stage"], "left").withColumn("complete", F.coalesce(ok, F.lit(False))).drop("_d", "_m", "_r")
-
-
 def first_skipped(stages: DataFrame, run: str, place: str) -> DataFrame:
     """The first skipped stage of each run with its reason; none when all ran."""
     return stages.where("state = 'skipped'").groupBy(run).agg(F.min_by(F.struct("stage", "reason"), place).alias("s")).select(run, "s.stage", "s.reason")
