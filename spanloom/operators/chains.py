@@ -22,7 +22,7 @@ from spanloom.scratch import Scratch
 PIECE = 1 << 16
 
 
-def numbered(df: DataFrame, key: str, order: list[str], amount: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str | Column], amount: Column | None = None) -> DataFrame:
     """df with `i`, the place of each row in its key from 0, and `before`, the sum of an amount (1) over the rows before.
 
     A key's rows may be any share of all: they are sorted by ranges, and numbered within each range. order should tell all

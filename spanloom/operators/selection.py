@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import intervals as I
 from spanloom.functions import numbers as N
+from spanloom.operators.chains import numbered
 from spanloom.operators.spans import overlap_join
 from spanloom.scratch import Scratch
 
@@ -82,9 +83,11 @@ def vote(runs: DataFrame, least_iou: float = 0.6, least_votes: int = 2) -> DataF
     runs: candidate_id, media_id, run, in_ms, out_ms, score. In order of (-score, in_ms, candidate_id) a span
     joins the first leader it matches or becomes one; votes are distinct runs.
     """
-    place = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("score"), "in_ms", "candidate_id"))
-    rows = runs.withColumn("place", place).select("media_id", "candidate_id", "run", "in_ms", "out_ms", "score", "place")
-    edges = Scratch(runs.sparkSession, "vote").save(ordered_conflicts(rows, "media_id", "candidate_id", "place", I.iou("x_in_ms", "x_out_ms", "y_in_ms", "y_out_ms") >= least_iou))
+    own = runs.select("media_id", "candidate_id", "run", "in_ms", "out_ms", "score")
+    placed = numbered(own, "media_id", [F.desc("score"), "in_ms", "candidate_id"])
+    scratch = Scratch(runs.sparkSession, "vote")
+    rows = scratch.save(placed.select(*own.columns, (F.col("i") + 1).cast("int").alias("place")))
+    edges = scratch.save(ordered_conflicts(rows, "media_id", "candidate_id", "place", I.iou("x_in_ms", "x_out_ms", "y_in_ms", "y_out_ms") >= least_iou))
     lost = rejected_by_order(edges).withColumnRenamed("hi", "candidate_id")
     leaders = rows.join(lost, "candidate_id", "left_anti")
     places = leaders.select(F.col("candidate_id").alias("lo"), "place")
@@ -109,8 +112,8 @@ def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_simil
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "diverse")
-    place = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("score"), "candidate_id"))
-    placed = scratch.save(rows.drop("words").withColumn("place", place))
+    bare = rows.drop("words")
+    placed = scratch.save(numbered(bare, "media_id", [F.desc("score"), "candidate_id"]).select(*bare.columns, (F.col("i") + 1).cast("int").alias("place")))
     salt = F.pmod(F.xxhash64("candidate_id"), F.lit(deal)).alias("salt")
     salted = rows.select("media_id", "candidate_id", "in_ms", "out_ms", F.array_distinct("words").alias("words"), *carry, salt)
     held = salted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id", "salt").persist()
