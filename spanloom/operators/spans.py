@@ -76,12 +76,15 @@ def _dealt(x: DataFrame, y: DataFrame, on: list[str], limit: int) -> tuple[DataF
 
 
 def _meet(x: DataFrame, y: DataFrame, key: str, most: int, total: int, crowd: int) -> DataFrame:
-    """Rows of both sides that share a key and a cell."""
+    """Rows of both sides that share a key and a cell.
+
+    Rows are placed in several cells, which the planner's estimates do not know, so neither side is left to be broadcast.
+    """
     on = [key, "_way", "_level", "_place"]
     if most > crowd:
         x, y = _dealt(x, y, on, max(crowd, total // SHARE))
         on = [*on, "_deal"]
-    return x.join(y, on)
+    return x.join(y.hint("merge"), on)
 
 
 def _placed(df: DataFrame, *ways: tuple[int, Column]) -> DataFrame:
