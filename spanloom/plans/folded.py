@@ -61,7 +61,7 @@ def apply_targeted(spark, d):
 
 @query("q5_46_grown_runs")
 def grown(spark, d):
-    s = sentences(spark, d)
+    s = sentences(spark, d, clicks(spark, d))
     met = P.overlap_join(clicks(spark, d), s.where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms"))
     seeds = met.groupBy("candidate_id", "media_id").agg(F.min("sent_id").alias("first_sent")).withColumn("last_sent", F.col("first_sent"))
     return O.grown_runs(seeds, s, 30_000)
@@ -69,7 +69,7 @@ def grown(spark, d):
 
 @query("q5_50_resolve_candidates")
 def resolve(spark, d):
-    s = sentences(spark, d)
+    s = sentences(spark, d, clicks(spark, d))
     return O.expand_candidates(clicks(spark, d), L.relations(s, *MARKS), s).select("candidate_id", "in_ms", "out_ms", "new_in_ms", "new_out_ms", "n_relations", "reason")
 
 
@@ -249,7 +249,7 @@ def inspect_artifact(spark, d):
 
 def _transcripts(spark, d):
     """A nested transcript document for each recording, written from its words."""
-    w = T.words(spark, d).groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w", "start_ms", "end_ms", "conf"))), lambda x: F.struct(x["w"].alias("w"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["conf"].alias("conf"))).alias("words"))
+    w = T.transcripts(spark, d)
     doc = F.to_json(F.struct(F.col("media_id").cast("string").alias("media_id"), F.lit("t").alias("text"), "words", F.array().cast("array<string>").alias("unaligned"), F.when(F.col("media_id") % 7 == 0, F.lit("x")).alias("note")))
     return w.select("media_id", doc.alias("json"))
 
