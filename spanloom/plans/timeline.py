@@ -137,7 +137,8 @@ def tighten_sentences(spark, d):
 
 @query("q5_8_filler_words")
 def fillers(spark, d):
-    return L.filler_flags(T.words(spark, d), ("um", "uh", "the", "of the")).groupBy("media_id").agg(F.count_if("filler").alias("n_fillers"), F.count("*").alias("n_words"))
+    got = L.fillers_of(T.transcripts(spark, d), ("um", "uh", "the", "of the"))
+    return got.select("media_id", F.size(F.filter("fillers", lambda x: x)).cast("long").alias("n_fillers"), F.size("fillers").cast("long").alias("n_words"))
 
 
 def _by_media(spark, d):
