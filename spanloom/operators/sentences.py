@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +50,52 @@ def segment(words: DataFrame, pauses: DataFrame | None = None, pause_ms: int = P
         F.count("*").alias("n_words"),
         F.max_by(F.struct("w", "final", "next_ms"), "pos").alias("_last"),
     )
+    return grouped.select("media_id", "sent_id", "start_ms", "end_ms", "text", _complete(open_words).alias("complete"), "n_words")
+
+
+def _complete(open_words: tuple[str, ...]) -> Column:
     dangling = F.lower(F.regexp_replace(F.col("_last.w"), r"\p{P}", "")).isin(*open_words)
-    complete = ~dangling & (F.col("_last.final") | F.col("_last.next_ms").isNotNull())
-    return grouped.select("media_id", "sent_id", "start_ms", "end_ms", "text", complete.alias("complete"), "n_words")
+    return ~dangling & (F.col("_last.final") | F.col("_last.next_ms").isNotNull())
+
+
+#: A final mark at a word's end; as in the JVM, one separator of lines may follow.
+FINAL = re.compile(f"[{FINAL_MARKS}][\x85\u2028\u2029]?\\Z")
+
+
+def segment_rows(transcripts: DataFrame, pause_ms: int = PAUSE_MS, open_words: tuple[str, ...] = OPEN_WORDS, text: bool = True) -> DataFrame:
+    """`segment` of recordings that have all their words, in order, in one row (media_id, words); text: false leaves that column out.
+
+    No word is shuffled, sorted or made a row of its own: a task finds the ends of the sentences of a batch of recordings as arrays.
+    """
+    rows = transcripts.select("media_id", "words.w", "words.start_ms", "words.end_ms")
+    kind = rows.schema["media_id"].dataType.simpleString()
+    last = pa.struct([("w", pa.string()), ("final", pa.bool_()), ("next_ms", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, w, start, end = batch.columns
+            sizes, w, start, end = np.diff(w.offsets.to_numpy()).astype(np.int64), w.flatten(), start.flatten().to_numpy(), end.flatten().to_numpy()
+            if not len(w):
+                continue
+            coded = w.dictionary_encode()
+            final = np.array([FINAL.search(x) is not None for x in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy(zero_copy_only=False)]
+            begun = np.cumsum(sizes) - sizes
+            fresh = np.concatenate(([True], final[:-1] | (start[1:] - end[:-1] >= pause_ms)))
+            fresh[begun[sizes > 0]] = True
+            first = np.flatnonzero(fresh)
+            bounds = np.concatenate((first, [len(w)]))
+            at = np.repeat(np.arange(len(sizes)), sizes)[first]
+            ends = bounds[1:] - 1
+            later = np.concatenate((start[1:], [0]))[ends]
+            lasting = pa.StructArray.from_arrays([w.take(pa.array(ends)), pa.array(final[ends]), pa.array(later, mask=ends == (begun + sizes - 1)[at])], fields=list(last))
+            columns = {"media_id": ids.take(pa.array(at)), "sent_id": pa.array(np.arange(len(first)) - np.searchsorted(first, begun)[at])}
+            columns |= {"start_ms": pa.array(np.minimum.reduceat(start, first)), "end_ms": pa.array(np.maximum.reduceat(end, first)), "n_words": pa.array(np.diff(bounds)), "_last": lasting}
+            if text:
+                columns["text"] = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), w), " ")
+            yield pa.RecordBatch.from_pydict(columns)
+
+    made = f"media_id {kind}, sent_id long, start_ms long, end_ms long, n_words long, _last struct<w: string, final: boolean, next_ms: long>" + ", text string" * text
+    return rows.mapInArrow(run, made).select("media_id", "sent_id", "start_ms", "end_ms", *["text"] * text, _complete(open_words).alias("complete"), "n_words")
 
 
 #: What a sentence is worth at first, and what is added or taken away.

@@ -35,9 +35,11 @@ SENTENCES = f""", w0 as (select *, lead(start_ms) over (partition by media_id or
    from (select *, pos = max(pos) over (partition by media_id, sid) as nxt_pos, (pos = max(pos) over (partition by media_id, sid) and nxt is not null) as has_next from w2) group by media_id, sid)"""
 
 
-def sentences(spark, d, of=None):
-    """of: spans (media_id, in_ms, out_ms); only sentences of the recordings that these name."""
-    return S.segment(T.words(spark, d, of))
+def sentences(spark, d, of=None, text=True):
+    """of: spans (media_id, in_ms, out_ms); only sentences of the recordings that these name, written, as those who ask for
+    them read them more than once. text: false leaves that column out."""
+    rows = S.segment_rows(T.transcripts(spark, d, of), text=text)
+    return rows if of is None else Scratch(spark, "sentences").save(rows)
 
 
 @query("q5_1_segment_sentences", with_tables("words", SENTENCES + " select media_id, sent_id, start_ms, end_ms, complete, n_words, md5(text) as text_md5 from sent"))
@@ -265,7 +267,7 @@ def sentences_within(spark, d):
     from spanloom.operators.spans import overlap_join
 
     v = T.candidates(spark, d, "click").select("candidate_id", "media_id", "in_ms", "out_ms")
-    met = overlap_join(v, sentences(spark, d, v).where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms"))
+    met = overlap_join(v, sentences(spark, d, v, text=False).where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms"))
     return met.where("in_ms <= start_ms and end_ms <= out_ms").select("candidate_id", "sent_id")
 
 
@@ -274,7 +276,7 @@ def sentences_overlapping(spark, d):
     from spanloom.operators.spans import overlap_join
 
     v = T.candidates(spark, d, "click").select("candidate_id", "media_id", "in_ms", "out_ms")
-    return overlap_join(v, sentences(spark, d, v).where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms")).select("candidate_id", "sent_id")
+    return overlap_join(v, sentences(spark, d, v, text=False).where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms")).select("candidate_id", "sent_id")
 
 
 @query("q5_45_sentence_runs", with_tables("words verbal", SENTENCES + """, m as (select v.candidate_id, s.sent_id, s.start_ms, s.end_ms from verbal v join sent s on s.media_id = v.media_id and s.complete and v.in_ms <= s.start_ms and s.end_ms <= v.out_ms),
@@ -284,7 +286,7 @@ def sentence_runs(spark, d):
     from spanloom.operators.spans import overlap_join, runs
 
     v = T.candidates(spark, d, "click").select("candidate_id", "media_id", "in_ms", "out_ms")
-    met = overlap_join(v, sentences(spark, d, v).where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms")).where("in_ms <= start_ms and end_ms <= out_ms")
+    met = overlap_join(v, sentences(spark, d, v, text=False).where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms")).where("in_ms <= start_ms and end_ms <= out_ms")
     a = runs(met, ["candidate_id"], "sent_id").groupBy("candidate_id", "run").agg(F.min("sent_id").alias("first_sent"), F.max("sent_id").alias("last_sent"), (F.max("end_ms") - F.min("start_ms")).alias("ms"))
     best = a.groupBy("candidate_id").agg(F.min_by(F.struct("first_sent", "last_sent", "ms"), F.struct(-F.col("ms"), "first_sent")).alias("b"))
     return best.select("candidate_id", "b.*")
