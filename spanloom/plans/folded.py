@@ -61,7 +61,7 @@ def apply_targeted(spark, d):
 
 @query("q5_46_grown_runs")
 def grown(spark, d):
-    s = sentences(spark, d, clicks(spark, d))
+    s = sentences(spark, d, clicks(spark, d), text=False)
     met = P.overlap_join(clicks(spark, d), s.where("complete"), "media_id", ("in_ms", "out_ms"), ("start_ms", "end_ms"))
     seeds = met.groupBy("candidate_id", "media_id").agg(F.min("sent_id").alias("first_sent")).withColumn("last_sent", F.col("first_sent"))
     return O.grown_runs(seeds, s, 30_000)
