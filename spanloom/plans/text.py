@@ -113,7 +113,8 @@ def asked(spark, d):
 @query("q6_4_field_score", "with" + TOKENS + ASKED + ", " + BM25.format(n="w", field="tok", asked="ask") + " select query_id, doc_id, round(score, 6) as score from w_s")
 def field_score(spark, d):
     q = asked(spark, d).select("query_id", F.explode(X.tokens("query")).alias("term"))
-    return R.bm25(R.postings(R.words_field(T.read(spark, d, "documents"))), q).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    docs = T.read(spark, d, "documents").select("doc_id", F.coalesce(X.tokens("text"), F.array().cast("array<string>")).alias("tokens"))
+    return R.score_all(docs, q).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("q6_1_bm25_index", "with" + TOKENS + " select term, count(distinct doc_id) as df, count(*) as cf from tok group by term")
