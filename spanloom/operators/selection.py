@@ -99,7 +99,18 @@ def vote(runs: DataFrame, least_iou: float = 0.6, least_votes: int = 2) -> DataF
     return spans.select("media_id", "leader_id", "in_ms", "out_ms", "votes", "mean_score", rank.alias("rank"))
 
 
-def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_similar: float = 0.5, deal: int = 16, carry: tuple[str, ...] = (), alike=None) -> DataFrame:
+#: Rows of a recording that a task compares with a pick, at least; where there are very many rows, a SHARE of all of them.
+CROWD, SHARE = 4096, 1024
+
+
+def crowded(placed: DataFrame, deal: int, crowd: int = CROWD) -> DataFrame:
+    """media_id, parts of the recordings with too many rows for a task: at most SHARE of them, so their list may be broadcast."""
+    limit = max(crowd, placed.count() // SHARE)
+    counts = placed.groupBy("media_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    return counts.select("media_id", F.least(F.lit(deal), F.ceil(F.col("_n") / limit)).cast("long").alias("parts"))
+
+
+def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_similar: float = 0.5, deal: int = 16, carry: tuple[str, ...] = (), alike=None, crowd: int = CROWD) -> DataFrame:
     """rows (media_id, candidate_id, in_ms, out_ms, score, words array) with selected and reason.
 
     In order of (-score, candidate_id) a row is taken unless the quota is full (checked first), it overlaps a
@@ -107,17 +118,19 @@ def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_simil
     alike: another condition for the last, on the words and the columns named in carry, x_* for the taken row's.
 
     Round n takes the first open row of every key and closes what conflicts with it, so whole word sets are
-    compared at most `quota` times a row, never row by row. A key is dealt over `deal` tasks; its words are
-    shuffled once and held between the rounds, which write ids and the taken rows only.
+    compared at most `quota` times a row, never row by row. A key of more than `crowd` rows is dealt over up to `deal` tasks,
+    each of which gets its picks; the words are shuffled once and held between the rounds, which write ids and the taken rows only.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "diverse")
     bare = rows.drop("words")
     placed = scratch.save(numbered(bare, "media_id", [F.desc("score"), "candidate_id"]).select(*bare.columns, (F.col("i") + 1).cast("int").alias("place")))
-    salt = F.pmod(F.xxhash64("candidate_id"), F.lit(deal)).alias("salt")
-    salted = rows.select("media_id", "candidate_id", "in_ms", "out_ms", F.array_distinct("words").alias("words"), *carry, salt)
+    wide = F.broadcast(scratch.save(crowded(placed, deal, crowd)))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    salt = F.pmod(F.xxhash64("candidate_id"), parts).alias("salt")
+    salted = rows.join(wide, "media_id", "left").select("media_id", "candidate_id", "in_ms", "out_ms", F.array_distinct("words").alias("words"), *carry, salt)
     held = salted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id", "salt").persist()
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("salt")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt")
     over = I.overlaps("x_in_ms", "x_out_ms", "in_ms", "out_ms")
     gap = F.greatest(F.col("in_ms") - F.col("x_out_ms"), F.col("x_in_ms") - F.col("out_ms"))
     same = similarity("x_words", "words") > most_similar if alike is None else alike
@@ -125,15 +138,16 @@ def diverse(rows: DataFrame, quota: int, separation_ms: int = 15_000, most_simil
     still, taken = placed.select("media_id", "candidate_id", "place"), None
     for nth in range(1, quota + 1):
         first = still.groupBy("media_id").agg(F.min(F.struct("place", "candidate_id")).alias("x")).select("media_id", F.col("x.place").alias("x_place"), F.col("x.candidate_id").alias("candidate_id"))
-        first = first.select("media_id", "x_place", F.col("candidate_id").alias("lo"), salt)
+        first = first.join(wide, "media_id", "left").select("media_id", "x_place", F.col("candidate_id").alias("lo"), salt)
         # An equality would become a key of the join, for which all words were shuffled again.
-        found = held.join(first, ["media_id", "salt"]).where(F.array_contains(F.array("lo"), F.col("candidate_id")))
+        # The held words are streamed past a table of a few rows a key: a merge join would sort them all, twice a round.
+        found = held.join(first.hint("shuffle_hash"), ["media_id", "salt"]).where(F.array_contains(F.array("lo"), F.col("candidate_id")))
         picks = scratch.save(found.select("media_id", "lo", F.col("in_ms").alias("x_in_ms"), F.col("out_ms").alias("x_out_ms"), "x_place", *[F.col(c).alias(f"x_{c}") for c in ("words", *carry)], F.lit(nth).alias("nth")))
         own = picks.drop("x_words", *[f"x_{c}" for c in carry])
         taken = own if taken is None else taken.unionByName(own)
         if nth == quota or picks.isEmpty():
             break
-        apart = held.join(picks.select("*", every), ["media_id", "salt"]).where(~conflict).select("candidate_id", "x_place")
+        apart = held.join(picks.join(wide, "media_id", "left").select(*picks.columns, every).hint("shuffle_hash"), ["media_id", "salt"]).where(~conflict).select("candidate_id", "x_place")
         still = scratch.save(still.join(apart, "candidate_id").where("place > x_place").select("media_id", "candidate_id", "place"))
     held.unpersist()
     if taken is None:

@@ -64,7 +64,8 @@ def _with_words(spark, d):
     ws = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
     docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), ws.alias("words"))
     own = T.spans(spark, d).select(F.col("event_id").alias("candidate_id"), "media_id", "in_ms", "out_ms", F.col("value").alias("score"))
-    return own.join(docs, "candidate_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    # The spans are the table that is held, or all words would be sorted.
+    return own.hint("shuffle_hash").join(docs, "candidate_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 @query("q6_19_plan_episode")
