@@ -206,44 +206,56 @@ class SuffixAutomaton:
         return copy
 
     def add(self, words: list[str], doc: int) -> None:
-        last = 0
+        following, link, size, least, last = self.next, self.link, self.size, self.least, 0
         for word in words:
-            q = self.next[last].get(word)
+            q = following[last].get(word)
             if q is not None:
-                last = q if self.size[q] == self.size[last] + 1 else self._split(last, word, q)
-                self.least[last] = min(self.least[last], doc)
+                last = q if size[q] == size[last] + 1 else self._split(last, word, q)
+                if doc < least[last]:
+                    least[last] = doc
                 continue
-            new, p = self._state(self.size[last] + 1, {}, 0, doc), last
-            while p >= 0 and word not in self.next[p]:
-                self.next[p][word] = new
-                p = self.link[p]
-            if p >= 0:
-                q = self.next[p][word]
-                self.link[new] = q if self.size[q] == self.size[p] + 1 else self._split(p, word, q)
+            new, p = len(size), last
+            following.append({})
+            link.append(0)
+            size.append(size[last] + 1)
+            least.append(doc)
+            while p >= 0:
+                follow = following[p]
+                if word in follow:
+                    q = follow[word]
+                    link[new] = q if size[q] == size[p] + 1 else self._split(p, word, q)
+                    break
+                follow[word] = new
+                p = link[p]
             last = new
 
     def settle(self) -> None:
         """Carry the smallest ids from longer strings to their suffixes."""
-        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            up = self.link[s]
-            if self.least[s] < self.least[up]:
-                self.least[up] = self.least[s]
+        link, least = self.link, self.least
+        for s in np.argsort(np.array(self.size))[:0:-1].tolist():
+            up = link[s]
+            if least[s] < least[up]:
+                least[up] = least[s]
 
     def matches(self, words: list[str], size: int) -> list[tuple[int, int]]:
         """(start, smallest id) of each run of `size` words that occurs."""
+        following, link, sizes, least = self.next, self.link, self.size, self.least
         state = length = 0
         out = []
-        for i, word in enumerate(words):
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                length = self.size[state]
-            if word in self.next[state]:
-                state, length = self.next[state][word], length + 1
-            while self.size[self.link[state]] >= size if state else False:
-                state = self.link[state]
-                length = self.size[state]
+        for i, word in enumerate(words, 1 - size):
+            to = following[state].get(word)
+            while to is None and state:
+                state = link[state]
+                length = sizes[state]
+                to = following[state].get(word)
+            if to is not None:
+                state, length = to, length + 1
             if length >= size:
-                out.append((i + 1 - size, self.least[state]))
+                # A match no longer than `size` is longer than what its state's link stands for.
+                while length > size and sizes[link[state]] >= size:
+                    state = link[state]
+                    length = sizes[state]
+                out.append((i, least[state]))
         return out
 
 
@@ -304,23 +316,33 @@ def blocks(references: list[tuple[list[str], int]]):
 
 def spans_in(references: list[tuple[list[str], int]], streams: list[list[str]]) -> list[tuple[list[int], list[int], list[int]]]:
     """For each stream the starts, ends and smallest ids of its maximal spans of WINDOW words or more that occur in a reference."""
-    least = [np.full(max(0, len(w) - WINDOW + 1), LAST_ID) for w in streams]
+    found: list[list[tuple[int, int]]] = [[] for _ in streams]
     for lot in blocks(references):
         automaton = SuffixAutomaton()
         for words, doc in lot:
             automaton.add(words, doc)
         automaton.settle()
-        for words, best in zip(streams, least):
-            found = automaton.matches(words, WINDOW)
-            if found:
-                where, ids = np.array(found).T
-                best[where] = np.minimum(best[where], ids)
+        for k, words in enumerate(streams):
+            more = automaton.matches(words, WINDOW)
+            if more and found[k]:
+                best = dict(found[k])
+                best.update((i, doc) for i, doc in more if doc < best.get(i, LAST_ID))
+                more = sorted(best.items())
+            found[k] = more or found[k]
     out = []
-    for best in least:
-        change = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1]))) if len(best) else np.zeros(0, np.int64)
-        ends = np.append(change[1:], len(best))
-        hit = best[change] < LAST_ID if len(best) else np.zeros(0, bool)
-        out.append((change[hit].tolist(), (ends[hit] - 1 + WINDOW).tolist(), best[change][hit].tolist()))
+    for hits in found:
+        starts, ends, ids, after = [], [], [], -1
+        for i, doc in hits:
+            if doc == LAST_ID:
+                continue
+            if i == after and doc == ids[-1]:
+                ends[-1] += 1
+            else:
+                starts.append(i)
+                ends.append(i + WINDOW)
+                ids.append(doc)
+            after = i + 1
+        out.append((starts, ends, ids))
     return out
 
 
@@ -335,14 +357,14 @@ def matched(rows: DataFrame) -> DataFrame:
     def run(batches):
         for table, edges in C.groups_of(batches, ["ref", "shard", "salt"]):
             cols = [[] for _ in kinds]
+            ref, shard, k, g, copies, doc, place, own = (table.column(c).to_pylist() for c in ("ref", "shard", "k", "g", "copies", "doc", "at", "own"))
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                part = table.slice(s, e - s).to_pylist()
-                words = [r["passage"].split(" ") for r in part]
-                references = [(w, r["doc"]) for w, r in zip(words, part) if r["ref"] == 0 or r["doc"] == r["shard"]]
-                asked = [(w, r) for w, r in zip(words, part) if r["own"]]
-                for (w, r), (first, last, least) in zip(asked, spans_in(references, [w for w, _ in asked])):
-                    at = r["at"]
-                    for col, x in zip(cols, (r["ref"], r["k"], r["g"], r["copies"], [x + at for x in first], [x + at for x in last], least)):
+                words = [x.split(" ") for x in table.column("passage").slice(s, e - s).to_pylist()]
+                references = [(w, doc[i]) for i, w in enumerate(words, s) if ref[i] == 0 or doc[i] == shard[i]]
+                asked = [i for i in range(s, e) if own[i]]
+                for i, (first, last, least) in zip(asked, spans_in(references, [words[i - s] for i in asked])):
+                    at = place[i]
+                    for col, x in zip(cols, (ref[i], k[i], g[i], copies[i], [x + at for x in first], [x + at for x in last], least)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
