@@ -62,6 +62,15 @@ def _complete(open_words: tuple[str, ...]) -> Column:
 FINAL = re.compile(f"[{FINAL_MARKS}][\x85\u2028\u2029]?\\Z")
 
 
+def cut(w: pa.Array, start: np.ndarray, end: np.ndarray, sizes: np.ndarray, pause_ms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first words of sentences, and for each word whether it bears a final mark. sizes: words of each recording."""
+    coded = w.dictionary_encode()
+    final = np.array([FINAL.search(x) is not None for x in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy(zero_copy_only=False)]
+    fresh = np.concatenate(([True], final[:-1] | (start[1:] - end[:-1] >= pause_ms)))
+    fresh[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return np.flatnonzero(fresh), final
+
+
 def segment_rows(transcripts: DataFrame, pause_ms: int = PAUSE_MS, open_words: tuple[str, ...] = OPEN_WORDS, text: bool = True) -> DataFrame:
     """`segment` of recordings that have all their words, in order, in one row (media_id, words); text: false leaves that column out.
 
@@ -77,12 +86,8 @@ def segment_rows(transcripts: DataFrame, pause_ms: int = PAUSE_MS, open_words: t
             sizes, w, start, end = np.diff(w.offsets.to_numpy()).astype(np.int64), w.flatten(), start.flatten().to_numpy(), end.flatten().to_numpy()
             if not len(w):
                 continue
-            coded = w.dictionary_encode()
-            final = np.array([FINAL.search(x) is not None for x in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy(zero_copy_only=False)]
+            first, final = cut(w, start, end, sizes, pause_ms)
             begun = np.cumsum(sizes) - sizes
-            fresh = np.concatenate(([True], final[:-1] | (start[1:] - end[:-1] >= pause_ms)))
-            fresh[begun[sizes > 0]] = True
-            first = np.flatnonzero(fresh)
             bounds = np.concatenate((first, [len(w)]))
             at = np.repeat(np.arange(len(sizes)), sizes)[first]
             ends = bounds[1:] - 1
@@ -112,6 +117,17 @@ def worth(fillers: tuple[str, ...], open_words: tuple[str, ...] = OPEN_WORDS) ->
     return WORTH + filled + left_open + F.when(pace >= 2, BRISK).when(pace < 1, SLOW).otherwise(0.0)
 
 
+def worth_of(w: pa.Array, first: np.ndarray, start: np.ndarray, end: np.ndarray, fillers: tuple[str, ...], open_words: tuple[str, ...] = OPEN_WORDS) -> np.ndarray:
+    """`worth` of sentences given by the places of their first words among all words, and by their start and end."""
+    among = lambda words, of: pc.is_in(words, value_set=pa.array(of, pa.string())).to_numpy(zero_copy_only=False)
+    n_words = np.diff(first, append=len(w))
+    share = np.add.reduceat(among(w, fillers).astype(np.int64), first) / n_words
+    pace = n_words / np.maximum(0.5, (end - start) / 1000.0)
+    filled = np.where(share > 0.3, MANY_FILLERS, 0.0)
+    left_open = np.where(among(w.take(pa.array(first + n_words - 1)), open_words), LEFT_OPEN, 0.0)
+    return WORTH + filled + left_open + np.where(pace >= 2, BRISK, np.where(pace < 1, SLOW, 0.0))
+
+
 def importance(sentences: DataFrame, fillers: tuple[str, ...], open_words: tuple[str, ...] = OPEN_WORDS) -> DataFrame:
     """sentences with worth and importance (0 to 1): the first and the last of a recording count for more."""
     own = Window.partitionBy("media_id")

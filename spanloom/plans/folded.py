@@ -97,8 +97,11 @@ def track_stats(spark, d):
     return got.withColumn("share", F.round("share", 9))
 
 
+FILLERS = ("the", "um")
+
+
 def _importance(spark, d):
-    return E.importance(sentences(spark, d), ("the", "um")).withColumn("importance", F.round("importance", 6)).withColumn("worth", F.round("worth", 6))
+    return E.importance(sentences(spark, d), FILLERS).withColumn("importance", F.round("importance", 6)).withColumn("worth", F.round("worth", 6))
 
 
 @query("q6_25_condense_story")
@@ -110,7 +113,7 @@ def condense(spark, d):
 @query("q6_26_condense_arcs")
 def arcs(spark, d):
     """Windows of 80 seconds of speech, each condensed, the three best."""
-    return O.story_arcs(_importance(spark, d))
+    return O.story_arcs_of(T.transcripts(spark, d), FILLERS)
 
 
 def _read(pdf):
